@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thriftline.llm import chat, histogram_sort, pfair, url_filter
+from thriftline.llm import chat, histogram_sort, lang_id, line_dedup, pfair, url_filter
 from thriftline.llm.common import table
 
 
@@ -18,17 +18,25 @@ def op5_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfair.query(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.query(table(spark, sf_dir, "documents"))
+
+
 def op8_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.expand_targets(chat.with_planted(table(spark, sf_dir, "conversations"))))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.query(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_histogram_sort_sharding, op5_pfair_mix, op8_chat_prefix_targets, op10_url_filters)}
+    return {f.__name__: f for f in (op4_histogram_sort_sharding, op5_pfair_mix, op6_line_dedup, op8_chat_prefix_targets, op9_language_id, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_pfair_mix": pfair.SQL, "op8_chat_prefix_targets": chat.SQL, "op10_url_filters": url_filter.SQL}
+    return {"op5_pfair_mix": pfair.SQL, "op6_line_dedup": line_dedup.SQL, "op8_chat_prefix_targets": chat.SQL, "op10_url_filters": url_filter.SQL}
