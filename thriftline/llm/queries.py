@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thriftline.llm import chat, histogram_sort, lang_id, line_dedup, pfair, url_filter, vp_tree
+from thriftline.llm import chat, histogram_sort, lang_id, line_dedup, pfair, sentencepiece_fst, url_filter, vp_tree
 from thriftline.llm.common import table
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_fst.query(table(spark, sf_dir, "documents"))
+
+
 def op3_vp_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vp_tree.query(table(spark, sf_dir, "embeddings"))
 
@@ -39,7 +43,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_vp_tree_neighbours, op4_histogram_sort_sharding, op5_pfair_mix, op6_line_dedup, op8_chat_prefix_targets, op9_language_id, op10_url_filters)}
+    return {f.__name__: f for f in (op2_sentencepiece, op3_vp_tree_neighbours, op4_histogram_sort_sharding, op5_pfair_mix, op6_line_dedup, op8_chat_prefix_targets, op9_language_id, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
