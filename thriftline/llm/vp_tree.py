@@ -39,12 +39,16 @@ class Node:
 
 class VpTree:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors
+        self.ids = ids
         norms = (vectors**2).sum(1)
         self.top = float(norms.max())
         self.points = np.hstack([vectors, np.sqrt(np.maximum(self.top - norms, 0))[:, None]])
         self.root = self._build(np.arange(len(ids)))
 
+    @property
+    def vectors(self) -> np.ndarray:
+        return self.points[:, :-1]
+
     def _build(self, rows: np.ndarray) -> Node:
         if len(rows) <= LEAF:
             return Node(rows=rows)
