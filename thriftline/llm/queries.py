@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thriftline.llm import chat, histogram_sort, jaccard_join, lang_id, line_dedup, pfair, sentencepiece_fst, url_filter, vp_tree
+from thriftline.llm import bm25, chat, histogram_sort, jaccard_join, lang_id, line_dedup, pfair, sentencepiece_fst, url_filter, vp_tree
 from thriftline.llm.common import table
 
 
+def op1_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25.query(table(spark, sf_dir, "documents"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_fst.query(table(spark, sf_dir, "documents"))
 
@@ -47,8 +51,8 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sentencepiece, op3_vp_tree_neighbours, op4_histogram_sort_sharding, op5_pfair_mix, op6_line_dedup, op7_jaccard_join, op8_chat_prefix_targets, op9_language_id, op10_url_filters)}
+    return {f.__name__: f for f in (op1_bm25_top_k, op2_sentencepiece, op3_vp_tree_neighbours, op4_histogram_sort_sharding, op5_pfair_mix, op6_line_dedup, op7_jaccard_join, op8_chat_prefix_targets, op9_language_id, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_pfair_mix": pfair.SQL, "op6_line_dedup": line_dedup.SQL, "op7_jaccard_join": jaccard_join.SQL, "op8_chat_prefix_targets": chat.SQL, "op10_url_filters": url_filter.SQL}
+    return {"op1_bm25_top_k": bm25.SQL, "op5_pfair_mix": pfair.SQL, "op6_line_dedup": line_dedup.SQL, "op7_jaccard_join": jaccard_join.SQL, "op8_chat_prefix_targets": chat.SQL, "op10_url_filters": url_filter.SQL}
