@@ -50,8 +50,14 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bm25_top_k, op2_sentencepiece, op3_vp_tree_neighbours, op4_histogram_sort_sharding, op5_pfair_mix, op6_line_dedup, op7_jaccard_join, op8_chat_prefix_targets, op9_language_id, op10_url_filters)}
+    return {f.__name__: f for f in (op1_bm25_top_k, op2_sentencepiece, op3_vp_tree_neighbours, op4_histogram_sort_sharding, op5_pfair_mix, op6_line_dedup, op7_jaccard_join, op8_chat_prefix_targets, op9_language_id, op10_url_filters, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
