@@ -22,9 +22,10 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 META = "▁"
 #: Piece types and model types of the public model format.
@@ -32,8 +33,9 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 INF = float("inf")
 #: Chunks, parts of chunks and pairs of pieces kept per Python worker, and the longest chunk that is kept.
-MEMO_CHUNKS, MEMO_PARTS, MEMO_PAIRS, MEMO_CHARS = 250_000, 250_000, 250_000, 48
+MEMO_CHUNKS, MEMO_PARTS, MEMO_PAIRS, MEMO_CHARS = 150_000, 100_000, 400_000, 48
 UNKNOWN_PENALTY = 10.0
+BATCH_ROWS = 500
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -69,16 +71,36 @@ class Normaliser:
         self.dummy_prefix, self.one_blank, self.space = dummy_prefix, one_blank, META if escape else " "
 
     def __call__(self, text: str) -> str:
+        """The normalised text; its spaces stand for the meta symbol, which chunks get when they are first seen."""
         if self.one_blank:
             text = re.sub(" +", " ", text.strip(" "))
         if not text:
             return ""
-        return (self.space if self.dummy_prefix else "") + text.replace(" ", self.space)
+        return " " + text if self.dummy_prefix else text
 
     def undo(self, text: bytes) -> bytes:
         return text[1:] if self.dummy_prefix and text[:1] == b" " else text
 
 
+class Memo:
+    """What was looked up last, in two generations: at least the last `size` keys, at most twice as many."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def get(self, key: str) -> bytes | None:
+        got = self.young.get(key)
+        if got is None and (got := self.old.get(key)) is not None:
+            self.put(key, got)
+        return got
+
+    def put(self, key: str, value: bytes) -> None:
+        if len(key) <= MEMO_CHARS:
+            if len(self.young) >= self.size:
+                self.young, self.old = {}, self.young
+            self.young[key] = value
+
+
 class Machine:
     """A compiled model."""
 
@@ -96,11 +118,11 @@ class Machine:
             self.longest_from[p[0]] = max(self.longest_from.get(p[0], 1), len(p))
         held = set("".join(self.ids))
         # no piece goes on after other characters with the meta symbol, so texts fall apart before it
-        self.apart = re.compile(f"{META}*[^{META}\n]+|{META}+|\n" if "\n" not in held else f"{META}*[^{META}]+|{META}+") if all(META not in p.lstrip(META) for p in self.ids) else re.compile("(?s).+")
+        apart = all(META not in p.lstrip(META) for p in self.ids) and normaliser.space == META
+        self.apart = re.compile((" *[^ \n]+| +|\n" if "\n" not in held else " *[^ ]+| +") if apart else "(?s).+")
         self.least = min((self.score[i] for i in self.ids.values()), default=0.0) - UNKNOWN_PENALTY
         self.beside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}  # characters that some piece holds side by side
-        self.memo: dict[str, bytes] = {}
-        self.parts_memo: dict[str, bytes] = {}
+        self.memo, self.part_memo = Memo(MEMO_CHUNKS), Memo(MEMO_PARTS)
         if model_type == BPE:
             order = sorted({-self.score[i] for p, i in self.ids.items() if len(p) > 1})
             rank = {s: n for n, s in enumerate(order)}
@@ -110,7 +132,7 @@ class Machine:
                 shared[self.rank[p]] = shared.get(self.rank[p], 0) + 1
             self.tied = {p for p in self.ids if len(p) > 1 and shared[self.rank[p]] > 1}
             self.parts: dict[str, tuple[str, str] | None] = {}
-            self.pairs: dict[tuple[str, str], bool] = {}
+            self.pairs: dict[int, bool] = {}
             for p in [p for p in self.ids if len(p) > 1 and self.split(p) is None]:  # merging never makes these
                 del self.ids[p]
 
@@ -150,11 +172,12 @@ class Machine:
 
     def pass_together(self, a: str, b: str) -> bool:
         """Whether merging leaves the pieces a and b next to each other."""
-        known = self.pairs.get((a, b))
+        key = self.ids[a] << 20 | self.ids[b]
+        known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= MEMO_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self.merged(a + b)[0] == [a, b] if a in self.tied or b in self.tied else self._no_merge_between(a, b)
+            known = self.pairs[key] = self.merged(a + b)[0] == [a, b] if a in self.tied or b in self.tied else self._no_merge_between(a, b)
         return known
 
     def _no_merge_between(self, a: str, b: str) -> bool:
@@ -231,32 +254,36 @@ class Machine:
         return out
 
     def encode_part(self, part: str) -> bytes:
-        got = self.parts_memo.get(part)
+        got = self.part_memo.get(part)
         if got is None:
             got = np.array(self.shortest_path(part), dtype=np.int32).tobytes()
-            if len(part) <= MEMO_CHARS:
-                if len(self.parts_memo) >= MEMO_PARTS:
-                    self.parts_memo.clear()
-                self.parts_memo[part] = got
+            self.part_memo.put(part, got)
         return got
 
-    def encode_chunk(self, chunk: str) -> bytes:
+    def encode_chunk(self, raw: str) -> bytes:
         """Every path goes through the places between characters that no piece holds side by side, so the parts between them are encoded alone."""
-        beside = self.beside
+        got = self.memo.get(raw)
+        if got is not None:
+            return got
+        chunk, beside = raw.replace(" ", self.normaliser.space), self.beside
         cuts = [i for i in range(1, len(chunk)) if chunk[i - 1 : i + 1] not in beside]
         if cuts and self.bytes:
             got = b"".join([self.encode_part(chunk[a:b]) for a, b in zip([0, *cuts], [*cuts, len(chunk)])])
         else:  # without byte fallback unknown characters in a row become one piece
             got = self.encode_part(chunk)
-        if len(chunk) <= MEMO_CHARS:
-            if len(self.memo) >= MEMO_CHUNKS:
-                self.memo.clear()
-            self.memo[chunk] = got
+        self.memo.put(raw, got)
         return got
 
     def encode(self, text: str) -> np.ndarray:
-        known, new = self.memo.get, self.encode_chunk
-        return np.frombuffer(b"".join([known(c) or new(c) for c in self.apart.findall(self.normaliser(text))]), dtype=np.int32)
+        known, new = self.memo.young.get, self.encode_chunk
+        found = []
+        for chunk in self.apart.findall(self.normaliser(text)):
+            got = known(chunk)
+            if got is None:
+                got = new(chunk)
+                known = self.memo.young.get
+            found.append(got)
+        return np.frombuffer(b"".join(found), dtype=np.int32)
 
     def decode(self, ids) -> str:
         return self.normaliser.undo(b"".join(map(self.plain.__getitem__, ids.tolist()))).decode("utf-8", "replace")
@@ -274,36 +301,52 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def encode(docs: DataFrame, machine: Machine, text_col: str = "text", out: str = "piece_ids") -> DataFrame:
-    """docs with piece_ids array<int>: whole texts encoded; null for a null text, empty for an empty one.
+def coded(docs: DataFrame, machine: Machine, encoding: bool = True, decoding: bool = True, text_col: str = "text", ids_col: str = "piece_ids", out_col: str = "decoded") -> DataFrame:
+    """docs with ids_col array<int> (encoding; replaced if there) and out_col (decoding), the text that the ids give back.
 
-    Equal texts get equal ids; extra columns pass through; an empty table
-    gives no rows. The machine (its size is the model's) is sent to each task.
+    Whole texts are encoded: null gives null, an empty text no ids. The decoded
+    text equals the text but for META, which comes back as a space. Equal texts
+    get equal ids; extra columns pass through; an empty table gives no rows.
+    The machine (its size is the model's) is sent to each task.
     """
     shared = docs.sparkSession.sparkContext.broadcast(machine)
+    keep = [c for c in docs.columns if not (encoding and c == ids_col) and not (decoding and c == out_col)]
+    if not encoding:
+        keep = [c for c in keep if c != ids_col] + [ids_col]
+    schema = T.StructType([docs.schema[c] for c in keep])
+    schema = schema.add(ids_col, T.ArrayType(T.IntegerType())) if encoding else schema
+    schema = schema.add(out_col, T.StringType()) if decoding else schema
 
-    @F.pandas_udf("array<int>")
-    def encoded(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else shared.value.encode(t) for t in texts], dtype=object)
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Machine = shared.value
+        for whole in batches:
+            for lo in range(0, whole.num_rows, BATCH_ROWS):
+                b = whole.slice(lo, BATCH_ROWS)
+                columns = [b.column(b.schema.get_field_index(c)) for c in keep]
+                if encoding:
+                    ids = [None if t is None else m.encode(t) for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]
+                    columns.append(pa.array(ids, pa.list_(pa.int32())))
+                else:
+                    ids = [None if x is None else np.array(x, dtype=np.int32) for x in columns[-1].to_pylist()]
+                if decoding:
+                    columns.append(pa.array([None if x is None else m.decode(x) for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.withColumn(out, encoded(text_col))
+    return docs.mapInArrow(code, schema)
 
 
-def decode(docs: DataFrame, machine: Machine, ids_col: str = "piece_ids", out: str = "decoded") -> DataFrame:
-    """docs with decoded: the text of piece_ids, null for null. It equals the text but for META, which comes back as a space."""
-    shared = docs.sparkSession.sparkContext.broadcast(machine)
+def encode(docs: DataFrame, machine: Machine, **cols: str) -> DataFrame:
+    return coded(docs, machine, decoding=False, **cols)
 
-    @F.pandas_udf("string")
-    def decoded(ids: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else shared.value.decode(x) for x in ids], dtype=object)
 
-    return docs.withColumn(out, decoded(ids_col))
+def decode(docs: DataFrame, machine: Machine, **cols: str) -> DataFrame:
+    return coded(docs, machine, encoding=False, **cols)
 
 
 def query(docs: DataFrame, model: str | None = None) -> DataFrame:
     machine = load(model or default_model())
-    coded = decode(encode(docs.select("doc_id", "text"), machine), machine)
-    return coded.select(
+    both = coded(docs.select("doc_id", "text"), machine)
+    return both.select(
         "doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), F.xxhash64("piece_ids").alias("pieces_hash"),
         F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.replace("text", F.lit(META), F.lit(" "))).alias("round_trip"),
     )
@@ -312,5 +355,5 @@ def query(docs: DataFrame, model: str | None = None) -> DataFrame:
 def tokenized(docs: DataFrame, model: str | None = None) -> DataFrame:
     """docs with their piece ids, and the text read back from them."""
     machine = load(model or default_model())
-    coded = decode(encode(docs, machine), machine)
-    return coded.withColumn("text", F.col("decoded")).select(*docs.columns, "piece_ids", F.size("piece_ids").alias("n_pieces"))
+    both = coded(docs, machine)
+    return both.withColumn("text", F.col("decoded")).select(*docs.columns, "piece_ids", F.size("piece_ids").alias("n_pieces"))
