@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from thriftline.functions.numbers import saved_tokens, share_pct
 from thriftline.plans.registry import view
@@ -105,3 +106,33 @@ FROM (SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS t,
   ['rewrite', 'rewrite', 'skip:ignored', 'skip:unsupported', 'skip:already_routed', 'skip:no_match', 'deny', 'other'][event_id % 8 + 1] AS a,
   CASE WHEN event_id % 3 = 0 THEN 'CI=1 ' ELSE '' END || 'npx tool' || (user_id % 9) || ' --x' AS c FROM events)
 """)
+
+#: Outputs of failed calls, by event.
+ERROR_TEXTS = (
+    "error: unexpected argument '--amed' found", "bash: tool: command not found", "error: option requires an argument", "Permission denied: error 13", "cat: x: No such file or directory (cannot open)",
+    "error[E0308]: mismatched types", "test result: FAILED. 1 failed", "error: the user declined this command", "unknown revision", "File not found error", "nothing to see",
+)
+
+
+def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of agent sessions with their outputs, in order; one in 13 has no output."""
+    e = read(spark, sf_dir, "events")
+    event, user = F.col("event_id"), F.col("user_id")
+    base = F.element_at(F.array(F.lit("git commit"), F.lit("cargo build"), F.lit("npm run")), (user % 3 + 1).cast("int"))
+    args = F.element_at(F.array(F.lit(" --amend -m x"), F.lit(" --amed -m x"), F.lit(" -m x --all"), F.lit(""), F.lit(" build/a b c d e f g h i j")), (event % 5 + 1).cast("int"))
+    failed = F.col("event_type").isin("error", "signup")
+    text = F.element_at(F.array(*[F.lit(t) for t in ERROR_TEXTS]), (event % len(ERROR_TEXTS) + 1).cast("int"))
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return e.select(
+        F.lit("a").alias("source"), user.cast("string").alias("session_id"), (F.row_number().over(order) - 1).cast("long").alias("sequence_index"),
+        F.concat(F.when(event % 7 == 0, "CI=1 ").otherwise(""), base, args).alias("command"), F.when(event % 13 != 0, F.when(failed, text).otherwise("ok")).alias("output_content"), failed.alias("is_error"),
+    ).withColumn("output_len", F.length("output_content").cast("long"))
+
+
+view("tool_calls_v", f"""
+SELECT *, length(output_content) AS output_len FROM (
+SELECT 'a' AS source, user_id::VARCHAR AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS sequence_index,
+  CASE WHEN event_id % 7 = 0 THEN 'CI=1 ' ELSE '' END || ['git commit', 'cargo build', 'npm run'][user_id % 3 + 1] || [' --amend -m x', ' --amed -m x', ' -m x --all', '', ' build/a b c d e f g h i j'][event_id % 5 + 1] AS command,
+  CASE WHEN event_id % 13 <> 0 THEN CASE WHEN event_type IN ('error', 'signup') THEN [{", ".join("'" + t.replace("'", "''") + "'" for t in ERROR_TEXTS)}][event_id % {len(ERROR_TEXTS)} + 1] ELSE 'ok' END END AS output_content,
+  event_type IN ('error', 'signup') AS is_error FROM events)
+""")
