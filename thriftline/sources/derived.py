@@ -136,3 +136,71 @@ SELECT 'a' AS source, user_id::VARCHAR AS session_id, row_number() OVER (PARTITI
   CASE WHEN event_id % 13 <> 0 THEN CASE WHEN event_type IN ('error', 'signup') THEN [{", ".join("'" + t.replace("'", "''") + "'" for t in ERROR_TEXTS)}][event_id % {len(ERROR_TEXTS)} + 1] ELSE 'ok' END END AS output_content,
   event_type IN ('error', 'signup') AS is_error FROM events)
 """)
+
+
+def session_lines_a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tool_calls as a session log with message blocks; every 17th call is followed by a broken line."""
+    calls = tool_calls(spark, sf_dir)
+    ident = F.concat(F.lit("id"), F.col("sequence_index"))
+    use = F.to_json(F.struct(F.lit("assistant").alias("type"), F.struct(F.array(F.struct(F.lit("tool_use").alias("type"), ident.alias("id"), F.lit("Bash").alias("name"), F.struct("command").alias("input"))).alias("content")).alias("message")))
+    result = F.to_json(F.struct(F.lit("user").alias("type"), F.struct(F.array(F.struct(F.lit("tool_result").alias("type"), ident.alias("tool_use_id"), F.col("output_content").alias("content"), "is_error")).alias("content")).alias("message")))
+    broken = F.when(F.col("sequence_index") % 17 == 0, F.lit('{"type":"user","message":{"content":[{"type":"tool_result"'))
+    return _numbered(calls, use, F.when(F.col("output_content").isNotNull(), result), broken)
+
+
+def session_lines_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tool_calls as a session log with JSON in JSON."""
+    calls = tool_calls(spark, sf_dir)
+    ident = F.concat(F.lit("id"), F.col("sequence_index"))
+    args = F.when(F.col("sequence_index") % 2 == 0, F.to_json(F.struct(F.col("command").alias("cmd")))).otherwise(F.to_json(F.struct("command")))
+    use = F.to_json(F.struct(F.lit("response_item").alias("type"), F.struct(F.lit("function_call").alias("type"), F.lit("exec_command").alias("name"), ident.alias("call_id"), args.alias("arguments")).alias("payload")))
+    text = F.concat(F.lit("Process exited with code "), F.when(F.col("is_error"), "2").otherwise("0"), F.lit("\nOutput:\n"), F.col("output_content"))
+    result = F.to_json(F.struct(F.lit("response_item").alias("type"), F.struct(F.lit("function_call_output").alias("type"), ident.alias("call_id"), text.alias("output")).alias("payload")))
+    meta = F.when(F.col("sequence_index") == 0, F.to_json(F.struct(F.lit("session_meta").alias("type"), F.struct(F.concat(F.lit("/w/p"), F.col("session_id").cast("long") % 12, F.lit("/sub")).alias("cwd")).alias("payload"))))
+    return _numbered(calls, meta, use, F.when(F.col("output_content").isNotNull(), result))
+
+
+def _numbered(calls: DataFrame, *lines) -> DataFrame:
+    rows = calls.select("session_id", "sequence_index", F.posexplode(F.array(*lines)).alias("i", "value")).filter("value is not null")
+    return rows.select("session_id", (F.col("sequence_index") * 10 + F.col("i")).alias("line_no"), "value")
+
+
+#: Command lines, and the parts that their chains have.
+CHAINS = (
+    ("git status && cargo test -- --nocapture", ("git status", "cargo test -- --nocapture")),
+    ("cd src; git diff HEAD~1", ("cd src", "git diff HEAD~1")),
+    ("cat a.txt | grep x && ls", ("cat a.txt | grep x && ls",)),
+    ("echo 'a && b' || git log", ("echo 'a && b'", "git log")),
+    ("CI=1 npx vitest run", ("CI=1 npx vitest run",)),
+    ("mise exec -- pytest -q", ("mise exec -- pytest -q",)),
+    ("sudo docker ps -a", ("sudo docker ps -a",)),
+    ("python3 -m pip list", ("python3 -m pip list",)),
+    ("make all", ("make all",)),
+    ("bazel build //x", ("bazel build //x",)),
+    ("git checkout main", ("git checkout main",)),
+    ("pnpm exec eslint .", ("pnpm exec eslint .",)),
+    ("terraform apply -auto-approve ; go vet ./...", ("terraform apply -auto-approve", "go vet ./...")),
+    ("just -- cargo build", ("just -- cargo build",)),
+    ("x=$((1+2)) && ls", ("x=$((1+2)) && ls",)),
+    ("./run.sh --fast", ("./run.sh --fast",)),
+    ("ls", ("ls",)),
+)
+
+
+def shell_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls whose commands are chains; one in four has no output."""
+    e = read(spark, sf_dir, "events")
+    event = F.col("event_id")
+    chain = F.element_at(F.array(*[F.lit(t) for t, _ in CHAINS]), (event % len(CHAINS) + 1).cast("int"))
+    return e.select(F.col("user_id").cast("string").alias("session_id"), event.alias("sequence_index"), chain.alias("command"), F.when(event % 4 != 0, event % 4000).alias("output_len"))
+
+
+def _sql_list(texts) -> str:
+    return "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in texts) + "]"
+
+
+view("shell_calls_v", f"""
+SELECT user_id::VARCHAR AS session_id, event_id AS sequence_index, {_sql_list(t for t, _ in CHAINS)}[event_id % {len(CHAINS)} + 1] AS command, CASE WHEN event_id % 4 <> 0 THEN event_id % 4000 END AS output_len,
+  [{", ".join(_sql_list(p) for _, p in CHAINS)}][event_id % {len(CHAINS)} + 1] AS parts FROM events
+""")
+view("shell_parts_v", "SELECT session_id, sequence_index, output_len, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS part_index FROM shell_calls_v")
