@@ -204,3 +204,31 @@ SELECT user_id::VARCHAR AS session_id, event_id AS sequence_index, {_sql_list(t
   [{", ".join(_sql_list(p) for _, p in CHAINS)}][event_id % {len(CHAINS)} + 1] AS parts FROM events
 """)
 view("shell_parts_v", "SELECT session_id, sequence_index, output_len, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS part_index FROM shell_calls_v")
+
+PREFIXES = ("", "ERROR: ", "WARN ", "2024-01-01 10:00:00 INFO ", "error[E0308]: ", "    ", "", "\t", "fatal ", "  at f.js:10:2 ", "")
+SUFFIXES = ("", " /usr/lib/x.py 12345", " 0xdeadBEEF", " 123e4567-e89b-12d3-a456-426614174000", "")
+COMMANDS = ("cargo test", "npm run build", "kubectl logs", "git log", "pytest -q")
+
+
+def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captured outputs: output_id, command, exit_code, text."""
+    docs = read(spark, sf_dir, "documents")
+    command = F.element_at(F.array(*[F.lit(x) for x in COMMANDS]), (F.col("doc_id") % len(COMMANDS) + 1).cast("int"))
+    return docs.select(F.col("doc_id").alias("output_id"), command.alias("command"), (F.col("doc_id") % 3).cast("int").alias("exit_code"), "text")
+
+
+def output_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of outputs, made to look like logs."""
+    rows = outputs(spark, sf_dir).select("output_id", "command", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    at = F.col("output_id") + F.col("line_no")
+    prefix = F.element_at(F.array(*[F.lit(x) for x in PREFIXES]), (at % len(PREFIXES) + 1).cast("int"))
+    suffix = F.element_at(F.array(*[F.lit(x) for x in SUFFIXES]), (at % len(SUFFIXES) + 1).cast("int"))
+    return rows.withColumn("line", F.when(at % 13 == 0, "").when(at % 13 == 1, "same line again").otherwise(F.concat(prefix, "line", suffix)))
+
+
+view("outputs_v", f"SELECT doc_id AS output_id, {_sql_list(COMMANDS)}[doc_id % {len(COMMANDS)} + 1] AS command, (doc_id % 3)::INT AS exit_code, text FROM documents")
+view("output_lines_v", f"""
+SELECT output_id, command, line_no, CASE WHEN pos % 13 = 0 THEN '' WHEN pos % 13 = 1 THEN 'same line again' ELSE {_sql_list(PREFIXES)}[pos % {len(PREFIXES)} + 1] || line || {_sql_list(SUFFIXES)}[pos % {len(SUFFIXES)} + 1] END AS line FROM (
+SELECT *, output_id + line_no AS pos FROM (
+SELECT output_id, command, (generate_subscripts(ls, 1) - 1)::INT AS line_no, unnest(ls) AS line FROM (SELECT output_id, command, string_split(text, chr(10)) AS ls FROM outputs_v)))
+""")
