@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,17 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shielded(docs: DataFrame, needed: list[str], run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """run on docs, whose columns but the needed have other names meanwhile, so that none clashes with those that run makes.
+
+    A column that run makes under the name of one of docs' is dropped.
+    """
+    hidden = {c: f"_hidden{i}" for i, c in enumerate(docs.columns) if c not in needed}
+    made = run(docs.select(*[F.col(f"`{c}`").alias(hidden.get(c, c)) for c in docs.columns]))
+    new = [c for c in made.columns if c not in {*hidden.values(), *docs.columns}]
+    return made.select(*[F.col(hidden.get(c, c)).alias(c) for c in docs.columns], *new)
+
+
 def unit_key(*cols: Column) -> Column:
     """A uniform key in [0, 2^62) from the hash of cols."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 64 - KEY_BITS)

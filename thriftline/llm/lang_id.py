@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from thriftline.llm.common import shielded
+
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
 #: Prior count of every trigram, strength of a text's margins, and least lead of the winner.
@@ -131,16 +133,18 @@ def identify(docs: DataFrame) -> DataFrame:
 
     lang, source and doc_id are no inputs of a prediction: equal texts are
     judged alike, so ties and repeated rows are too. Without labelled rows all
-    is und. Extra columns pass through; an empty table gives no rows.
+    is und. Extra columns pass through, those of the same names as the new ones
+    are replaced; an empty table gives no rows.
     """
+    docs = docs.drop("held_out", "lang_pred", "score", "ambiguous")
     model = train(docs.filter(~held_out()))
     return predict(docs, model).withColumn("held_out", F.coalesce(held_out(), F.lit(False)))
 
 
 def accepted(docs: DataFrame, least_score: float = 0.3) -> DataFrame:
     """The rows of docs in a learned language: no und, and no score under least_score."""
-    told = identify(docs)
-    return told.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select(*docs.columns)
+    keep = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)
+    return shielded(docs, ["doc_id", "text", "lang"], lambda d: identify(d).filter(keep).drop("held_out", "lang_pred", "score", "ambiguous"))
 
 
 def query(docs: DataFrame) -> DataFrame:

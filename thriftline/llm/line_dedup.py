@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thriftline.llm.common import ascii_lower, stash
+from thriftline.llm.common import ascii_lower, shielded, stash
 from thriftline.llm.cuckoo import CuckooFilter
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -105,7 +105,7 @@ def _changed(state: State, refs: DataFrame, touched: DataFrame) -> State:
 def delete(state: State, doc_ids: DataFrame) -> State:
     """The state without the documents of doc_ids (doc_id)."""
     gone = state.refs.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
-    refs = stash(state.refs.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti"), "line-refs")
+    refs = stash(state.refs.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*KEY, "doc_id", "n"), "line-refs")
     return _changed(state, refs, gone)
 
 
@@ -114,7 +114,7 @@ def insert(state: State, docs: DataFrame, min_chars: int = MIN_CHARS) -> State:
     ids = docs.select("doc_id").distinct()
     new = stash(references(long_lines(docs, min_chars)), "new-line-refs")
     old = state.refs.join(ids, "doc_id", "left_semi")
-    refs = stash(state.refs.join(ids, "doc_id", "left_anti").unionByName(new), "line-refs")
+    refs = stash(state.refs.join(ids, "doc_id", "left_anti").unionByName(new).select(*KEY, "doc_id", "n"), "line-refs")
     return _changed(state, refs, old.select(*KEY).unionByName(new.select(*KEY)))
 
 
@@ -165,15 +165,17 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
     doc_id. A null or empty text is one empty line and is kept as empty. Rows
     with the same doc_id count as one document, so copies of a row keep or
     lose the same lines; a null doc_id neither counts nor loses lines. Extra
-    columns pass through. An empty table gives no rows.
+    columns pass through, those of the same names as the new ones are replaced.
+    An empty table gives no rows.
     """
+    docs = docs.drop("n_lines", "n_dropped", "kept")
     long = stash(long_lines(docs, min_chars), "long-lines")
     return apply(docs, build(docs, min_docs, min_chars, long), long)
 
 
 def deduped(docs: DataFrame, **how) -> DataFrame:
     """docs with its lines deduplicated, and the columns of docs."""
-    made = dedup_lines(docs, **how).withColumn("text", F.col("kept"))
+    made = shielded(docs, ["doc_id", "text"], lambda d: dedup_lines(d, **how).withColumn("text", F.col("kept")).drop("n_lines", "n_dropped", "kept"))
     if "n_chars" in docs.columns:
         made = made.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return made.select(*docs.columns)

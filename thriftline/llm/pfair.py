@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from thriftline.llm.common import gapless_rank, n_rank_buckets
+from thriftline.llm.common import gapless_rank, n_rank_buckets, shielded
 
 BLOCK_ROWS = 64
 REST = "*"
@@ -71,8 +71,14 @@ def mix(docs: DataFrame, weights: Mapping[str, int] = WEIGHTS, block_rows: int =
     the slots of exhausted pools stay empty and the others go on in their
     proportions; no row is dropped. weights are positive integers, at least
     one of them for REST: sources not named, and null, share it. Repeated rows
-    are placed each; extra columns pass through; an empty table gives no rows.
+    are placed each; extra columns pass through, those of the same names as the
+    new ones are replaced; an empty table gives no rows.
     """
+    docs = docs.drop("mix_pool", "mix_block", "mix_slot", "mix_offset", "mix_on_target")
+    return shielded(docs, ["doc_id", "source"], lambda d: _mix(d, weights, block_rows))
+
+
+def _mix(docs: DataFrame, weights: Mapping[str, int], block_rows: int) -> DataFrame:
     table = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
     docs = docs.withColumn("mix_pool", pool_of(weights)).withColumn("_key", F.coalesce(F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 15), 16, 10).cast("long") * 4, F.lit(0)))
     slim = docs.groupBy("mix_pool").agg(F.count("*").alias("n"))
@@ -93,9 +99,13 @@ def mix(docs: DataFrame, weights: Mapping[str, int] = WEIGHTS, block_rows: int =
 
 def in_mix_order(docs: DataFrame, weights: Mapping[str, int] = WEIGHTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The rows of docs laid out in the order of the mix, with the columns of docs."""
-    mixed = mix(docs, weights, block_rows)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return mixed.repartitionByRange(n, "mix_slot", "mix_offset").sortWithinPartitions("mix_slot", "mix_offset").select(*docs.columns)
+    order = ["mix_slot", "mix_offset"]
+
+    def laid_out(d: DataFrame) -> DataFrame:
+        return _mix(d, weights, block_rows).repartitionByRange(n, *order).sortWithinPartitions(*order).select(*d.columns)
+
+    return shielded(docs, ["doc_id", "source"], laid_out)
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -27,13 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from thriftline.llm.common import shielded
+
 META = "▁"
 #: Piece types and model types of the public model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 INF = float("inf")
 #: Chunks, parts of chunks and pairs of pieces kept per Python worker, and the longest chunk that is kept.
-MEMO_CHUNKS, MEMO_PARTS, MEMO_PAIRS, MEMO_CHARS = 150_000, 100_000, 400_000, 48
+MEMO_CHUNKS, MEMO_PARTS, MEMO_PAIRS, MEMO_CHARS = 350_000, 250_000, 600_000, 48
 UNKNOWN_PENALTY = 10.0
 BATCH_ROWS = 500
 
@@ -355,5 +357,5 @@ def query(docs: DataFrame, model: str | None = None) -> DataFrame:
 def tokenized(docs: DataFrame, model: str | None = None) -> DataFrame:
     """docs with their piece ids, and the text read back from them."""
     machine = load(model or default_model())
-    both = coded(docs, machine)
-    return both.withColumn("text", F.col("decoded")).select(*docs.columns, "piece_ids", F.size("piece_ids").alias("n_pieces"))
+    docs = docs.drop("piece_ids", "n_pieces")
+    return shielded(docs, ["text"], lambda d: coded(d, machine).withColumn("text", F.col("decoded")).drop("decoded").withColumn("n_pieces", F.size("piece_ids")))
