@@ -232,3 +232,25 @@ SELECT output_id, command, line_no, CASE WHEN pos % 13 = 0 THEN '' WHEN pos % 13
 SELECT *, output_id + line_no AS pos FROM (
 SELECT output_id, command, (generate_subscripts(ls, 1) - 1)::INT AS line_no, unnest(ls) AS line FROM (SELECT output_id, command, string_split(text, chr(10)) AS ls FROM outputs_v)))
 """)
+
+
+def _tool_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What tool outputs are made of: a row per event, an output per user."""
+    e = read(spark, sf_dir, "events")
+    n = F.col("event_id")
+    return e.select(F.col("user_id").alias("output_id"), n.alias("n"), F.concat(F.lit("src/f"), n % 7, F.lit(".x")).alias("file"), (n % 90 + 1).cast("int").alias("line"), (n % 40 + 1).cast("int").alias("col"), F.concat(F.lit("R"), n % 9).alias("code"), F.concat(F.lit("message \"q\" "), n).alias("message"), (n % 3 == 0).alias("bad"))
+
+
+view("tool_rows_v", """SELECT user_id AS output_id, event_id AS n, 'src/f' || (event_id % 7) || '.x' AS file, (event_id % 90 + 1)::INT AS line, (event_id % 40 + 1)::INT AS col, 'R' || (event_id % 9) AS code, 'message "q" ' || event_id AS message, event_id % 3 = 0 AS bad FROM events""")
+
+
+def tool_json(spark: SparkSession, sf_dir: str, element, wrap: str | None = None) -> DataFrame:
+    """Outputs (output_id, text) that hold a JSON array of element for each row, sorted by n."""
+    rows = _tool_rows(spark, sf_dir).groupBy("output_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", element.alias("e")))), lambda x: x["e"]).alias("a"))
+    return rows.select("output_id", F.to_json(F.struct(F.col("a").alias(wrap)) if wrap else F.col("a")).alias("text"))
+
+
+def tool_text(spark: SparkSession, sf_dir: str, line) -> DataFrame:
+    """Outputs (output_id, text) of one line for each row, sorted by n."""
+    rows = _tool_rows(spark, sf_dir).groupBy("output_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", line.alias("e")))), lambda x: x["e"]).alias("a"))
+    return rows.select("output_id", F.concat(F.array_join("a", "\n"), F.lit("\n")).alias("text"))
