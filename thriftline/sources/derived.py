@@ -24,7 +24,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fact table of executed commands."""
-    e = read(spark, sf_dir, "events")
+    return commands_of(read(spark, sf_dir, "events"))
+
+
+def commands_of(e: DataFrame) -> DataFrame:
+    """Command facts of events, which may be a stream."""
     verb = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in VERBS.items()], F.lit("ls -la"))
     tokens = F.floor(F.abs("value") * 100).cast("long")
     user, event = F.col("user_id"), F.col("event_id")
@@ -212,14 +216,21 @@ COMMANDS = ("cargo test", "npm run build", "kubectl logs", "git log", "pytest -q
 
 def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captured outputs: output_id, command, exit_code, text."""
-    docs = read(spark, sf_dir, "documents")
+    return outputs_of(read(spark, sf_dir, "documents"))
+
+
+def outputs_of(docs: DataFrame) -> DataFrame:
     command = F.element_at(F.array(*[F.lit(x) for x in COMMANDS]), (F.col("doc_id") % len(COMMANDS) + 1).cast("int"))
     return docs.select(F.col("doc_id").alias("output_id"), command.alias("command"), (F.col("doc_id") % 3).cast("int").alias("exit_code"), "text")
 
 
 def output_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of outputs, made to look like logs."""
-    rows = outputs(spark, sf_dir).select("output_id", "command", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return lines_of(outputs(spark, sf_dir))
+
+
+def lines_of(captured: DataFrame) -> DataFrame:
+    rows = captured.select("output_id", "command", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     at = F.col("output_id") + F.col("line_no")
     prefix = F.element_at(F.array(*[F.lit(x) for x in PREFIXES]), (at % len(PREFIXES) + 1).cast("int"))
     suffix = F.element_at(F.array(*[F.lit(x) for x in SUFFIXES]), (at % len(SUFFIXES) + 1).cast("int"))
