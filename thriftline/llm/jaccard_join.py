@@ -6,15 +6,16 @@ the first |x| - ceil(t |x|) + 1 of each (their prefixes), and before the first
 that they share at most |x| + |y| - 2 * (least overlap) shingles differ.
 
 1. A first round pairs the sets that share one of their first few shingles with
-   one pivot per shingle. Its links make components and give sets a leader with
-   known difference.
-2. Index lists (one per prefix shingle) whose sets are in one component already
-   can add nothing and are skipped. The others are cut into blocks by size and
-   position; pairs of blocks that sizes or positions rule out are skipped.
-3. What is left is answered for the leaders first. A pair of sets gets its
-   answer from that of their leaders where the triangle inequality on
-   differences settles it, or where the leaders' link has joined the components;
-   only the others are verified.
+   one pivot per shingle. Its links make components.
+2. Index lists (one per prefix shingle) give the other pairs. A list whose sets
+   are in one component already can add nothing and is skipped. A long one is
+   cut into blocks by size and position; blocks whose sizes or positions rule a
+   link out are skipped. Parity sketches rule out most pairs that are left.
+3. Each set's nearest candidates are verified first. Sets that they link take
+   over each other's answers: a pair of sets in one component by now needs no
+   answer, and one whose leaders (the linked sets nearest to them) have a known
+   difference is settled where the triangle inequality on differences rules a
+   link out. Only the others are verified.
 """
 
 from __future__ import annotations
@@ -27,16 +28,20 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from thriftline.llm.common import stash
 from thriftline.llm.graph import components
 
-FIRST_SHINGLES = 3
+FIRST_SHINGLES, NEAREST = 8, 2
 BLOCK = 64
 #: The order of shingles comes from one in SAMPLE documents: frequent are those in one in FREQUENT_SHARE of them, and in
 #: FREQUENT_LEAST at least. It steers the cost only; links do not depend on it.
 SAMPLE, FREQUENT_SHARE, FREQUENT_LEAST, MAX_FREQUENT = 16, 2000, 4, 2_000_000
 MAX_BROADCAST_IDS = 1_000_000
+#: Bits of a set's parity sketch: a power of two, twice its size at least, within these bounds. Each shingle flips one, so
+#: two sketches differ in no more bits than the sets in shingles. A longer one folds to half by xor of its halves.
+LEAST_SKETCH_BITS, MOST_SKETCH_BITS = 1024, 1 << 16
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -88,6 +93,20 @@ def shingles(text: str | None, n: int) -> tuple[np.ndarray, np.ndarray]:
     return code, length[first]
 
 
+def parity_sketch(code: np.ndarray) -> np.ndarray:
+    bits = LEAST_SKETCH_BITS
+    while bits < min(2 * len(code), MOST_SKETCH_BITS):
+        bits *= 2
+    at = (mixed(code.view(np.uint64) * ODD[0]) >> np.uint64(40)).astype(np.int64) % bits
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).view(np.int64)
+
+
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    while len(sketch) > words:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
+
+
 def sets_of(docs: DataFrame, n: int) -> DataFrame:
     """(doc_id, shingles array<bigint>)."""
 
@@ -107,10 +126,10 @@ def frequent_shingles(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, measure: Measure) -> DataFrame:
-    """(doc_id, size, s1, s2, prefix): size and signature of each set, and its prefix in the common order."""
+    """(doc_id, size, s1, s2, prefix, sketch, rare): size and signature of each set, its prefix in the common order (the first `rare` are not frequent), and its parity sketch."""
     held = docs.sparkSession.sparkContext.broadcast((frequent_shingles(docs, measure.n), measure))
 
-    @F.pandas_udf("size bigint, s1 bigint, s2 bigint, prefix array<bigint>")
+    @F.pandas_udf("size bigint, s1 bigint, s2 bigint, prefix array<bigint>, sketch array<bigint>, rare int")
     def made(texts: pd.Series) -> pd.DataFrame:
         frequent, m = held.value
         out = []
@@ -122,8 +141,8 @@ def sketched(docs: DataFrame, measure: Measure) -> DataFrame:
             if len(frequent):
                 common = frequent[np.minimum(np.searchsorted(frequent, code), len(frequent) - 1)] == code
             order = np.lexsort((code, -length, common))[: m.prefix(len(code))] if len(code) else []
-            out.append((len(code), *signature, code[order] if len(code) else code))
-        return pd.DataFrame(out, columns=["size", "s1", "s2", "prefix"])
+            out.append((len(code), *signature, code[order] if len(code) else code, parity_sketch(code), int((~common[order]).sum()) if len(code) else 0))
+        return pd.DataFrame(out, columns=["size", "s1", "s2", "prefix", "sketch", "rare"])
 
     return docs.select("doc_id", made("text").alias("m")).select("doc_id", "m.*")
 
@@ -138,6 +157,20 @@ def common_shingles(pairs: DataFrame, docs: DataFrame, measure: Measure) -> Data
     return got.select(*pairs.columns, F.size(F.array_intersect("sa", "sb")).cast("long").alias("inter"))
 
 
+def plausible(pairs: DataFrame, reps: DataFrame, measure: Measure) -> DataFrame:
+    """pairs (a, b, na, nb) whose sketches do not rule a link out, with bits, in which they differ."""
+    for side in ("a", "b"):
+        pairs = pairs.join(reps.select(F.col("doc_id").alias(side), F.col("sketch").alias(f"_{side}")), side)
+    words = F.least(F.size("_a"), F.size("_b"))
+
+    def fold(x: str) -> Column:  # linked sizes are within a factor of two, and so are their sketches; others fold as far as one step takes them
+        return F.when(F.size(x) == words, F.col(x)).otherwise(F.transform(F.sequence(F.lit(0), words - 1), lambda i: F.get(x, i).bitwiseXOR(F.get(x, i + words))))
+
+    differing = F.aggregate(F.zip_with(fold("_a"), fold("_b"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    pairs = pairs.withColumn("bits", differing)
+    return pairs.filter(F.col("bits") <= measure.slack_column(F.col("na"), F.col("nb"))).select("a", "b", "na", "nb", "bits")
+
+
 def pivot_pairs(reps: DataFrame, measure: Measure) -> DataFrame:
     """(a, b, na, nb): each set with one pivot for each of its first shingles; the pivot is drawn by hash, anew for each shingle."""
     rows = reps.select(F.col("doc_id").alias("id"), "size", F.explode(F.slice("prefix", 1, FIRST_SHINGLES)).alias("s"))
@@ -149,30 +182,68 @@ def pivot_pairs(reps: DataFrame, measure: Measure) -> DataFrame:
     return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.size").alias("na"), F.col("y.size").alias("nb")).distinct()
 
 
+def short_list_pairs(s: np.ndarray, size: np.ndarray, pos: np.ndarray, comp: np.ndarray, measure: Measure) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of candidate pairs in index lists that follow one another, each sorted by size; all lists advance together."""
+    left, step = np.arange(len(s)), 1
+    while len(left):
+        left = left[left + step < len(s)]
+        right = left + step
+        left = left[(s[right] == s[left]) & (size[right] * measure.num <= size[left] * measure.den)]  # sizes only grow in a list
+        right = left + step
+        fit = (comp[left] != comp[right]) & (pos[left] + pos[right] <= measure.slack(size[left], size[right]))
+        yield left[fit], right[fit]
+        step += 1
+
+
+def long_list_pairs(size: np.ndarray, pos: np.ndarray, comp: np.ndarray, measure: Measure) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of candidate pairs in one index list sorted by size, by blocks."""
+    if (comp == comp[0]).all():
+        return
+    for x in range(0, len(size), BLOCK):
+        a = slice(x, x + BLOCK)
+        for y in range(x, len(size), BLOCK):
+            b = slice(y, y + BLOCK)
+            if size[y] * measure.num > size[a][-1] * measure.den:
+                break  # sizes only grow
+            if pos[a].min() + pos[b].min() > measure.slack(size[a][-1], size[b][-1]):
+                continue  # the block is too far down the list
+            na, nb = size[a][:, None], size[b][None, :]
+            fit = (na * measure.den >= nb * measure.num) & (pos[a][:, None] + pos[b][None, :] <= measure.slack(na, nb)) & (comp[a][:, None] != comp[b][None, :])
+            p, q = np.nonzero(np.triu(fit, 1) if x == y else fit)
+            yield x + p, y + q
+
+
 def list_pairs(lists: DataFrame, measure: Measure) -> DataFrame:
-    """(a, b, na, nb) from index lists (s, id, size, pos, comp), of different components only."""
-
-    def join_list(g: dict[str, np.ndarray]) -> Iterator[pd.DataFrame]:
-        order = np.lexsort((g["pos"], g["size"]))
-        i, size, pos, comp = (g[c][order] for c in ("id", "size", "pos", "comp"))
-        starts = range(0, len(i), BLOCK)
-        for x in starts:
-            a = slice(x, x + BLOCK)
-            for y in range(x, len(i), BLOCK):
-                b = slice(y, y + BLOCK)
-                if size[y] * measure.num > size[a][-1] * measure.den:
-                    break  # sizes only grow
-                if pos[a].min() + pos[b].min() > measure.slack(size[a][-1], size[b][-1]):
-                    continue  # the block is too far down both lists
-                na, nb = size[a][:, None], size[b][None, :]
-                fit = (na * measure.den >= nb * measure.num) & (pos[a][:, None] + pos[b][None, :] <= measure.slack(na, nb)) & (comp[a][:, None] != comp[b][None, :])
-                if x == y:
-                    fit &= np.arange(fit.shape[0])[:, None] < np.arange(fit.shape[1])[None, :]
-                p, q = np.nonzero(fit)
-                if len(p):
-                    l, r = i[a][p], i[b][q]
-                    swap = l > r
-                    yield pd.DataFrame({"a": np.where(swap, r, l), "b": np.where(swap, l, r), "na": np.where(swap, size[b][q], size[a][p]), "nb": np.where(swap, size[a][p], size[b][q])})
+    """(a, b, na, nb) from index lists (s, id, size, pos, comp, sketch), of different components only.
+
+    Where two entries have sketches, these must not rule the pair out.
+    """
+
+    def sketched_pairs(g: dict[str, np.ndarray], p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        words = np.array([0 if x is None else len(x) for x in g["sketch"]])
+        width = np.minimum(words[p], words[q])
+        ok = np.ones(len(p), bool)
+        for w in np.unique(width[width > 0]).tolist():
+            same = np.flatnonzero(width == w)
+            for lo in range(0, len(same), max(1, (1 << 20) // w)):  # bounds the memory of the sketches side by side
+                at = same[lo : lo + max(1, (1 << 20) // w)]
+                x, y = (np.stack([folded(v, w) for v in g["sketch"][i[at]]]) for i in (p, q))
+                ok[at] = np.bitwise_count((x ^ y).view(np.uint64)).sum(1, dtype=np.int64) <= measure.slack(g["size"][p[at]], g["size"][q[at]])
+        return ok
+
+    def pairs_of(g: dict[str, np.ndarray], ends: np.ndarray) -> Iterator[pd.DataFrame]:
+        long = np.diff(ends) > 2 * BLOCK
+        short = np.repeat(~long, np.diff(ends))
+        at = np.flatnonzero(short)
+        found = [(at[p], at[q]) for p, q in short_list_pairs(*(g[c][at] for c in ("s", "size", "pos", "comp")), measure)]
+        for lo, hi in zip(ends[:-1][long], ends[1:][long]):
+            found += [(lo + p, lo + q) for p, q in long_list_pairs(*(g[c][lo:hi] for c in ("size", "pos", "comp")), measure)]
+        p, q = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, int) for i in (0, 1))
+        ok = sketched_pairs(g, p, q)
+        p, q = p[ok], q[ok]
+        swap = g["id"][p] > g["id"][q]
+        p, q = np.where(swap, q, p), np.where(swap, p, q)
+        yield pd.DataFrame({"a": g["id"][p], "b": g["id"][q], "na": g["size"][p], "nb": g["size"][q]}).drop_duplicates()
 
     def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: dict[str, np.ndarray] | None = None
@@ -180,14 +251,14 @@ def list_pairs(lists: DataFrame, measure: Measure) -> DataFrame:
             cols = {c: batch[c].to_numpy() for c in batch.columns}
             if rest is not None:
                 cols = {c: np.concatenate([rest[c], cols[c]]) for c in cols}
-            cuts = [0, *(np.flatnonzero(np.diff(cols["s"])) + 1), len(cols["s"])]
-            for lo, hi in zip(cuts[:-2], cuts[1:-1]):
-                yield from join_list({c: v[lo:hi] for c, v in cols.items()})
-            rest = {c: v[cuts[-2] :] for c, v in cols.items()}
+            ends = np.array([0, *(np.flatnonzero(np.diff(cols["s"])) + 1)])
+            if len(ends) > 1:  # the last list may go on in the next batch
+                yield from pairs_of({c: v[: ends[-1]] for c, v in cols.items()}, ends)
+            rest = {c: v[ends[-1] :] for c, v in cols.items()}
         if rest is not None and len(rest["s"]):
-            yield from join_list(rest)
+            yield from pairs_of(rest, np.array([0, len(rest["s"])]))
 
-    placed = lists.select("s", "id", "size", "pos", "comp").repartition("s").sortWithinPartitions("s")
+    placed = lists.select("s", "id", "size", "pos", "comp", "sketch").repartition("s").sortWithinPartitions("s", "size")
     return placed.mapInPandas(joined, "a bigint, b bigint, na bigint, nb bigint").distinct()
 
 
@@ -198,44 +269,59 @@ def with_component(rows: DataFrame, ids: DataFrame, col: str, out: str) -> DataF
 
 
 def find_links(reps: DataFrame, docs: DataFrame, measure: Measure) -> DataFrame:
-    """(a, b): links of sets reps (doc_id, size, prefix) that connect whatever all links would."""
+    """(a, b): links of sets reps (doc_id, size, prefix, sketch, rare) that connect whatever all links would."""
     linked = measure.linked(F.col("inter"), F.col("na"), F.col("nb"))
-    first = stash(common_shingles(stash(pivot_pairs(reps, measure), "pivot-pairs"), docs, measure).filter(linked), "first-links")
-    comps = stash(components(first.select("a", "b")), "components")
-
-    rows = with_component(reps, comps, "doc_id", "comp").select("comp", F.col("doc_id").alias("id"), "size", F.posexplode("prefix").alias("pos", "s"))
-    mixed_lists = rows.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("s")
-    pairs = stash(list_pairs(rows.join(mixed_lists, "s"), measure), "list-pairs")
+    first = plausible(pivot_pairs(reps, measure), reps, measure).select("a", "b", "na", "nb")
+    answers = stash(common_shingles(stash(first, "pivot-pairs"), docs, measure), "pivot-answers")
+    comps = stash(components(answers.filter(linked).select("a", "b")), "components")
+
+    # lists of frequent shingles may hold any share of the sets: those within one component go before they are dealt
+    # out, and the others bring sketches, which rule most pairs out where they meet
+    named = with_component(reps, comps, "doc_id", "comp").select("comp", F.col("doc_id").alias("id"), "size", "sketch", "rare", "prefix")
+    rare = named.select("comp", "id", "size", F.lit(None).cast("array<bigint>").alias("sketch"), F.posexplode(F.slice("prefix", F.lit(1), F.col("rare"))).alias("pos", "s"))
+    frequent = named.filter(F.col("rare") < F.size("prefix")).select("comp", "id", "size", "sketch", "rare", F.posexplode(F.slice("prefix", F.col("rare") + 1, F.size("prefix"))).alias("p", "s"))
+    frequent = frequent.select("comp", "id", "size", "sketch", (F.col("p") + F.col("rare")).alias("pos"), "s")
+    several = frequent.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("s")
+    lists = rare.unionByName(frequent.join(several, "s"))
+    pairs = stash(plausible(list_pairs(lists, measure), reps, measure), "list-pairs")
     if pairs.isEmpty():
-        return first.select("a", "b")
-
-    # answers of the leaders: the linked set with the least difference, or the set itself
-    diff = F.col("na") + F.col("nb") - 2 * F.col("inter")
-    near = first.select(F.explode(F.array(F.struct(F.col("b").alias("id"), F.struct(diff.alias("d"), F.col("a").alias("leader"), F.col("na").alias("n")).alias("l")), F.struct(F.col("a").alias("id"), F.struct(diff.alias("d"), F.col("b").alias("leader"), F.col("nb").alias("n")).alias("l")))).alias("x"))
-    # only downwards, so that the leaders of a group are few
-    leaders = near.select("x.id", "x.l").filter("l.leader < id").groupBy("id").agg(F.min("l").alias("l"))
-    for side in ("a", "b"):
-        named = leaders.select(F.col("id").alias(side), F.col("l").alias(f"l{side}"))
-        pairs = pairs.join(named, side, "left").withColumn(f"l{side}", F.coalesce(f"l{side}", F.struct(F.lit(0).cast("long").alias("d"), F.col(side).alias("leader"), F.col(f"n{side}").alias("n"))))
-    pairs = stash(pairs, "led-pairs")
-    x, y = F.struct("la.leader", "la.n"), F.struct("lb.leader", "lb.n")
-    swap = F.col("la.leader") > F.col("lb.leader")
-    asked = pairs.filter("la.leader <> lb.leader").select(F.when(swap, y).otherwise(x).alias("x"), F.when(swap, x).otherwise(y).alias("y"))
-    asked = asked.select(F.col("x.leader").alias("a"), F.col("y.leader").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
-    answers = stash(common_shingles(stash(asked, "leader-pairs"), docs, measure), "leader-answers")
-    links = first.select("a", "b").unionByName(answers.filter(linked).select("a", "b"))
+        return answers.filter(linked).select("a", "b")
+
+    # the nearest candidates of each set, by sketch
+    ends = pairs.select("*", F.explode(F.array("a", "b")).alias("id"))
+    near = ends.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("bits", "a", "b"))).filter(F.col("n") <= NEAREST)
+    near = near.select("a", "b", "na", "nb").distinct().join(answers.select("a", "b"), ["a", "b"], "left_anti")
+    answers = stash(answers.unionByName(common_shingles(stash(near, "near-pairs"), docs, measure)), "answers")
+    links = answers.filter(linked).select("a", "b")
     comps = stash(components(links), "components")
 
-    known = answers.select(F.col("a").alias("_x"), F.col("b").alias("_y"), diff.alias("d"))
-    left = pairs.filter((F.col("la.d") > 0) | (F.col("lb.d") > 0)).join(known, (F.least("la.leader", "lb.leader") == F.col("_x")) & (F.greatest("la.leader", "lb.leader") == F.col("_y")), "left")
-    left = left.filter(F.coalesce("d", F.lit(0)) - F.col("la.d") - F.col("lb.d") <= measure.slack_column(F.col("na"), F.col("nb")))
+    left = pairs.select("a", "b", "na", "nb").join(answers.select("a", "b"), ["a", "b"], "left_anti")
     left = with_component(with_component(left, comps, "a", "ca"), comps, "b", "cb").filter("ca <> cb").select("a", "b", "na", "nb")
-    left = stash(left, "open-pairs")
+    left = stash(settled_by_leaders(left, answers, linked, measure), "open-pairs")
     if left.isEmpty():
         return links
     return links.unionByName(common_shingles(left, docs, measure).filter(linked).select("a", "b"))
 
 
+def settled_by_leaders(pairs: DataFrame, answers: DataFrame, linked: Column, measure: Measure) -> DataFrame:
+    """pairs (a, b, na, nb) without those that their leaders' known difference rules out.
+
+    A set's leader is the linked set of least difference d, or itself. With D
+    the difference of two leaders, their followers differ in D - d - d' at
+    least.
+    """
+    known = answers.withColumn("d", F.col("na") + F.col("nb") - 2 * F.col("inter"))
+    both = known.filter(linked).select(F.explode(F.array(F.struct(F.col("a").alias("id"), "d", F.col("b").alias("leader")), F.struct(F.col("b").alias("id"), "d", F.col("a").alias("leader")))).alias("x")).select("x.*")
+    leaders = both.groupBy("id").agg(F.min(F.struct("d", "leader")).alias("l"))
+    for side in ("a", "b"):
+        named = leaders.select(F.col("id").alias(side), F.col("l").alias(f"l{side}"))
+        pairs = pairs.join(named, side, "left").withColumn(f"l{side}", F.coalesce(f"l{side}", F.struct(F.lit(0).cast("long").alias("d"), F.col(side).alias("leader"))))
+    known = known.select(F.col("a").alias("_x"), F.col("b").alias("_y"), "d")
+    pairs = pairs.join(known, (F.least("la.leader", "lb.leader") == F.col("_x")) & (F.greatest("la.leader", "lb.leader") == F.col("_y")), "left")
+    least = F.coalesce("d", F.lit(0)) - F.col("la.d") - F.col("lb.d")
+    return pairs.filter(least <= measure.slack_column(F.col("na"), F.col("nb"))).select("a", "b", "na", "nb")
+
+
 def similarity_groups(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:
     """(doc_id, n_shingles, component_id): one row per row of docs (doc_id, text).
 
@@ -251,10 +337,10 @@ def similarity_groups(docs: DataFrame, measure: Measure = Measure()) -> DataFram
     used = rows.filter("size > 0 and doc_id is not null")
     same = ["size", "s1", "s2"]
     classes = used.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
-    reps = used.groupBy(*same).agg(F.min(F.struct("doc_id", "prefix")).alias("r")).select(F.col("r.doc_id").alias("doc_id"), "size", "r.prefix")
+    reps = used.groupBy(*same).agg(F.min_by(F.struct("doc_id", "prefix", "sketch", "rare"), "doc_id").alias("r")).select(F.col("r.doc_id").alias("doc_id"), "size", "r.prefix", "r.sketch", "r.rare")
     comps = components(find_links(stash(reps, "classes"), docs, measure))
     out = rows.select("doc_id", *same).join(classes.filter("n > 1").drop("n"), same, "left")
-    out = out.withColumn("rep", F.when(F.col("size") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
+    out = out.withColumn("rep", F.when((F.col("size") > 0) & F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
     return with_component(out, comps, "rep", "component_id").select("doc_id", F.col("size").alias("n_shingles"), "component_id")
 
 
