@@ -177,7 +177,7 @@ def test_bm25_prunes_without_loss(spark):
     docs = table(spark, SF, "documents").select("doc_id", "text").collect()
     parts = [bm25.terms_of(r.text) for r in docs]
     mean = np.mean([p[2] for p in parts])
-    shard = bm25.Shard([r.doc_id for r in docs], [p[2] for p in parts], [p[0] for p in parts], [p[1] for p in parts], mean)
+    shard = bm25.Shard(np.array([r.doc_id for r in docs]), np.array([p[2] for p in parts]), np.array([len(p[0]) for p in parts]), np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), mean)
     df = Counter(t for p in parts for t in p[0].tolist())
     idf_of = lambda t: np.log1p((len(docs) - df[t] + 0.5) / (df[t] + 0.5))
     for q in range(0, len(docs), 7):
@@ -208,8 +208,10 @@ def test_pipeline(spark):
             holders.setdefault(k, set()).add(d)
     want = {d: "\n".join(line for line, k in rows if len(k) < 40 or len(holders[k]) < 5 or max(holders[k]) == d) for d, rows in keyed.items()}
     assert {r.doc_id: r.text for r in made.collect()} == want
+    made = spark.createDataFrame(made.collect(), made.schema)  # the next stage drops what this one reads
     groups = {r.doc_id: r.component_id for r in jaccard_join.similarity_groups(made, jaccard_join.NEAR_COPIES).collect()}
-    kept = stages["n-gram Jaccard join"](spark, made, SF).cache()
+    kept = stages["n-gram Jaccard join"](spark, made, SF)
+    kept = spark.createDataFrame(kept.collect(), kept.schema)
     assert {r.doc_id for r in kept.collect()} == set(groups.values())
     mixed = stages["mixing sources"](spark, kept, SF)
     assert mixed.columns == docs.columns and sorted(map(repr, mixed.collect())) == sorted(map(repr, kept.collect()))
@@ -221,3 +223,26 @@ def test_pipeline(spark):
 
 def test_query_names():
     assert [n.split("_")[0] for n in queries.queries()] == [*(f"op{i}" for i in range(1, 11)), "pipeline"]
+
+
+@pytest.mark.parametrize("measure", [jaccard_join.Measure(), jaccard_join.NEAR_COPIES])
+def test_a_large_group_of_near_copies_loses_no_link(spark, measure):
+    """Long index lists of frequent shingles, borderline similarities, and texts of very different lengths."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for length, copies, most in ((300, 500, 12), (2500, 40, 120), (60, 100, 3)):
+        base = [f"w{rng.integers(10**6)}" for _ in range(length)]
+        for _ in range(copies):
+            words = list(base)
+            for at in rng.integers(0, length, rng.integers(0, most)):
+                words[at] = f"x{rng.integers(10**6)}"
+            texts.append(" ".join(words))
+    sets = [set(jaccard_join.shingles(t, measure.n)[0].tolist()) for t in texts]
+    group = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if group[i] != group[j] and measure.den * len(sets[i] & sets[j]) >= measure.num * len(sets[i] | sets[j]):
+            old, new = max(group[i], group[j]), min(group[i], group[j])
+            group = [new if g == old else g for g in group]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.similarity_groups(docs, measure).collect()}
+    assert [got[i] for i in range(len(texts))] == group and len(set(group)) > 3

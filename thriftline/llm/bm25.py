@@ -22,6 +22,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,10 +32,12 @@ from pyspark.sql.window import Window
 from thriftline.llm.common import stash
 
 K, K1, B = 10, 1.2, 0.75
-SHARD_DOCS, BLOCK_DOCS, BLOCK_QUERIES = 16384, 64, 4096
+SHARD_DOCS, BLOCK_DOCS, BLOCK_QUERIES = 12288, 64, 4096
 #: Scores are compared to this many places, so that the order of a sum's parts does not decide; bounds leave SLACK for it.
 PLACES, SLACK = 9, 1e-7
 FIRST_POSTINGS = 2048
+#: Terms of a shard whose postings are kept as rows of a matrix too.
+MATRIX_TERMS = 256
 
 #: ASCII but digits and letters separates terms; A-Z is lower-cased.
 _AS_SPACE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -83,26 +87,43 @@ def spans(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 class Shard:
-    def __init__(self, doc_ids, lengths, terms, counts, mean_length: float):
-        n = np.array([len(t) for t in terms])
-        self.ids = np.asarray(doc_ids)
-        self.ends = n.cumsum()
+    """The index of some documents. terms and counts hold the documents' entries one after another, n the number of each."""
+
+    def __init__(self, doc_ids: np.ndarray, lengths: np.ndarray, n: np.ndarray, terms: np.ndarray, counts: np.ndarray, mean_length: float):
+        self.ids, self.ends = doc_ids, n.cumsum()
         self.starts = self.ends - n
-        tf = np.concatenate(counts).astype(np.float64)
+        # one large array at a time: a shard's memory is what a task needs most
         doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
-        self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * np.asarray(lengths)[doc] / mean_length))
-        self.vocab, term = np.unique(np.concatenate(terms), return_inverse=True)
-        self.term = term.astype(np.int32)
-        order = np.argsort(self.term, kind="stable")
+        self.impact = counts.astype(np.float64)
+        norm = K1 * (1 - B + B * lengths / mean_length)
+        self.impact *= (K1 + 1) / (self.impact + norm[doc])
+        order = np.argsort(terms, kind="stable")  # by term, then document
+        terms = terms[order]
+        first = np.flatnonzero(np.diff(terms, prepend=~terms[:1]) != 0)
+        self.vocab, self.lists = terms[first], np.append(first, len(terms))
+        term = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(self.lists))
+        self.term = np.empty(len(terms), np.int32)
+        self.term[order] = term
+        del terms
         self.post_doc, self.post_impact = doc[order], self.impact[order]
-        self.lists = np.searchsorted(self.term[order], np.arange(len(self.vocab) + 1))
-        self.top = np.maximum.reduceat(self.post_impact, self.lists[:-1]) if len(self.vocab) else np.zeros(0)
+        del order, doc
+        self.top = np.maximum.reduceat(self.post_impact, first)
         self.n_blocks = -(-len(n) // BLOCK_DOCS)
-        key = self.term[order].astype(np.int64) * self.n_blocks + self.post_doc // BLOCK_DOCS
-        first = np.flatnonzero(np.diff(key, prepend=-1))
-        self.block = (key[first] % self.n_blocks).astype(np.int32)
-        self.block_top = np.maximum.reduceat(self.post_impact, first) if len(first) else np.zeros(0)
-        self.block_lists = np.searchsorted(key[first] // self.n_blocks, np.arange(len(self.vocab) + 1))
+        block = self.post_doc // BLOCK_DOCS
+        first = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
+        self.block = block[first]
+        self.block_top = np.maximum.reduceat(self.post_impact, first)
+        self.block_lists = np.searchsorted(term[first], np.arange(len(self.vocab) + 1))
+        # the longest lists also as rows of a matrix, to look documents up in
+        df = np.diff(self.lists)
+        most = np.argsort(-df, kind="stable")[:MATRIX_TERMS]
+        most = most[df[most] * 16 >= len(n)]
+        self.row = np.full(len(self.vocab), -1)
+        self.row[most] = np.arange(len(most))
+        self.matrix = np.zeros((len(most), len(n)))
+        for i, t in enumerate(most.tolist()):
+            at = slice(self.lists[t], self.lists[t + 1])
+            self.matrix[i, self.post_doc[at]] = self.post_impact[at]
         self.weight = np.zeros(len(self.vocab))
 
     def add_up(self, terms: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -114,6 +135,16 @@ class Shard:
         at = spans(self.block_lists[terms], self.block_lists[terms + 1])
         return np.bincount(self.block[at], np.repeat(idf, self.block_lists[terms + 1] - self.block_lists[terms]) * self.block_top[at], self.n_blocks)
 
+    def look_up(self, docs: np.ndarray, terms: np.ndarray, idf: np.ndarray) -> np.ndarray:
+        """What terms add to the scores of docs."""
+        row = self.row[terms]
+        out = idf[row >= 0] @ self.matrix[np.ix_(row[row >= 0], docs)]
+        for t, w in zip(terms[row < 0].tolist(), idf[row < 0].tolist()):
+            held = self.post_doc[self.lists[t] : self.lists[t + 1]]
+            at = np.minimum(np.searchsorted(held, docs), len(held) - 1)
+            out += np.where(held[at] == docs, w * self.post_impact[self.lists[t] + at], 0.0)
+        return out
+
     def score(self, docs: np.ndarray) -> np.ndarray:
         """Full scores of docs, under the weights of the query at hand."""
         if not len(docs):
@@ -137,27 +168,23 @@ class Shard:
         postings = (self.lists[at + 1] - self.lists[at]).cumsum()
         first = max(1, int(np.searchsorted(postings, FIRST_POSTINGS)))
         sums = self.add_up(at[:first], idf[:first])
-        tried = np.argpartition(-sums, min(4 * k, len(sums) - 1))[: 4 * k]
-        tried = tried[sums[tried] > 0]
-        full = self.score(tried)
+        tried = np.argpartition(-sums, min(2 * k, len(sums) - 1))[: 2 * k]
+        full = self.score(tried[sums[tried] > 0])
         least = np.partition(full, -k)[-k] - SLACK if len(full) >= k else -np.inf
         pivot = max(first, int(np.searchsorted(-rest, -least, side="right")) if least > 0 else len(at))
         if pivot > first:
             sums += self.add_up(at[first:pivot], idf[first:pivot])
-        above = sums.copy()
+        above = sums
         if pivot < len(at):
-            above += np.repeat(self.block_bounds(at[pivot:], idf[pivot:]), BLOCK_DOCS)[: len(sums)]
-        left = np.flatnonzero((sums > 0) & (above >= least))
-        left = left[np.argsort(-above[left], kind="stable")]
-        docs, scores = left[:0], np.zeros(0)
-        step = 4 * k
-        while len(left):
-            docs, scores = np.concatenate([docs, left[:step]]), np.concatenate([scores, self.score(left[:step])])
-            left = left[step:]
-            if len(scores) >= k:
-                least = max(least, np.partition(scores, -k)[-k] - SLACK)
-                left = left[above[left] >= least]
-            step *= 4
+            above = sums + np.repeat(self.block_bounds(at[pivot:], idf[pivot:]), BLOCK_DOCS)[: len(sums)]
+        docs = np.flatnonzero((sums > 0) & (above >= least))
+        if pivot < len(at):
+            sums = sums[docs] + self.look_up(docs, at[pivot:], idf[pivot:])
+        else:
+            sums = sums[docs]
+        if len(docs) > k:
+            docs = docs[sums >= np.partition(sums, -k)[-k] - SLACK]
+        scores = self.score(docs)  # once more, in an order of terms that is the same in every shard
         self.weight[at] = 0
         best = np.lexsort((self.ids[docs], -scores))[:k]
         return self.ids[docs[best]], scores[best]
@@ -167,28 +194,30 @@ def search_block(rows: DataFrame, n_docs: int, mean_length: float, block: list[t
     """(query_id, doc_id, score): each shard's top k for the queries of one block."""
     shared = rows.sparkSession.sparkContext.broadcast(block)
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def answers(parts: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            b = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
-            shard = Shard(b.doc_id.to_numpy(), b.length.to_numpy(), list(b.terms), list(b.counts), mean_length)
-            for lo in range(0, len(shared.value), 512):
-                got = [(q, *shard.search(terms, idf, k)) for q, terms, idf in shared.value[lo : lo + 512]]
-                yield pd.DataFrame({"query_id": np.repeat([g[0] for g in got], [len(g[1]) for g in got]).astype(np.int64), "doc_id": np.concatenate([g[1] for g in got]).astype(np.int64), "score": np.concatenate([g[2] for g in got])})
-
-        held, n = [], 0
+    def answers(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b = pa.Table.from_batches(parts).combine_chunks()
+        parts.clear()
+        terms, counts = b["terms"].chunk(0), b["counts"].chunk(0)
+        shard = Shard(b["doc_id"].to_numpy(), b["length"].to_numpy(), np.diff(terms.offsets.to_numpy()), terms.flatten().to_numpy(), counts.flatten().to_numpy(), mean_length)
+        del b, terms, counts
+        for lo in range(0, len(shared.value), 512):
+            got = [(q, *shard.search(terms, idf, k)) for q, terms, idf in shared.value[lo : lo + 512]]
+            ids = np.repeat(np.array([g[0] for g in got], np.int64), [len(g[1]) for g in got])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate([g[1] for g in got])), pa.array(np.concatenate([g[2] for g in got]))], names=["query_id", "doc_id", "score"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for b in batches:
-            b = b[b.length > 0]
-            for lo in range(0, len(b), SHARD_DOCS // 2):
-                part = b.iloc[lo : lo + SHARD_DOCS // 2]
-                if held and n + len(part) > SHARD_DOCS:
+            b = b.filter(pc.greater(b["length"], 0))
+            for lo in range(0, b.num_rows, SHARD_DOCS // 4):
+                part = b.slice(lo, SHARD_DOCS // 4)
+                if sum(h.num_rows for h in held) + part.num_rows > SHARD_DOCS:
                     yield from answers(held)
-                    held, n = [], 0
                 held.append(part)
-                n += len(part)
         if held:
             yield from answers(held)
 
-    return rows.coalesce(max(1, -(-n_docs // SHARD_DOCS))).mapInPandas(search, "query_id bigint, doc_id bigint, score double")
+    return rows.coalesce(max(1, -(-n_docs // SHARD_DOCS))).mapInArrow(search, "query_id bigint, doc_id bigint, score double")
 
 
 def top_k(docs: DataFrame, is_query: Column, k: int = K) -> DataFrame:
