@@ -1,4 +1,4 @@
-"""All registered queries of the engine, and their SQL."""
+"""All registered queries of the engine, and their SQL. Importing aspects registers every plan."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thriftline.plans import corrections, discovery, economics, extraction, listings, reduction, streams, telemetry  # noqa: F401
+from thriftline.plans import aspects  # noqa: F401
 from thriftline.plans.registry import ORACLE, QUERIES
 
 
