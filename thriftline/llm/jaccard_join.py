@@ -25,9 +25,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from thriftline.llm.common import stash
@@ -35,6 +37,7 @@ from thriftline.llm.graph import components
 
 FIRST_SHINGLES, NEAREST = 8, 2
 BLOCK = 64
+SET_ROWS = 200
 #: The order of shingles comes from one in SAMPLE documents: frequent are those in one in FREQUENT_SHARE of them, and in
 #: FREQUENT_LEAST at least. It steers the cost only; links do not depend on it.
 SAMPLE, FREQUENT_SHARE, FREQUENT_LEAST, MAX_FREQUENT = 16, 2000, 4, 2_000_000
@@ -108,13 +111,16 @@ def folded(sketch: np.ndarray, words: int) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, shingles array<bigint>)."""
+    """(doc_id, shingles array<bigint>), in small batches: a long document's set takes more room than its text."""
 
-    @F.pandas_udf("array<bigint>")
-    def made(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingles(t, n)[0] for t in texts], dtype=object)
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, SET_ROWS):
+                part = b.slice(lo, SET_ROWS)
+                sets = [shingles(t, n)[0] for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
 
-    return docs.select("doc_id", made("text").alias("shingles"))
+    return docs.select("doc_id", "text").mapInArrow(made, T.StructType([docs.schema["doc_id"], T.StructField("shingles", T.ArrayType(T.LongType()))]))
 
 
 def frequent_shingles(docs: DataFrame, n: int) -> np.ndarray:
