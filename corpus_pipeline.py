@@ -2,39 +2,63 @@
 
 Each stage takes the rows that the stage before it kept, read back from
 Parquet, and its decisions take effect: what it rejects goes, what it changes
-is changed. All but the last return the columns of documents.
+is changed. All but the last return the columns of documents. A stage's result
+must be written before the next stage begins.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from thriftline.llm import jaccard_join, lang_id, line_dedup, pfair, sentencepiece_fst
-from thriftline.llm.common import shared_dir, table
+from thriftline.llm.common import drop_paths, shared_dir, stashes_of, table
 
 
+#: What the stage before wrote on its way; its result is written by the time the next stage begins, which drops it.
+_left: list[str] = []
+
+
+def _stage(run: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    @wraps(run)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_paths(spark, _left)
+        with stashes_of() as paths:
+            made = run(spark, docs, sf_dir)
+        _left.extend(paths)
+        return made
+
+    return stage
+
+
+@_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones teach; texts that are null, have no letter or fit no language go."""
     return lang_id.accepted(docs)
 
 
+@_stage
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that many documents repeat, which stay in the last of those documents."""
     return line_dedup.deduped(docs)
 
 
+@_stage
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
     return jaccard_join.one_of_each_group(docs)
 
 
+@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, laid out in the order in which the mix reads its sources."""
     return pfair.in_mix_order(docs)
 
 
+@_stage
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows with their piece ids, and the text as the ids give it back."""
     return sentencepiece_fst.tokenized(docs)

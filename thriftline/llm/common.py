@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,11 +38,13 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 
     Cuts the lineage: a lost executor makes Spark reread the files, not
     recompute what made them. Files belong to this application's folder and
-    can be removed once its results are written.
+    can be removed once its results are written; see stashes_of.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/thriftline-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for paths in _recording:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -56,6 +59,28 @@ def shielded(docs: DataFrame, needed: list[str], run: Callable[[DataFrame], Data
     return made.select(*[F.col(hidden.get(c, c)).alias(c) for c in docs.columns], *new)
 
 
+_recording: list[list[str]] = []
+
+
+@contextmanager
+def stashes_of() -> Iterator[list[str]]:
+    """The paths that stash writes in this block, for drop_paths once nothing reads them any more."""
+    paths: list[str] = []
+    _recording.append(paths)
+    try:
+        yield paths
+    finally:
+        _recording.remove(paths)
+
+
+def drop_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders through Spark's file system, wherever they are, and forget them."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def unit_key(*cols: Column) -> Column:
     """A uniform key in [0, 2^62) from the hash of cols."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 64 - KEY_BITS)
