@@ -88,6 +88,17 @@ def content_type(c: Column) -> Column:
     )
 
 
+def output_type(command: Column, text: Column) -> Column:
+    """tests, build, log, json or other, by the command first and then by what the text says."""
+    cmd, low = F.lower(command), F.lower(text)
+    return (
+        F.when(cmd.contains("test") | (low.contains("passed") & low.contains("failed")), "tests")
+        .when(cmd.rlike("build|compile") | low.contains("compiling"), "build")
+        .when(low.contains("error:") | low.contains("warn:") | low.contains("[info]"), "log")
+        .when(text.rlike(r"^\s*[{\[]"), "json").otherwise("other")
+    )
+
+
 def char_similarity(a: Column, b: Column) -> Column:
     """Jaccard similarity of the character sets; 1 for two empty texts."""
     x, y = (F.array_remove(F.array_distinct(F.split(c, "")), "") for c in (a, b))
