@@ -34,8 +34,8 @@ META = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 INF = float("inf")
-#: Chunks, parts of chunks and pairs of pieces kept per Python worker, and the longest chunk that is kept.
-MEMO_CHUNKS, MEMO_PARTS, MEMO_PAIRS, MEMO_CHARS = 350_000, 250_000, 600_000, 48
+#: Chunks (and parts of them) and pairs of pieces kept per Python worker, and the longest chunk that is kept.
+MEMO_CHUNKS, MEMO_PAIRS, MEMO_CHARS = 260_000, 300_000, 48
 UNKNOWN_PENALTY = 10.0
 BATCH_ROWS = 500
 
@@ -124,7 +124,7 @@ class Machine:
         self.apart = re.compile((" *[^ \n]+| +|\n" if "\n" not in held else " *[^ ]+| +") if apart else "(?s).+")
         self.least = min((self.score[i] for i in self.ids.values()), default=0.0) - UNKNOWN_PENALTY
         self.beside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}  # characters that some piece holds side by side
-        self.memo, self.part_memo = Memo(MEMO_CHUNKS), Memo(MEMO_PARTS)
+        self.memo = Memo(MEMO_CHUNKS)
         if model_type == BPE:
             order = sorted({-self.score[i] for p, i in self.ids.items() if len(p) > 1})
             rank = {s: n for n, s in enumerate(order)}
@@ -255,25 +255,23 @@ class Machine:
                 out += got
         return out
 
-    def encode_part(self, part: str) -> bytes:
-        got = self.part_memo.get(part)
+    def encode_part(self, raw: str) -> bytes:
+        got = self.memo.get(raw)
         if got is None:
-            got = np.array(self.shortest_path(part), dtype=np.int32).tobytes()
-            self.part_memo.put(part, got)
+            got = np.array(self.shortest_path(raw.replace(" ", self.normaliser.space)), dtype=np.int32).tobytes()
+            self.memo.put(raw, got)
         return got
 
     def encode_chunk(self, raw: str) -> bytes:
         """Every path goes through the places between characters that no piece holds side by side, so the parts between them are encoded alone."""
-        got = self.memo.get(raw)
-        if got is not None:
-            return got
         chunk, beside = raw.replace(" ", self.normaliser.space), self.beside
         cuts = [i for i in range(1, len(chunk)) if chunk[i - 1 : i + 1] not in beside]
-        if cuts and self.bytes:
-            got = b"".join([self.encode_part(chunk[a:b]) for a, b in zip([0, *cuts], [*cuts, len(chunk)])])
-        else:  # without byte fallback unknown characters in a row become one piece
-            got = self.encode_part(chunk)
-        self.memo.put(raw, got)
+        if not cuts or not self.bytes:  # without byte fallback unknown characters in a row become one piece
+            return self.encode_part(raw)
+        got = self.memo.get(raw)
+        if got is None:
+            got = b"".join([self.encode_part(raw[a:b]) for a, b in zip([0, *cuts], [*cuts, len(raw)])])
+            self.memo.put(raw, got)
         return got
 
     def encode(self, text: str) -> np.ndarray:
