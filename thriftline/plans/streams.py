@@ -12,9 +12,9 @@ from thriftline.streaming import jobs
 
 
 def commands(spark: SparkSession, sf: str) -> DataFrame:
-    """The command feed, from the events file as a stream."""
+    """The command feed, from the events table as a stream."""
     schema = d.read(spark, sf, "events").schema
-    return jobs.with_savings(d.commands_of(jobs.command_stream(spark, sf, schema, "events.parquet")))
+    return jobs.with_savings(d.commands_of(jobs.table_stream(spark, sf, "events", schema)))
 
 
 CLOSED = "(SELECT max(ts) - INTERVAL 2 DAY AS seen FROM commands_v)"
@@ -52,7 +52,7 @@ def str_retention(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT output_id, line_no, line FROM output_lines_v WHERE NOT (starts_with(line, 'test ') AND ends_with(line, '... ok')) AND (contains(line, 'FAILED') OR contains(line, 'error') OR starts_with(line, 'test result') OR trim(line) = '' OR NOT starts_with(line, 'test '))")
 def str_line_filter(spark: SparkSession, sf: str) -> DataFrame:
     schema = d.read(spark, sf, "documents").schema
-    docs = jobs.command_stream(spark, sf, schema, "documents.parquet")
+    docs = jobs.table_stream(spark, sf, "documents", schema)
     return jobs.drained(jobs.matching_lines(d.lines_of(d.outputs_of(docs)).select("output_id", "line_no", "line")), "lines")
 
 

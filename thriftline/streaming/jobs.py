@@ -21,10 +21,23 @@ from thriftline.operators.corrections import MIN_CONFIDENCE, MIN_SIMILARITY, WIN
 LATENESS, RETENTION_DAYS = "2 days", 90
 
 
-def command_stream(spark: SparkSession, path: str, schema: str | T.StructType, glob: str | None = None) -> DataFrame:
+def command_stream(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """New parquet files below path, a few per trigger."""
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8)
-    return (reader.option("pathGlobFilter", glob) if glob else reader).parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(path)
+
+
+def table_stream(spark: SparkSession, sf_dir: str, name: str, schema: str | T.StructType) -> DataFrame:
+    """A whole table as a stream, be it one file or a folder of part files.
+
+    All files go in the first trigger: part files are not in the order of time,
+    and a later trigger would take rows behind the watermark for late ones.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    reader = spark.readStream.schema(schema)
+    if path.getFileSystem(conf).getFileStatus(path).isDirectory():
+        return reader.parquet(f"{sf_dir}/{name}.parquet")
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 def with_savings(commands: DataFrame) -> DataFrame:
