@@ -60,8 +60,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows with their piece ids, and the text as the ids give it back."""
-    return sentencepiece_fst.tokenized(docs)
+    """The rows with their piece ids, the text as the ids give it back, and mix_slot and mix_offset, by which they read as the mix."""
+    return sentencepiece_fst.tokenized(pfair.in_mix_order(docs, slots=True))
 
 
 STAGES = [

@@ -97,13 +97,17 @@ def _mix(docs: DataFrame, weights: Mapping[str, int], block_rows: int) -> DataFr
     return placed.select(*docs.drop("_key").columns, "mix_block", slot.alias("mix_slot"), (F.col("_rank") % block_rows).cast("int").alias("mix_offset"), (slot < F.col("horizon")).alias("mix_on_target"))
 
 
-def in_mix_order(docs: DataFrame, weights: Mapping[str, int] = WEIGHTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """The rows of docs laid out in the order of the mix, with the columns of docs."""
+def in_mix_order(docs: DataFrame, weights: Mapping[str, int] = WEIGHTS, block_rows: int = BLOCK_ROWS, slots: bool = False) -> DataFrame:
+    """The rows of docs laid out in the order of the mix, with the columns of docs; with slots, mix_slot and mix_offset too.
+
+    The layout does not outlast a reader that packs files by size; the columns do.
+    """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["mix_slot", "mix_offset"]
+    docs = docs.drop(*order) if slots else docs
 
     def laid_out(d: DataFrame) -> DataFrame:
-        return _mix(d, weights, block_rows).repartitionByRange(n, *order).sortWithinPartitions(*order).select(*d.columns)
+        return _mix(d, weights, block_rows).repartitionByRange(n, *order).sortWithinPartitions(*order).select(*d.columns, *(order if slots else []))
 
     return shielded(docs, ["doc_id", "source"], laid_out)
 
