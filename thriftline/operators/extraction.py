@@ -51,7 +51,11 @@ def golangci(outputs: DataFrame) -> DataFrame:
 
 
 def lines_of(outputs: DataFrame) -> DataFrame:
-    return outputs.select("output_id", F.posexplode(text_lines(F.col("text"))).alias("line_no", "line"))
+    """(output_id, line_no, line); first_line, if outputs have it, is where a text goes on in an output of several."""
+    if "first_line" not in outputs.columns:
+        return outputs.select("output_id", F.posexplode(text_lines(F.col("text"))).alias("line_no", "line"))
+    rows = outputs.select("output_id", "first_line", F.posexplode(text_lines(F.col("text"))).alias("i", "line"))
+    return rows.select("output_id", (F.col("first_line") + F.col("i")).cast("int").alias("line_no"), "line")
 
 
 def by_pattern(lines: DataFrame, tool: str, pattern: str, groups: dict[str, int], severity: Column | None = None) -> DataFrame:

@@ -27,7 +27,7 @@ def ext_cargo_test(spark: SparkSession, sf: str) -> DataFrame:
     n = col("n")
     line = F.when(n % 5 == 0, "running 9 tests").otherwise(F.concat(lit("test m"), n % 9, lit(" ... "), F.when(n % 3 != 0, "ok").otherwise("FAILED")))
     p = r"^test (\S+) \.\.\. (ok|FAILED)$"
-    rows = x.lines_of(d.tool_text(spark, sf, line)).filter(col("line").rlike(p))
+    rows = x.lines_of(d.tool_text(spark, sf, line, numbered=False)).filter(col("line").rlike(p))
     return rows.select("output_id", F.regexp_extract("line", p, 1).alias("name"), (F.regexp_extract("line", p, 2) == "ok").alias("passed"))
 
 
@@ -36,7 +36,7 @@ def join_build_errors(spark: SparkSession, sf: str) -> DataFrame:
     """Packages whose build failed, with the number of build errors of their import path."""
     n = col("n")
     event = F.to_json(F.struct(F.when(n % 6 == 1, "build-output").otherwise("fail").alias("Action"), F.when(n % 6 == 1, F.concat(lit("i"), n % 4)).alias("ImportPath"), F.when(n % 6 == 0, F.concat(lit("i"), n % 4)).alias("FailedBuild"), F.concat(lit("e"), n).alias("Output")))
-    e = x.lines_of(d.tool_text(spark, sf, event)).select("output_id", F.from_json("line", "Action string, ImportPath string, FailedBuild string, Output string").alias("e")).select("output_id", "e.*")
+    e = x.lines_of(d.tool_text(spark, sf, event, numbered=False)).select("output_id", F.from_json("line", "Action string, ImportPath string, FailedBuild string, Output string").alias("e")).select("output_id", "e.*")
     failed = e.filter("FailedBuild is not null").select("output_id", col("FailedBuild").alias("package")).distinct()
     errors = e.filter("Action = 'build-output'").groupBy("output_id", col("ImportPath").alias("package")).agg(F.countDistinct("Output").alias("errors"))
     return failed.join(errors, ["output_id", "package"], "left").na.fill(0, ["errors"])

@@ -23,9 +23,9 @@ def eslint_outputs(spark: SparkSession, sf: str) -> DataFrame:
     return d.tool_json(spark, sf, F.struct(col("file").alias("filePath"), F.array(message).alias("messages")))
 
 
-def mypy_outputs(spark: SparkSession, sf: str) -> DataFrame:
+def mypy_outputs(spark: SparkSession, sf: str, numbered: bool = True) -> DataFrame:
     error = F.concat("file", lit(":"), "line", lit(":"), "col", lit(": error: "), "message", lit("  [r-"), col("n") % 9, lit("]"))
-    return d.tool_text(spark, sf, F.when(col("n") % 4 == 1, F.concat("file", lit(":"), "line", lit(": note: see "), col("n"))).when(col("n") % 4 == 2, lit("Found 3 errors")).otherwise(error))
+    return d.tool_text(spark, sf, F.when(col("n") % 4 == 1, F.concat("file", lit(":"), "line", lit(": note: see "), col("n"))).when(col("n") % 4 == 2, lit("Found 3 errors")).otherwise(error), numbered)
 
 
 view("eslint_v", sql_of("eslint", code="CASE WHEN n % 11 <> 0 THEN code ELSE 'unknown' END"))
@@ -55,7 +55,7 @@ def ext_golangci(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(sql_of("mypy", "'error'", "'r-' || n % 9", "WHERE n % 4 NOT IN (1, 2)"))
 def ext_mypy(spark: SparkSession, sf: str) -> DataFrame:
-    return x.mypy(mypy_outputs(spark, sf))
+    return x.mypy(mypy_outputs(spark, sf, numbered=False))
 
 
 @query("""SELECT output_id, arg_min(file, n) AS file, arg_min(line, n) AS line, arg_min(message, n) AS message, count(*) FILTER (note AND file = head) AS notes FROM (
@@ -68,13 +68,13 @@ def win_attach_notes(spark: SparkSession, sf: str) -> DataFrame:
 @query(sql_of("tsc", code="'TS' || 1000 + n % 9"))
 def ext_tsc(spark: SparkSession, sf: str) -> DataFrame:
     line = F.concat("file", lit("("), "line", lit(","), "col", lit("): "), F.when(col("bad"), "error").otherwise("warning"), lit(" TS"), (col("n") % 9 + 1000).cast("string"), lit(": "), "message")
-    return x.tsc(d.tool_text(spark, sf, line))
+    return x.tsc(d.tool_text(spark, sf, line, numbered=False))
 
 
 @query("SELECT output_id, 'go' AS tool, 'a/f' || n % 7 || '.go' AS file, line, CASE WHEN bad THEN col END AS col, 'error' AS severity, NULL::VARCHAR AS code, message FROM tool_rows_v WHERE n % 5 <> 0")
 def ext_go_build(spark: SparkSession, sf: str) -> DataFrame:
     at = F.concat(lit("a/f"), col("n") % 7, lit(".go:"), "line", lit(":"), F.when(col("bad"), F.concat("col", lit(":"))).otherwise(""), lit(" "), "message")
-    return x.go_build(d.tool_text(spark, sf, F.when(col("n") % 5 == 0, lit("# package")).otherwise(at)))
+    return x.go_build(d.tool_text(spark, sf, F.when(col("n") % 5 == 0, lit("# package")).otherwise(at), numbered=False))
 
 
 @query("SELECT output_id, tool, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity <> 'error') AS warnings, count(DISTINCT file) AS files FROM eslint_v GROUP BY 1, 2")
@@ -97,7 +97,7 @@ def ext_go_test(spark: SparkSession, sf: str) -> DataFrame:
     """ext_go_test, src_ndjson_events and agg_test_packages."""
     action = F.element_at(F.array(lit("pass"), lit("fail"), lit("skip"), lit("run")), (col("n") % 4 + 1).cast("int"))
     event = F.to_json(F.struct(action.alias("Action"), F.concat(lit("p"), col("n") % 3).alias("Package"), F.concat(lit("T"), col("n")).alias("Test")))
-    return x.go_tests(d.tool_text(spark, sf, F.when(col("n") % 5 == 0, lit("ok, no JSON")).otherwise(event)))
+    return x.go_tests(d.tool_text(spark, sf, F.when(col("n") % 5 == 0, lit("ok, no JSON")).otherwise(event), numbered=False))
 
 
 @query("""SELECT n AS output_id, CASE WHEN n % 3 = 2 THEN 0 ELSE n % 50 + n % 4 + n % 2 END AS total, CASE WHEN n % 3 = 2 THEN 0 ELSE n % 50 END AS passed, CASE WHEN n % 3 = 2 THEN 0 ELSE n % 4 END AS failed, CASE WHEN n % 3 = 2 THEN 0 ELSE n % 2 END AS skipped,
@@ -139,4 +139,4 @@ def agg_diff_stat(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT output_id, count(*) FILTER (n % 5 IN (0, 3)) AS staged, count(*) FILTER (n % 5 IN (1, 3)) AS modified, count(*) FILTER (n % 5 = 2) AS untracked, count(*) FILTER (n % 5 = 4) AS conflicts FROM tool_rows_v GROUP BY 1")
 def agg_change_counts(spark: SparkSession, sf: str) -> DataFrame:
     status = F.element_at(F.array(lit("A "), lit(" M"), lit("??"), lit("MD"), lit("UU")), (col("n") % 5 + 1).cast("int"))
-    return x.change_counts(d.tool_text(spark, sf, F.concat(status, lit(" "), "file")))
+    return x.change_counts(d.tool_text(spark, sf, F.concat(status, lit(" "), "file"), numbered=False))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from thriftline.functions.numbers import saved_tokens, share_pct
+from thriftline.functions.text import text_lines
 from thriftline.plans.registry import view
 
 #: The moment that trailing windows end at.
@@ -255,13 +256,34 @@ def _tool_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 view("tool_rows_v", """SELECT user_id AS output_id, event_id AS n, 'src/f' || (event_id % 7) || '.x' AS file, (event_id % 90 + 1)::INT AS line, (event_id % 40 + 1)::INT AS col, 'R' || (event_id % 9) AS code, 'message "q" ' || event_id AS message, event_id % 3 = 0 AS bad FROM events""")
 
 
+#: A text of a tool's output holds events of one user whose ids share all but so many low bits, at most 2 ** BLOCK_BITS of
+#: them; an output has as many texts as it needs, so a user may have any share of the events.
+BLOCK_BITS = 14
+
+
+def _tool_blocks(spark: SparkSession, sf_dir: str, element) -> DataFrame:
+    """(output_id, part, a): the elements of each output in blocks, sorted by n within and across parts."""
+    e = F.transform(F.sort_array(F.collect_list(F.struct("n", element.alias("e")))), lambda x: x["e"])
+    return _tool_rows(spark, sf_dir).groupBy("output_id", F.shiftright("n", BLOCK_BITS).alias("part")).agg(e.alias("a"))
+
+
 def tool_json(spark: SparkSession, sf_dir: str, element, wrap: str | None = None) -> DataFrame:
-    """Outputs (output_id, text) that hold a JSON array of element for each row, sorted by n."""
-    rows = _tool_rows(spark, sf_dir).groupBy("output_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", element.alias("e")))), lambda x: x["e"]).alias("a"))
+    """Outputs (output_id, text) in one or more texts that hold a JSON array of element for each row, sorted by n."""
+    rows = _tool_blocks(spark, sf_dir, element)
     return rows.select("output_id", F.to_json(F.struct(F.col("a").alias(wrap)) if wrap else F.col("a")).alias("text"))
 
 
-def tool_text(spark: SparkSession, sf_dir: str, line) -> DataFrame:
-    """Outputs (output_id, text) of one line for each row, sorted by n."""
-    rows = _tool_rows(spark, sf_dir).groupBy("output_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", line.alias("e")))), lambda x: x["e"]).alias("a"))
-    return rows.select("output_id", F.concat(F.array_join("a", "\n"), F.lit("\n")).alias("text"))
+def tool_text(spark: SparkSession, sf_dir: str, line, numbered: bool = True) -> DataFrame:
+    """Outputs (output_id, text, first_line) in one or more texts of one line for each row, sorted by n.
+
+    first_line is the number of lines that the output has before a text; it
+    takes a join, so readers to which lines mean nothing to each other leave
+    it out with numbered=False.
+    """
+    texts = _tool_blocks(spark, sf_dir, line).select("output_id", "part", F.concat(F.array_join("a", "\n"), F.lit("\n")).alias("text"))
+    if not numbered:
+        return texts.select("output_id", "text")
+    before = Window.partitionBy("output_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = texts.select("output_id", "part", F.size(text_lines(F.col("text"))).alias("k"))
+    starts = starts.select(F.col("output_id").alias("_o"), F.col("part").alias("_p"), F.coalesce(F.sum("k").over(before), F.lit(0)).alias("first_line"))
+    return texts.join(starts, F.col("output_id").eqNullSafe(F.col("_o")) & F.col("part").eqNullSafe(F.col("_p"))).select("output_id", "text", "first_line")
