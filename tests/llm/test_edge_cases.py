@@ -55,7 +55,8 @@ def test_bm25(docs):
     for r in got:
         by.setdefault(r.query_id, []).append((r["rank"], r.doc_id, r.score))
     assert 0 not in by and 2 not in by  # nothing to look for
-    assert sorted(by[6])[:3] == [(1, 5, by[6][0][2]), (2, 6, by[6][0][2]), (3, 6, by[6][0][2])] or [x[1] for x in sorted(by[6])][:3] == [5, 6, 6]
+    first = sorted(by[6])[:3]
+    assert [x[:2] for x in first] == [(1, 5), (2, 6), (3, 6)] and len({x[2] for x in first}) == 1  # copies score alike, ties go by id
     assert all(x[1] is not None for v in by.values() for x in v)
 
 

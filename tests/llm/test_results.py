@@ -1,6 +1,7 @@
 """The registered queries against SQL, brute force, an independent tokenizer, or held-out labels."""
 
 import itertools
+import pickle
 from collections import Counter
 
 import numpy as np
@@ -173,22 +174,66 @@ def test_language_of_held_out_documents(spark):
     assert len(got) > 100 and sum(r.lang == r.lang_pred for r in got) >= 0.98 * len(got)
 
 
-def test_bm25_prunes_without_loss(spark):
-    docs = table(spark, SF, "documents").select("doc_id", "text").collect()
-    parts = [bm25.terms_of(r.text) for r in docs]
-    mean = np.mean([p[2] for p in parts])
-    shard = bm25.Shard(np.array([r.doc_id for r in docs]), np.array([p[2] for p in parts]), np.array([len(p[0]) for p in parts]), np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), mean)
+def shard_of(texts):
+    parts = [bm25.terms_of(t) for t in texts]
+    made = bm25.Shard(np.arange(len(texts)) * 3, np.array([p[2] for p in parts]), np.array([len(p[0]) for p in parts]), np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.mean([p[2] for p in parts]))
     df = Counter(t for p in parts for t in p[0].tolist())
-    idf_of = lambda t: np.log1p((len(docs) - df[t] + 0.5) / (df[t] + 0.5))
-    for q in range(0, len(docs), 7):
-        terms = parts[q][0]
-        idf = np.array([idf_of(t) for t in terms.tolist()])
+    idf_of = lambda t: np.log1p((len(texts) - df[t] + 0.5) / (df[t] + 0.5))
+    return made, [(p[0], np.array([idf_of(t) for t in p[0].tolist()])) for p in parts]
+
+
+def brute_force(shard, terms, idf):
+    at = np.minimum(np.searchsorted(shard.vocab, terms), len(shard.vocab) - 1)
+    here = shard.vocab[at] == terms
+    every = shard.score(np.arange(len(shard.ids)), at[here], idf[here])
+    best = [i for i in np.lexsort((shard.ids, -every))[:10] if every[i] > 0]
+    return shard.ids[best].tolist(), every[best].tolist()
+
+
+@pytest.mark.parametrize("stored", [False, True])
+def test_bm25_prunes_without_loss(spark, stored):
+    docs = [r.text for r in table(spark, SF, "documents").orderBy("doc_id").collect()]
+    shard, queries = shard_of([t for t in docs if bm25.terms_of(t)[2]])
+    if stored:
+        shard = pickle.loads(pickle.dumps(shard, 5))
+    for terms, idf in queries[::7]:
         ids, scores = shard.search(terms, idf, 10)
-        shard.weight[np.searchsorted(shard.vocab, terms)] = idf
-        every = shard.score(np.arange(len(docs)))
-        shard.weight[:] = 0
-        want = [int(i) for i in np.lexsort((shard.ids, -every))[:10] if every[i] > 0]
-        assert [int(np.flatnonzero(shard.ids == i)[0]) for i in ids] == want and list(scores) == [every[i] for i in want]
+        assert (ids.tolist(), scores.tolist()) == brute_force(shard, terms, idf)
+        ids, scores = shard.search(terms, idf, 10, scores[-1] - 1e-6)  # with what another shard found
+        assert (ids.tolist(), scores.tolist()) == brute_force(shard, terms, idf)
+
+
+def test_bm25_skips_blocks_of_postings(monkeypatch):
+    """Short queries of a rare and some frequent words over many documents: most postings are never touched."""
+    monkeypatch.setattr(bm25, "FIRST_POSTINGS", 100)
+    rng = np.random.default_rng(3)
+    texts = [" ".join([f"common{w}" for w in rng.integers(0, 400, 60)] + [f"rare{i // 40}"] * (1 + i % 5)) for i in range(6000)]
+    shard, _ = shard_of(texts)
+    df = lambda w: sum(w in t.split() for t in texts)
+    for i in range(0, 6000, 500):
+        words = [f"rare{i // 40}", *[f"common{w}" for w in (i // 500, 17, 99)]]
+        idf = {bm25.terms_of(w)[0][0]: np.log1p((6000 - df(w) + 0.5) / (df(w) + 0.5)) for w in words}
+        terms = np.array(sorted(idf))
+        found = shard.search(terms, np.array([idf[t] for t in terms]), 10)
+        assert (found[0].tolist(), found[1].tolist()) == brute_force(shard, terms, np.array([idf[t] for t in terms]))
+    shard.wake()
+    for i in range(0, 6000, 500):
+        terms = np.array(sorted(bm25.terms_of(w)[0][0] for w in (f"rare{i // 40}", "common1", "common17", "common99")))
+        shard.search(terms, np.where(terms == bm25.terms_of(f"rare{i // 40}")[0][0], 5.0, 1.0), 10)
+    assert 0 < shard.touched < 0.5 * shard.held
+
+
+def test_bm25_builds_its_index_once(spark, monkeypatch):
+    """Many shards and many blocks of queries: every shard is built once, whatever the number of blocks."""
+    monkeypatch.setattr(bm25, "SHARD_POSTINGS", 3000)
+    monkeypatch.setattr(bm25, "BLOCK_TERMS", 500)
+    built, real = [], bm25.build_shards
+    monkeypatch.setattr(bm25, "build_shards", lambda *a: built.append(real(*a)) or built[-1])
+    docs = table(spark, SF, "documents").select("doc_id", "text")
+    few = bm25.top_k(docs, F.col("doc_id") % 5 == 0).collect()
+    assert len(built) == 1 and built[0].count() > 5
+    monkeypatch.undo()
+    assert sorted(few) == sorted(bm25.top_k(docs, F.col("doc_id") % 5 == 0).collect())
 
 
 def test_pipeline(spark):

@@ -1,43 +1,48 @@
 """Exact top-k search by BM25 over sharded inverted indexes, with block-max WAND pruning.
 
-Every shard (a bounded number of documents in one task) holds postings sorted
-by document, the largest impact of each term, and of each term in each block of
-documents. Document frequencies, the number of documents and their mean length
-are counted over all shards first, so scores of different shards compare and
-the merged top k is exact.
-
-A query takes its terms from the largest bound down. Once the bounds of the
-remaining terms sum to less than the k-th best score (WAND's pivot test), no
-document without an earlier term can enter the top k: the remaining lists are
-not read for new documents. Documents met so far whose score plus their block's
-bound for the remaining terms stays below the k-th best are dropped too; the
-others are scored in full, best bound first.
-
-The query set meets the shards in blocks of BLOCK_QUERIES, each broadcast.
+Document frequencies, the number of documents and their mean length are counted
+over all rows first, so scores of different shards compare and the merged top k
+is exact. Shards (a bounded number of postings each) are built once and written
+to the shared folder; blocks of queries then meet them there, so neither the
+index nor a query passes through the driver or is shuffled.
+
+A shard's lists are cut into blocks by document range, each with its largest
+impact. For one query and one range of documents, take the query's terms from
+the largest bound down: the pivot is the last term from which on the block
+maxima still sum to the k-th best score. A document of the range that holds
+none of the terms up to the pivot cannot enter the top k (WAND's pivot test,
+with block maxima), so the blocks of the terms behind it are skipped; ranges
+without a pivot are skipped whole. Documents of the blocks that are read are
+scored in full, best bound first, until the bound falls below the k-th best.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from thriftline.llm.common import stash
+from thriftline.llm.common import MEET_ROWS, join_heavy, meet, stash
 
 K, K1, B = 10, 1.2, 0.75
-SHARD_DOCS, BLOCK_DOCS, BLOCK_QUERIES = 12288, 64, 4096
-#: Scores are compared to this many places, so that the order of a sum's parts does not decide; bounds leave SLACK for it.
-PLACES, SLACK = 9, 1e-7
+#: A shard's postings (more only where one document has more) and documents; documents to a range; terms to a block of queries.
+SHARD_POSTINGS, SHARD_DOCS, BLOCK_DOCS, BLOCK_TERMS = 1 << 21, 1 << 15, 128, 1 << 16
+#: Scores are compared to this many places, so that the order of a sum's parts does not decide; bounds leave SLACK (and a share of the score) for it.
+PLACES, SLACK, SLACK_SHARE = 9, 1e-7, 1e-11
 FIRST_POSTINGS = 2048
-#: Terms of a shard whose postings are kept as rows of a matrix too.
-MATRIX_TERMS = 256
+#: Share by which sums in single precision may be off.
+ROUNDED = 5e-5
+#: A shard's most frequent terms (in one of DENSE_SHARE documents at least) are kept by document too.
+DENSE_TERMS, DENSE_SHARE = 256, 16
+TEXT_ROWS = 500
+BOUND_CELLS = 1 << 20
 
 #: ASCII but digits and letters separates terms; A-Z is lower-cased.
 _AS_SPACE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -52,14 +57,19 @@ def terms_of(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 def analysed(docs: DataFrame) -> DataFrame:
-    """(doc_id, length, terms, counts)."""
+    """(doc_id, length, terms, counts), in small batches: a long document's terms take room too."""
 
-    @F.pandas_udf("length bigint, terms array<bigint>, counts array<int>")
-    def made(texts: pd.Series) -> pd.DataFrame:
-        got = [terms_of(t) for t in texts]
-        return pd.DataFrame({"length": [g[2] for g in got], "terms": [g[0] for g in got], "counts": [g[1] for g in got]})
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, TEXT_ROWS):
+                part = b.slice(lo, TEXT_ROWS)
+                got = [terms_of(t) for t in part.column(1).to_pylist()]
+                ends = pa.array(np.cumsum([0, *(len(g[0]) for g in got)], dtype=np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([g[i] for g in got]))) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g[2] for g in got], pa.int64()), *lists], names=["doc_id", "length", "terms", "counts"])
 
-    return docs.filter("doc_id is not null").select("doc_id", made("text").alias("m")).select("doc_id", "m.*")
+    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(made, "doc_id bigint, length bigint, terms array<bigint>, counts array<int>")
 
 
 def document_frequencies(rows: DataFrame) -> DataFrame:
@@ -86,138 +96,221 @@ def spans(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.repeat(ends - n.cumsum(), n) + np.arange(n.sum())
 
 
+def rounded_up(x: np.ndarray) -> np.ndarray:
+    """x as float32, never less than x."""
+    y = x.astype(np.float32)
+    return np.where(y < x, np.nextafter(y, np.float32(np.inf)), y)
+
+
 class Shard:
     """The index of some documents. terms and counts hold the documents' entries one after another, n the number of each."""
 
     def __init__(self, doc_ids: np.ndarray, lengths: np.ndarray, n: np.ndarray, terms: np.ndarray, counts: np.ndarray, mean_length: float):
-        self.ids, self.ends = doc_ids, n.cumsum()
-        self.starts = self.ends - n
-        # one large array at a time: a shard's memory is what a task needs most
-        doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
-        self.impact = counts.astype(np.float64)
-        norm = K1 * (1 - B + B * lengths / mean_length)
-        self.impact *= (K1 + 1) / (self.impact + norm[doc])
+        self.ids, self.ends = doc_ids, np.cumsum(n, dtype=np.int64)
+        self.norm = K1 * (1 - B + B * lengths / mean_length)
         order = np.argsort(terms, kind="stable")  # by term, then document
-        terms = terms[order]
-        first = np.flatnonzero(np.diff(terms, prepend=~terms[:1]) != 0)
-        self.vocab, self.lists = terms[first], np.append(first, len(terms))
+        held = terms[order]
+        first = np.flatnonzero(np.diff(held, prepend=~held[:1]) != 0)
+        self.vocab, self.lists = held[first], np.append(first, len(held)).astype(np.int32)
         term = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(self.lists))
-        self.term = np.empty(len(terms), np.int32)
+        self.term, self.count = np.empty(len(held), np.int32), counts.astype(np.int32)
         self.term[order] = term
-        del terms
-        self.post_doc, self.post_impact = doc[order], self.impact[order]
-        del order, doc
-        self.top = np.maximum.reduceat(self.post_impact, first)
-        self.n_blocks = -(-len(n) // BLOCK_DOCS)
-        block = self.post_doc // BLOCK_DOCS
-        first = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
-        self.block = block[first]
+        self.post_doc = np.repeat(np.arange(len(n), dtype=np.uint16), n)[order]
+        f = counts[order].astype(np.float64)
+        self.post_impact = rounded_up(f * (K1 + 1) / (f + self.norm[self.post_doc]))
+        block = self.post_doc // np.uint16(BLOCK_DOCS)
+        first = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(block.astype(np.int32), prepend=-1) != 0))
+        self.block, self.block_lists = block[first], np.searchsorted(term[first], np.arange(len(self.vocab) + 1)).astype(np.int32)
+        self.block_starts = np.append(first, len(held)).astype(np.int32)
         self.block_top = np.maximum.reduceat(self.post_impact, first)
-        self.block_lists = np.searchsorted(term[first], np.arange(len(self.vocab) + 1))
-        # the longest lists also as rows of a matrix, to look documents up in
+        self.top = np.maximum.reduceat(self.post_impact, self.lists[:-1])
+        self.wake()
+
+    def wake(self) -> None:
+        """What is not stored: impacts of the most frequent terms by document, and how many postings queries held and touched."""
         df = np.diff(self.lists)
-        most = np.argsort(-df, kind="stable")[:MATRIX_TERMS]
-        most = most[df[most] * 16 >= len(n)]
-        self.row = np.full(len(self.vocab), -1)
-        self.row[most] = np.arange(len(most))
-        self.matrix = np.zeros((len(most), len(n)))
-        for i, t in enumerate(most.tolist()):
+        common = np.argsort(-df, kind="stable")[:DENSE_TERMS]
+        common = common[df[common] * DENSE_SHARE >= len(self.ids)]
+        self.n_blocks = -(-len(self.ids) // BLOCK_DOCS)
+        self.column = np.full(len(self.vocab), -1, np.int16)
+        self.column[common] = np.arange(len(common))
+        self.dense, self.dense_top = np.zeros((len(self.ids), len(common)), np.float32), np.zeros((len(common), self.n_blocks))
+        for i, t in enumerate(common.tolist()):
             at = slice(self.lists[t], self.lists[t + 1])
-            self.matrix[i, self.post_doc[at]] = self.post_impact[at]
-        self.weight = np.zeros(len(self.vocab))
-
-    def add_up(self, terms: np.ndarray, idf: np.ndarray) -> np.ndarray:
-        """What terms add to each document's score."""
-        at = spans(self.lists[terms], self.lists[terms + 1])
-        return np.bincount(self.post_doc[at], np.repeat(idf, self.lists[terms + 1] - self.lists[terms]) * self.post_impact[at], len(self.ids))
-
-    def block_bounds(self, terms: np.ndarray, idf: np.ndarray) -> np.ndarray:
-        at = spans(self.block_lists[terms], self.block_lists[terms + 1])
-        return np.bincount(self.block[at], np.repeat(idf, self.block_lists[terms + 1] - self.block_lists[terms]) * self.block_top[at], self.n_blocks)
-
-    def look_up(self, docs: np.ndarray, terms: np.ndarray, idf: np.ndarray) -> np.ndarray:
-        """What terms add to the scores of docs."""
-        row = self.row[terms]
-        out = idf[row >= 0] @ self.matrix[np.ix_(row[row >= 0], docs)]
-        for t, w in zip(terms[row < 0].tolist(), idf[row < 0].tolist()):
-            held = self.post_doc[self.lists[t] : self.lists[t + 1]]
-            at = np.minimum(np.searchsorted(held, docs), len(held) - 1)
-            out += np.where(held[at] == docs, w * self.post_impact[self.lists[t] + at], 0.0)
-        return out
-
-    def score(self, docs: np.ndarray) -> np.ndarray:
-        """Full scores of docs, under the weights of the query at hand."""
-        if not len(docs):
-            return np.zeros(0)
-        at = spans(self.starts[docs], self.ends[docs])
-        n = self.ends[docs] - self.starts[docs]
-        return np.round(np.add.reduceat(self.impact[at] * self.weight[self.term[at]], n.cumsum() - n), PLACES)
-
-    def search(self, terms: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k best documents of a query (ids, scores), best first, ties by id."""
-        at = np.minimum(np.searchsorted(self.vocab, terms), max(0, len(self.vocab) - 1))
-        here = self.vocab[at] == terms if len(self.vocab) else np.zeros(len(terms), bool)
+            self.dense[self.post_doc[at], i] = self.post_impact[at]
+            at = slice(self.block_lists[t], self.block_lists[t + 1])
+            self.dense_top[i, self.block[at]] = self.block_top[at]
+        self.held = self.touched = 0
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("dense", "dense_top", "column")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.wake()
+
+    def add_up(self, at: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """The sum of weight times impact of the postings at, by document."""
+        self.touched += len(at)
+        return np.bincount(self.post_doc[at], weight * self.post_impact[at], len(self.ids))
+
+    def score(self, docs: np.ndarray, terms: np.ndarray, idf: np.ndarray) -> np.ndarray:
+        """Full scores of docs for terms (ascending places in vocab): a document's terms are added up in the order of their hashes, whatever the shard."""
+        out = np.zeros(len(docs))
+        for i, d in enumerate(docs.tolist()):
+            held = slice(self.ends[d - 1] if d else 0, self.ends[d])
+            mine = self.term[held]
+            at = np.minimum(np.searchsorted(mine, terms), len(mine) - 1)
+            hit = mine[at] == terms
+            count = self.count[held][at[hit]].astype(np.float64)
+            out[i] = (count * (K1 + 1) / (count + self.norm[d]) * idf[hit]).sum()
+            self.touched += len(count)
+        return np.round(out, PLACES)
+
+    def bounds(self, row: np.ndarray, block: np.ndarray, value: np.ndarray, n_terms: int, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For block entries (row: place of the term) the sum of their range's maxima from this term on, and each range's sum over all terms, on top of total."""
+        out = np.empty(len(row))
+        step = max(1, BOUND_CELLS // self.n_blocks)
+        for hi in range(n_terms, 0, -step):
+            lo = max(0, hi - step)
+            part = slice(*np.searchsorted(row, (lo, hi)))
+            cells = np.zeros((hi - lo, self.n_blocks))
+            cells[row[part] - lo, block[part]] = value[part]
+            cells = total + cells[::-1].cumsum(0)[::-1]
+            out[part] = cells[row[part] - lo, block[part]]
+            total = cells[0]
+        return out, total
+
+    def search(self, terms: np.ndarray, idf: np.ndarray, k: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """The k best documents of a query (ids, scores), best first, ties by id; those below the score least may be missing."""
+        at = np.minimum(np.searchsorted(self.vocab, terms), len(self.vocab) - 1)
+        here = self.vocab[at] == terms
         at, idf = at[here], idf[here]
-        if not len(at):
-            return self.ids[:0], np.zeros(0)
-        bound = idf * self.top[at]
-        order = np.argsort(-bound, kind="stable")
-        at, idf, bound = at[order], idf[order], bound[order]
-        rest = bound[::-1].cumsum()[::-1]
-        self.weight[at] = idf
-        postings = (self.lists[at + 1] - self.lists[at]).cumsum()
-        first = max(1, int(np.searchsorted(postings, FIRST_POSTINGS)))
-        sums = self.add_up(at[:first], idf[:first])
-        tried = np.argpartition(-sums, min(2 * k, len(sums) - 1))[: 2 * k]
-        full = self.score(tried[sums[tried] > 0])
-        least = np.partition(full, -k)[-k] - SLACK if len(full) >= k else -np.inf
-        pivot = max(first, int(np.searchsorted(-rest, -least, side="right")) if least > 0 else len(at))
-        if pivot > first:
-            sums += self.add_up(at[first:pivot], idf[first:pivot])
-        above = sums
-        if pivot < len(at):
-            above = sums + np.repeat(self.block_bounds(at[pivot:], idf[pivot:]), BLOCK_DOCS)[: len(sums)]
-        docs = np.flatnonzero((sums > 0) & (above >= least))
-        if pivot < len(at):
-            sums = sums[docs] + self.look_up(docs, at[pivot:], idf[pivot:])
-        else:
-            sums = sums[docs]
-        if len(docs) > k:
-            docs = docs[sums >= np.partition(sums, -k)[-k] - SLACK]
-        scores = self.score(docs)  # once more, in an order of terms that is the same in every shard
-        self.weight[at] = 0
-        best = np.lexsort((self.ids[docs], -scores))[:k]
-        return self.ids[docs[best]], scores[best]
-
-
-def search_block(rows: DataFrame, n_docs: int, mean_length: float, block: list[tuple[int, np.ndarray, np.ndarray]], k: int) -> DataFrame:
-    """(query_id, doc_id, score): each shard's top k for the queries of one block."""
-    shared = rows.sparkSession.sparkContext.broadcast(block)
-
-    def answers(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n_postings = self.lists[at + 1] - self.lists[at]
+        self.held += int(n_postings.sum())
+        # the most frequent terms come last: their impacts are looked up for the documents that are left
+        column = self.column[at]
+        last = np.zeros(self.dense.shape[1])
+        last[column[column >= 0]] = idf[column >= 0]
+        order = np.argsort(-idf * self.top[at], kind="stable")
+        order = order[column[order] < 0]
+        docs = self._candidates(at[order], idf[order], n_postings[order], last, int(n_postings[column >= 0].sum()), k, least, lambda docs: self.score(docs, at, idf))
+        scores = self.score(docs, at, idf)
+        order = np.lexsort((self.ids[docs], -scores))[:k]
+        order = order[scores[order] > 0]
+        return self.ids[docs[order]], scores[order]
+
+    def _candidates(self, at: np.ndarray, idf: np.ndarray, n_postings: np.ndarray, last: np.ndarray, last_postings: int, k: int, least: float, score: Callable) -> np.ndarray:
+        """All documents that may be among the k best, and few others."""
+
+        def kth(scores: np.ndarray, share: float) -> float:
+            best = np.partition(scores, -k)[-k] if len(scores) >= k else 0.0
+            return max(least, best * (1 - share) - SLACK)
+
+        if least <= 0 and len(at):  # a first k-th best score from documents that hold the terms of the largest bounds
+            first = max(1, int(np.searchsorted(n_postings.cumsum(), FIRST_POSTINGS)))
+            sums = self.add_up(spans(self.lists[at[:first]], self.lists[at[:first] + 1]), np.repeat(idf[:first], n_postings[:first]))
+            tried = np.argpartition(-sums, min(2 * k, len(sums) - 1))[: 2 * k]
+            least = kth(score(tried[sums[tried] > 0]), SLACK_SHARE)
+        n = self.block_lists[at + 1] - self.block_lists[at]
+        entry, row = spans(self.block_lists[at], self.block_lists[at + 1]), np.repeat(np.arange(len(at)), n)
+        block, value = self.block[entry], idf[row] * self.block_top[entry]
+        reach, rest = self.bounds(row, block, value, len(at), last @ self.dense_top)
+        slack = rest * SLACK_SHARE
+        alive, sums = rest + slack >= least, np.zeros(len(self.ids))
+        # blocks up to the pivots, then those behind them for ranges in which documents are left
+        read = alive[block] & (reach + slack[block] >= least)
+        for _ in range(2):
+            starts, ends = self.block_starts[entry[read]], self.block_starts[entry[read] + 1]
+            sums += self.add_up(spans(starts, ends), np.repeat(idf[row[read]], ends - starts))
+            rest = rest - np.bincount(block[read], value[read], self.n_blocks)
+            bound = sums + (np.maximum(0, rest) + slack).repeat(BLOCK_DOCS)[: len(sums)]
+            entry, row, block, value = entry[~read], row[~read], block[~read], value[~read]
+            if not len(entry):
+                break
+            read = np.logical_or.reduceat(bound >= least, np.arange(0, len(bound), BLOCK_DOCS))[block]
+        docs, last = np.flatnonzero(bound >= least), last.astype(np.float32)
+        if len(docs) > 4 * k:
+            some = docs[np.argpartition(-sums[docs], 2 * k)[: 2 * k]]
+            least = kth(sums[some] + self.dense[some] @ last, ROUNDED)
+            docs = docs[bound[docs] >= least]
+        sums = sums[docs] + (self.dense[docs] @ last if 2 * len(docs) < len(self.ids) else (self.dense @ last)[docs])
+        self.touched += min(last_postings, len(docs) * int(np.count_nonzero(last)))
+        return docs[sums * (1 + ROUNDED) + SLACK >= kth(sums, ROUNDED)]
+
+
+def build_shards(rows: DataFrame, mean_length: float) -> DataFrame:
+    """(index binary): the shards of rows (doc_id, length, terms, counts), cut from each task's rows."""
+
+    def shard_of(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         b = pa.Table.from_batches(parts).combine_chunks()
-        parts.clear()
         terms, counts = b["terms"].chunk(0), b["counts"].chunk(0)
-        shard = Shard(b["doc_id"].to_numpy(), b["length"].to_numpy(), np.diff(terms.offsets.to_numpy()), terms.flatten().to_numpy(), counts.flatten().to_numpy(), mean_length)
-        del b, terms, counts
-        for lo in range(0, len(shared.value), 512):
-            got = [(q, *shard.search(terms, idf, k)) for q, terms, idf in shared.value[lo : lo + 512]]
-            ids = np.repeat(np.array([g[0] for g in got], np.int64), [len(g[1]) for g in got])
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate([g[1] for g in got])), pa.array(np.concatenate([g[2] for g in got]))], names=["query_id", "doc_id", "score"])
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        made = Shard(b["doc_id"].to_numpy(), b["length"].to_numpy(), np.diff(terms.offsets.to_numpy()), terms.flatten().to_numpy(), counts.flatten().to_numpy(), mean_length)
+        return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(made, 5)], pa.binary())], names=["index"])
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n_rows, n_postings = [], 0, 0
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 256):
+                part = whole.slice(lo, 256)
+                sizes = pa.compute.list_value_length(part["terms"]).to_numpy(zero_copy_only=False)
+                at = 0
+                while at < part.num_rows:
+                    fits = int(np.searchsorted(n_postings + sizes[at:].cumsum(), SHARD_POSTINGS, side="right"))
+                    take = min(part.num_rows - at, SHARD_DOCS - n_rows, max(fits, 0 if n_rows else 1))
+                    if take == 0:
+                        yield shard_of(held)
+                        held, n_rows, n_postings = [], 0, 0
+                        continue
+                    held.append(part.slice(at, take))
+                    n_rows, n_postings, at = n_rows + take, n_postings + int(sizes[at : at + take].sum()), at + take
+        if n_rows:
+            yield shard_of(held)
+
+    return rows.filter("length > 0").mapInArrow(build, "index binary")
+
+
+def query_blocks(queries: DataFrame) -> DataFrame:
+    """(block binary): queries (query_id, terms, idf) packed, so many that a block stays small."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n_terms = [], 0
+
+        def packed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(held, 5)], pa.binary())], names=["block"])
+
         for b in batches:
-            b = b.filter(pc.greater(b["length"], 0))
-            for lo in range(0, b.num_rows, SHARD_DOCS // 4):
-                part = b.slice(lo, SHARD_DOCS // 4)
-                if sum(h.num_rows for h in held) + part.num_rows > SHARD_DOCS:
-                    yield from answers(held)
-                held.append(part)
+            for q, terms, idf in zip(b["query_id"].to_pylist(), b["terms"], b["idf"]):
+                held.append((q, terms.values.to_numpy(), idf.values.to_numpy()))
+                n_terms += len(held[-1][1])
+                if n_terms >= BLOCK_TERMS:
+                    yield packed()
+                    held, n_terms = [], 0
         if held:
-            yield from answers(held)
+            yield packed()
+
+    return queries.select("query_id", "terms", "idf").mapInArrow(pack, "block binary")
+
+
+def search_shards(shards: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, score): each shard's top k for every query, but what a shard met earlier in the same task has shown to be too low."""
+
+    def searched() -> object:
+        least: dict[int, float] = {}
+
+        def search(shard: Shard, block: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            got = []
+            for q, terms, idf in block:
+                ids, scores = shard.search(terms, idf, k, least.get(q, 0.0))
+                if len(ids) == k:
+                    least[q] = max(least.get(q, 0.0), scores[-1] - SLACK - SLACK_SHARE * scores[-1])
+                got.append((ids, scores))
+            of = np.repeat(np.array([q for q, _, _ in block], np.int64), [len(g[0]) for g in got])
+            return pa.RecordBatch.from_arrays([pa.array(of), pa.array(np.concatenate([g[0] for g in got])), pa.array(np.concatenate([g[1] for g in got]))], names=["query_id", "doc_id", "score"])
+
+        return search
 
-    return rows.coalesce(max(1, -(-n_docs // SHARD_DOCS))).mapInArrow(search, "query_id bigint, doc_id bigint, score double")
+    return meet(shards, blocks, searched, "query_id bigint, doc_id bigint, score double")
 
 
 def top_k(docs: DataFrame, is_query: Column, k: int = K) -> DataFrame:
@@ -228,27 +321,22 @@ def top_k(docs: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     places, ties go to the smaller doc_id. The query's own row takes part.
     Rows without a common term are not returned, so a null or empty text finds
     nothing and is never found. Rows with a null doc_id take no part. Rows with
-    the same doc_id are documents each, but one query. Other columns are not
-    read; an empty table gives no rows.
+    the same doc_id are documents each, but one query: the terms of all of
+    them. Other columns are not read; an empty table gives no rows.
     """
-    rows = stash(analysed(docs), "analysed")
-    n_docs, mean_length = rows.agg(F.count("*"), F.avg("length")).first()
+    rows = stash(analysed(docs.select("doc_id", "text")), "analysed")
+    n_docs, mean_length, n_postings = rows.agg(F.count("*"), F.avg("length"), F.sum(F.size("terms"))).first()
     if not mean_length:
         return rows.sparkSession.createDataFrame([], "query_id bigint, rank int, doc_id bigint, score double")
-    dfs = document_frequencies(rows)
-    asked = rows.filter(is_query).dropDuplicates(["doc_id"])
-    terms = asked.select(F.col("doc_id").alias("query_id"), F.explode("terms").alias("term")).join(dfs, "term")
+    shards = stash(build_shards(rows, mean_length).withColumn("no", F.monotonically_increasing_id()), "shards")
+    asked = rows.filter(is_query).select(F.col("doc_id").alias("query_id"), F.explode("terms").alias("term"))
+    terms = join_heavy(asked, stash(document_frequencies(rows), "term-counts"), ["term"], "df", n_postings)
     idf = F.log1p((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    queries = terms.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", idf.alias("idf")))).alias("t"))
-    queries = stash(queries.select("query_id", F.col("t.term").alias("terms"), F.col("t.idf").alias("idf")), "queries")
-    n_blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
-    found = None
-    for i in range(n_blocks):
-        block = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == i).orderBy("query_id").toArrow().to_pandas()
-        part = search_block(rows, n_docs, mean_length, list(zip(block.query_id.tolist(), block.terms, block.idf)), k)
-        found = part if found is None else found.unionByName(part)
+    queries = terms.groupBy("query_id").agg(F.sort_array(F.collect_set(F.struct("term", idf.alias("idf")))).alias("t"))
+    blocks = stash(query_blocks(queries.select("query_id", F.col("t.term").alias("terms"), F.col("t.idf").alias("idf"))), "query-blocks")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+    best = search_shards(shards, blocks, k).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return stash(best.select("query_id", "rank", "doc_id", "score"), "best", MEET_ROWS)
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,27 +29,84 @@ def ascii_lower(c: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares (spark.checkpoint.dir); one of our own only where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not found:
         found = tempfile.mkdtemp(prefix="thriftline-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
+def stash(df: DataFrame, name: str, arrow_rows: int | None = None) -> DataFrame:
     """Write df to the shared folder and read it back.
 
     Cuts the lineage: a lost executor makes Spark reread the files, not
     recompute what made them. Files belong to this application's folder and
-    can be removed once its results are written; see stashes_of.
+    can be removed once its results are written; see stashes_of. With
+    arrow_rows, Python workers get so many rows at a time meanwhile.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/thriftline-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", arrow_rows):
+        df.write.parquet(path)
     for paths in _recording:
         paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: int | None) -> Iterator[None]:
+    """A setting of the session for as long as the block runs; None leaves it as it is."""
+    old = spark.conf.get(key, None)
+    if value is not None:
+        spark.conf.set(key, str(value))
+    try:
+        yield
+    finally:
+        if value is not None:
+            spark.conf.unset(key) if old is None else spark.conf.set(key, old)
+
+
+#: Rows of large values that a Python worker gets at a time.
+MEET_ROWS = 1
+
+
+def meet(index: DataFrame, blocks: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:
+    """What make()(part, block) returns (a record batch) for each part of index (no, index) and each block of queries (block), all pickled.
+
+    Every part of an index has to see a stated set of queries, so this is the
+    one product of two tables here: of few, large rows, the parts of an index
+    and the blocks of queries. Spark reads both from their files: the smaller
+    one is broadcast if it is below Spark's own limit, else tasks pair up
+    partitions; nothing is shuffled. To be run by stash with arrow_rows =
+    MEET_ROWS, which keeps a batch small.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        call, no, part = make(), None, None
+        for b in batches:
+            for i in range(b.num_rows):
+                if b.column(0)[i].as_py() != no:
+                    part = None  # one part at a time
+                    no, part = b.column(0)[i].as_py(), pickle.loads(b.column(1)[i].as_buffer())
+                yield call(part, pickle.loads(b.column(2)[i].as_buffer()))
+
+    return index.select("no", "index").crossJoin(blocks.select("block")).mapInArrow(run, schema)
+
+
+def join_heavy(rows: DataFrame, dim: DataFrame, on: list[str], weight: str, total: int, how: str = "inner", most: int = 4096) -> DataFrame:
+    """rows joined with dim (one row per key) on keys of which a few may hold any share of the rows.
+
+    weight is a column of dim: how many of total rows a key has, or more.
+    Keys with over 1/most of the total are heavy. There are at most `most`, so
+    they are broadcast; the others are shuffled. dim and rows are read twice.
+    """
+    is_heavy = F.col(weight) * most >= F.lit(max(1, total))
+    heavy = F.broadcast(dim.filter(is_heavy))
+    light = rows.join(F.broadcast(dim.filter(is_heavy).select(*on)), on, "left_anti")
+    return rows.join(heavy, on).unionByName(light.join(dim.filter(~is_heavy), on, how))
+
+
 def shielded(docs: DataFrame, needed: list[str], run: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """run on docs, whose columns but the needed have other names meanwhile, so that none clashes with those that run makes.
 
