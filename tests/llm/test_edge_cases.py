@@ -135,3 +135,18 @@ def test_vectors(spark):
     got = vp_tree.nearest(df, F.col("vec_id") % 20 == 0, factor=1.0).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r["rank"], r.vec_id, r["score"]) for r in got] == [(0, 1, 1, 1.0), (0, 2, 20, 1.0), (0, 3, 6, 0.5), (0, 4, 7, -1.0), (20, 1, 0, 1.0), (20, 2, 1, 1.0), (20, 3, 6, 0.5), (20, 4, 7, -1.0)]
     assert vp_tree.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_vectors_of_one_id_and_of_other_lengths(spark):
+    """Rows are told apart by id and vector; brute force over those of the common length."""
+    rows = [(i // 3, [float(i % 7 - 3), float(i % 5), float(i % 11 - 5)]) for i in range(120)] + [(40, [9.0]), (41, [1.0, 2.0])]
+    units = sorted({(i, tuple(v)) for i, v in rows if len(v) == 3 and any(v)})
+    got = {}
+    for r in vp_tree.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0, k=5, factor=1.0).orderBy("query_id", "query_hash", "rank").collect():
+        got.setdefault((r.query_id, r.query_hash), []).append((r.vec_id, r["score"]))
+    want = []
+    for q, x in units:
+        if q % 10 == 0:
+            found = sorted((-sum(a * b for a, b in zip(x, v)), i) for i, v in units if (i, v) != (q, x))[:5]
+            want.append((q, [(i, -s) for s, i in found]))
+    assert sorted((q, v) for (q, _), v in got.items()) == sorted(want)

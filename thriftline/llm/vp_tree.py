@@ -6,20 +6,25 @@ sqrt(M^2 - |x|^2) with M the largest norm of the shard: the nearest point to
 when the triangle inequality puts all its points further than `factor` times
 the distance of the k-th best found so far. Factor one gives exact results; a
 smaller one skips more.
+
+Trees are built once and written to the shared folder, as are blocks of
+queries; both meet there, so neither is shuffled or copied for the other.
 """
 
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from thriftline.llm.common import stash
+from thriftline.llm.common import MEET_ROWS, meet, stash
 
 SHARD_VECTORS, BLOCK_QUERIES = 8192, 1024
 LEAF = 64
@@ -38,8 +43,9 @@ class Node:
 
 
 class VpTree:
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids = ids
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, keys: np.ndarray):
+        """ids settle ties; keys (two columns) tell the vectors apart."""
+        self.ids, self.keys = ids, keys
         norms = (vectors**2).sum(1)
         self.top = float(norms.max())
         self.points = np.hstack([vectors, np.sqrt(np.maximum(self.top - norms, 0))[:, None]])
@@ -130,66 +136,82 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.select("vec_id", same.alias("v")).select("*", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"))
 
 
+KEY = ["h1", "h2"]
+
+
 def build_index(classes: DataFrame, n_shards: int) -> DataFrame:
-    """(shard, tree): a pickled tree per shard of classes (class_id, v, h1)."""
+    """(index binary): a pickled tree per shard of classes (h1, h2, class_id, v)."""
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
-        tree = VpTree(rows.class_id.to_numpy(), np.array(rows.v.tolist(), dtype=np.float64))
-        return pd.DataFrame({"shard": [int(rows.shard.iloc[0])], "tree": [pickle.dumps(tree)]})
+        tree = VpTree(rows.class_id.to_numpy(), np.array(rows.v.tolist(), dtype=np.float64), rows[KEY].to_numpy())
+        return pd.DataFrame({"index": [pickle.dumps(tree, 5)]})
+
+    return classes.select(*KEY, "class_id", "v").groupBy(F.pmod("h1", F.lit(n_shards)).alias("shard")).applyInPandas(build, "index binary")
+
+
+def query_blocks(queries: DataFrame) -> DataFrame:
+    """(block binary): queries (h1, h2, v) packed."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for lo in range(0, len(b), BLOCK_QUERIES):
+                part = b.iloc[lo : lo + BLOCK_QUERIES]
+                yield pd.DataFrame({"block": [pickle.dumps((part[KEY].to_numpy(), np.array(part.v.tolist(), dtype=np.float64)), 5)]})
 
-    return classes.select("class_id", "v", F.pmod("h1", F.lit(n_shards)).cast("int").alias("shard")).groupBy("shard").applyInPandas(build, "shard int, tree binary")
+    return queries.select(*KEY, "v").mapInPandas(pack, "block binary")
 
 
-def search_index(index: DataFrame, n_shards: int, queries: DataFrame, n_queries: int, k: int, factor: float) -> DataFrame:
-    """(q_class, class_id, score): of each query (q_class, v, h1) the k best classes of each shard. Every block of queries meets every shard."""
-    n_blocks = max(1, -(-n_queries // BLOCK_QUERIES))
-    trees = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    asked = queries.select("q_class", "v", F.pmod("h1", F.lit(n_blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"))
+def search_index(index: DataFrame, blocks: DataFrame, k: int, factor: float) -> DataFrame:
+    """(q1, q2, h1, h2, class_id, score): of each query the k best classes of each shard."""
+    names = ["q1", "q2", *KEY, "class_id", "score"]
 
-    def search(tree: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        if tree.empty or rows.empty:
-            return pd.DataFrame({"q_class": [], "class_id": [], "score": []})
-        held: VpTree = pickle.loads(tree.tree.iloc[0])
-        q = np.array(rows.v.tolist(), dtype=np.float64)
-        found, _ = held.search(q, k, factor)
+    def search(tree: VpTree, block: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+        keys, q = block
+        found, _ = tree.search(q, k, factor)
         i, j = np.nonzero(found >= 0)
-        x = held.vectors[found[i, j]]
-        return pd.DataFrame({"q_class": rows.q_class.to_numpy()[i], "class_id": held.ids[found[i, j]], "score": (x * q[i]).sum(1)})
+        at = found[i, j]
+        score = (tree.vectors[at] * q[i]).sum(1)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (*keys[i].T, *tree.keys[at].T, tree.ids[at], score)], names=names)
 
-    return trees.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(search, "q_class long, class_id long, score double")
+    return meet(index, blocks, lambda: search, "q1 long, q2 long, h1 long, h2 long, class_id long, score double")
 
 
-def top(rows: DataFrame, by: str, k: int, *order: Column) -> DataFrame:
+def top(rows: DataFrame, by: list[str], k: int, *order: Column) -> DataFrame:
     """The first k rows of each value of by, with their rank from 1."""
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("rank") <= k)
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= k)
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = K, factor: float = FACTOR, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): of each query row the k nearest other rows found.
+    """(query_id, rank, vec_id, score, query_hash): of each query row the k nearest other rows found.
 
     Nearness is the largest inner product in double precision, ties go to the
     smaller vec_id. Vectors that are null, zero, or hold a null or non-finite
-    component take no part, nor does a null vec_id; vectors must have one
-    length. Equal vectors are searched once, as a class, and a class answers
-    with its k + 1 smallest ids, which is enough for k of any query. Rows with
-    the same vec_id are one row. An empty table gives no rows; other columns
-    are not read. is_query is a condition on vec_id.
+    component take no part, nor does a null vec_id, nor do vectors of another
+    length than most have (ties: the longer). Equal vectors are searched once,
+    as a class, and a class answers with its k + 1 smallest ids, which is
+    enough for k of any query. Rows with the same vec_id and equal vectors are
+    one row. Those with the same vec_id and different vectors are rows each:
+    such a vec_id may be found once for each of its vectors, and asks once for
+    each, told apart by query_hash, a hash of the query's vector. Only the row
+    itself is no candidate. An empty table gives no rows; other columns are not
+    read. is_query is a condition on vec_id.
     """
     rows = stash(usable(vectors, id_col, vec_col), "vectors")
-    classes = stash(rows.groupBy("h1", "h2").agg(F.min("vec_id").alias("class_id"), F.first("v").alias("v")), "vector-classes")
-    members = rows.select("h1", "h2", "vec_id").distinct()
-    members = members.withColumn("n", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("vec_id"))).filter(F.col("n") <= k + 1)
-    members = members.join(classes.select("h1", "h2", "class_id"), ["h1", "h2"]).select("class_id", "vec_id")
-    asking = rows.filter(is_query).select("h1", "h2", F.col("vec_id").alias("query_id")).distinct().join(classes.select("h1", "h2", F.col("class_id").alias("q_class")), ["h1", "h2"])
-    asking = stash(asking.select("query_id", "q_class"), "query-rows")
-    queries = classes.join(asking.select(F.col("q_class").alias("class_id")).distinct(), "class_id", "left_semi").withColumnRenamed("class_id", "q_class")
+    most = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+    rows = rows.filter(F.size("v") == (most["n"] if most else 0))
+    classes = stash(rows.groupBy(*KEY).agg(F.min("vec_id").alias("class_id"), F.first("v").alias("v")), "vector-classes")
+    members = top(rows.select(*KEY, "vec_id").distinct(), KEY, k + 1, F.asc("vec_id")).drop("rank")
+    asking = stash(rows.filter(is_query).select(F.col("vec_id").alias("query_id"), F.col("h1").alias("q1"), F.col("h2").alias("q2")).distinct(), "query-rows")
+    queries = classes.join(asking.select(F.col("q1").alias("h1"), F.col("q2").alias("h2")).distinct(), KEY, "left_semi")
     n_shards = max(1, -(-classes.count() // SHARD_VECTORS))
-    index = stash(build_index(classes, n_shards), "vp-trees")
-    found = search_index(index, n_shards, queries, queries.count(), k + 1, factor)
-    best = top(found, "q_class", k + 1, F.desc("score"), F.asc("class_id")).drop("rank")
-    best = top(best.join(members, "class_id"), "q_class", k + 1, F.desc("score"), F.asc("vec_id")).select("q_class", "vec_id", "score")
-    answers = asking.join(best, "q_class").filter("vec_id <> query_id")
-    return top(answers, "query_id", k, F.desc("score"), F.asc("vec_id")).select("query_id", "rank", "vec_id", "score")
+    index = stash(build_index(classes, n_shards).withColumn("no", F.monotonically_increasing_id()), "vp-trees")
+    found = search_index(index, stash(query_blocks(queries), "query-blocks"), k + 1, factor)
+    best = stash(top(found, ["q1", "q2"], k + 1, F.desc("score"), F.asc("class_id"), *map(F.asc, KEY)).drop("rank"), "best-classes", MEET_ROWS)
+    best = top(best.join(members, KEY), ["q1", "q2"], k + 1, F.desc("score"), F.asc("vec_id"), *map(F.asc, KEY)).drop("rank")
+    own = (F.col("vec_id") == F.col("query_id")) & (F.col("h1") == F.col("q1")) & (F.col("h2") == F.col("q2"))
+    answers = asking.join(best, ["q1", "q2"]).filter(~own)
+    answers = top(answers, ["query_id", "q1", "q2"], k, F.desc("score"), F.asc("vec_id"), *map(F.asc, KEY))
+    return answers.select("query_id", "rank", "vec_id", "score", F.col("q1").alias("query_hash"))
 
 
 def query(vectors: DataFrame) -> DataFrame:
