@@ -29,11 +29,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from thriftline.llm.common import MEET_ROWS, join_heavy, meet, stash
+from thriftline.llm.common import LARGE, MEETING, join_heavy, meet, stash
 
 K, K1, B = 10, 1.2, 0.75
 #: A shard's postings (more only where one document has more) and documents; documents to a range; terms to a block of queries.
-SHARD_POSTINGS, SHARD_DOCS, BLOCK_DOCS, BLOCK_TERMS = 1 << 21, 1 << 15, 128, 1 << 16
+SHARD_POSTINGS, SHARD_DOCS, BLOCK_DOCS, BLOCK_TERMS = 1 << 20, 1 << 15, 128, 1 << 18
 #: Scores are compared to this many places, so that the order of a sum's parts does not decide; bounds leave SLACK (and a share of the score) for it.
 PLACES, SLACK, SLACK_SHARE = 9, 1e-7, 1e-11
 FIRST_POSTINGS = 2048
@@ -328,15 +328,15 @@ def top_k(docs: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     n_docs, mean_length, n_postings = rows.agg(F.count("*"), F.avg("length"), F.sum(F.size("terms"))).first()
     if not mean_length:
         return rows.sparkSession.createDataFrame([], "query_id bigint, rank int, doc_id bigint, score double")
-    shards = stash(build_shards(rows, mean_length).withColumn("no", F.monotonically_increasing_id()), "shards")
+    shards = stash(build_shards(rows, mean_length).withColumn("no", F.monotonically_increasing_id()), "shards", options=LARGE)
     asked = rows.filter(is_query).select(F.col("doc_id").alias("query_id"), F.explode("terms").alias("term"))
     terms = join_heavy(asked, stash(document_frequencies(rows), "term-counts"), ["term"], "df", n_postings)
     idf = F.log1p((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     queries = terms.groupBy("query_id").agg(F.sort_array(F.collect_set(F.struct("term", idf.alias("idf")))).alias("t"))
-    blocks = stash(query_blocks(queries.select("query_id", F.col("t.term").alias("terms"), F.col("t.idf").alias("idf"))), "query-blocks")
+    blocks = stash(query_blocks(queries.select("query_id", F.col("t.term").alias("terms"), F.col("t.idf").alias("idf"))), "query-blocks", options=LARGE)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     best = search_shards(shards, blocks, k).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return stash(best.select("query_id", "rank", "doc_id", "score"), "best", MEET_ROWS)
+    return stash(best.select("query_id", "rank", "doc_id", "score"), "best", settings=MEETING)
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -37,38 +37,39 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stash(df: DataFrame, name: str, arrow_rows: int | None = None) -> DataFrame:
+def stash(df: DataFrame, name: str, settings: dict[str, str] | None = None, options: dict[str, str] | None = None) -> DataFrame:
     """Write df to the shared folder and read it back.
 
     Cuts the lineage: a lost executor makes Spark reread the files, not
     recompute what made them. Files belong to this application's folder and
-    can be removed once its results are written; see stashes_of. With
-    arrow_rows, Python workers get so many rows at a time meanwhile.
+    can be removed once its results are written; see stashes_of. settings hold
+    for the session while df is written; options are the writer's.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/thriftline-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", arrow_rows):
-        df.write.parquet(path)
+    with settings_of(spark, settings or {}):
+        df.write.options(**(options or {})).parquet(path)
     for paths in _recording:
         paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
-def setting(spark: SparkSession, key: str, value: int | None) -> Iterator[None]:
-    """A setting of the session for as long as the block runs; None leaves it as it is."""
-    old = spark.conf.get(key, None)
-    if value is not None:
-        spark.conf.set(key, str(value))
+def settings_of(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings of the session for as long as the block runs."""
+    old = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if value is not None:
-            spark.conf.unset(key) if old is None else spark.conf.set(key, old)
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-#: Rows of large values that a Python worker gets at a time.
-MEET_ROWS = 1
+#: For tables of few, very large values: a row group for each when written; when they meet, one at a time is read and sent to Python.
+LARGE = {"parquet.block.size": str(1 << 20), "parquet.block.row.count.limit": "1", "parquet.page.size.row.check.min": "1", "parquet.enable.dictionary": "false"}
+MEETING = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1", "spark.sql.parquet.enableVectorizedReader": "false"}
 
 
 def meet(index: DataFrame, blocks: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:
@@ -76,10 +77,10 @@ def meet(index: DataFrame, blocks: DataFrame, make: Callable[[], Callable], sche
 
     Every part of an index has to see a stated set of queries, so this is the
     one product of two tables here: of few, large rows, the parts of an index
-    and the blocks of queries. Spark reads both from their files: the smaller
-    one is broadcast if it is below Spark's own limit, else tasks pair up
-    partitions; nothing is shuffled. To be run by stash with arrow_rows =
-    MEET_ROWS, which keeps a batch small.
+    and the blocks of queries. Spark reads both from their files (stashed with
+    LARGE): the smaller one is broadcast if it is below Spark's own limit, else
+    tasks pair up partitions; nothing is shuffled. To be run by stash with
+    MEETING, which keeps few of the values in memory.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from thriftline.llm.common import MEET_ROWS, meet, stash
+from thriftline.llm.common import LARGE, MEETING, meet, stash
 
 SHARD_VECTORS, BLOCK_QUERIES = 8192, 1024
 LEAF = 64
@@ -204,9 +204,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, factor: float = FA
     asking = stash(rows.filter(is_query).select(F.col("vec_id").alias("query_id"), F.col("h1").alias("q1"), F.col("h2").alias("q2")).distinct(), "query-rows")
     queries = classes.join(asking.select(F.col("q1").alias("h1"), F.col("q2").alias("h2")).distinct(), KEY, "left_semi")
     n_shards = max(1, -(-classes.count() // SHARD_VECTORS))
-    index = stash(build_index(classes, n_shards).withColumn("no", F.monotonically_increasing_id()), "vp-trees")
-    found = search_index(index, stash(query_blocks(queries), "query-blocks"), k + 1, factor)
-    best = stash(top(found, ["q1", "q2"], k + 1, F.desc("score"), F.asc("class_id"), *map(F.asc, KEY)).drop("rank"), "best-classes", MEET_ROWS)
+    index = stash(build_index(classes, n_shards).withColumn("no", F.monotonically_increasing_id()), "vp-trees", options=LARGE)
+    found = search_index(index, stash(query_blocks(queries), "query-blocks", options=LARGE), k + 1, factor)
+    best = stash(top(found, ["q1", "q2"], k + 1, F.desc("score"), F.asc("class_id"), *map(F.asc, KEY)).drop("rank"), "best-classes", settings=MEETING)
     best = top(best.join(members, KEY), ["q1", "q2"], k + 1, F.desc("score"), F.asc("vec_id"), *map(F.asc, KEY)).drop("rank")
     own = (F.col("vec_id") == F.col("query_id")) & (F.col("h1") == F.col("q1")) & (F.col("h2") == F.col("q2"))
     answers = asking.join(best, ["q1", "q2"]).filter(~own)
