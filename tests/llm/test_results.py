@@ -179,7 +179,7 @@ def shard_of(texts):
     made = bm25.Shard(np.arange(len(texts)) * 3, np.array([p[2] for p in parts]), np.array([len(p[0]) for p in parts]), np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.mean([p[2] for p in parts]))
     df = Counter(t for p in parts for t in p[0].tolist())
     idf_of = lambda t: np.log1p((len(texts) - df[t] + 0.5) / (df[t] + 0.5))
-    return made, [(p[0], np.array([idf_of(t) for t in p[0].tolist()])) for p in parts]
+    return made.wake(), [(p[0], np.array([idf_of(t) for t in p[0].tolist()])) for p in parts]
 
 
 def brute_force(shard, terms, idf):
@@ -216,7 +216,7 @@ def test_bm25_skips_blocks_of_postings(monkeypatch):
         terms = np.array(sorted(idf))
         found = shard.search(terms, np.array([idf[t] for t in terms]), 10)
         assert (found[0].tolist(), found[1].tolist()) == brute_force(shard, terms, np.array([idf[t] for t in terms]))
-    shard.wake()
+    shard.held = shard.touched = 0
     for i in range(0, 6000, 500):
         terms = np.array(sorted(bm25.terms_of(w)[0][0] for w in (f"rare{i // 40}", "common1", "common17", "common99")))
         shard.search(terms, np.where(terms == bm25.terms_of(f"rare{i // 40}")[0][0], 5.0, 1.0), 10)

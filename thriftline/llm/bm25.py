@@ -37,6 +37,8 @@ SHARD_POSTINGS, SHARD_DOCS, BLOCK_DOCS, BLOCK_TERMS = 1 << 20, 1 << 15, 128, 1 <
 #: Scores are compared to this many places, so that the order of a sum's parts does not decide; bounds leave SLACK (and a share of the score) for it.
 PLACES, SLACK, SLACK_SHARE = 9, 1e-7, 1e-11
 FIRST_POSTINGS = 2048
+#: A shard is cut out of batches of so many rows, which stay in memory meanwhile.
+BUILDING = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 #: Share by which sums in single precision may be off.
 ROUNDED = 5e-5
 #: A shard's most frequent terms (in one of DENSE_SHARE documents at least) are kept by document too.
@@ -103,32 +105,45 @@ def rounded_up(x: np.ndarray) -> np.ndarray:
 
 
 class Shard:
-    """The index of some documents. terms and counts hold the documents' entries one after another, n the number of each."""
+    """The index of some documents: what is stored is ids, lengths, terms, and lists of documents and counts; the rest is derived when it is loaded."""
+
+    STORED = ("ids", "lengths", "vocab", "lists", "post_doc", "post_count", "mean_length")
 
     def __init__(self, doc_ids: np.ndarray, lengths: np.ndarray, n: np.ndarray, terms: np.ndarray, counts: np.ndarray, mean_length: float):
-        self.ids, self.ends = doc_ids, np.cumsum(n, dtype=np.int64)
-        self.norm = K1 * (1 - B + B * lengths / mean_length)
+        """terms and counts hold the documents' entries one after another, n the number of each."""
+        self.ids, self.lengths, self.mean_length = doc_ids, lengths, mean_length
         order = np.argsort(terms, kind="stable")  # by term, then document
         held = terms[order]
         first = np.flatnonzero(np.diff(held, prepend=~held[:1]) != 0)
         self.vocab, self.lists = held[first], np.append(first, len(held)).astype(np.int32)
-        term = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(self.lists))
-        self.term, self.count = np.empty(len(held), np.int32), counts.astype(np.int32)
-        self.term[order] = term
+        del held
         self.post_doc = np.repeat(np.arange(len(n), dtype=np.uint16), n)[order]
-        f = counts[order].astype(np.float64)
+        self.post_count = counts[order].astype(np.min_scalar_type(counts.max()))
+
+    def __getstate__(self) -> dict:
+        return {k: getattr(self, k) for k in self.STORED}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.wake()
+
+    def wake(self) -> Shard:
+        """Derive impacts, blocks, the documents' own lists, and the impacts of the most frequent terms by document."""
+        df = np.diff(self.lists)
+        self.norm = K1 * (1 - B + B * self.lengths / self.mean_length)
+        f = self.post_count.astype(np.float64)
         self.post_impact = rounded_up(f * (K1 + 1) / (f + self.norm[self.post_doc]))
+        del f
+        term = np.repeat(np.arange(len(df), dtype=np.int32), df)
+        order = np.argsort(self.post_doc, kind="stable")  # by document, then term
+        self.term, self.count = term[order], self.post_count[order]
+        self.ends = np.bincount(self.post_doc, minlength=len(self.ids)).cumsum()
         block = self.post_doc // np.uint16(BLOCK_DOCS)
-        first = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(block.astype(np.int32), prepend=-1) != 0))
-        self.block, self.block_lists = block[first], np.searchsorted(term[first], np.arange(len(self.vocab) + 1)).astype(np.int32)
-        self.block_starts = np.append(first, len(held)).astype(np.int32)
+        first = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (block != np.roll(block, 1)))
+        self.block, self.block_lists = block[first], np.searchsorted(term[first], np.arange(len(df) + 1)).astype(np.int32)
+        self.block_starts = np.append(first, len(term)).astype(np.int32)
         self.block_top = np.maximum.reduceat(self.post_impact, first)
         self.top = np.maximum.reduceat(self.post_impact, self.lists[:-1])
-        self.wake()
-
-    def wake(self) -> None:
-        """What is not stored: impacts of the most frequent terms by document, and how many postings queries held and touched."""
-        df = np.diff(self.lists)
         common = np.argsort(-df, kind="stable")[:DENSE_TERMS]
         common = common[df[common] * DENSE_SHARE >= len(self.ids)]
         self.n_blocks = -(-len(self.ids) // BLOCK_DOCS)
@@ -140,14 +155,8 @@ class Shard:
             self.dense[self.post_doc[at], i] = self.post_impact[at]
             at = slice(self.block_lists[t], self.block_lists[t + 1])
             self.dense_top[i, self.block[at]] = self.block_top[at]
-        self.held = self.touched = 0
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("dense", "dense_top", "column")}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
-        self.wake()
+        self.held = self.touched = 0  # postings of the queries' lists, and those that were read
+        return self
 
     def add_up(self, at: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """The sum of weight times impact of the postings at, by document."""
@@ -252,7 +261,7 @@ def build_shards(rows: DataFrame, mean_length: float) -> DataFrame:
         held, n_rows, n_postings = [], 0, 0
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
-                part = whole.slice(lo, 256)
+                part = whole.slice(lo, 256).select(["doc_id", "length", "terms", "counts"])
                 sizes = pa.compute.list_value_length(part["terms"]).to_numpy(zero_copy_only=False)
                 at = 0
                 while at < part.num_rows:
@@ -328,7 +337,7 @@ def top_k(docs: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     n_docs, mean_length, n_postings = rows.agg(F.count("*"), F.avg("length"), F.sum(F.size("terms"))).first()
     if not mean_length:
         return rows.sparkSession.createDataFrame([], "query_id bigint, rank int, doc_id bigint, score double")
-    shards = stash(build_shards(rows, mean_length).withColumn("no", F.monotonically_increasing_id()), "shards", options=LARGE)
+    shards = stash(build_shards(rows, mean_length).withColumn("no", F.monotonically_increasing_id()), "shards", BUILDING, LARGE)
     asked = rows.filter(is_query).select(F.col("doc_id").alias("query_id"), F.explode("terms").alias("term"))
     terms = join_heavy(asked, stash(document_frequencies(rows), "term-counts"), ["term"], "df", n_postings)
     idf = F.log1p((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
