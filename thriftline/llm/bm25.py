@@ -19,7 +19,7 @@ scored in full, best bound first, until the bound falls below the k-th best.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,7 +33,7 @@ from thriftline.llm.common import LARGE, MEETING, join_heavy, meet, stash
 
 K, K1, B = 10, 1.2, 0.75
 #: A shard's postings (more only where one document has more) and documents; documents to a range; terms to a block of queries.
-SHARD_POSTINGS, SHARD_DOCS, BLOCK_DOCS, BLOCK_TERMS = 1 << 20, 1 << 15, 128, 1 << 18
+SHARD_POSTINGS, SHARD_DOCS, BLOCK_DOCS, BLOCK_TERMS = 1 << 21, 1 << 15, 128, 1 << 19
 #: Scores are compared to this many places, so that the order of a sum's parts does not decide; bounds leave SLACK (and a share of the score) for it.
 PLACES, SLACK, SLACK_SHARE = 9, 1e-7, 1e-11
 FIRST_POSTINGS = 2048
@@ -203,33 +203,34 @@ class Shard:
         last[column[column >= 0]] = idf[column >= 0]
         order = np.argsort(-idf * self.top[at], kind="stable")
         order = order[column[order] < 0]
-        docs = self._candidates(at[order], idf[order], n_postings[order], last, int(n_postings[column >= 0].sum()), k, least, lambda docs: self.score(docs, at, idf))
+        docs = self._candidates(at[order], idf[order], n_postings[order], last, int(n_postings[column >= 0].sum()), k, least)
         scores = self.score(docs, at, idf)
         order = np.lexsort((self.ids[docs], -scores))[:k]
         order = order[scores[order] > 0]
         return self.ids[docs[order]], scores[order]
 
-    def _candidates(self, at: np.ndarray, idf: np.ndarray, n_postings: np.ndarray, last: np.ndarray, last_postings: int, k: int, least: float, score: Callable) -> np.ndarray:
+    def _candidates(self, at: np.ndarray, idf: np.ndarray, n_postings: np.ndarray, last: np.ndarray, last_postings: int, k: int, least: float) -> np.ndarray:
         """All documents that may be among the k best, and few others."""
 
         def kth(scores: np.ndarray, share: float) -> float:
             best = np.partition(scores, -k)[-k] if len(scores) >= k else 0.0
             return max(least, best * (1 - share) - SLACK)
 
+        last_top, last = last @ self.dense_top, last.astype(np.float32)
         if least <= 0 and len(at):  # a first k-th best score from documents that hold the terms of the largest bounds
             first = max(1, int(np.searchsorted(n_postings.cumsum(), FIRST_POSTINGS)))
             sums = self.add_up(spans(self.lists[at[:first]], self.lists[at[:first] + 1]), np.repeat(idf[:first], n_postings[:first]))
             tried = np.argpartition(-sums, min(2 * k, len(sums) - 1))[: 2 * k]
-            least = kth(score(tried[sums[tried] > 0]), SLACK_SHARE)
+            least = kth(sums[tried] + self.dense[tried] @ last, ROUNDED)
         n = self.block_lists[at + 1] - self.block_lists[at]
         entry, row = spans(self.block_lists[at], self.block_lists[at + 1]), np.repeat(np.arange(len(at)), n)
         block, value = self.block[entry], idf[row] * self.block_top[entry]
-        reach, rest = self.bounds(row, block, value, len(at), last @ self.dense_top)
+        reach, rest = self.bounds(row, block, value, len(at), last_top)
         slack = rest * SLACK_SHARE
         alive, sums = rest + slack >= least, np.zeros(len(self.ids))
         # blocks up to the pivots, then those behind them for ranges in which documents are left
         read = alive[block] & (reach + slack[block] >= least)
-        for _ in range(2):
+        for turn in (0, 1):
             starts, ends = self.block_starts[entry[read]], self.block_starts[entry[read] + 1]
             sums += self.add_up(spans(starts, ends), np.repeat(idf[row[read]], ends - starts))
             rest = rest - np.bincount(block[read], value[read], self.n_blocks)
@@ -238,7 +239,7 @@ class Shard:
             if not len(entry):
                 break
             read = np.logical_or.reduceat(bound >= least, np.arange(0, len(bound), BLOCK_DOCS))[block]
-        docs, last = np.flatnonzero(bound >= least), last.astype(np.float32)
+        docs = np.flatnonzero(bound >= least)
         if len(docs) > 4 * k:
             some = docs[np.argpartition(-sums[docs], 2 * k)[: 2 * k]]
             least = kth(sums[some] + self.dense[some] @ last, ROUNDED)
@@ -334,7 +335,8 @@ def top_k(docs: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     them. Other columns are not read; an empty table gives no rows.
     """
     rows = stash(analysed(docs.select("doc_id", "text")), "analysed")
-    n_docs, mean_length, n_postings = rows.agg(F.count("*"), F.avg("length"), F.sum(F.size("terms"))).first()
+    n_terms = F.size("terms")
+    n_docs, mean_length, n_postings, n_asked = rows.agg(F.count("*"), F.avg("length"), F.sum(n_terms), F.coalesce(F.sum(F.when(is_query, n_terms)), F.lit(0))).first()
     if not mean_length:
         return rows.sparkSession.createDataFrame([], "query_id bigint, rank int, doc_id bigint, score double")
     shards = stash(build_shards(rows, mean_length).withColumn("no", F.monotonically_increasing_id()), "shards", BUILDING, LARGE)
@@ -342,7 +344,8 @@ def top_k(docs: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     terms = join_heavy(asked, stash(document_frequencies(rows), "term-counts"), ["term"], "df", n_postings)
     idf = F.log1p((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     queries = terms.groupBy("query_id").agg(F.sort_array(F.collect_set(F.struct("term", idf.alias("idf")))).alias("t"))
-    blocks = stash(query_blocks(queries.select("query_id", F.col("t.term").alias("terms"), F.col("t.idf").alias("idf"))), "query-blocks", options=LARGE)
+    queries = queries.select("query_id", F.col("t.term").alias("terms"), F.col("t.idf").alias("idf")).coalesce(-(-n_asked // BLOCK_TERMS) or 1)
+    blocks = stash(query_blocks(queries), "query-blocks", options=LARGE)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     best = search_shards(shards, blocks, k).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return stash(best.select("query_id", "rank", "doc_id", "score"), "best", settings=MEETING)
