@@ -33,7 +33,7 @@ from thriftline.llm.common import LARGE, MEETING, join_heavy, meet, stash
 
 K, K1, B = 10, 1.2, 0.75
 #: A shard's postings (more only where one document has more) and documents; documents to a range; terms to a block of queries.
-SHARD_POSTINGS, SHARD_DOCS, BLOCK_DOCS, BLOCK_TERMS = 1 << 21, 1 << 15, 128, 1 << 19
+SHARD_POSTINGS, SHARD_DOCS, BLOCK_DOCS, BLOCK_TERMS = 3 << 19, 1 << 15, 128, 1 << 19
 #: Scores are compared to this many places, so that the order of a sum's parts does not decide; bounds leave SLACK (and a share of the score) for it.
 PLACES, SLACK, SLACK_SHARE = 9, 1e-7, 1e-11
 FIRST_POSTINGS = 2048
@@ -45,6 +45,7 @@ ROUNDED = 5e-5
 DENSE_TERMS, DENSE_SHARE = 256, 16
 TEXT_ROWS = 500
 BOUND_CELLS = 1 << 20
+STEP = 1 << 17
 
 #: ASCII but digits and letters separates terms; A-Z is lower-cased.
 _AS_SPACE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -113,7 +114,7 @@ class Shard:
         """terms and counts hold the documents' entries one after another, n the number of each."""
         self.ids, self.lengths, self.mean_length = doc_ids, lengths, mean_length
         order = np.argsort(terms, kind="stable")  # by term, then document
-        held = terms[order]
+        held, terms = terms[order], None
         first = np.flatnonzero(np.diff(held, prepend=~held[:1]) != 0)
         self.vocab, self.lists = held[first], np.append(first, len(held)).astype(np.int32)
         del held
@@ -131,12 +132,15 @@ class Shard:
         """Derive impacts, blocks, the documents' own lists, and the impacts of the most frequent terms by document."""
         df = np.diff(self.lists)
         self.norm = K1 * (1 - B + B * self.lengths / self.mean_length)
-        f = self.post_count.astype(np.float64)
-        self.post_impact = rounded_up(f * (K1 + 1) / (f + self.norm[self.post_doc]))
-        del f
+        self.post_impact = np.empty(len(self.post_doc), np.float32)
+        for lo in range(0, len(self.post_doc), STEP):  # a task's memory is what bounds a shard
+            at = slice(lo, lo + STEP)
+            f = self.post_count[at].astype(np.float64)
+            self.post_impact[at] = rounded_up(f * (K1 + 1) / (f + self.norm[self.post_doc[at]]))
         term = np.repeat(np.arange(len(df), dtype=np.int32), df)
         order = np.argsort(self.post_doc, kind="stable")  # by document, then term
         self.term, self.count = term[order], self.post_count[order]
+        del order
         self.ends = np.bincount(self.post_doc, minlength=len(self.ids)).cumsum()
         block = self.post_doc // np.uint16(BLOCK_DOCS)
         first = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (block != np.roll(block, 1)))
