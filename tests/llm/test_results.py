@@ -291,3 +291,44 @@ def test_a_large_group_of_near_copies_loses_no_link(spark, measure):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in jaccard_join.similarity_groups(docs, measure).collect()}
     assert [got[i] for i in range(len(texts))] == group and len(set(group)) > 3
+
+
+@pytest.mark.parametrize("limit", [0, 10**6])
+@pytest.mark.parametrize("part", [8, 4096])
+def test_groups_when_lists_are_dealt_and_ids_repeat(spark, monkeypatch, limit, part):
+    """A shingle in every text, one id with different texts, repeated rows; both ways of fetching texts, long and short parts."""
+    monkeypatch.setattr(jaccard_join, "MAX_BROADCAST_IDS", limit)
+    monkeypatch.setattr(jaccard_join, "LIST_PART", part)
+    monkeypatch.setattr(jaccard_join, "SAMPLE", 1)
+    rng = np.random.default_rng(11)
+    bases = [[f"w{rng.integers(10**6)}" for _ in range(rng.integers(30, 60))] for _ in range(25)]
+    rows = []
+    for i in range(300):
+        words = list(bases[i % 25])
+        for at in rng.integers(0, len(words), rng.integers(0, 3)):
+            words[at] = f"x{rng.integers(10**6)}"
+        rows.append((i if i % 10 else i // 20, "one phrase for all " + " ".join(words)))
+    rows += rows[:20] + [(1000, None), (1000, "only this"), (1001, "only this"), (None, "only this")]
+    measure = jaccard_join.Measure()
+    sets = [set(jaccard_join.shingles(t, 3)[0].tolist()) for _, t in rows]
+    group = {d: d for d, _ in rows if d is not None}
+
+    def merge(x, y):
+        for d in group:
+            if group[d] == max(x, y):
+                group[d] = min(x, y)
+
+    for (a, x), (b, y) in itertools.combinations(zip([d for d, _ in rows], sets), 2):
+        if None not in (a, b) and x and y and group[a] != group[b] and measure.den * len(x & y) >= measure.num * len(x | y):
+            merge(group[a], group[b])
+    got = jaccard_join.similarity_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), measure).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == sorted((str(d), len(s), str(group.get(d))) for (d, _), s in zip(rows, sets))
+    assert 5 < len(set(group.values())) < 200
+
+
+def test_two_texts_of_one_id_link_its_neighbours(spark):
+    a, b, z = ("alpha beta gamma delta " * 3).split(), [f"b{i}" for i in range(40)], ["z"]
+    rows = [(1, " ".join(a + b[:30])), (1, " ".join(b[30:] + a[::-1])), (2, " ".join(a + b[:30] + z)), (3, " ".join(b[30:] + a[::-1] + z)), (4, "something else here")]
+    measure = jaccard_join.Measure(3, 80, 100)
+    got = jaccard_join.similarity_groups(spark.createDataFrame(rows, "doc_id long, text string"), measure).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]

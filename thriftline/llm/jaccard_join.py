@@ -8,9 +8,11 @@ that they share at most |x| + |y| - 2 * (least overlap) shingles differ.
 1. A first round pairs the sets that share one of their first few shingles with
    one pivot per shingle. Its links make components.
 2. Index lists (one per prefix shingle) give the other pairs. A list whose sets
-   are in one component already can add nothing and is skipped. A long one is
-   cut into blocks by size and position; blocks whose sizes or positions rule a
-   link out are skipped. Parity sketches rule out most pairs that are left.
+   are in one component already can add nothing and is skipped. A frequent one
+   is dealt into parts, and each two parts meet in a group of their own, so no
+   task holds more than two parts. A group is cut into blocks by size and
+   position; blocks whose sizes or positions rule a link out are skipped. Parity
+   sketches rule out most pairs that are left.
 3. Each set's nearest candidates are verified first. Sets that they link take
    over each other's answers: a pair of sets in one component by now needs no
    answer, and one whose leaders (the linked sets nearest to them) have a known
@@ -32,15 +34,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from thriftline.llm.common import stash
+from thriftline.llm.common import join_heavy, stash
 from thriftline.llm.graph import components
 
 FIRST_SHINGLES, NEAREST = 8, 2
 BLOCK = 64
 SET_ROWS = 200
-#: The order of shingles comes from one in SAMPLE documents: frequent are those in one in FREQUENT_SHARE of them, and in
-#: FREQUENT_LEAST at least. It steers the cost only; links do not depend on it.
-SAMPLE, FREQUENT_SHARE, FREQUENT_LEAST, MAX_FREQUENT = 16, 2000, 4, 2_000_000
+#: The order of shingles comes from one in SAMPLE documents: frequent are those in one in FREQUENT_SHARE of them, or in
+#: FREQUENT_MOST; in FREQUENT_LEAST at least, and the MAX_FREQUENT most frequent ones. It steers the cost only; links do not depend on it.
+SAMPLE, FREQUENT_SHARE, FREQUENT_LEAST, FREQUENT_MOST, MAX_FREQUENT = 16, 2000, 4, 256, 1_000_000
+#: Entries to a part of a frequent shingle's list, and candidate pairs that are looked at together.
+LIST_PART, PAIR_ROWS = 4096, 1 << 18
+#: Up to so many ids are broadcast, more are shuffled; either way gives the same rows.
 MAX_BROADCAST_IDS = 1_000_000
 #: Bits of a set's parity sketch: a power of two, twice its size at least, within these bounds. Each shingle flips one, so
 #: two sketches differ in no more bits than the sets in shingles. A longer one folds to half by xor of its halves.
@@ -110,29 +115,28 @@ def folded(sketch: np.ndarray, words: int) -> np.ndarray:
     return sketch
 
 
-def sets_of(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, shingles array<bigint>), in small batches: a long document's set takes more room than its text."""
+def sets_of(docs: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
+    """(key, shingles array<bigint>), in small batches: a long document's set takes more room than its text."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, SET_ROWS):
                 part = b.slice(lo, SET_ROWS)
                 sets = [shingles(t, n)[0] for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=[key, "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(made, T.StructType([docs.schema["doc_id"], T.StructField("shingles", T.ArrayType(T.LongType()))]))
+    return docs.select(key, "text").mapInArrow(made, T.StructType([docs.schema[key], T.StructField("shingles", T.ArrayType(T.LongType()))]))
 
 
 def frequent_shingles(docs: DataFrame, n: int) -> np.ndarray:
     sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
-    least = max(FREQUENT_LEAST, sample.count() // FREQUENT_SHARE)
+    least = max(FREQUENT_LEAST, min(FREQUENT_MOST, sample.count() // FREQUENT_SHARE))
     counted = sets_of(sample, n).select(F.explode("shingles").alias("s")).groupBy("s").count().filter(F.col("count") >= least)
-    # a set has shingles / least of them at most; the limit keeps the broadcast small whatever the data
-    return np.sort(np.array([r[0] for r in counted.select("s").limit(MAX_FREQUENT).collect()], dtype=np.int64))
+    return np.sort(counted.orderBy(F.desc("count"), "s").limit(MAX_FREQUENT).select("s").toArrow()["s"].to_numpy())
 
 
 def sketched(docs: DataFrame, measure: Measure) -> DataFrame:
-    """(doc_id, size, s1, s2, prefix, sketch, rare): size and signature of each set, its prefix in the common order (the first `rare` are not frequent), and its parity sketch."""
+    """(doc_id, text_hash, size, s1, s2, prefix, sketch, rare): size and signature of each set, its prefix in the common order (the first `rare` are not frequent), and its parity sketch."""
     held = docs.sparkSession.sparkContext.broadcast((frequent_shingles(docs, measure.n), measure))
 
     @F.pandas_udf("size bigint, s1 bigint, s2 bigint, prefix array<bigint>, sketch array<bigint>, rare int")
@@ -150,23 +154,40 @@ def sketched(docs: DataFrame, measure: Measure) -> DataFrame:
             out.append((len(code), *signature, code[order] if len(code) else code, parity_sketch(code), int((~common[order]).sum()) if len(code) else 0))
         return pd.DataFrame(out, columns=["size", "s1", "s2", "prefix", "sketch", "rare"])
 
-    return docs.select("doc_id", made("text").alias("m")).select("doc_id", "m.*")
+    return docs.select("doc_id", text_hash().alias("text_hash"), made("text").alias("m")).select("doc_id", "text_hash", "m.*")
 
 
-def common_shingles(pairs: DataFrame, docs: DataFrame, measure: Measure) -> DataFrame:
-    """pairs (a, b, ...) with inter, the number of shingles that a and b share. Only the texts of documents in pairs are read again."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    ids = stash(ids, "paired-ids")
-    few = ids.count() <= MAX_BROADCAST_IDS
-    sets = sets_of(docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), measure.n)
-    got = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
+def text_hash() -> Column:
+    return F.xxhash64("text")
+
+
+@dataclass(frozen=True)
+class Texts:
+    """Where the text of a class is found: in a row of docs with its doc_id and text_hash. repeated: several rows may have both."""
+
+    docs: DataFrame
+    reps: DataFrame
+    repeated: bool
+
+    def of(self, ids: DataFrame) -> DataFrame:
+        """(id, text) of classes ids (id)."""
+        found = stash(self.reps.select("id", "doc_id", "text_hash").join(ids, "id", "left_semi"), "paired-ids")
+        few = found.count() <= MAX_BROADCAST_IDS
+        texts = self.docs.select("doc_id", "text", text_hash().alias("text_hash")).join(F.broadcast(found) if few else found, ["doc_id", "text_hash"]).select("id", "text")
+        return texts.dropDuplicates(["id"]) if self.repeated else texts
+
+
+def common_shingles(pairs: DataFrame, texts: Texts, measure: Measure) -> DataFrame:
+    """pairs (a, b, ...) with inter, the number of shingles that a and b share. Only the texts of classes in pairs are read again."""
+    sets = sets_of(texts.of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), measure.n, "id")
+    got = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
     return got.select(*pairs.columns, F.size(F.array_intersect("sa", "sb")).cast("long").alias("inter"))
 
 
 def plausible(pairs: DataFrame, reps: DataFrame, measure: Measure) -> DataFrame:
     """pairs (a, b, na, nb) whose sketches do not rule a link out, with bits, in which they differ."""
     for side in ("a", "b"):
-        pairs = pairs.join(reps.select(F.col("doc_id").alias(side), F.col("sketch").alias(f"_{side}")), side)
+        pairs = pairs.join(reps.select(F.col("id").alias(side), F.col("sketch").alias(f"_{side}")), side)
     words = F.least(F.size("_a"), F.size("_b"))
 
     def fold(x: str) -> Column:  # linked sizes are within a factor of two, and so are their sketches; others fold as far as one step takes them
@@ -179,7 +200,7 @@ def plausible(pairs: DataFrame, reps: DataFrame, measure: Measure) -> DataFrame:
 
 def pivot_pairs(reps: DataFrame, measure: Measure) -> DataFrame:
     """(a, b, na, nb): each set with one pivot for each of its first shingles; the pivot is drawn by hash, anew for each shingle."""
-    rows = reps.select(F.col("doc_id").alias("id"), "size", F.explode(F.slice("prefix", 1, FIRST_SHINGLES)).alias("s"))
+    rows = reps.select("id", "size", F.explode(F.slice("prefix", 1, FIRST_SHINGLES)).alias("s"))
     pivots = rows.groupBy("s").agg(F.min(F.struct(F.xxhash64("id", "s").alias("h"), "id", "size")).alias("p"), F.count("*").alias("n")).filter("n > 1")
     pairs = rows.join(pivots, "s").filter(F.col("id") != F.col("p.id")).filter(measure.sizes_fit(F.col("size"), F.col("p.size")))
     swap = F.col("id") > F.col("p.id")
@@ -188,21 +209,21 @@ def pivot_pairs(reps: DataFrame, measure: Measure) -> DataFrame:
     return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.size").alias("na"), F.col("y.size").alias("nb")).distinct()
 
 
-def short_list_pairs(s: np.ndarray, size: np.ndarray, pos: np.ndarray, comp: np.ndarray, measure: Measure) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of candidate pairs in index lists that follow one another, each sorted by size; all lists advance together."""
-    left, step = np.arange(len(s)), 1
+def short_list_pairs(group: np.ndarray, size: np.ndarray, pos: np.ndarray, comp: np.ndarray, deal: np.ndarray, measure: Measure) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of candidate pairs in groups that follow one another, each sorted by size; all groups advance together."""
+    left, step = np.arange(len(group)), 1
     while len(left):
-        left = left[left + step < len(s)]
+        left = left[left + step < len(group)]
         right = left + step
-        left = left[(s[right] == s[left]) & (size[right] * measure.num <= size[left] * measure.den)]  # sizes only grow in a list
+        left = left[(group[right] == group[left]) & (size[right] * measure.num <= size[left] * measure.den)]  # sizes only grow in a group
         right = left + step
-        fit = (comp[left] != comp[right]) & (pos[left] + pos[right] <= measure.slack(size[left], size[right]))
+        fit = (comp[left] != comp[right]) & (pos[left] + pos[right] <= measure.slack(size[left], size[right])) & ((deal[left] < 0) | (deal[left] != deal[right]))
         yield left[fit], right[fit]
         step += 1
 
 
-def long_list_pairs(size: np.ndarray, pos: np.ndarray, comp: np.ndarray, measure: Measure) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of candidate pairs in one index list sorted by size, by blocks."""
+def long_list_pairs(size: np.ndarray, pos: np.ndarray, comp: np.ndarray, deal: np.ndarray, measure: Measure) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of candidate pairs in one group sorted by size, by blocks."""
     if (comp == comp[0]).all():
         return
     for x in range(0, len(size), BLOCK):
@@ -215,15 +236,19 @@ def long_list_pairs(size: np.ndarray, pos: np.ndarray, comp: np.ndarray, measure
                 continue  # the block is too far down the list
             na, nb = size[a][:, None], size[b][None, :]
             fit = (na * measure.den >= nb * measure.num) & (pos[a][:, None] + pos[b][None, :] <= measure.slack(na, nb)) & (comp[a][:, None] != comp[b][None, :])
+            fit &= (deal[a][:, None] < 0) | (deal[a][:, None] != deal[b][None, :])
             p, q = np.nonzero(np.triu(fit, 1) if x == y else fit)
             yield x + p, y + q
 
 
 def list_pairs(lists: DataFrame, measure: Measure) -> DataFrame:
-    """(a, b, na, nb) from index lists (s, id, size, pos, comp, sketch), of different components only.
+    """(a, b, na, nb) from index lists (s, part, deal, id, size, pos, comp, sketch), of different components only.
 
-    Where two entries have sketches, these must not rule the pair out.
+    Entries with the same s and part are a group. Where deal is not negative,
+    only entries with different ones pair up. Where two entries have sketches,
+    these must not rule the pair out.
     """
+    numbers = ["size", "pos", "comp", "deal"]
 
     def sketched_pairs(g: dict[str, np.ndarray], p: np.ndarray, q: np.ndarray) -> np.ndarray:
         words = np.array([0 if x is None else len(x) for x in g["sketch"]])
@@ -237,19 +262,35 @@ def list_pairs(lists: DataFrame, measure: Measure) -> DataFrame:
                 ok[at] = np.bitwise_count((x ^ y).view(np.uint64)).sum(1, dtype=np.int64) <= measure.slack(g["size"][p[at]], g["size"][q[at]])
         return ok
 
-    def pairs_of(g: dict[str, np.ndarray], ends: np.ndarray) -> Iterator[pd.DataFrame]:
+    def candidates(g: dict[str, np.ndarray], ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         long = np.diff(ends) > 2 * BLOCK
-        short = np.repeat(~long, np.diff(ends))
-        at = np.flatnonzero(short)
-        found = [(at[p], at[q]) for p, q in short_list_pairs(*(g[c][at] for c in ("s", "size", "pos", "comp")), measure)]
+        at = np.flatnonzero(np.repeat(~long, np.diff(ends)))
+        group = np.repeat(np.arange(len(ends) - 1), np.diff(ends))[at]
+        for p, q in short_list_pairs(group, *(g[c][at] for c in numbers), measure):
+            yield at[p], at[q]
         for lo, hi in zip(ends[:-1][long], ends[1:][long]):
-            found += [(lo + p, lo + q) for p, q in long_list_pairs(*(g[c][lo:hi] for c in ("size", "pos", "comp")), measure)]
-        p, q = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, int) for i in (0, 1))
-        ok = sketched_pairs(g, p, q)
-        p, q = p[ok], q[ok]
-        swap = g["id"][p] > g["id"][q]
-        p, q = np.where(swap, q, p), np.where(swap, p, q)
-        yield pd.DataFrame({"a": g["id"][p], "b": g["id"][q], "na": g["size"][p], "nb": g["size"][q]}).drop_duplicates()
+            for p, q in long_list_pairs(*(g[c][lo:hi] for c in numbers), measure):
+                yield lo + p, lo + q
+
+    def pairs_of(g: dict[str, np.ndarray], ends: np.ndarray) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+
+        def kept() -> pd.DataFrame:
+            p, q = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            ok = sketched_pairs(g, p, q)
+            p, q = p[ok], q[ok]
+            swap = g["id"][p] > g["id"][q]
+            p, q = np.where(swap, q, p), np.where(swap, p, q)
+            return pd.DataFrame({"a": g["id"][p], "b": g["id"][q], "na": g["size"][p], "nb": g["size"][q]}).drop_duplicates()
+
+        for found in candidates(g, ends):
+            held.append(found)
+            n += len(found[0])
+            if n >= PAIR_ROWS:
+                yield kept()
+                held, n = [], 0
+        if held:
+            yield kept()
 
     def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: dict[str, np.ndarray] | None = None
@@ -257,25 +298,38 @@ def list_pairs(lists: DataFrame, measure: Measure) -> DataFrame:
             cols = {c: batch[c].to_numpy() for c in batch.columns}
             if rest is not None:
                 cols = {c: np.concatenate([rest[c], cols[c]]) for c in cols}
-            ends = np.array([0, *(np.flatnonzero(np.diff(cols["s"])) + 1)])
-            if len(ends) > 1:  # the last list may go on in the next batch
+            ends = np.array([0, *(np.flatnonzero((np.diff(cols["s"]) != 0) | (np.diff(cols["part"]) != 0)) + 1)])
+            if len(ends) > 1:  # the last group may go on in the next batch
                 yield from pairs_of({c: v[: ends[-1]] for c, v in cols.items()}, ends)
             rest = {c: v[ends[-1] :] for c, v in cols.items()}
         if rest is not None and len(rest["s"]):
             yield from pairs_of(rest, np.array([0, len(rest["s"])]))
 
-    placed = lists.select("s", "id", "size", "pos", "comp", "sketch").repartition("s").sortWithinPartitions("s", "size")
+    placed = lists.select("s", "part", "deal", "id", "size", "pos", "comp", "sketch").repartition("s", "part").sortWithinPartitions("s", "part", "size")
     return placed.mapInPandas(joined, "a bigint, b bigint, na bigint, nb bigint").distinct()
 
 
+def dealt(frequent: DataFrame, several: DataFrame) -> DataFrame:
+    """Entries of frequent lists with part and deal: a list of several parts (s, parts) comes as a group for each two of them.
+
+    A group of one part with itself pairs all its entries (deal -1), one of two
+    parts only those of different parts. several has a row for each frequent
+    shingle at most, so it may be broadcast.
+    """
+    mine = F.pmod(F.xxhash64("id", "s"), F.col("parts")).cast("long")
+    rows = frequent.join(F.broadcast(several), "s").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    part = F.least("mine", "other") * F.col("parts") + F.greatest("mine", "other")
+    return rows.withColumn("part", part).withColumn("deal", F.when(F.col("mine") == F.col("other"), -1).otherwise(F.col("mine")).cast("long")).drop("parts", "mine", "other")
+
+
 def with_component(rows: DataFrame, ids: DataFrame, col: str, out: str) -> DataFrame:
     """rows with the component of col; an id without links is its own."""
     named = ids.select(F.col("id").alias("_id"), F.col("component").alias("_c"))
     return rows.join(named, F.col(col) == F.col("_id"), "left").withColumn(out, F.coalesce("_c", col)).drop("_id", "_c")
 
 
-def find_links(reps: DataFrame, docs: DataFrame, measure: Measure) -> DataFrame:
-    """(a, b): links of sets reps (doc_id, size, prefix, sketch, rare) that connect whatever all links would."""
+def find_links(reps: DataFrame, docs: Texts, measure: Measure) -> DataFrame:
+    """(a, b): links of sets reps (id, size, prefix, sketch, rare) that connect whatever all links would."""
     linked = measure.linked(F.col("inter"), F.col("na"), F.col("nb"))
     first = plausible(pivot_pairs(reps, measure), reps, measure).select("a", "b", "na", "nb")
     answers = stash(common_shingles(stash(first, "pivot-pairs"), docs, measure), "pivot-answers")
@@ -283,12 +337,12 @@ def find_links(reps: DataFrame, docs: DataFrame, measure: Measure) -> DataFrame:
 
     # lists of frequent shingles may hold any share of the sets: those within one component go before they are dealt
     # out, and the others bring sketches, which rule most pairs out where they meet
-    named = with_component(reps, comps, "doc_id", "comp").select("comp", F.col("doc_id").alias("id"), "size", "sketch", "rare", "prefix")
-    rare = named.select("comp", "id", "size", F.lit(None).cast("array<bigint>").alias("sketch"), F.posexplode(F.slice("prefix", F.lit(1), F.col("rare"))).alias("pos", "s"))
+    named = with_component(reps, comps, "id", "comp").select("comp", "id", "size", "sketch", "rare", "prefix")
+    rare = named.select(F.lit(0).cast("long").alias("part"), F.lit(-1).cast("long").alias("deal"), "comp", "id", "size", F.lit(None).cast("array<bigint>").alias("sketch"), F.posexplode(F.slice("prefix", F.lit(1), F.col("rare"))).alias("pos", "s"))
     frequent = named.filter(F.col("rare") < F.size("prefix")).select("comp", "id", "size", "sketch", "rare", F.posexplode(F.slice("prefix", F.col("rare") + 1, F.size("prefix"))).alias("p", "s"))
     frequent = frequent.select("comp", "id", "size", "sketch", (F.col("p") + F.col("rare")).alias("pos"), "s")
-    several = frequent.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("s")
-    lists = rare.unionByName(frequent.join(several, "s"))
+    several = frequent.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("s", F.ceil(F.col("n") / LIST_PART).alias("parts"))
+    lists = rare.unionByName(dealt(frequent, several))
     pairs = stash(plausible(list_pairs(lists, measure), reps, measure), "list-pairs")
     if pairs.isEmpty():
         return answers.filter(linked).select("a", "b")
@@ -334,20 +388,37 @@ def similarity_groups(docs: DataFrame, measure: Measure = Measure()) -> DataFram
     component_id is the smallest doc_id that links reach, itself included. A
     text with fewer than n words has its whole sequence as one shingle; one
     without words, or null, has none and links with nothing. Rows with the
-    same doc_id are one node. A null doc_id links with nothing and has a null
-    component. Ties need no rule: the groups are unique. Empty tables give
-    none. Shingles are compared by 64-bit hashes, sets by 128 bits.
+    same doc_id are one node, which links by any of its texts. A null doc_id
+    links with nothing and has a null component. Ties need no rule: the groups
+    are unique. Empty tables give none. Shingles are compared by 64-bit hashes,
+    sets by 128 bits.
     """
-    docs = docs.select("doc_id", "text")
-    rows = stash(sketched(docs, measure), "sets")
-    used = rows.filter("size > 0 and doc_id is not null")
-    same = ["size", "s1", "s2"]
-    classes = used.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
-    reps = used.groupBy(*same).agg(F.min_by(F.struct("doc_id", "prefix", "sketch", "rare"), "doc_id").alias("r")).select(F.col("r.doc_id").alias("doc_id"), "size", "r.prefix", "r.sketch", "r.rare")
-    comps = components(find_links(stash(reps, "classes"), docs, measure))
-    out = rows.select("doc_id", *same).join(classes.filter("n > 1").drop("n"), same, "left")
-    out = out.withColumn("rep", F.when((F.col("size") > 0) & F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
-    return with_component(out, comps, "rep", "component_id").select("doc_id", F.col("size").alias("n_shingles"), "component_id")
+    docs, same = docs.select("doc_id", "text"), ["size", "s1", "s2"]
+    rows = stash(sketched(docs, measure).withColumn("id", F.monotonically_increasing_id()), "sets")
+    is_used = (F.col("size") > 0) & F.col("doc_id").isNotNull()
+    used = rows.filter(is_used)
+    # one row stands for each set; its id names the class, as doc_ids may repeat
+    first = F.min_by(F.struct("id", "doc_id", "text_hash", "prefix", "sketch", "rare"), "id").alias("r")
+    reps = used.groupBy(*same).agg(first, F.count("*").alias("n"), F.min("doc_id").alias("low")).select(*same, "n", "low", "r.*")
+    reps = stash(reps, "classes")
+    repeated = not used.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty()
+    links = find_links(reps, Texts(docs, reps, repeated), measure).unionByName(links_of_one_id(used, reps, same))
+    comps = stash(components(links), "components")
+    of = reps.select("id", "low").join(comps, "id")
+    lowest = of.groupBy("component").agg(F.min("low").alias("component_id"), F.count("*").alias("n_classes"))
+    of = join_heavy(of, lowest, ["component"], "n_classes", reps.count()).select("id", "component_id")
+    classes = reps.select(*same, "n", "id", "low").join(of, "id", "left").select(*same, "n", F.coalesce("component_id", "low").alias("component_id"))
+    out = join_heavy(used.select("doc_id", *same), classes, same, "n", rows.count()).select("doc_id", "size", "component_id")
+    out = out.unionByName(rows.filter(~is_used).select("doc_id", "size", F.col("doc_id").alias("component_id")))
+    return out.select("doc_id", F.col("size").alias("n_shingles"), "component_id")
+
+
+def links_of_one_id(used: DataFrame, reps: DataFrame, same: list[str]) -> DataFrame:
+    """(a, b): links between the classes of rows with one doc_id."""
+    kind = F.struct(*same)
+    several = used.groupBy("doc_id").agg(F.min(kind).alias("lo"), F.max(kind).alias("hi")).filter("lo <> hi").select("doc_id")
+    found = used.select("doc_id", *same).join(several, "doc_id", "left_semi").distinct().join(reps.select(*same, "id"), same).select("doc_id", "id")
+    return found.join(found.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").filter("a <> id").select("a", F.col("id").alias("b"))
 
 
 #: For near copies where no contract says otherwise.
