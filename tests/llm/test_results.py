@@ -332,3 +332,42 @@ def test_two_texts_of_one_id_link_its_neighbours(spark):
     measure = jaccard_join.Measure(3, 80, 100)
     got = jaccard_join.similarity_groups(spark.createDataFrame(rows, "doc_id long, text string"), measure).collect()
     assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
+def plain_dedup(rows, min_docs=5, min_chars=40):
+    """(doc_id, n_lines, n_dropped, kept) of each row (doc_id, text) by plain Python."""
+    key = lambda line: "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\x0c\r"))
+    holders = {}
+    for d, t in rows:
+        for line in (t or "").split("\n"):
+            if d is not None and len(key(line)) >= min_chars:
+                holders.setdefault(key(line), set()).add(d)
+    out = []
+    for d, t in rows:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if d is None or len(holders.get(key(x), ())) < min_docs or max(holders[key(x)]) == d]
+        out.append((d, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return out
+
+
+def test_lines_where_one_id_has_different_texts(spark):
+    line = "this very line is longer than forty characters, truly"
+    rows = [(i, f"{line}\nown {i}") for i in range(6)] + [(3, "a short line\nnobody repeats"), (3, f"x\n{line.upper()}"), (5, "first\nsecond"), (None, line), (2, None), (4, f"own 4\n{line}")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    as_text = lambda rows: sorted(map(str, rows))
+    assert as_text((r.doc_id, r.n_lines, r.n_dropped, r["kept"]) for r in got) == as_text(plain_dedup(rows))
+
+
+def test_line_filters_grow_with_their_keys(spark, monkeypatch):
+    """Ten times the keys: the filters are built anew before they are too full, and the state is that of a fresh build."""
+    long = lambda i: f"line number {i} of those that are repeated, long enough to count"
+    docs = spark.range(40).select("id").collect()
+    rows = [(d.id, "\n".join(long(i) for i in range(50))) for d in docs[:6]] + [(100 + d.id, "\n".join(long(i) for i in range(50, 550))) for d in docs[:6]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    small = line_dedup.build(df.filter("doc_id < 100"))
+    grown, whole = line_dedup.insert(small, df.filter("doc_id >= 100")), line_dedup.build(df)
+    cells = lambda s: sum(CuckooFilter.read(r.cells, r.spare).cells.size for r in s.filters.collect())
+    assert cells(small) < 550 <= cells(grown) and all(not r.spare for r in grown.filters.collect())
+    assert sorted(map(tuple, grown.repeated.collect())) == sorted(map(tuple, whole.repeated.collect())) and grown.repeated.count() == 550
+    drops = [{tuple(r) for r in line_dedup.dropped_lines(line_dedup.long_lines(df), s).collect()} for s in (grown, whole)]
+    assert drops[0] == drops[1] and len(drops[0]) == 5 * 550

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 
 SLOTS = 4
@@ -22,8 +24,12 @@ class CuckooFilter:
             n *= 2
         return cls(np.zeros((n, SLOTS), dtype=np.uint16), [])
 
+    def load(self, more: int = 0) -> float:
+        """The share of cells in use, were there `more` keys."""
+        return (np.count_nonzero(self.cells) + len(self.spare) + more) / self.cells.size
+
     @classmethod
-    def load(cls, cells: bytes, spare) -> CuckooFilter:
+    def read(cls, cells: bytes, spare) -> CuckooFilter:
         return cls(np.frombuffer(cells, dtype=np.uint16).reshape(-1, SLOTS).copy(), [int(x) for x in spare])
 
     def places(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,16 +65,18 @@ class CuckooFilter:
 
     def delete(self, h1: np.ndarray, h2: np.ndarray) -> None:
         """Take out keys that were inserted."""
+        spare = Counter(self.spare)
         for fp, a, b in zip(*(x.tolist() for x in self.places(h1, h2))):
-            held = [x for x in (fp << 32 | a, fp << 32 | b) if x in self.spare]
+            held = [x for x in (fp << 32 | a, fp << 32 | b) if spare[x] > 0]
             if held:
-                self.spare.remove(held[0])
+                spare[held[0]] -= 1
                 continue
             for at in (a, b):
                 found = np.flatnonzero(self.cells[at] == fp)
                 if len(found):
                     self.cells[at, found[0]] = 0
                     break
+        self.spare = list(spare.elements())
 
     def contains(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         fp, a, b = self.places(h1, h2)

@@ -17,14 +17,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thriftline.llm.common import ascii_lower, shielded, stash
+from thriftline.llm.common import ascii_lower, join_heavy, shielded, stash
 from thriftline.llm.cuckoo import CuckooFilter
 
 BLANKS = " \t\n\x0b\x0c\r"
 MIN_CHARS = 40
 MIN_DOCS = 5
-#: Repeated lines to a shard, rows to a probing group, and how many lines may count as heavy at most.
-SHARD_KEYS, GROUP_ROWS, MAX_HEAVY = 200_000, 500_000, 4096
+#: Repeated lines to a shard, rows to a probing group, and the share of its cells from which on a filter is built anew.
+SHARD_KEYS, GROUP_ROWS, MOST_LOAD = 200_000, 500_000, 0.8
 FILTER = "shard int, cells binary, spare array<bigint>"
 KEY = ["h1", "h2"]
 
@@ -47,9 +47,12 @@ def lines(text: Column) -> Column:
 
 
 def long_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, pos, h1, h2): the lines whose key has at least min_chars characters, by the key's 128-bit hash."""
-    keyed = docs.filter("doc_id is not null").select("doc_id", F.posexplode(lines(F.col("text"))).alias("pos", "line")).withColumn("key", line_key(F.col("line")))
-    return keyed.filter(F.length("key") >= min_chars).select("doc_id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
+    """(doc_id, text_hash, pos, h1, h2): the lines whose key has at least min_chars characters, by the key's 128-bit hash.
+
+    doc_id and text_hash tell texts apart where rows with one doc_id differ.
+    """
+    keyed = docs.filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(lines(F.col("text"))).alias("pos", "line")).withColumn("key", line_key(F.col("line")))
+    return keyed.filter(F.length("key") >= min_chars).select("doc_id", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
 
 
 def references(long: DataFrame) -> DataFrame:
@@ -74,7 +77,7 @@ def build_filters(repeated: DataFrame, n_shards: int) -> DataFrame:
 
 
 def build(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, long: DataFrame | None = None) -> State:
-    """The state that holds docs. Rows with the same doc_id are one document; a null doc_id takes no part."""
+    """The state that holds docs. Rows with the same doc_id are one document, which holds the lines of all of them; a null doc_id takes no part."""
     refs = stash(references(long_lines(docs, min_chars) if long is None else long), "line-refs")
     repeated = stash(count_repeated(refs, min_docs), "repeated-lines")
     n_shards = max(1, -(-repeated.count() // SHARD_KEYS))
@@ -90,16 +93,23 @@ def _changed(state: State, refs: DataFrame, touched: DataFrame) -> State:
     delta = delta.withColumn("shard", shard_of(state.n_shards))
 
     def update(old: pd.DataFrame, change: pd.DataFrame) -> pd.DataFrame:
-        made = CuckooFilter.load(old.cells.iloc[0], old.spare.iloc[0]) if len(old) else CuckooFilter.sized(2 * len(change))
+        made = CuckooFilter.read(old.cells.iloc[0], old.spare.iloc[0]) if len(old) else CuckooFilter.sized(2 * len(change))
         out, add = change[~change["add"].astype(bool)], change[change["add"].astype(bool)]
         made.delete(out.h1.to_numpy(), out.h2.to_numpy())
-        made.insert(add.h1.to_numpy(), add.h2.to_numpy())
+        if made.load(len(add)) <= MOST_LOAD:
+            made.insert(add.h1.to_numpy(), add.h2.to_numpy())
+        else:
+            made = None  # too full to grow; built anew below
         shard = (old if len(old) else change).shard.iloc[0]
-        return pd.DataFrame({"shard": [int(shard)], "cells": [made.cells.tobytes()], "spare": [made.spare]})
+        return pd.DataFrame({"shard": [int(shard)], "cells": [made and made.cells.tobytes()], "spare": [made and made.spare]})
 
-    filters = state.filters.groupBy("shard").cogroup(delta.groupBy("shard")).applyInPandas(update, FILTER)
-    repeated = state.repeated.join(touched, KEY, "left_anti").unionByName(now)
-    return replace(state, refs=refs, repeated=stash(repeated, "repeated-lines"), filters=stash(filters, "line-filters"))
+    filters = stash(state.filters.groupBy("shard").cogroup(delta.groupBy("shard")).applyInPandas(update, FILTER), "line-filters")
+    repeated = stash(state.repeated.join(touched, KEY, "left_anti").unionByName(now), "repeated-lines")
+    full = filters.filter("cells is null").select("shard")
+    if not full.isEmpty():
+        anew = repeated.withColumn("shard", shard_of(state.n_shards)).join(full, "shard", "left_semi")
+        filters = stash(filters.filter("cells is not null").unionByName(build_filters(anew, state.n_shards)), "line-filters")
+    return replace(state, refs=refs, repeated=repeated, filters=filters)
 
 
 def delete(state: State, doc_ids: DataFrame) -> State:
@@ -121,34 +131,31 @@ def insert(state: State, docs: DataFrame, min_chars: int = MIN_CHARS) -> State:
 def probe(long: DataFrame, n_long: int, state: State) -> DataFrame:
     """The lines that their shard's filter lets through. A shard's lines are dealt to several groups, each with a copy of its filter."""
     salts = max(-(-n_long // (GROUP_ROWS * state.n_shards)), -(-256 // state.n_shards))
-    dealt = long.withColumn("shard", shard_of(state.n_shards)).withColumn("salt", F.pmod(F.xxhash64("doc_id", "pos"), F.lit(salts)).cast("int"))
+    dealt = long.withColumn("shard", shard_of(state.n_shards)).withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash", "pos"), F.lit(salts)).cast("int"))
     copies = state.filters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    names = ["doc_id", "text_hash", "pos", *KEY]
 
     def look_up(rows: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or filters.empty:
-            return rows.iloc[:0][["doc_id", "pos", "h1", "h2"]]
-        held = CuckooFilter.load(filters.cells.iloc[0], filters.spare.iloc[0])
-        return rows.loc[held.contains(rows.h1.to_numpy(), rows.h2.to_numpy()), ["doc_id", "pos", "h1", "h2"]]
+            return rows.iloc[:0][names]
+        held = CuckooFilter.read(filters.cells.iloc[0], filters.spare.iloc[0])
+        return rows.loc[held.contains(rows.h1.to_numpy(), rows.h2.to_numpy()), names]
 
-    return dealt.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInPandas(look_up, long.select("doc_id", "pos", "h1", "h2").schema)
+    return dealt.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInPandas(look_up, long.select(*names).schema)
 
 
 def dropped_lines(long: DataFrame, state: State) -> DataFrame:
-    """(doc_id, pos) of the lines to drop: repeated, and the document is not the last that holds them."""
+    """(doc_id, text_hash, pos) of the lines to drop: repeated, and the document is not the last that holds them."""
     n_long = long.count()
     maybe = stash(probe(long, n_long, state), "filtered-lines")
-    exact = state.repeated.select(*KEY, "n_docs", "last_doc")
-    # a line in over 1/MAX_HEAVY of all references is heavy; there are at most MAX_HEAVY, so they may be broadcast
-    is_heavy = F.col("n_docs") * MAX_HEAVY >= F.lit(max(1, state.refs.count()))
-    heavy = F.broadcast(exact.filter(is_heavy).select(*KEY, "last_doc"))
-    found = maybe.join(heavy, KEY).unionByName(maybe.join(F.broadcast(heavy.select(*KEY)), KEY, "left_anti").join(exact.filter(~is_heavy).select(*KEY, "last_doc"), KEY))
-    return found.filter("doc_id <> last_doc").select("doc_id", "pos")
+    found = join_heavy(maybe, state.repeated.select(*KEY, "n_docs", "last_doc"), KEY, "n_docs", state.refs.count())
+    return found.filter("doc_id <> last_doc").select("doc_id", "text_hash", "pos")
 
 
 def apply(docs: DataFrame, state: State, long: DataFrame) -> DataFrame:
     """docs with n_lines, n_dropped and kept: the text without the lines to drop. long: long_lines(docs)."""
-    drops = dropped_lines(long, state).groupBy("doc_id").agg(F.collect_set("pos").alias("_drop"))
-    joined = docs.join(drops.withColumnRenamed("doc_id", "_id").hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left")
+    drops = dropped_lines(long, state).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_set("pos").alias("_drop"))
+    joined = docs.join(drops.hint("shuffle_hash"), (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left")
     split = lines(F.col("text"))
     n_lines = F.size(split)
     left = F.array_except(F.sequence(F.lit(0), n_lines - 1), F.col("_drop"))
@@ -163,8 +170,9 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
     both ends, A-Z lower-cased. Keys of at least min_chars code points that at
     least min_docs documents hold lose all their lines except in the largest
     doc_id. A null or empty text is one empty line and is kept as empty. Rows
-    with the same doc_id count as one document, so copies of a row keep or
-    lose the same lines; a null doc_id neither counts nor loses lines. Extra
+    with the same doc_id count as one document, which holds the lines of all
+    of them; each loses lines of its own text only, copies of a row the same
+    ones. A null doc_id neither counts nor loses lines. Extra
     columns pass through, those of the same names as the new ones are replaced.
     An empty table gives no rows.
     """
