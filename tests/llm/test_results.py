@@ -1,7 +1,9 @@
 """The registered queries against SQL, brute force, an independent tokenizer, or held-out labels."""
 
 import itertools
+import math
 import pickle
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.compare import connect, differences
-from thriftline.llm import bm25, jaccard_join, line_dedup, pfair, queries, sentencepiece_fst, vp_tree
+from thriftline.llm import bm25, histogram_sort, jaccard_join, lang_id, line_dedup, pfair, queries, sentencepiece_fst, vp_tree
 from thriftline.llm.common import table
 from thriftline.llm.cuckoo import CuckooFilter
 from thriftline.llm.graph import components
@@ -371,3 +373,76 @@ def test_line_filters_grow_with_their_keys(spark, monkeypatch):
     assert sorted(map(tuple, grown.repeated.collect())) == sorted(map(tuple, whole.repeated.collect())) and grown.repeated.count() == 550
     drops = [{tuple(r) for r in line_dedup.dropped_lines(line_dedup.long_lines(df), s).collect()} for s in (grown, whole)]
     assert drops[0] == drops[1] and len(drops[0]) == 5 * 550
+
+
+def test_shards_are_those_of_a_plain_sort(spark):
+    """Every column of the result, the splitters against the sums of sorted keys, and large groups of empty and null texts."""
+    texts = [None if i % 10 < 3 else "" if i % 10 == 3 else f"text {i} " * (1 + i % 9) + "\u00e9" for i in range(12_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    rows = {r.doc_id: r for r in histogram_sort.shard_by_bytes(docs).collect()}
+    assert len(rows) == len(texts)
+    for i, t in enumerate(texts):
+        r = rows[i]
+        assert (r["size"], r.text_crc32, r.law, r.grown_shard) == (len((t or "").encode()) + 1, None if t is None else zlib.crc32(t.encode()), "bytes", None)
+    sizes = Counter()
+    for r in rows.values():
+        sizes[r.shard] += r["size"]
+    assert max(sizes.values()) - min(sizes.values()) <= 0.01 * sum(sizes.values()) / 8
+    for s in range(8):
+        assert sorted(r.slot for r in rows.values() if r.shard == s) == list(range(sum(r.shard == s for r in rows.values())))
+    assert len({rows[i].shard for i in range(len(texts)) if texts[i] is None}) == 1
+
+
+def test_large_groups_of_small_texts_are_not_ranked_by_one_task(spark, monkeypatch):
+    seen = []
+    real = histogram_sort.gapless_rank
+    monkeypatch.setattr(histogram_sort, "gapless_rank", lambda df, *a: seen.append((df, a[-1])) or real(df, *a))
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 > 2, F.concat(F.lit("text "), "id")).alias("text"))
+    histogram_sort.shard_by_bytes(docs).collect()
+    df, n_buckets = seen[0]
+    n = sorted(r["count"] for r in df.groupBy("shard", F.floor(F.col("key") / F.lit((1 << 62) // n_buckets + 1))).count().collect())
+    assert n[-1] <= 10 * n[len(n) // 2]
+
+
+def test_splitters_meet_their_targets(spark):
+    rng = np.random.default_rng(2)
+    keys, sizes = rng.integers(0, 1 << 62, 5000), rng.integers(1, 400, 5000)
+    rows = spark.createDataFrame(list(zip(keys.tolist(), sizes.tolist())), "key long, size long")
+    targets = [sizes.sum() * (i + 1) / 8 for i in range(7)]
+    for slack in (0, 2000):
+        for target, key in zip(targets, histogram_sort.find_splitters(rows, targets, slack)):
+            below = sizes[keys < key].sum()
+            assert abs(below - target) <= max(slack, 400)
+
+
+def test_languages_are_decoded_as_by_plain_python(spark, monkeypatch):
+    """Classifiers and decoding without vectors, on texts of several pieces too; many languages have a code as well."""
+    monkeypatch.setattr(lang_id, "LANGS_AT_ONCE", 2)
+    words = {"aa": "kalima tolo vesi", "bb": "strunz gefl hoch", "cc": "qué lindo año", "dd": "the thing with them"}
+    rows = [(f"{w} {w.split()[i % 3]} {i}", lang) for lang, w in words.items() for i in range(5)]
+    model = lang_id.train(spark.createDataFrame(rows + [(None, "aa"), ("x", None)], "text string, lang string"))
+    buckets = lambda t: [int(b) for piece in lang_id.trigrams(t) for b in piece]
+    counts = {lang: Counter(b for t, x in rows if x == lang for b in buckets(t)) for lang in words}
+    total = {lang: sum(c.values()) + lang_id.PRIOR * lang_id.BUCKETS for lang, c in counts.items()}
+    p = lambda lang, b: (counts[lang][b] + lang_id.PRIOR) / total[lang]
+    code = {lang: model.code[i].tolist() for i, lang in enumerate(sorted(words))}
+    mean = lambda xs: sum(xs) / len(xs)
+    for text in ("kalima hoch", "the lindo thing", "año 7", "vesi " * 2000):
+        monkeypatch.setattr(lang_id, "PIECE", 1000 if len(text) > 1000 else 1 << 18)
+        loss = {}
+        found = buckets(text)
+        for lang in sorted(words):
+            loss[lang] = 0.0
+            for j in range(len(code[lang])):
+                on, off = ([x for x in words if code[x][j] == sign] for sign in (1, -1))
+                weight = {b: math.log(mean([p(x, b) for x in on])) - math.log(mean([p(x, b) for x in off])) for b in set(found)} if on and off else Counter()
+                margin = sum(weight[b] for b in found) / len(found) * lang_id.SHARPNESS
+                loss[lang] += math.log1p(math.exp(-code[lang][j] * margin))
+        best = min(loss, key=loss.get)
+        told = model.predict(text)
+        assert told[0] == best and told[1] == pytest.approx(1 / sum(math.exp(loss[best] - x) for x in loss.values()), abs=1e-5)
+    pieces = [list(lang_id.trigrams("abc def" * 400))]
+    monkeypatch.setattr(lang_id, "PIECE", 100)
+    pieces.append(list(lang_id.trigrams("abc def" * 400)))
+    assert np.array_equal(*(np.concatenate(x) for x in pieces)) and len(pieces[1]) > 20
+    assert len({tuple(r) for r in lang_id.codewords(600).tolist()}) == 600

@@ -6,9 +6,11 @@ boundaries over all partitions, and refining the candidates around each target
 until every splitter meets the tolerance. Then rows are exchanged once.
 
 Equal texts share a key and so a shard. A group of copies that is large beside
-the tolerance would stand in the way of a splitter; such groups (at most
+the tolerance would stand in the way of a splitter, and one of many rows (if
+only of empty texts) would be ranked by one task; such groups (at most twice
 n_shards / group_share of them) are placed whole, largest first, and splitters
-share out what is left. Only a group that fits no shard is spread by doc_id.
+share out what is left. Rows of such a group have keys of their own within the
+shard. Only a group whose bytes fit no shard is spread over several.
 """
 
 from __future__ import annotations
@@ -22,14 +24,16 @@ CELLS = 256
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, text_crc32, group): size in bytes plus 1, a null text has none and a null crc."""
+    """(doc_id, size, text_crc32, group, row): size in bytes plus 1, a null text has none and a null crc; row numbers the rows."""
     raw = F.encode("text", "utf-8")
-    return docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.xxhash64("text").alias("group"))
+    return docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.xxhash64("text").alias("group"), F.monotonically_increasing_id().alias("row"))
 
 
-def place_groups(rows: DataFrame, n_shards: int, ideal: float, group_share: float) -> tuple[dict[int, int], list[int]]:
+def place_groups(rows: DataFrame, n_rows: int, n_shards: int, ideal: float, group_share: float) -> tuple[dict[int, int], list[int]]:
     """Shards of the large groups, and the groups to spread."""
-    large = rows.groupBy("group").agg(F.sum("size").alias("size")).filter(F.col("size") > F.lit(group_share * ideal)).collect()  # at most n_shards / group_share rows
+    groups = rows.groupBy("group").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    is_large = (F.col("size") > F.lit(group_share * ideal)) | (F.col("n") > F.lit(group_share * n_rows / n_shards))
+    large = groups.filter(is_large).collect()  # at most 2 * n_shards / group_share rows
     load, placed, spread = [0.0] * n_shards, {}, []
     for r in sorted(large, key=lambda r: (-r["size"], r["group"])):
         s = min(range(n_shards), key=lambda i: (load[i], i))
@@ -84,20 +88,22 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 8, tolerance: float = 0.001,
     slot is gapless from 0 within a shard, by key and doc_id. Splitters are
     within tolerance of an even share, as far as single rows allow. Null and
     empty texts have size 1 and are groups of their own; a null doc_id takes
-    part like any other; repeated rows share a shard and take slots each. An
+    part like any other; repeated rows share a shard and take slots each. The
+    rows of a large group are spread over its shard's slots by a number that
+    they get when they are first read, so no task ranks a whole group. An
     empty table gives no rows. Other columns are not read.
     """
     rows = stash(sized(docs), "sized")
     n_rows, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     ideal = max(1.0, total / n_shards)
-    placed, spread = place_groups(rows, n_shards, ideal, group_share)
+    placed, spread = place_groups(rows, n_rows, n_shards, ideal, group_share)
     shard_of = F.lit(None).cast("int")
     if placed:
         shard_of = F.element_at(F.create_map(*[F.lit(x) for kv in placed.items() for x in kv]), F.col("group"))
     loose = F.col("group").isin(spread) if spread else F.lit(False)
     if placed:
         loose = loose | F.col("group").isin(list(placed))
-    rows = rows.withColumn("key", F.when(loose, unit_key(F.lit(1), "group", "doc_id")).otherwise(unit_key(F.lit(0), "group"))).withColumn("pinned", shard_of)
+    rows = rows.withColumn("key", F.when(loose, unit_key(F.lit(1), "group", "row")).otherwise(unit_key(F.lit(0), "group"))).withColumn("pinned", shard_of)
     free = [ideal] * n_shards
     if placed:
         for r in rows.filter("pinned is not null").groupBy("pinned").agg(F.sum("size").alias("size")).collect():

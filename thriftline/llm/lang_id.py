@@ -16,13 +16,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thriftline.llm.common import shielded
+from thriftline.llm.common import shielded, stash
 
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
 #: Prior count of every trigram, strength of a text's margins, and least lead of the winner.
 PRIOR, SHARPNESS, CLEAR_LEAD = 0.5, 4.0, 0.7
-MAX_LANGS = 512
+#: Languages whose counts are on the driver at once, characters of a text that are looked at together, and the most languages for which several codes are compared.
+LANGS_AT_ONCE, PIECE, MOST_COMPARED = 64, 1 << 18, 512
 UNKNOWN = "und"
 
 _letters: list[np.ndarray] = []
@@ -35,14 +36,16 @@ def letters() -> np.ndarray:
     return _letters[0]
 
 
-def trigrams(text: str) -> np.ndarray:
-    """Buckets of the trigrams of text that hold a letter; other characters count as one kind."""
-    c = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    is_letter = letters()[c]
-    c = np.where(is_letter, c, np.uint32(1))
-    some = is_letter[:-2] | is_letter[1:-1] | is_letter[2:]
-    h = (c[:-2] * np.uint32(0x9E3779B1) + c[1:-1]) * np.uint32(0x85EBCA6B) + c[2:]
-    return ((h * np.uint32(0xC2B2AE35)) >> np.uint32(32 - BUCKET_BITS))[some]
+def trigrams(text: str) -> Iterator[np.ndarray]:
+    """Buckets of the trigrams of text that hold a letter, piece by piece; other characters count as one kind."""
+    text = f" {text.lower()} "
+    for lo in range(0, len(text) - 2, PIECE):
+        c = np.frombuffer(text[lo : lo + PIECE + 2].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        is_letter = letters()[c]
+        c = np.where(is_letter, c, np.uint32(1))
+        some = is_letter[:-2] | is_letter[1:-1] | is_letter[2:]
+        h = (c[:-2] * np.uint32(0x9E3779B1) + c[1:-1]) * np.uint32(0x85EBCA6B) + c[2:]
+        yield ((h * np.uint32(0xC2B2AE35)) >> np.uint32(32 - BUCKET_BITS))[some]
 
 
 def count_trigrams(labelled: DataFrame) -> DataFrame:
@@ -53,7 +56,8 @@ def count_trigrams(labelled: DataFrame) -> DataFrame:
         for b in batches:
             for text, lang in zip(b.text, b.lang):
                 got = sums.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
-                got += np.bincount(trigrams(text), minlength=BUCKETS)
+                for piece in trigrams(text):
+                    got += np.bincount(piece, minlength=BUCKETS)
         for lang, got in sums.items():
             at = np.flatnonzero(got)
             for lo in range(0, len(at), 8192):
@@ -68,28 +72,38 @@ def codewords(n: int) -> np.ndarray:
         width = max(1, 2 ** (n - 1) - 1)
         return np.array([[1 if i == 0 or not (j >> (n - 1 - i)) & 1 else -1 for j in range(1, width + 1)] for i in range(n)], dtype=np.float64)
     rng, width = np.random.default_rng(7), 15 * int(np.ceil(np.log2(n)))
-    tried = (rng.choice([-1.0, 1.0], size=(n, width)) for _ in range(50))
-    return max(tried, key=lambda m: min((m[i] != m[j]).sum() for i in range(n) for j in range(i)))
+    tried = (rng.choice([-1.0, 1.0], size=(n, width)) for _ in range(50 if n <= MOST_COMPARED else 1))
+    return max(tried, key=lambda m: min((m[i] != m[j]).sum() for i in range(n) for j in range(i)) if n <= MOST_COMPARED else 0)
 
 
 class Model:
-    """langs, their codewords, and a weight for every bucket and bit."""
-
-    def __init__(self, langs: list[str], counts: np.ndarray):
-        self.langs, self.code = langs, codewords(len(langs))
-        p = (counts + PRIOR) / (counts + PRIOR).sum(1, keepdims=True) if len(langs) else counts
-        weights = []
-        for bit in self.code.T if len(langs) else []:
-            on, off = p[bit > 0], p[bit < 0]
-            weights.append(np.log(on.mean(0)) - np.log(off.mean(0)) if len(off) and len(on) else np.zeros(BUCKETS))
-        self.weights = np.array(weights, dtype=np.float32).T.copy() if weights else np.zeros((BUCKETS, 0), np.float32)
+    """langs, their codewords, and a weight for every bucket and bit. add gives it the counts of languages, in order."""
+
+    def __init__(self, langs: list[str]):
+        self.langs, self.code = langs, codewords(len(langs)) if langs else np.zeros((0, 0))
+        self.n_seen, self.on, self.off = 0, np.zeros((self.code.shape[1], BUCKETS)), np.zeros((self.code.shape[1], BUCKETS))
+        self.weights = np.zeros((BUCKETS, self.code.shape[1]), np.float32)
+
+    def add(self, counts: np.ndarray) -> None:
+        p = (counts + PRIOR) / (counts + PRIOR).sum(1, keepdims=True)
+        code = self.code[self.n_seen : self.n_seen + len(counts)]
+        self.on, self.off = self.on + (code > 0).T @ p, self.off + (code < 0).T @ p
+        self.n_seen += len(counts)
+
+    def finish(self) -> Model:
+        on, off = (self.code > 0).sum(0), (self.code < 0).sum(0)
+        for bit in np.flatnonzero((on > 0) & (off > 0)):
+            self.weights[:, bit] = np.log(self.on[bit] / on[bit]) - np.log(self.off[bit] / off[bit])
+        self.on = self.off = None
+        return self
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
-        found = trigrams(text) if text else np.zeros(0, np.uint32)
-        if not len(found) or not self.langs:
+        n, margins = 0, np.zeros(self.code.shape[1])
+        for found in trigrams(text or ""):
+            n, margins = n + len(found), margins + self.weights[found].sum(0, dtype=np.float64)
+        if not n or not self.langs:
             return UNKNOWN, 0.0, True
-        margins = self.weights[found].mean(0, dtype=np.float64) * SHARPNESS
-        loss = np.logaddexp(0, -self.code * margins).sum(1)
+        loss = np.logaddexp(0, -self.code * (margins / n * SHARPNESS)).sum(1)
         order = np.argsort(loss, kind="stable")
         lead = loss[order[1]] - loss[order[0]] if len(order) > 1 else np.inf
         share = np.exp(loss[order[0]] - loss)
@@ -99,17 +113,20 @@ class Model:
 def train(labelled: DataFrame) -> Model:
     """A model of labelled (text, lang): rows with a null text or lang take no part; all others count, none is sampled.
 
-    At most MAX_LANGS languages, so that the counts stay small on the driver.
+    Any number of languages: the driver gets the counts of LANGS_AT_ONCE of
+    them at a time and keeps a sum per bucket and bit, which is what the model
+    and its broadcast hold besides a codeword for each language.
     """
-    counted = count_trigrams(labelled.filter("text is not null and lang is not null"))
-    got = counted.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("c")).orderBy("lang").limit(MAX_LANGS + 1).collect()
-    if len(got) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    counts = np.zeros((len(got), BUCKETS))
-    for row, r in zip(counts, got):
-        at = np.array([(x["bucket"], x["n"]) for x in r["c"]], dtype=np.int64)
-        row[at[:, 0]] = at[:, 1]
-    return Model([r["lang"] for r in got], counts)
+    counted = stash(count_trigrams(labelled.filter("text is not null and lang is not null")), "trigram-counts")
+    langs = sorted(counted.select("lang").distinct().toArrow()["lang"].to_pylist())
+    model = Model(langs)
+    for lo in range(0, len(langs), LANGS_AT_ONCE):
+        some = langs[lo : lo + LANGS_AT_ONCE]
+        got = counted.filter(F.col("lang").isin(some)).toArrow()
+        counts, place = np.zeros((len(some), BUCKETS)), {lang: i for i, lang in enumerate(some)}
+        counts[[place[x] for x in got["lang"].to_pylist()], got["bucket"].to_numpy()] = got["n"].to_numpy()
+        model.add(counts)
+    return model.finish()
 
 
 def held_out() -> Column:
