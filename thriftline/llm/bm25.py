@@ -22,7 +22,6 @@ import pickle
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -37,7 +36,7 @@ SHARD_POSTINGS, SHARD_DOCS, BLOCK_DOCS, BLOCK_TERMS = 3 << 19, 1 << 15, 128, 1 <
 #: Scores are compared to this many places, so that the order of a sum's parts does not decide; bounds leave SLACK (and a share of the score) for it.
 PLACES, SLACK, SLACK_SHARE = 9, 1e-7, 1e-11
 FIRST_POSTINGS = 2048
-#: A shard is cut out of batches of so many rows, which stay in memory meanwhile.
+#: Shards are cut out of, and terms counted in, batches of so many rows.
 BUILDING = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 #: Share by which sums in single precision may be off.
 ROUNDED = 5e-5
@@ -45,7 +44,9 @@ ROUNDED = 5e-5
 DENSE_TERMS, DENSE_SHARE = 256, 16
 TEXT_ROWS = 500
 BOUND_CELLS = 1 << 20
-STEP = 1 << 17
+#: Shards that a task searches one after another: what it found in some prunes the others. Fewer where cores would idle.
+TASK_SHARDS = 8
+STEP, COUNTED_TERMS = 1 << 17, 1 << 20
 
 #: ASCII but digits and letters separates terms; A-Z is lower-cased.
 _AS_SPACE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -78,19 +79,25 @@ def analysed(docs: DataFrame) -> DataFrame:
 def document_frequencies(rows: DataFrame) -> DataFrame:
     """(term, df), added up per task before they are shuffled."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        terms, dfs = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def added(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        terms, at = np.unique(np.concatenate([t for t, _ in held]), return_inverse=True)
+        return terms, np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for b in batches:
-            every = np.concatenate([terms, *b.terms]) if len(b) else terms
-            weight = np.concatenate([dfs, np.ones(len(every) - len(terms), np.int64)])
-            terms, at = np.unique(every, return_inverse=True)
-            dfs = np.bincount(at, weights=weight, minlength=len(terms)).astype(np.int64)
-            if len(terms) > 2_000_000:
-                yield pd.DataFrame({"term": terms, "n": dfs})
-                terms, dfs = terms[:0], dfs[:0]
-        yield pd.DataFrame({"term": terms, "n": dfs})
+            held.append(np.unique(b["terms"].flatten().to_numpy(), return_counts=True))
+            size += len(held[-1][0])
+            if size > COUNTED_TERMS:
+                held = [added(held)]
+                size = len(held[0][0])
+                if 2 * size > COUNTED_TERMS:
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, held[0])), names=["term", "n"])
+                    held, size = [], 0
+        if size:
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, added(held))), names=["term", "n"])
 
-    return rows.select("terms").mapInPandas(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("df"))
+    return rows.select("terms").mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("df"))
 
 
 def spans(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -307,24 +314,31 @@ def query_blocks(queries: DataFrame) -> DataFrame:
 
 
 def search_shards(shards: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
-    """(query_id, doc_id, score): each shard's top k for every query, but what a shard met earlier in the same task has shown to be too low."""
+    """(query_id, doc_id, score): for every query the top k of the shards that a task meets. A task's queries are those of a partition of blocks at most."""
 
-    def searched() -> object:
-        least: dict[int, float] = {}
+    def begun() -> tuple:
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-        def search(shard: Shard, block: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-            got = []
+        def search(shard: Shard, block: list[tuple[int, np.ndarray, np.ndarray]]) -> None:
             for q, terms, idf in block:
-                ids, scores = shard.search(terms, idf, k, least.get(q, 0.0))
-                if len(ids) == k:
-                    least[q] = max(least.get(q, 0.0), scores[-1] - SLACK - SLACK_SHARE * scores[-1])
-                got.append((ids, scores))
-            of = np.repeat(np.array([q for q, _, _ in block], np.int64), [len(g[0]) for g in got])
-            return pa.RecordBatch.from_arrays([pa.array(of), pa.array(np.concatenate([g[0] for g in got])), pa.array(np.concatenate([g[1] for g in got]))], names=["query_id", "doc_id", "score"])
+                ids, scores = best.get(q, (shard.ids[:0], np.zeros(0)))
+                least = scores[-1] * (1 - SLACK_SHARE) - SLACK if len(ids) == k else 0.0
+                more, their = shard.search(terms, idf, k, least)
+                if len(more):
+                    ids, scores = np.concatenate([ids, more]), np.concatenate([scores, their])
+                    order = np.lexsort((ids, -scores))[:k]
+                    best[q] = ids[order], scores[order]
+
+        def finish() -> pa.RecordBatch | None:
+            if best:
+                of = np.repeat(np.array(list(best), np.int64), [len(ids) for ids, _ in best.values()])
+                return pa.RecordBatch.from_arrays([pa.array(of), *(pa.array(np.concatenate([x[i] for x in best.values()])) for i in (0, 1))], names=["query_id", "doc_id", "score"])
 
-        return search
+        return search, finish
 
-    return meet(shards, blocks, searched, "query_id bigint, doc_id bigint, score double")
+    n_shards, cores = shards.count(), shards.sparkSession.sparkContext.defaultParallelism
+    shards = shards.coalesce(max(1, n_shards // TASK_SHARDS, min(n_shards, cores)))
+    return meet(shards, blocks, begun, "query_id bigint, doc_id bigint, score double")
 
 
 def top_k(docs: DataFrame, is_query: Column, k: int = K) -> DataFrame:
@@ -345,7 +359,7 @@ def top_k(docs: DataFrame, is_query: Column, k: int = K) -> DataFrame:
         return rows.sparkSession.createDataFrame([], "query_id bigint, rank int, doc_id bigint, score double")
     shards = stash(build_shards(rows, mean_length).withColumn("no", F.monotonically_increasing_id()), "shards", BUILDING, LARGE)
     asked = rows.filter(is_query).select(F.col("doc_id").alias("query_id"), F.explode("terms").alias("term"))
-    terms = join_heavy(asked, stash(document_frequencies(rows), "term-counts"), ["term"], "df", n_postings)
+    terms = join_heavy(asked, stash(document_frequencies(rows), "term-counts", BUILDING), ["term"], "df", n_postings)
     idf = F.log1p((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     queries = terms.groupBy("query_id").agg(F.sort_array(F.collect_set(F.struct("term", idf.alias("idf")))).alias("t"))
     queries = queries.select("query_id", F.col("t.term").alias("terms"), F.col("t.idf").alias("idf")).coalesce(-(-n_asked // BLOCK_TERMS) or 1)

@@ -73,7 +73,10 @@ MEETING = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1", "spark.sql.parqu
 
 
 def meet(index: DataFrame, blocks: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:
-    """What make()(part, block) returns (a record batch) for each part of index (no, index) and each block of queries (block), all pickled.
+    """What a task's search gives for each part of index (no, index) and each block of queries (block), all pickled.
+
+    make() begins a task: it returns a function of a part and a block, which
+    gives a record batch or None, and one that gives the last one.
 
     Every part of an index has to see a stated set of queries, so this is the
     one product of two tables here: of few, large rows, the parts of an index
@@ -84,13 +87,18 @@ def meet(index: DataFrame, blocks: DataFrame, make: Callable[[], Callable], sche
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        call, no, part = make(), None, None
+        (call, finish), no, part = make(), None, None
         for b in batches:
             for i in range(b.num_rows):
                 if b.column(0)[i].as_py() != no:
                     part = None  # one part at a time
                     no, part = b.column(0)[i].as_py(), pickle.loads(b.column(1)[i].as_buffer())
-                yield call(part, pickle.loads(b.column(2)[i].as_buffer()))
+                made = call(part, pickle.loads(b.column(2)[i].as_buffer()))
+                if made is not None:
+                    yield made
+        made = finish()
+        if made is not None:
+            yield made
 
     return index.select("no", "index").crossJoin(blocks.select("block")).mapInArrow(run, schema)
 

@@ -173,7 +173,7 @@ def search_index(index: DataFrame, blocks: DataFrame, k: int, factor: float) ->
         score = (tree.vectors[at] * q[i]).sum(1)
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (*keys[i].T, *tree.keys[at].T, tree.ids[at], score)], names=names)
 
-    return meet(index, blocks, lambda: search, "q1 long, q2 long, h1 long, h2 long, class_id long, score double")
+    return meet(index, blocks, lambda: (search, lambda: None), "q1 long, q2 long, h1 long, h2 long, class_id long, score double")
 
 
 def top(rows: DataFrame, by: list[str], k: int, *order: Column) -> DataFrame:
