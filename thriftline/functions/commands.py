@@ -87,7 +87,7 @@ def tokens_similarity(a: Column, b: Column) -> Column:
     """0 for different base commands, 1 if neither has arguments, else half plus half the Jaccard similarity of the argument sets."""
     def args(c: Column) -> Column:
         w = words(F.regexp_replace(F.trim(c), ENV_PREFIX, ""))
-        return F.array_distinct(F.slice(w, 3, 100_000))
+        return F.array_distinct(F.slice(w, F.lit(3), F.size(w)))
 
     x, y = args(a), args(b)
     union = F.size(F.array_union(x, y))

@@ -49,3 +49,8 @@ def format_duration(ms: Column) -> Column:
 
 def human_size(n: Column) -> Column:
     return F.when(n >= 1_048_576, F.concat(fixed(n / 1_048_576.0, 1), F.lit("M"))).when(n >= 1024, F.concat(fixed(n / 1024.0, 1), F.lit("K"))).otherwise(F.format_string("%dB", n))
+
+
+def format_cpt(x: Column) -> Column:
+    """Dollars per million tokens from dollars per token; zero where there is no positive number."""
+    return F.when(F.isnan(x) | x.isNull() | (x <= 0) | (x == float("inf")), "$0.00/MTok").otherwise(F.concat(F.lit("$"), fixed(x * 1_000_000.0, 2), F.lit("/MTok")))

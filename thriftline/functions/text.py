@@ -21,7 +21,10 @@ ERROR_LINES = (
 ERROR_LINE = "|".join(f"(?:{p})" for p in ERROR_LINES)
 #: Limits in tokens and lines of how much an output is reduced.
 PASS_TOKENS, PASS_LINES, LIGHT_TOKENS, SUMMARISE_TOKENS = 500, 5, 2000, 4000
-SENSITIVE = r"token|secret|password|key|credential|auth|private"
+#: Words of variables whose values are masked.
+SENSITIVE_WORDS = ("key", "secret", "password", "token", "credential", "auth", "private", "api_key", "apikey", "access_key", "jwt")
+SENSITIVE = "|".join(SENSITIVE_WORDS)
+#: Fixed value: escape sequences of terminals.
 ANSI = r"\x1b\[[0-9;?]*[ -/]*[@-~]|\x1b\][^\x07]*\x07"
 
 
@@ -75,27 +78,30 @@ def text_lines(c: Column) -> Column:
 
 
 def content_type(c: Column) -> Column:
-    """json, code, structured or text, by how a text and its first lines look."""
+    """json, code, structured or text, by how a text and its first lines look; an empty line counts as an unchanged one."""
     rows = text_lines(c)
     head, more = F.slice(rows, 1, 50), F.slice(rows, 1, 100)
-    changed = F.size(F.filter(head, lambda x: x.rlike("^[+ -]")))
+    changed = F.size(F.filter(head, lambda x: (x == "") | x.rlike("^[+ -]")))
     fields = F.size(F.filter(more, lambda x: x.contains(":") | x.contains("|")))
-    start = F.substring(F.ltrim(c), 1, 1)
     return (
-        F.when(start.isin("{", "[") & F.try_parse_json(c).isNotNull(), "json")
-        .when(c.startswith("@@") | c.contains("\n@@") | c.contains("```") | (changed * 2 > F.size(head)), "code")
+        F.when(c.rlike(r"^\s*[{\[]"), "json")
+        .when(c.contains("@@") | c.contains("```") | (changed * 2 > F.size(head)), "code")
         .when(fields * 2 > F.size(more), "structured").otherwise("text")
     )
 
 
 def output_type(command: Column, text: Column) -> Column:
-    """tests, build, log, json or other, by the command first and then by what the text says."""
+    """tests, build, log, json, list or generic, by the command first and then by what the text says.
+
+    A list has lines of ten words at least, without tabs, below 200 bytes.
+    """
     cmd, low = F.lower(command), F.lower(text)
+    listed = F.forall(text_lines(text), lambda x: (F.octet_length(x) < 200) & ~x.contains("\t") & (F.size(F.array_remove(F.split(x, r"\s+"), "")) >= 10))
     return (
         F.when(cmd.contains("test") | (low.contains("passed") & low.contains("failed")), "tests")
         .when(cmd.rlike("build|compile") | low.contains("compiling"), "build")
         .when(low.contains("error:") | low.contains("warn:") | low.contains("[info]"), "log")
-        .when(text.rlike(r"^\s*[{\[]"), "json").otherwise("other")
+        .when(text.rlike(r"^\s*[{\[]"), "json").when(listed, "list").otherwise("generic")
     )
 
 

@@ -15,8 +15,8 @@ from thriftline.sources import derived as d
 col, lit = F.col, F.lit
 
 
-@query("""SELECT output_id, CASE WHEN contains(command, 'test') OR contains(l, 'passed') AND contains(l, 'failed') THEN 'tests' WHEN contains(command, 'build') OR contains(l, 'compiling') THEN 'build'
-WHEN contains(l, 'error:') OR contains(l, 'warn:') OR contains(l, '[info]') THEN 'log' WHEN regexp_matches(text, '^\\s*[{\\[]') THEN 'json' ELSE 'other' END AS output_type FROM (SELECT *, lower(text) AS l FROM outputs_v)""")
+@query("""SELECT output_id, CASE WHEN contains(command, 'test') OR contains(l, 'passed') AND contains(l, 'failed') THEN 'tests' WHEN contains(command, 'build') OR contains(command, 'compile') OR contains(l, 'compiling') THEN 'build'
+WHEN contains(l, 'error:') OR contains(l, 'warn:') OR contains(l, '[info]') THEN 'log' WHEN regexp_matches(text, '^\\s*[{\\[]') THEN 'json' WHEN len(list_filter(ls, lambda x: strlen(x) >= 200 OR contains(x, chr(9)) OR len(list_filter(string_split_regex(x, '\\s+'), lambda w: w <> '')) < 10)) = 0 THEN 'list' ELSE 'generic' END AS output_type FROM (SELECT *, lower(text) AS l, CASE WHEN a[-1] = '' THEN a[:-2] ELSE a END AS ls FROM (SELECT *, string_split_regex(text, '\\r?\\n') AS a FROM outputs_v))""")
 def fn_output_type(spark: SparkSession, sf: str) -> DataFrame:
     return d.outputs(spark, sf).select("output_id", t.output_type(col("command"), col("text")).alias("output_type"))
 

@@ -46,10 +46,11 @@ def fn_json_truncate(spark: SparkSession, sf: str) -> DataFrame:
     return json_rows(spark, sf).select("n", j.json_truncate(col("text")).alias("text"))
 
 
-@query("SELECT n, 'maybe:' || CASE WHEN maybe IS NULL THEN 'null' ELSE 'x' END || '|long:' || long || '|' || array_to_string(list_transform(items, lambda v, i: 'items.' || (i - 1) || ':' || v), '|') || '|a.b.c.v:' || n AS text FROM json_v")
+@query("SELECT n, '{\"a\":{\"b\":{\"c\":{\"v\":' || n || '}}},\"items\":[' || array_to_string(items, ',') || '],\"long\":\"' || long || '\",\"maybe\":' || coalesce(maybe, 'null') || '}' AS text FROM json_v WHERE n % 5 > 0 UNION ALL SELECT n, 'no { json ' || n FROM json_v WHERE n % 5 = 0")
 def fn_compact_json(spark: SparkSession, sf: str) -> DataFrame:
-    """The flat form of the encodings; the minified one is in join_format_compare."""
-    return json_rows(spark, sf).select("n", j.json_flat(col("text")).alias("text"))
+    """Minified with sorted keys; every fifth text is no JSON."""
+    said = F.when(col("n") % 5 > 0, col("text")).otherwise(F.concat(lit(" no\n  {  json\t"), "n"))
+    return json_rows(spark, sf).select("n", j.compact_json(said).alias("text"))
 
 
 @query("SELECT n, n % 3 > 0 AS found FROM tool_rows_v")
@@ -92,7 +93,7 @@ def src_outputs(spark: SparkSession, sf: str) -> DataFrame:
     return x.lines_of(d.outputs(spark, sf)).select("output_id", "line_no", F.md5("line").alias("line_md5"))
 
 
-@query("SELECT output_id, CASE WHEN starts_with(text, '@@') OR contains(text, chr(10) || '@@') OR contains(text, '```') OR len(list_filter(ls[1:50], lambda x: regexp_matches(x, '^[+ -]'))) * 2 > len(ls[1:50]) THEN 'code' WHEN len(list_filter(ls[1:100], lambda x: contains(x, ':') OR contains(x, '|'))) * 2 > len(ls[1:100]) THEN 'structured' ELSE 'text' END AS content_type FROM (SELECT output_id, text, CASE WHEN ls[-1] = '' THEN ls[:-2] ELSE ls END AS ls FROM (SELECT *, string_split_regex(text, '\\r?\\n') AS ls FROM outputs_v))")
+@query("SELECT output_id, CASE WHEN regexp_matches(text, '^\\s*[{\\[]') THEN 'json' WHEN contains(text, '@@') OR contains(text, '```') OR len(list_filter(ls[1:50], lambda x: x = '' OR regexp_matches(x, '^[+ -]'))) * 2 > len(ls[1:50]) THEN 'code' WHEN len(list_filter(ls[1:100], lambda x: contains(x, ':') OR contains(x, '|'))) * 2 > len(ls[1:100]) THEN 'structured' ELSE 'text' END AS content_type FROM (SELECT output_id, text, CASE WHEN ls[-1] = '' THEN ls[:-2] ELSE ls END AS ls FROM (SELECT *, string_split_regex(text, '\\r?\\n') AS ls FROM outputs_v))")
 def fn_content_type(spark: SparkSession, sf: str) -> DataFrame:
     return d.outputs(spark, sf).select("output_id", t.content_type(col("text")).alias("content_type"))
 
@@ -102,11 +103,12 @@ def fn_char_similarity(spark: SparkSession, sf: str) -> DataFrame:
     return d.read(spark, sf, "documents").select("doc_id", t.char_similarity(col("lang"), col("source")).alias("similarity"))
 
 
-@query("SELECT profile, hunk_lines, status_files FROM (VALUES " + ", ".join(f"('{k}', {a}, {b})" for k, (a, b) in PROFILES.items()) + ") p(profile, hunk_lines, status_files), (SELECT count(*) AS c FROM events) WHERE c > 0")
+@query("SELECT output_id, profile, least(n, hunk_lines) AS hunk_lines, least(n, status_files) AS status_files FROM (SELECT output_id, count(*) AS n FROM output_lines_v GROUP BY 1), (VALUES " + ", ".join(f"('{k}', {a}, {b})" for k, (a, b) in PROFILES.items()) + ") p(profile, hunk_lines, status_files)")
 def fn_profile_tuning(spark: SparkSession, sf: str) -> DataFrame:
-    """The limits of each profile, for a table that has rows."""
+    """How many lines of each output the profiles show, as a hunk and as a status."""
     limits = F.array(*[F.struct(lit(k).alias("profile"), lit(a).alias("hunk_lines"), lit(b).alias("status_files")) for k, (a, b) in PROFILES.items()])
-    return d.read(spark, sf, "events").limit(1).select(F.inline(limits))
+    n = d.output_lines(spark, sf).groupBy("output_id").agg(F.count("*").alias("n")).select("output_id", "n", F.inline(limits))
+    return n.select("output_id", "profile", *[F.least("n", c).alias(c) for c in ("hunk_lines", "status_files")])
 
 
 @query(f"SELECT event_id, CASE event_id % 3 WHEN 0 THEN {r.SUBCOMMAND_TOKENS['Git', 'log']} WHEN 1 THEN {r.CATEGORY_TOKENS['Infra']} ELSE {r.DEFAULT_TOKENS} END::BIGINT AS tokens FROM events")

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -21,6 +21,11 @@ from thriftline.operators.corrections import MIN_CONFIDENCE, MIN_SIMILARITY, WIN
 LATENESS, RETENTION_DAYS = "2 days", 90
 
 
+def arguments(w: Column) -> Column:
+    """The words of a command behind the first two."""
+    return F.slice(w, F.lit(3), F.size(w))
+
+
 def command_stream(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """New parquet files below path, a few per trigger."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(path)
@@ -105,7 +110,7 @@ def corrections(calls: DataFrame) -> DataFrame:
     most. What a call is, is decided by the batch job's expressions before.
     """
     rows = calls.filter("output_content is not null").select(
-        "session_id", "sequence_index", "command", base_command(F.col("command")).alias("base"), F.array_distinct(F.slice(words(F.regexp_replace(F.trim("command"), ENV_PREFIX, "")), 3, 100_000)).alias("args"),
+        "session_id", "sequence_index", "command", base_command(F.col("command")).alias("base"), F.array_distinct(arguments(words(F.regexp_replace(F.trim("command"), ENV_PREFIX, "")))).alias("args"),
         is_command_error(F.col("is_error"), F.col("output_content")).alias("failed"), is_cycle_error(F.col("output_content")).alias("cycle"), error_class(F.col("output_content")).alias("error_class"),
     )
 
