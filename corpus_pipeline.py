@@ -18,19 +18,23 @@ from thriftline.llm import jaccard_join, lang_id, line_dedup, pfair, sentencepie
 from thriftline.llm.common import drop_paths, shared_dir, stashes_of, table
 
 
-#: What the stage before wrote on its way; its result is written by the time the next stage begins, which drops it.
-_left: list[str] = []
+#: By application: what the stage before wrote on its way. Its result is written by the time the next stage begins, which drops it.
+_left: dict[str, list[str]] = {}
 
 
 def _stage(run: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage for callers that take STAGES one by one; run() keeps a list of its own for the stages as they are."""
+
     @wraps(run)
     def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop_paths(spark, _left)
+        left = _left.setdefault(spark.sparkContext.applicationId, [])
+        drop_paths(spark, left)
         with stashes_of() as paths:
             made = run(spark, docs, sf_dir)
-        _left.extend(paths)
+        left.extend(paths)
         return made
 
+    stage.plain = run
     return stage
 
 
@@ -77,13 +81,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what lies between them is written to the shared folder."""
+    """All stages over documents; what lies between them is written to the shared folder, and dropped once the next stage is written."""
     docs = table(spark, sf_dir, "documents")
     base = f"{shared_dir(spark)}/thriftline-{spark.sparkContext.applicationId}/pipeline-{uuid.uuid4().hex}"
-    for i, (_, stage) in enumerate(STAGES):
-        made = stage(spark, docs, sf_dir)
-        if i == len(STAGES) - 1:
-            return made
-        made.write.parquet(f"{base}/{i}")
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        with stashes_of() as paths:
+            stage.plain(spark, docs, sf_dir).write.parquet(f"{base}/{i}")
+        drop_paths(spark, [*paths, *([f"{base}/{i - 1}"] if i else [])])
         docs = spark.read.parquet(f"{base}/{i}")
-    return docs
+    return STAGES[-1][1].plain(spark, docs, sf_dir)
