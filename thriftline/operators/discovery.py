@@ -33,7 +33,7 @@ def split_calls(calls: DataFrame) -> DataFrame:
 
 
 def classify(commands: DataFrame, rules: DataFrame, col: str = "part") -> DataFrame:
-    """commands with kind (supported, unsupported, ignored), target, category, pct, status, subcmd and base_cmd.
+    """commands with kind (supported, unsupported, ignored), rule, target, category, pct, status, subcmd and base_cmd.
 
     Distinct commands are matched against the rules (a fixed small table, so it
     is broadcast), and the results joined back: the work of the patterns
@@ -44,12 +44,12 @@ def classify(commands: DataFrame, rules: DataFrame, col: str = "part") -> DataFr
     inner = c.strip_env_prefix(c.unwrap_runner(clean))
     known = known.withColumn("ignored", is_ignored(F.trim("_cmd")) | (clean == "") | is_ignored(inner)).withColumn("clean", inner)
     hit = known.filter(~F.col("ignored")).join(F.broadcast(rules), F.expr("clean rlike pattern"))
-    best = hit.groupBy("_cmd").agg(F.max_by(F.struct("pattern", "target", "category", "savings_pct", "subcmd_savings", "subcmd_status"), "idx").alias("r"))
+    best = hit.groupBy("_cmd").agg(F.max_by(F.struct("pattern", "target", "category", "savings_pct", "subcmd_savings", "subcmd_status", "idx"), "idx").alias("r"))
     known = known.join(best, "_cmd", "left").withColumn("subcmd", F.expr("case when r is not null then nullif(regexp_extract(clean, r.pattern, if(r.pattern like '%(%', 1, 0)), '') end"))
     named = known.select(
         "_cmd",
         F.when(F.col("ignored"), "ignored").when(F.col("r").isNotNull(), "supported").otherwise("unsupported").alias("kind"),
-        F.col("r.target").alias("target"), F.col("r.category").alias("category"),
+        F.col("r.idx").alias("rule"), F.col("r.target").alias("target"), F.col("r.category").alias("category"),
         F.coalesce(F.try_element_at("r.subcmd_savings", "subcmd"), "r.savings_pct").alias("pct"),
         F.when(F.col("r").isNotNull(), F.coalesce(F.try_element_at("r.subcmd_status", "subcmd"), F.lit("existing"))).alias("status"),
         "subcmd", F.when(~F.col("ignored") & F.col("r").isNull(), c.base_command_discover(F.col("clean"))).alias("base_cmd"),
@@ -63,6 +63,12 @@ def with_savings(parts: DataFrame) -> DataFrame:
     return parts.withColumn("saveable", F.when(F.col("kind") == "supported", F.floor(tokens * F.col("pct") / 100)).cast("long")).withColumn("shown", c.display_command(F.col("part")))
 
 
+def rule_hits(parts: DataFrame, rules: DataFrame) -> DataFrame:
+    """Every rule with the parts of commands that it decides, 0 where there are none."""
+    hits = parts.filter("rule is not null").groupBy(F.col("rule").alias("idx")).agg(F.count("*").alias("commands"))
+    return rules.join(hits, "idx", "left").na.fill(0, ["commands"])
+
+
 def supported(parts: DataFrame) -> DataFrame:
     """Per target: parts, saveable tokens, the first part's percentage, and the most common display command (ties: smallest)."""
     s = parts.filter(F.col("kind") == "supported")

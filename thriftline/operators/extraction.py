@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from thriftline.functions.text import text_lines
+from thriftline.functions.text import strip_ansi, text_lines
 
 DIAGNOSTICS = ("output_id", "tool", "file", "line", "col", "severity", "code", "message")
 
@@ -115,6 +115,96 @@ def go_tests(outputs: DataFrame) -> DataFrame:
     return e.groupBy("output_id", F.col("e.Package").alias("package")).agg(*[F.count_if(F.col("e.Action") == a).alias(n) for a, n in (("pass", "passed"), ("fail", "failed"), ("skip", "skipped"))])
 
 
+def go_packages(outputs: DataFrame) -> DataFrame:
+    """(output_id, package, packages, passed, failed, skipped, build_failures) from NDJSON test events; package is null in an output's totals.
+
+    Events of builds belong to no package; other events without one belong to
+    `unknown`. A failed build is told by a package's own failing event.
+    """
+    schema = "Action string, Package string, Test string, FailedBuild string"
+    e = lines_of(outputs).select("output_id", F.from_json("line", schema).alias("e")).select("output_id", "e.*").filter("Action not in ('build-output', 'build-fail')")
+    of_test = F.col("Test").isNotNull()
+    counts = {n: F.count_if(of_test & (F.col("Action") == a)) for a, n in (("pass", "passed"), ("fail", "failed"), ("skip", "skipped"))}
+    built = F.max(((F.col("Action") == "fail") & ~of_test & F.col("FailedBuild").isNotNull()).cast("long"))
+    names = ["packages", *counts, "build_failures"]
+    by_package = e.groupBy("output_id", F.coalesce("Package", F.lit("unknown")).alias("package")).agg(F.lit(1).cast("long").alias("packages"), *[c.alias(n) for n, c in counts.items()], built.alias("build_failures"))
+    totals = by_package.groupBy("output_id").agg(*[F.sum(n).alias(n) for n in names]).select("output_id", F.lit(None).cast("string").alias("package"), *names)
+    return by_package.unionByName(totals)
+
+
+def linters_and_files(d: DataFrame, most: int = 10, shown: int = 3) -> DataFrame:
+    """(output_id, kind, name, n, linters, rank): the linters (codes) and the files with the most diagnostics; files with their most frequent linters. Ties go by name."""
+    pairs = d.groupBy("output_id", "file", "code").agg(F.count("*").alias("n"))
+    first = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("k"), "code"))), 1, shown)
+    files = pairs.groupBy("output_id", F.col("file").alias("name")).agg(F.sum("n").alias("n"), F.transform(first, lambda v: v["code"]).alias("linters"))
+    linters = pairs.groupBy("output_id", F.col("code").alias("name")).agg(F.sum("n").alias("n")).withColumn("linters", F.lit(None).cast("array<string>"))
+    both = files.withColumn("kind", F.lit("file")).unionByName(linters.withColumn("kind", F.lit("linter")))
+    w = Window.partitionBy("output_id", "kind").orderBy(F.desc("n"), "name")
+    return both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).select("output_id", "kind", "name", "n", "linters", "rank")
+
+
+#: Suites within suites that a report's schema has; a report with deeper ones is not taken apart (parse_tier 3).
+SUITE_LEVELS = 8
+SPECS = "array<struct<title:string,ok:boolean,tests:array<struct<status:string,results:array<struct<status:string,errors:array<struct<message:string>>>>>>>>"
+PLAYWRIGHT_FAILED = r"[×✗]\s+.*?›\s+([^›]+\.spec\.[tj]sx?)"
+
+
+def _suite_type(levels: int) -> str:
+    return f"array<struct<title:string,file:string,specs:{SPECS},suites:{_suite_type(levels - 1) if levels > 1 else 'string'}>>"
+
+
+def _specs(suites: Column, levels: int) -> Column:
+    """(file, spec) of all suites, a suite's own before those of the suites in it."""
+    none = F.expr(f"cast(array() as array<struct<file:string,spec:{SPECS[6:-1]}>>)")
+
+    def of(s: Column) -> Column:
+        own = F.coalesce(F.transform(s["specs"], lambda p: F.struct(F.coalesce(s["file"], s["title"]).alias("file"), p.alias("spec"))), none)
+        return F.concat(own, _specs(s["suites"], levels - 1)) if levels > 1 else own
+
+    return F.coalesce(F.flatten(F.transform(suites, of)), none)
+
+
+def _too_deep(suites: Column, levels: int) -> Column:
+    """Whether the last level's suites, kept as text, have any in them."""
+    deeper = lambda s: _too_deep(s["suites"], levels - 1) if levels > 1 else ~F.coalesce(s["suites"], F.lit("[]")).isin("[]", "null")
+    return F.coalesce(F.exists(suites, deeper), F.lit(False))
+
+
+def playwright(outputs: DataFrame) -> DataFrame:
+    """(output_id, total, passed, failed, skipped, duration_ms, failures, parse_tier): from a JSON report, else from the summary of a text.
+
+    failures holds (test, file, error) in the report's order; the error is that
+    of the first failed or timed out run of the first unexpected test. What is
+    neither (null and empty texts too) has zeros and parse_tier 3.
+    """
+    stats = "stats:struct<expected:bigint,unexpected:bigint,skipped:bigint,duration:double>"
+    o = outputs.select("output_id", strip_ansi(F.col("text")).alias("t"), F.from_json("text", f"struct<suites:{_suite_type(SUITE_LEVELS)},{stats}>").alias("j"))
+    whole = F.col("j.stats.expected").isNotNull() & ~_too_deep(F.col("j.suites"), SUITE_LEVELS)
+    o = o.select("output_id", F.when(~F.coalesce(F.col("j.stats.expected").isNotNull(), F.lit(False)), F.coalesce("t", F.lit(""))).alias("t"), F.when(whole, _specs(F.col("j.suites"), SUITE_LEVELS)).alias("specs"), "j.stats")
+    number = lambda word: F.coalesce(F.try_element_at(F.regexp_extract_all("t", F.lit(rf"(\d+)\s+{word}"), F.lit(1)), F.lit(-1)).cast("long"), F.lit(0).cast("long"))
+    o = o.withColumns({"p": number("passed"), "f": number("failed"), "s": number("skipped")})
+    full, said = F.col("specs").isNotNull(), F.col("p") + F.col("f") + F.col("s")
+
+    def failure(x: Column) -> Column:
+        test = F.get(F.filter(x["spec"]["tests"], lambda t: t["status"] == "unexpected"), F.lit(0))
+        run = F.get(F.filter(test["results"], lambda v: v["status"].isin("failed", "timedOut")), F.lit(0))
+        return F.struct(x["spec"]["title"].alias("test"), x["file"].alias("file"), F.coalesce(F.get(run["errors"], F.lit(0))["message"], F.lit("Test failed")).alias("error"))
+
+    told = F.filter("specs", lambda x: ~F.coalesce(x["spec"]["ok"], F.lit(False)))
+    marks = F.arrays_zip(F.regexp_extract_all("t", F.lit(PLAYWRIGHT_FAILED), F.lit(0)).alias("test"), F.regexp_extract_all("t", F.lit(PLAYWRIGHT_FAILED), F.lit(1)).alias("file"))
+    lasted = r"\((\d+(?:\.\d+)?)(ms|s|m)\)"
+    unit = F.regexp_extract("t", lasted, 2)
+    ms = F.regexp_extract("t", lasted, 1).try_cast("double") * F.when(unit == "s", 1000).when(unit == "m", 60000).otherwise(1)
+    none = F.expr("cast(array() as array<struct<test:string,file:string,error:string>>)")
+    return o.select(
+        "output_id", F.when(full, F.size("specs").cast("long")).otherwise(said).alias("total"), F.when(full, F.col("stats.expected")).otherwise(F.col("p")).alias("passed"),
+        F.when(full, F.col("stats.unexpected")).otherwise(F.col("f")).alias("failed"), F.when(full, F.col("stats.skipped")).otherwise(F.col("s")).alias("skipped"),
+        F.when(full, F.col("stats.duration")).when(said > 0, ms).cast("long").alias("duration_ms"),
+        F.when(full, F.transform(told, failure)).when(said > 0, F.transform(marks, lambda m: F.struct(m["test"].alias("test"), m["file"].alias("file"), F.lit("").alias("error")))).otherwise(none).alias("failures"),
+        F.when(full, 1).when(said > 0, 2).otherwise(3).alias("parse_tier"),
+    )
+
+
 def vitest(outputs: DataFrame) -> DataFrame:
     """(output_id, total, passed, failed, skipped, parse_tier): from JSON, maybe behind a banner; else from the summary line."""
     raw = F.regexp_extract("text", r"(?s)(\{.*\})", 1)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from thriftline.functions.paths import NOISE_NAMES
+from thriftline.functions.text import text_lines
 
 INFRA_RESOURCE = r"^\s*# (\S+) (?:will be|must be) (\w+)"
 
@@ -61,10 +62,10 @@ def status_lines(lines: DataFrame) -> DataFrame:
 
 
 def matching_rule(outputs: DataFrame, rules: DataFrame) -> DataFrame:
-    """outputs with the rule (priority, command, strategy) of least priority whose command theirs contains. rules is small and broadcast behind a check."""
+    """outputs with the rule (priority, command and whatever else rules has) of least priority whose command theirs contains. rules is small and broadcast behind a check."""
     small = F.broadcast(rules) if rules.limit(100_001).count() <= 100_000 else rules
     commands = outputs.select("command").distinct()
-    best = commands.alias("c").join(small.alias("r"), F.col("c.command").contains(F.col("r.command"))).groupBy(F.col("c.command").alias("command")).agg(F.min(F.struct("r.priority", "r.command", "r.strategy")).alias("rule"))
+    best = commands.alias("c").join(small.alias("r"), F.col("c.command").contains(F.col("r.command"))).groupBy(F.col("c.command").alias("command")).agg(F.min(F.struct("r.priority", *[f"r.{c}" for c in rules.columns if c != "priority"])).alias("rule"))
     return outputs.join(best, "command", "left")
 
 
@@ -116,3 +117,45 @@ def snippet(text: Column, word: str, width: int) -> Column:
     start = F.greatest(F.least(at - width // 3, F.length(t) - width + 1), F.lit(1))
     cut = F.substring(t, start, F.lit(width))
     return F.when(F.length(t) <= width, t).otherwise(F.concat(F.when(start > 1, "...").otherwise(""), cut, F.when(start + width <= F.length(t), "...").otherwise("")))
+
+
+#: What a rule of a filter file holds; command and strategy must be there.
+FILTER_RULE = "origin string, command string, strategy string, max_lines int, keep_pattern string, drop_pattern string"
+
+
+def filter_rules(lines: DataFrame) -> DataFrame:
+    """Rules of JSON lines (line_no, value) in their order: the project's before the user's, then by line; broken lines are skipped."""
+    rules = lines.select("line_no", F.from_json("value", FILTER_RULE).alias("r")).select("line_no", "r.*").filter("command is not null and strategy is not null")
+    order = F.struct((F.coalesce("origin", F.lit("user")) != "project").alias("late"), "line_no")
+    return rules.select(order.alias("priority"), "command", "strategy", "max_lines", "keep_pattern", "drop_pattern")
+
+
+def apply_filter_rules(outputs: DataFrame, rules: DataFrame) -> DataFrame:
+    """outputs (command, text) with rule, the first whose command is part of theirs, and reduced, the text by its strategy.
+
+    A line that fits keep_pattern always stays, else one that fits drop_pattern
+    goes. `truncate` keeps the last max_lines lines, `filter` drops lines,
+    `group` drops lines that repeat the one before, `deduplicate` lines that
+    were there before. Texts without a rule or with an unknown strategy stay as
+    they are, null stays null. Patterns are Java's.
+    """
+    o = matching_rule(outputs, rules).withColumn("_lines", text_lines(F.col("text")))
+    fits = lambda line, pattern: F.coalesce(F.rlike(line, F.col(f"rule.{pattern}")), F.lit(False))
+    o = o.withColumn("_kept", F.filter("_lines", lambda x: fits(x, "keep_pattern") | ~fits(x, "drop_pattern")))
+    before = F.when(F.size("_kept") > 0, F.concat(F.array(F.lit(None).cast("string")), F.slice("_kept", 1, F.size("_kept") - 1))).otherwise(F.col("_kept"))
+    runs = F.filter(F.zip_with("_kept", before, lambda x, y: F.struct(x.alias("x"), y.alias("y"))), lambda p: fits(p["x"], "keep_pattern") | ~p["x"].eqNullSafe(p["y"]))
+    first = F.size("_lines") - F.coalesce("rule.max_lines", F.size("_lines"))
+    by = {
+        "truncate": F.filter("_lines", lambda x, i: (i >= first) | fits(x, "keep_pattern")), "filter": F.col("_kept"),
+        "group": F.transform(runs, lambda p: p["x"]), "deduplicate": F.array_distinct("_kept"),
+    }
+    reduced = F.coalesce(*[F.when(F.col("rule.strategy") == s, F.array_join(lines, "\n")) for s, lines in by.items()], F.col("text"))
+    return o.withColumn("reduced", reduced).drop("_lines", "_kept")
+
+
+def file_inventory(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, name, ext, size, modified): all files below a folder; hidden and empty ones are left out, as Spark does. Their content is not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    name = F.element_at(F.split("path", "/"), -1)
+    ext = F.when(name.contains("."), F.substring_index(name, ".", -1))
+    return files.select("path", name.alias("name"), ext.alias("ext"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))

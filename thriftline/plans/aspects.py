@@ -40,7 +40,6 @@ ASPECTS = (
     ("fn_validate_reduction", "agg_benchmark", "status pairs"),
     ("win_block_header", "ext_cargo_build", "output_id file line severity"),
     ("ext_clippy", "ext_cargo_build", "output_id file line code message"),
-    ("agg_test_packages", "ext_go_test", "output_id package passed failed"),
     ("sink_telemetry_doc", "agg_telemetry_doc", "total_commands by_command by_project"),
     ("ext_pods", "agg_pods", "output_id running issues"),
     ("sort_period", "join_economics_month", "month total_tokens saved_tokens"),

@@ -47,10 +47,14 @@ def ext_pylint(spark: SparkSession, sf: str) -> DataFrame:
     return x.pylint(d.tool_json(spark, sf, F.struct(kind.alias("type"), col("file").alias("path"), "line", col("col").alias("column"), col("code").alias("symbol"), F.concat(lit("C"), col("n") % 5).alias("message-id"), "message")))
 
 
+def golangci_outputs(spark: SparkSession, sf: str) -> DataFrame:
+    issue = F.struct(col("code").alias("FromLinter"), col("message").alias("Text"), F.struct(col("file").alias("Filename"), col("line").alias("Line"), col("col").alias("Column")).alias("Pos"))
+    return d.tool_json(spark, sf, issue, "Issues")
+
+
 @query(sql_of("golangci", "'error'"))
 def ext_golangci(spark: SparkSession, sf: str) -> DataFrame:
-    issue = F.struct(col("code").alias("FromLinter"), col("message").alias("Text"), F.struct(col("file").alias("Filename"), col("line").alias("Line"), col("col").alias("Column")).alias("Pos"))
-    return x.golangci(d.tool_json(spark, sf, issue, "Issues"))
+    return x.golangci(golangci_outputs(spark, sf))
 
 
 @query(sql_of("mypy", "'error'", "'r-' || n % 9", "WHERE n % 4 NOT IN (1, 2)"))
@@ -94,7 +98,7 @@ def agg_diag_by_file(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT output_id, 'p' || n % 3 AS package, count(*) FILTER (n % 4 = 0) AS passed, count(*) FILTER (n % 4 = 1) AS failed, count(*) FILTER (n % 4 = 2) AS skipped FROM tool_rows_v WHERE n % 5 <> 0 GROUP BY 1, 2")
 def ext_go_test(spark: SparkSession, sf: str) -> DataFrame:
-    """ext_go_test, src_ndjson_events and agg_test_packages."""
+    """ext_go_test and src_ndjson_events."""
     action = F.element_at(F.array(lit("pass"), lit("fail"), lit("skip"), lit("run")), (col("n") % 4 + 1).cast("int"))
     event = F.to_json(F.struct(action.alias("Action"), F.concat(lit("p"), col("n") % 3).alias("Package"), F.concat(lit("T"), col("n")).alias("Test")))
     return x.go_tests(d.tool_text(spark, sf, F.when(col("n") % 5 == 0, lit("ok, no JSON")).otherwise(event), numbered=False))

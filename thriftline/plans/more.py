@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from thriftline.functions import commands as c
 from thriftline.functions import json as j
 from thriftline.functions import text as t
-from thriftline.operators import corrections, discovery, economics, telemetry
+from thriftline.operators import corrections, discovery, economics, listing, telemetry
 from thriftline.operators import extraction as x
 from thriftline.operators import reduction as red
 from thriftline.plans import economics as econ
@@ -149,10 +149,12 @@ def sink_economics(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("month", F.to_json(F.struct("month", "saved_tokens", "total_tokens")).alias("line"))
 
 
-@query("SELECT idx, pattern, target, category, savings_pct FROM rule_rows_v, (SELECT count(*) AS c FROM events) WHERE c > 0")
+@query("SELECT idx, pattern, target, category, savings_pct, coalesce(n, 0) AS commands FROM rule_rows_v LEFT JOIN (SELECT m.r.idx AS i, count(*) AS n FROM shell_parts_v JOIN matched_v m USING (part) GROUP BY 1) ON i = idx")
 def src_rules(spark: SparkSession, sf: str) -> DataFrame:
-    rules = r.rule_table(spark).select("idx", "pattern", "target", "category", "savings_pct", lit(1).alias("one"))
-    return rules.join(d.read(spark, sf, "events").limit(1).select(lit(1).alias("one")), "one").drop("one")
+    """The rules, with the commands of all calls that each decides."""
+    from thriftline.plans.discovery import parts
+
+    return discovery.rule_hits(parts(spark, sf), r.rule_table(spark)).select("idx", "pattern", "target", "category", "savings_pct", "commands")
 
 
 @query("SELECT count(*) AS commands, count(DISTINCT session_id) AS sessions, min(ts) AS first_ts, max(ts) AS last_ts FROM commands_v")
@@ -186,12 +188,79 @@ def join_failed_test_output(spark: SparkSession, sf: str) -> DataFrame:
     return failed.join(said, key, "left").select("output_id", col("Package").alias("package"), col("Test").alias("test"), "output")
 
 
-@query("SELECT 'eslint' AS tool, code, count(*) AS n, count(DISTINCT file) AS files FROM eslint_v GROUP BY 2 ORDER BY n DESC, code LIMIT 10")
+@query("""WITH p AS (SELECT output_id, file, code, count(*) AS n FROM tool_rows_v GROUP BY ALL),
+l AS (SELECT *, row_number() OVER (PARTITION BY output_id, file ORDER BY n DESC, code) AS i FROM p),
+a AS (SELECT output_id, 'file' AS kind, file AS name, sum(n)::BIGINT AS n, list(code ORDER BY i) FILTER (i <= 3) AS linters FROM l GROUP BY ALL
+UNION ALL SELECT output_id, 'linter', code, sum(n)::BIGINT, NULL FROM p GROUP BY ALL)
+SELECT * EXCLUDE (rank), rank FROM (SELECT *, row_number() OVER (PARTITION BY output_id, kind ORDER BY n DESC, name)::INT AS rank FROM a) WHERE rank <= 10""")
 def agg_linters_files(spark: SparkSession, sf: str) -> DataFrame:
-    from thriftline.plans.extraction import eslint_outputs
+    """Per output the ten linters and the ten files with the most issues, files with their three most frequent linters."""
+    from thriftline.plans.extraction import golangci_outputs
+
+    return x.linters_and_files(x.golangci(golangci_outputs(spark, sf)))
+
+
+@query("""WITH p AS (SELECT output_id, 'p' || n % 3 AS package, count(*) FILTER (n % 6 = 0) AS passed, count(*) FILTER (n % 6 = 1) AS failed, count(*) FILTER (n % 6 = 2) AS skipped, count(*) FILTER (n % 6 = 4 AND n % 5 > 2) > 0 AS build_failed FROM tool_rows_v WHERE n % 6 <> 5 GROUP BY 1, 2)
+SELECT output_id, package, 1::BIGINT AS packages, passed, failed, skipped, build_failed::BIGINT AS build_failures FROM p UNION ALL SELECT output_id, NULL, count(*), sum(passed)::BIGINT, sum(failed)::BIGINT, sum(skipped)::BIGINT, count(*) FILTER (build_failed) FROM p GROUP BY 1""")
+def agg_test_packages(spark: SparkSession, sf: str) -> DataFrame:
+    """Passed, failed and skipped tests and failed builds by package, and in all."""
+    n = col("n")
+    action = F.element_at(F.array(*map(lit, ("pass", "fail", "skip", "run", "fail", "build-output"))), (n % 6 + 1).cast("int"))
+    test = F.when(n % 6 < 4, F.concat(lit("T"), n))
+    event = F.struct(action.alias("Action"), F.when(n % 6 != 5, F.concat(lit("p"), n % 3)).alias("Package"), test.alias("Test"), F.when((n % 6 == 4) & (n % 5 > 2), "q").alias("FailedBuild"), F.when(n % 6 == 5, "q").alias("ImportPath"))
+    return x.go_packages(d.tool_text(spark, sf, F.to_json(event), numbered=False))
+
+
+PLAYWRIGHT_SQL = """SELECT n AS output_id, CASE n % 3 WHEN 0 THEN 3 WHEN 1 THEN n % 50 + n % 4 + 1 ELSE 0 END AS total, CASE n % 3 WHEN 0 THEN 1 WHEN 1 THEN n % 50 ELSE 0 END AS passed,
+CASE n % 3 WHEN 0 THEN 2 WHEN 1 THEN n % 4 ELSE 0 END AS failed, CASE n % 3 WHEN 0 THEN n % 2 WHEN 1 THEN 1 ELSE 0 END AS skipped, CASE n % 3 WHEN 0 THEN n % 900 WHEN 1 THEN (n % 90) * 1000 END AS duration_ms,
+CASE n % 3 WHEN 0 THEN ['a.spec.ts: outer: ' || message, 'inner: deep: Test failed'] WHEN 1 THEN ['x/f.spec.ts: ✗ 1 chrome › x/f.spec.ts: '] ELSE [] END AS failures, n % 3 + 1 AS parse_tier FROM tool_rows_v"""
 
-    diag = x.eslint(eslint_outputs(spark, sf))
-    return diag.groupBy("tool", "code").agg(F.count("*").alias("n"), F.countDistinct("file").alias("files")).orderBy(F.desc("n"), "code").limit(10)
+
+@query(PLAYWRIGHT_SQL)
+def ext_playwright(spark: SparkSession, sf: str) -> DataFrame:
+    """Reports of suites in suites; every third output is text with a summary, every third neither."""
+    n = col("n")
+    inner = F.to_json(F.struct(lit("inner").alias("title"), F.array(F.struct(lit("deep").alias("title"), lit(False).alias("ok"))).alias("specs")))
+    spec = lambda title, ok: F.struct(lit(title).alias("title"), lit(ok).alias("ok"), F.array(F.struct(lit("unexpected").alias("status"), F.array(F.struct(lit("timedOut").alias("status"), F.array(F.struct("message")).alias("errors"))).alias("results"))).alias("tests"))
+    outer = F.to_json(F.struct(lit("A").alias("title"), lit("a.spec.ts").alias("file"), F.array(spec("outer", False), spec("fine", True)).alias("specs")))
+    nested = F.concat(F.expr("substring(o, 1, length(o) - 1)"), lit(',"suites":['), "i", lit("]}"))
+    stats = F.to_json(F.struct(lit(1).alias("expected"), lit(2).alias("unexpected"), (n % 2).alias("skipped"), (n % 900 + 0.5).alias("duration")))
+    said = F.concat(lit("✗ 1 chrome › x/f.spec.ts\n"), n % 4, lit(" failed\n1 skipped\n"), n % 50, lit(" passed ("), n % 90, lit("s)"))
+    rows = d._tool_rows(spark, sf).withColumns({"i": inner, "o": outer}).withColumn("suite", nested)
+    text = F.when(n % 3 == 0, F.concat(lit('{"suites":['), "suite", lit('],"stats":'), stats, lit("}"))).when(n % 3 == 1, said).otherwise("nothing")
+    p = x.playwright(rows.select(n.alias("output_id"), text.alias("text")))
+    return p.withColumn("failures", F.transform("failures", lambda f: F.concat_ws(": ", f["file"], f["test"], f["error"])))
+
+
+#: The declarative rules of the query, as their files say them; one is broken and one has an unknown strategy.
+FILTER_LINES = (
+    '{"origin":"user","command":"cargo","strategy":"filter","drop_pattern":"a"}',
+    '{"origin":"project","command":"cargo test","strategy":"truncate","max_lines":3,"keep_pattern":"the"}',
+    '{"origin":"project","command":"log","strategy":"group","drop_pattern":"e.$","keep_pattern":"^[a-f]"}',
+    '{"origin":"user","command":"npm","strategy":"deduplicate","drop_pattern":"^[m-z]"}',
+    '{"origin":"user","command":"pytest","strategy":"shuffle"}',
+    '{"origin":"user","command":"git',
+)
+KEPT = "(coalesce(regexp_matches(x, k), false) OR NOT coalesce(regexp_matches(x, dr), false))"
+
+
+@query(f"""WITH r AS (SELECT * FROM (VALUES ('cargo test', 'cargo test', 'truncate', 'the', NULL), ('npm run build', 'npm', 'deduplicate', NULL, '^[m-z]'), ('kubectl logs', 'log', 'group', '^[a-f]', 'e.$'), ('git log', 'log', 'group', '^[a-f]', 'e.$'), ('pytest -q', 'pytest', 'shuffle', NULL, NULL)) r(cmd, rule, s, k, dr)),
+l AS (SELECT *, CASE WHEN a[-1] = '' THEN a[:-2] ELSE a END AS ls FROM (SELECT o.*, r.*, string_split_regex(text, '\\r?\\n') AS a FROM outputs_v o JOIN r ON cmd = command)),
+f AS (SELECT *, list_filter(ls, lambda x: {KEPT}) AS kept FROM l),
+t AS (SELECT output_id, rule, text, CASE s WHEN 'truncate' THEN array_to_string(list_filter(ls, lambda x, i: i > len(ls) - 3 OR regexp_matches(x, k)), chr(10)) WHEN 'deduplicate' THEN array_to_string(list_filter(kept, lambda x, i: list_position(kept, x) = i), chr(10))
+WHEN 'group' THEN array_to_string(list_filter(kept, lambda x, i: regexp_matches(x, k) OR i = 1 OR x <> kept[i - 1]), chr(10)) ELSE text END AS reduced FROM f)
+SELECT output_id, rule, strlen(reduced)::BIGINT AS bytes, md5(reduced) AS reduced_md5, reduced <> text AS changed FROM t""")
+def src_filter_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Rule files as JSON lines, applied to all outputs: the project's rules come before the user's, broken ones are skipped."""
+    lines = spark.range(1).select(F.posexplode(F.array(*map(lit, FILTER_LINES))).alias("line_no", "value"))
+    reduced = listing.apply_filter_rules(d.outputs(spark, sf), listing.filter_rules(lines))
+    return reduced.select("output_id", col("rule.command").alias("rule"), F.octet_length("reduced").cast("long").alias("bytes"), F.md5("reduced").alias("reduced_md5"), (col("reduced") != col("text")).alias("changed"))
+
+
+@query()
+def src_file_listing(spark: SparkSession, sf: str) -> DataFrame:
+    """The files that the given tables consist of."""
+    return listing.file_inventory(spark, sf)
 
 
 @query("SELECT output_id, file, message FROM (SELECT *, dense_rank() OVER (PARTITION BY output_id ORDER BY file) AS f, row_number() OVER (PARTITION BY output_id, file ORDER BY line, col, message) AS m FROM eslint_v) WHERE f <= 5 AND m <= 2")

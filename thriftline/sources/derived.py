@@ -34,7 +34,7 @@ def commands_of(e: DataFrame) -> DataFrame:
     tokens = F.floor(F.abs("value") * 100).cast("long")
     user, event = F.col("user_id"), F.col("event_id")
     path = F.when(user % 12 == 11, "").when(user % 12 != 10, F.concat(F.lit("/w/p"), user % 12, F.when(event % 5 == 0, "/sub").otherwise("")))
-    e = e.filter(F.dayofmonth("ts") % 7 != 0).select(
+    e = e.select(
         event.alias("id"), (F.col("ts").cast("timestamp") + F.make_ym_interval(F.lit(0), (user % 3).cast("int"))).alias("ts"),
         F.concat_ws(" ", verb, event % 7).alias("original_cmd"), verb.alias("filtered_cmd"),
         tokens.alias("input_tokens"), F.floor(tokens * (event % 11) / 10).cast("long").alias("output_tokens"),
@@ -57,13 +57,13 @@ SELECT event_id AS id, ts + to_months((user_id % 3)::INT) AS ts,
   CASE WHEN user_id % 12 = 11 THEN '' WHEN user_id % 12 <> 10 THEN '/w/p' || (user_id % 12) || CASE WHEN event_id % 5 = 0 THEN '/sub' ELSE '' END END AS project_path,
   CASE WHEN event_id % 4 = 0 THEN '' WHEN event_id % 4 <> 1 THEN 'name' || (event_id % 3) END AS project_name,
   user_id::VARCHAR AS session_id, (event_id % 4)::INT AS parse_tier, CASE WHEN event_id % 9 = 0 THEN 'passthrough' ELSE 'filtered' END AS execution_kind
-FROM events WHERE day(ts) % 7 <> 0)))
+FROM events)))
 """)
 
 
 def usage_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens and cost that were spent per day; some days that commands have are missing, and the other way round."""
-    e = read(spark, sf_dir, "events").filter(F.dayofmonth("ts") % 5 != 0)
+    """Tokens and cost that were spent per day."""
+    e = read(spark, sf_dir, "events")
     day = F.to_date(F.col("ts").cast("timestamp") + F.make_ym_interval(F.lit(0), (F.col("user_id") % 3).cast("int")))
     v = F.floor(F.abs("value")).cast("long")
     return e.groupBy(day.alias("day")).agg(
@@ -75,7 +75,7 @@ def usage_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 view("usage_daily_v", """
 SELECT CAST(ts + to_months((user_id % 3)::INT) AS DATE) AS day, sum(v * 7)::BIGINT AS input_tokens, sum(v * 2)::BIGINT AS output_tokens,
   sum(v)::BIGINT AS cache_creation_tokens, sum(v * 11)::BIGINT AS cache_read_tokens, sum(v * 21)::BIGINT AS total_tokens, sum(v)::DOUBLE / 1000 AS total_cost
-FROM (SELECT *, CAST(floor(abs(value)) AS BIGINT) AS v FROM events WHERE day(ts) % 5 <> 0) GROUP BY 1
+FROM (SELECT *, CAST(floor(abs(value)) AS BIGINT) AS v FROM events) GROUP BY 1
 """)
 
 
