@@ -3,7 +3,10 @@
 import datetime
 import json
 
-from thriftline.operators import economics, extraction, listing
+from pyspark.sql import functions as F
+
+from thriftline.functions import json as functions_json
+from thriftline.operators import economics, extraction, listing, reduction
 
 
 def report(depth: int) -> str:
@@ -68,3 +71,16 @@ def test_economics_of_days_that_one_side_lacks(spark):
     got = {r.day.day: r for r in economics.weighted(economics.merged(spent, saved, "day")).collect()}
     assert got[1].commands is None and got[1].weighted_cpt is None and got[3].total_cost is None and got[3].weighted_savings is None
     assert got[2].savings_pct == 50.0 and got[2].weighted_savings == 50 * 4.0 / 30
+
+
+def test_markdown(spark):
+    texts = ["a\n---\nb", "```\n---\n", "~~~\n<!-- x -->\n~~~\n***\n", "~~~\n---\n```\n---\n```", "![i](u)\n  [![b](c)](d)\nx ![i](u)", "", None, " \n\t"]
+    got = reduction.markdown_clean(spark.createDataFrame(list(enumerate(texts)), "output_id long, text string")).orderBy("output_id").collect()
+    assert [r.text for r in got] == ["a\n\nb", "```\n---", "~~~\n<!-- x -->\n~~~", "~~~\n```\n---\n```", "x ![i](u)", "", None, ""]
+
+
+def test_json_truncation(spark):
+    long = "s" * 6000
+    texts = [json.dumps({"a": "s" * 200}), json.dumps({"a": long}), json.dumps({"error": long}), json.dumps([{"errors": 1}, long]), "{ no", "", None]
+    got = [r.x for r in spark.createDataFrame(list(enumerate(texts)), "i long, text string").select("i", functions_json.json_truncate(F.col("text")).alias("x")).orderBy("i").collect()]
+    assert [x if x is None else len(x) for x in got] == [208, len('{"a":"' + "s" * 100 + '...(6000chars)"}'), 6012, len('[{"errors":1},"' + "s" * 100 + '...(6000chars)"]'), 4, 0, None]

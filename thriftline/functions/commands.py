@@ -55,12 +55,14 @@ def display_command(c: Column) -> Column:
 
 
 def split_chain_text(cmd: str) -> list[str]:
-    """The parts of a command between && || and ; outside quotes. A pipe, here-document or arithmetic outside quotes leaves it whole."""
+    """The parts of a command between && || and ; outside quotes. A pipe, here-document or arithmetic outside quotes leaves it whole; a backslash, but in single quotes, takes the next character out of account."""
     whole = [cmd.strip()] if cmd.strip() else []
     parts, start, quote, i = [], 0, "", 0
     while i < len(cmd):
         c, two = cmd[i], cmd[i : i + 2]
-        if quote:
+        if c == "\\" and quote != "'":
+            i += 1
+        elif quote:
             quote = "" if c == quote else quote
         elif c in "'\"":
             quote = c

@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 #: Kept array items of pruning and truncating, length of strings, depth of objects.
 PRUNED_ITEMS, TRUNCATED_ITEMS, STRING_CHARS, MAX_DEPTH = 20, 3, 100, 3
+#: Bytes from which texts are truncated, keys by which an object is an error and stays whole.
+TRUNCATED_BYTES, ERROR_KEYS = 5120, ("error", "errors")
 
 
 def pruned(v):
@@ -72,7 +74,7 @@ def _mapped(f: Callable, kind: T.DataType = T.StringType()):
         if text is None:
             return None
         try:
-            return f(json.loads(text))
+            return f(json.loads(text), text)
         except ValueError:
             return text if isinstance(kind, T.StringType) else None
 
@@ -88,15 +90,20 @@ def minified(v) -> str:
 
 
 def json_prune(c: Column) -> Column:
-    return _mapped(lambda v: minified(pruned(v)))(c)
+    return _mapped(lambda v, _: minified(pruned(v)))(c)
 
 
 def json_truncate(c: Column) -> Column:
-    return _mapped(lambda v: minified(truncated(v)))(c)
+    """Minified, and truncated unless the text is small or the object tells of errors."""
+    def made(v, text: str) -> str:
+        whole = len(text.strip().encode("utf-8", "surrogatepass")) < TRUNCATED_BYTES or (isinstance(v, dict) and any(k in v for k in ERROR_KEYS))
+        return minified(v if whole else truncated(v))
+
+    return _mapped(made)(c)
 
 
 def json_flat(c: Column) -> Column:
-    return _mapped(lambda v: "|".join(flattened(v)))(c)
+    return _mapped(lambda v, _: "|".join(flattened(v)))(c)
 
 
 def json_embedded(c: Column) -> Column:

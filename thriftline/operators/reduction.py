@@ -126,10 +126,25 @@ def compact_forms(outputs: DataFrame) -> DataFrame:
     return outputs.select("output_id", F.inline(forms)).withColumn("tokens", estimate_tokens(F.col("form"))).select("output_id", "format", "tokens")
 
 
+#: What goes from a text outside code, and a block of code with its fences.
+MARKDOWN_NOISE = (r"(?s)<!--.*?-->", r"(?md)^\s*\[!\[[^\]]*\]\([^)]*\)\]\([^)]*\)\s*$", r"(?md)^\s*!\[[^\]]*\]\([^)]*\)\s*$", r"(?md)^\s*(?:---+|\*\*\*+|___+)\s*$")
+FENCED = r"(?s)```[^\n]*(?:\n.*?(?:```[^\n]*\n?|\z)|\z)|~~~(?!.*```)[^\n]*(?:\n.*?(?:~~~[^\n]*\n?|\z)|\z)"
+
+
 def markdown_clean(outputs: DataFrame) -> DataFrame:
-    """Texts without HTML comments, blank runs collapsed to one empty line, trimmed."""
-    body = F.regexp_replace("text", r"(?s)<!--.*?-->", "")
-    return outputs.withColumn("text", F.trim(F.regexp_replace(body, r"\n{3,}", "\n\n")))
+    """Texts without HTML comments, lines of one badge or image, and rules; blank runs collapsed to one empty line; trimmed.
+
+    Code between fences stays as it is, to the end of the text where a fence is
+    not closed. A text has fences of ~ only where none of ` follow. Null stays null.
+    """
+    def cleaned(part: Column) -> Column:
+        for pattern in MARKDOWN_NOISE:
+            part = F.regexp_replace(part, pattern, "")
+        return F.regexp_replace(part, r"\n{3,}", "\n\n")
+
+    blocks = F.regexp_extract_all("text", F.lit(FENCED), F.lit(0))
+    joined = F.zip_with(F.split("text", FENCED, -1), blocks, lambda part, block: F.concat(cleaned(part), F.coalesce(block, F.lit(""))))
+    return outputs.withColumn("text", F.regexp_replace(F.array_join(joined, ""), r"^\s+|\s+\z", ""))
 
 
 def retained(outputs: DataFrame, mode: str = "failures", least_bytes: int = 500, keep: int = 20) -> DataFrame:

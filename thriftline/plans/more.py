@@ -26,13 +26,13 @@ def json_rows(spark: SparkSession, sf: str) -> DataFrame:
     """A JSON text per event: a null, a long string, a long array and a deep object."""
     n = col("n")
     doc = F.struct(
-        F.when(n % 2 == 0, lit("x")).alias("maybe"), F.repeat(lit("s"), (n % 3 * 60).cast("int")).alias("long"), F.sequence(lit(1), (n % 30 + 1).cast("int")).alias("items"),
+        F.when(n % 2 == 0, lit("x")).alias("maybe"), F.repeat(lit("s"), F.when(n % 4 == 0, 6000).otherwise(n % 3 * 60).cast("int")).alias("long"), F.sequence(lit(1), (n % 30 + 1).cast("int")).alias("items"),
         F.struct(F.struct(F.struct(n.alias("v")).alias("c")).alias("b")).alias("a"),
     )
     return d._tool_rows(spark, sf).select("n", F.to_json(doc, {"ignoreNullFields": "false"}).alias("text"))
 
 
-view("json_v", "SELECT n, CASE WHEN n % 2 = 0 THEN '\"x\"' END AS maybe, repeat('s', (n % 3 * 60)::INT) AS long, range(1, (n % 30 + 2)::BIGINT) AS items FROM tool_rows_v")
+view("json_v", "SELECT n, CASE WHEN n % 2 = 0 THEN '\"x\"' END AS maybe, repeat('s', CASE WHEN n % 4 = 0 THEN 6000 ELSE n % 3 * 60 END::INT) AS long, range(1, (n % 30 + 2)::BIGINT) AS items FROM tool_rows_v")
 ITEMS = "array_to_string(items[1:{k}], ',') || CASE WHEN len(items) > {k} THEN ',\"{note}\"' ELSE '' END"
 
 
@@ -41,7 +41,7 @@ def fn_json_prune(spark: SparkSession, sf: str) -> DataFrame:
     return json_rows(spark, sf).select("n", j.json_prune(col("text")).alias("text"))
 
 
-@query("SELECT n, '{\"maybe\":' || coalesce(maybe, 'null') || ',\"long\":\"' || CASE WHEN length(long) > 100 THEN substr(long, 1, 100) || '...(' || length(long) || 'chars)' ELSE long END || '\",\"items\":[' || " + ITEMS.format(k=3, note="...+' || len(items) - 3 || ' more") + " || '],\"a\":{\"b\":{\"c\":\"{...1 keys}\"}}}' AS text FROM json_v")
+@query("SELECT n, CASE WHEN length(long) < 5000 THEN '{\"maybe\":' || coalesce(maybe, 'null') || ',\"long\":\"' || long || '\",\"items\":[' || array_to_string(items, ',') || '],\"a\":{\"b\":{\"c\":{\"v\":' || n || '}}}}' ELSE '{\"maybe\":' || coalesce(maybe, 'null') || ',\"long\":\"' || CASE WHEN length(long) > 100 THEN substr(long, 1, 100) || '...(' || length(long) || 'chars)' ELSE long END || '\",\"items\":[' || " + ITEMS.format(k=3, note="...+' || len(items) - 3 || ' more") + " || '],\"a\":{\"b\":{\"c\":\"{...1 keys}\"}}}' END AS text FROM json_v")
 def fn_json_truncate(spark: SparkSession, sf: str) -> DataFrame:
     return json_rows(spark, sf).select("n", j.json_truncate(col("text")).alias("text"))
 
@@ -59,7 +59,7 @@ def fn_json_extract_embedded(spark: SparkSession, sf: str) -> DataFrame:
     return banner.select("n", F.coalesce(j.json_embedded(col("said")) == col("text"), lit(False)).alias("found"))
 
 
-@query("SELECT n, CASE WHEN length(long) < 3 OR length(long) <= 100 THEN 1.0::DOUBLE ELSE 0.0 END AS kept FROM json_v")
+@query("SELECT n, CASE WHEN length(long) < 5000 THEN 1.0::DOUBLE ELSE 0.0 END AS kept FROM json_v")
 def fn_structure_preservation(spark: SparkSession, sf: str) -> DataFrame:
     return json_rows(spark, sf).select("n", j.structure_preserved(col("text"), j.json_truncate(col("text"))).alias("kept"))
 

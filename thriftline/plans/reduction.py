@@ -120,9 +120,21 @@ def agg_format_compare(spark: SparkSession, sf: str) -> DataFrame:
     return sums.withColumn("one", F.lit(1)).join(raw, "one").select("format", "tokens", F.round(100 - F.col("tokens") * 100.0 / F.col("raw"), 6).alias("savings_pct"))
 
 
-@query("SELECT page_id AS output_id, strlen(b) AS bytes, md5(b) AS body_md5 FROM (SELECT page_id, trim(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')) AS b FROM pages)")
+#: What the query adds to each page: noise, code with the same noise in it, and a comment.
+PAGE_NOISE, PAGE_CODE, PAGE_TAIL = "\n\n\n\n---\n![x](y)\n[![b](c)](d)\n", "```sh\n<!-- a -->\n\n\n\n---\n``` \n", "<!-- gone -->tail \n"
+
+
+def cleaned_sql(text: str) -> str:
+    for p in ("(?s)<!--.*?-->", *(rf"(?m)^\s*{x}\s*$" for x in (r"\[!\[[^\]]*\]\([^)]*\)\]\([^)]*\)", r"!\[[^\]]*\]\([^)]*\)", r"(?:---+|\*\*\*+|___+)"))):
+        text = f"regexp_replace({text}, '{p}', '', 'g')"
+    return f"regexp_replace({text}, '\\n{{3,}}', chr(10) || chr(10), 'g')"
+
+
+@query(f"SELECT output_id, strlen(b) AS bytes, md5(b) AS body_md5 FROM (SELECT page_id AS output_id, regexp_replace({cleaned_sql(f"html || '{PAGE_NOISE}'")} || '{PAGE_CODE}' || {cleaned_sql(f"'{PAGE_TAIL}'")}, '^\\s+|\\s+$', '', 'g') AS b FROM pages)")
 def fn_markdown_clean(spark: SparkSession, sf: str) -> DataFrame:
-    cleaned = op.markdown_clean(d.read(spark, sf, "pages").select(F.col("page_id").alias("output_id"), F.col("html").alias("text")))
+    """Every page with noise, code and a comment at its end."""
+    text = F.concat("html", F.lit(PAGE_NOISE), F.lit(PAGE_CODE), F.lit(PAGE_TAIL))
+    cleaned = op.markdown_clean(d.read(spark, sf, "pages").select(F.col("page_id").alias("output_id"), text.alias("text")))
     return cleaned.select("output_id", F.octet_length("text").cast("long").alias("bytes"), F.md5("text").alias("body_md5"))
 
 
