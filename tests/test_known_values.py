@@ -55,7 +55,7 @@ def test_similarity_and_changed_token(spark):
 
 @pytest.mark.parametrize(
     ("text_", "parts"),
-    [("a && b", ["a", "b"]), ("a; b || c", ["a", "b", "c"]), ("a | b && c", ["a | b && c"]), ("echo 'x;y' ; z", ["echo 'x;y'", "z"]), ("cat <<E && x", ["cat <<E && x"]), (r"a \; b; c", [r"a \; b", "c"]), (r"echo \"x\\\";y\" && z", [r"echo \"x\\\";y\"", "z"]), (r"echo '\\' ; z", [r"echo '\\'", "z"]), ("", []), (" ; ", [])],
+    [("a && b", ["a", "b"]), ("a; b || c", ["a", "b", "c"]), ("a | b && c", ["a | b && c"]), ("echo 'x;y' ; z", ["echo 'x;y'", "z"]), ("cat <<E && x", ["cat <<E && x"]), (r"a \; b; c", [r"a \; b", "c"]), (r'''echo "x\";y" && z''', [r'''echo "x\";y"''', "z"]), (r"echo '\' ; z", [r"echo '\'", "z"]), ("", []), (" ; ", [])],
 )
 def test_split_chain(text_, parts):
     assert c.split_chain_text(text_) == parts
