@@ -111,6 +111,12 @@ def word_counts(outputs: DataFrame) -> DataFrame:
     return outputs.select("output_id", ends.cast("long").alias("lines"), words.cast("long").alias("words"), F.octet_length("text").cast("long").alias("bytes"), F.length("text").cast("long").alias("chars"))
 
 
+def with_total(counts: DataFrame) -> DataFrame:
+    """word_counts and a row with the sums, whose output_id is null; zeros where there are no outputs."""
+    total = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("lines", "words", "bytes", "chars")])
+    return counts.unionByName(total, allowMissingColumns=True)
+
+
 def line_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     """Two line tables (pair_id, line_no, line) compared line by line: added, removed, modified (character sets alike by over half), else removed and added."""
     both = left.withColumnRenamed("line", "l").join(right.withColumnRenamed("line", "r"), ["pair_id", "line_no"], "full_outer").filter(~F.col("l").eqNullSafe(F.col("r")))

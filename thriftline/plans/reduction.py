@@ -93,9 +93,9 @@ def win_context_run(spark: SparkSession, sf: str) -> DataFrame:
     return op.runs_collapsed(d.output_lines(spark, sf), "ERROR|fatal", 2).select("output_id", "line_no", "skipped")
 
 
-@query("SELECT output_id, (length(text) - length(replace(text, chr(10), '')))::BIGINT AS lines, len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''))::BIGINT AS words, strlen(text)::BIGINT AS bytes, length(text)::BIGINT AS chars FROM outputs_v")
+@query("WITH w AS (SELECT output_id, (length(text) - length(replace(text, chr(10), '')))::BIGINT AS lines, len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''))::BIGINT AS words, strlen(text)::BIGINT AS bytes, length(text)::BIGINT AS chars FROM outputs_v) SELECT * FROM w UNION ALL SELECT NULL, sum(lines)::BIGINT, sum(words)::BIGINT, sum(bytes)::BIGINT, sum(chars)::BIGINT FROM w")
 def agg_wc(spark: SparkSession, sf: str) -> DataFrame:
-    return op.word_counts(d.outputs(spark, sf))
+    return op.with_total(op.word_counts(d.outputs(spark, sf)))
 
 
 @query("""SELECT pair_id, line_no, unnest(c).change AS change, unnest(c).line AS line FROM (

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from thriftline.operators import economics
 from thriftline.operators import extraction as x
 from thriftline.operators import sections as op
 from thriftline.plans.registry import query, view
@@ -114,12 +115,23 @@ def ext_ci_runs(spark: SparkSession, sf: str) -> DataFrame:
     return op.ci_runs(d.tool_json(spark, sf, run))
 
 
-@query("SELECT 'daily' AS granularity, strftime(day, '%Y-%m-%d') AS key, input_tokens, output_tokens, CASE WHEN day(day) % 2 = 0 THEN cache_creation_tokens ELSE 0 END AS cache_creation_tokens, 0::BIGINT AS cache_read_tokens, total_tokens, round(total_cost, 6) AS total_cost FROM usage_daily_v")
+def usage_sql(granularity: str, key: str) -> str:
+    return f"SELECT '{granularity}', {key}, {', '.join(f'sum({c})::BIGINT' for c in ('input_tokens', 'output_tokens', 'cache_creation_tokens'))}, 0::BIGINT, sum(total_tokens)::BIGINT, round(sum(total_cost), 6) FROM usage_daily_v GROUP BY 2"
+
+
+@query(f"""SELECT 'daily' AS granularity, strftime(day, '%Y-%m-%d') AS key, input_tokens, output_tokens, CASE WHEN day(day) % 2 = 0 THEN cache_creation_tokens ELSE 0 END AS cache_creation_tokens, 0::BIGINT AS cache_read_tokens, total_tokens, round(total_cost, 6) AS total_cost FROM usage_daily_v
+UNION ALL {usage_sql("weekly", "strftime(date_trunc('week', day), '%Y-%m-%d')")} UNION ALL {usage_sql("monthly", "strftime(day, '%Y-%m')")}""")
 def src_usage_periods(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily, weekly and monthly reports, a text for each month or year; some daily rows have no cache counts."""
     u = d.usage_daily(spark, sf)
-    one = F.struct(
-        F.date_format("day", "yyyy-MM-dd").alias("date"), col("input_tokens").alias("inputTokens"), col("output_tokens").alias("outputTokens"),
-        F.when(F.dayofmonth("day") % 2 == 0, col("cache_creation_tokens")).alias("cacheCreationTokens"), col("total_tokens").alias("totalTokens"), col("total_cost").alias("totalCost"),
-    )
-    reports = u.groupBy(F.date_format("day", "yyyy-MM")).agg(F.to_json(F.struct(F.collect_list(one).alias("daily"))).alias("text"))
-    return op.usage_periods(reports).withColumn("total_cost", F.round("total_cost", 6))
+
+    def reports(rows: DataFrame, granularity: str, field: str, key: Column, report: Column, written: Column) -> DataFrame:
+        one = F.struct(key.alias(field), col("input_tokens").alias("inputTokens"), col("output_tokens").alias("outputTokens"), written.alias("cacheCreationTokens"), col("total_tokens").alias("totalTokens"), col("total_cost").alias("totalCost"))
+        return rows.groupBy(report).agg(F.to_json(F.struct(F.collect_list(one).alias(granularity))).alias("text")).select("text")
+
+    weeks = economics.usage_by(u, F.to_date(F.date_trunc("week", "day")), "week")
+    months = economics.usage_by(u, F.date_format("day", "yyyy-MM"), "month")
+    some, every = F.when(F.dayofmonth("day") % 2 == 0, col("cache_creation_tokens")), col("cache_creation_tokens")
+    texts = reports(u, "daily", "date", F.date_format("day", "yyyy-MM-dd"), F.date_format("day", "yyyy-MM"), some)
+    texts = texts.unionByName(reports(weeks, "weekly", "week", F.date_format("week", "yyyy-MM-dd"), F.year("week"), every)).unionByName(reports(months, "monthly", "month", col("month"), F.substring("month", 1, 4), every))
+    return op.usage_periods(texts).withColumn("total_cost", F.round("total_cost", 6))
