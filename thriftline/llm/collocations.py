@@ -390,7 +390,8 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, budget: in
     kept = scored.join(inner, ["lang", "phrase"], "left").filter(F.col("longer").isNull() | (wide("longer") * 100 < wide("a") * SUBSUMED))
     kept = kept.join(totals, "lang").select("lang", "phrase", "a", "best.l", "best.r", "n", "best.score")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    return kept.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    ranked = kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)  # a rank's limit is pruned before rows are shuffled
+    return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 def query(docs: DataFrame) -> DataFrame:
