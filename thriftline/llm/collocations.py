@@ -32,7 +32,7 @@ MIN_WORDS, MAX_WORDS, LEAST, TOP, UNKNOWN = 2, 4, 30, 2000, "und"
 #: Score of a phrase that never occurs without its parts, and the share (percent) of a phrase's occurrences in a longer one from which on it is dropped.
 SCALE, SUBSUMED = 2_000_000, 80
 #: Suffixes that a group may hold, bytes of text that a task takes apart at once, most prefixes that are taken further (hashes in a broadcast), and most bits that mark words as frequent.
-BUDGET, SLICE_BYTES, MAX_DEEP, MAX_MARK_BITS = 1_000_000, 16 << 20, 1 << 20, 1 << 30
+BUDGET, SLICE_BYTES, MAX_DEEP, MAX_MARK_BITS = 1_000_000, 8 << 20, 1 << 20, 1 << 30
 
 _kind = np.zeros(256, dtype=np.uint8)  # 0: of a word, 1: blank, 2: end of a piece
 _kind[list(BLANKS)] = 1
