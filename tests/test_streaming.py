@@ -36,6 +36,31 @@ def test_ingest_and_retention(spark, feed, tmp_path):
     assert gone and max(gone) < "2024-02-01" and jobs.expired_days(spark, out, "2024-01-02") == []
 
 
+def test_retention_survives_a_restart_before_the_commit(spark, feed, tmp_path, monkeypatch):
+    """The first run fails after days were dropped; the second takes the same batch again."""
+    path, schema = feed
+    out, as_of = str(tmp_path / "facts"), "2024-03-01"
+    stream = jobs.command_stream(spark, path, schema).drop("saved_tokens", "savings_pct")
+    real, calls = jobs.expired_days, []
+
+    def fails(*a):
+        yield from real(*a)
+        calls.append(1)
+        if len(calls) == 1:
+            raise RuntimeError("lost")
+
+    monkeypatch.setattr(jobs, "expired_days", fails)
+    with pytest.raises(Exception, match="lost"):
+        jobs.maintained(stream, out, str(tmp_path / "cp"), as_of, 30).awaitTermination(240)
+    left = sorted(p.name for p in (tmp_path / "facts").iterdir() if p.name.startswith("day="))
+    assert left and min(left) >= "day=2024-01-31"  # dropped, and not committed
+    for _ in range(2):
+        jobs.maintained(stream, out, str(tmp_path / "cp"), as_of, 30).awaitTermination(240)
+    kept = d.commands(spark, SF).filter(F.to_date("ts") >= F.lit("2024-01-31").cast("date"))
+    got = spark.read.parquet(out)
+    assert got.count() == kept.count() == got.select("id").distinct().count() and got.agg(F.min("day")).first()[0].isoformat() >= "2024-01-31"
+
+
 def test_daily_rollup(spark, feed):
     path, schema = feed
     got = {r.start.date(): (r.commands, r.saved_tokens) for r in drained(jobs.rollup(jobs.with_savings(jobs.command_stream(spark, path, schema))), "daily").collect()}

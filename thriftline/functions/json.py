@@ -42,12 +42,53 @@ def truncated(v, depth: int = 0):
 
 
 def flattened(v, at: str = "") -> list[str]:
-    """`path:value` of every leaf."""
+    """`path:value` of every leaf, a.b for keys and a[0] for items; blank strings go, blanks in others are collapsed."""
     if isinstance(v, dict):
         return [x for k, w in v.items() for x in flattened(w, f"{at}.{k}" if at else k)]
     if isinstance(v, list):
-        return [x for i, w in enumerate(v) for x in flattened(w, f"{at}.{i}" if at else str(i))]
-    return [f"{at}:{v if isinstance(v, str) else json.dumps(v)}"]
+        return [x for i, w in enumerate(v) for x in flattened(w, f"{at}[{i}]" if at else str(i))]
+    if isinstance(v, str):
+        v = " ".join(v.split())
+        return [f"{at}:{v}"] if v else []
+    return [] if v is None and not at else [f"{at}:{json.dumps(v)}"]
+
+
+#: Fixed values of outlines: bytes from which a string's length is told, length of a date, keys of an object, depth.
+OUTLINE_STRING, OUTLINE_DATE, OUTLINE_KEYS, OUTLINE_DEPTH = 50, 10, 16, 5
+
+
+def outline(v, depth: int = 0, most: int = OUTLINE_DEPTH) -> str:
+    """The types of a JSON value, a line for each key; of an array its first item and how many there are."""
+    indent = "  " * depth
+    if depth > most:
+        return f"{indent}..."
+    if v is None:
+        return f"{indent}null"
+    if isinstance(v, bool):
+        return f"{indent}bool"
+    if isinstance(v, (int, float)):
+        return f"{indent}{'int' if isinstance(v, int) and -(2**63) <= v < 2**63 else 'float'}"
+    if isinstance(v, str):
+        size = len(v.encode("utf-8", "surrogatepass"))
+        kind = f"string[{size}]" if size > OUTLINE_STRING else "url" if v.startswith("http") else "date?" if "-" in v and size == OUTLINE_DATE else "string"
+        return f"{indent}{kind}"
+    if isinstance(v, list):
+        if not v:
+            return f"{indent}[]"
+        first = outline(v[0], depth + 1, most)
+        return f"{indent}[\n{first}\n{indent}]" if len(v) == 1 else f"{indent}[{first.strip()}] ({len(v)})"
+    if not v:
+        return f"{indent}{{}}"
+    lines, keys = [f"{indent}{{"], sorted(v)
+    for i, key in enumerate(keys[:OUTLINE_KEYS]):
+        told = outline(v[key], depth + 1, most)
+        if isinstance(v[key], (dict, list)):
+            lines += [f"{indent}  {key}:", told]
+        else:
+            lines.append(f"{indent}  {key}: {told.strip()}{',' if i < len(keys) - 1 else ''}")
+    if len(keys) >= OUTLINE_KEYS:
+        lines.append(f"{indent}  ... +{len(keys) - OUTLINE_KEYS} more keys")
+    return "\n".join([*lines, f"{indent}}}"])
 
 
 def string_leaves(v) -> list[str]:
@@ -103,7 +144,10 @@ def json_truncate(c: Column) -> Column:
 
 
 def json_flat(c: Column) -> Column:
-    return _mapped(lambda v, _: "|".join(flattened(v)))(c)
+    """The flat form of a JSON text; of other texts the trimmed lines that are not blank, with | between."""
+    flat = _mapped(lambda v, _: "|".join(flattened(v)))(F.when(F.try_parse_json(c).isNotNull(), c))
+    lines = F.filter(F.transform(F.split(c, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    return F.coalesce(flat, F.array_join(lines, "|"))
 
 
 def json_embedded(c: Column) -> Column:
@@ -137,6 +181,26 @@ def compact_json(c: Column) -> Column:
     return F.coalesce(F.to_json(v), F.trim(F.regexp_replace(c, r"\s+", " ")))
 
 
+def json_types(c: Column, most: int = OUTLINE_DEPTH) -> Column:
+    """The outline of a JSON text; null where it is none."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> str | None:
+            try:
+                return None if text is None else outline(json.loads(text, parse_constant=_no_number), 0, most)
+            except ValueError:
+                return None
+
+        return pd.Series([one(t) for t in texts], dtype=object)
+
+    return run(c)
+
+
+def _no_number(text: str):
+    raise ValueError(f"{text} is no JSON")
+
+
 def json_outline(df: DataFrame, text: str) -> DataFrame:
     """One row: the schema that all JSON texts of a column fit."""
     return df.select(F.try_parse_json(text).alias("v")).agg(F.schema_of_variant_agg("v").alias("outline"))

@@ -110,3 +110,8 @@ def char_similarity(a: Column, b: Column) -> Column:
     x, y = (F.array_remove(F.array_distinct(F.split(c, "")), "") for c in (a, b))
     union = F.size(F.array_union(x, y))
     return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(x, y)) / union)
+
+
+def stripped(c: Column | str) -> Column:
+    """Without blanks (space, tab to carriage return) at both ends."""
+    return F.btrim(c, F.lit(" \t\n\x0b\x0c\r"))

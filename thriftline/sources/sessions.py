@@ -9,15 +9,36 @@ from pyspark.sql.window import Window
 PREVIEW_CHARS = 1000
 
 
-def read_session_lines(spark: SparkSession, path: str, modified_after: str | None = None, project: str | None = None) -> DataFrame:
-    """(session_id, line_no, value) of all files below path; files that are older, or whose path lacks project, are not opened."""
-    reader = spark.read.option("recursiveFileLookup", "true")
+def encoded_project(path: str) -> str:
+    """The name of the folder that holds a project's logs."""
+    return path.replace("/", "-")
+
+
+def read_session_lines(spark: SparkSession, path: str, modified_after: str | None = None, project: str | None = None, suffix: str = ".jsonl") -> DataFrame:
+    """(session_id, line_no, value): the lines of all log files below path, numbered from 0; session_id is a file's path.
+
+    Files that are older than modified_after (a timestamp), or whose folders'
+    names lack project, are not opened. A file is read in as many splits as its
+    size asks for: lines are counted per split, and a split's numbers begin
+    after the lines of those before it. A line ends at \\n or \\r\\n.
+    """
+    reader = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").option("pathGlobFilter", f"*{suffix}")
     if modified_after:
         reader = reader.option("modifiedAfter", modified_after)
-    files = reader.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("session_id"), "value")
-    if project:
-        files = files.filter(F.col("session_id").contains(project))
-    return files.select("session_id", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value"))
+    rows = reader.text(path)
+    if project:  # on the path alone, so that files are pruned
+        rows = rows.filter(F.regexp_replace(F.col("_metadata.file_path"), "[^/]*$", "").contains(project))
+    rows = rows.select(F.col("_metadata.file_path").alias("session_id"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", r"\r$", "").alias("value"))
+    before = Window.partitionBy("session_id").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("session_id", "split").agg(F.count("*").alias("n")).select("session_id", "split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("session_id", "split").orderBy("at")
+    return rows.join(starts, ["session_id", "split"]).select("session_id", (F.col("start") + F.row_number().over(inside) - 1).cast("long").alias("line_no"), "value")
+
+
+def write_session_lines(lines: DataFrame, path: str, project: Column) -> None:
+    """Lines (session_id, line_no, value) as log files below path: a folder per project, a file per session."""
+    rows = lines.withColumn("project", project)
+    rows.repartition("session_id").sortWithinPartitions("project", "session_id", "line_no").select("project", "session_id", "value").write.partitionBy("project", "session_id").text(path)
 
 
 def text_at(v: Column, path: str) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import re
 from collections.abc import Iterator
+from datetime import date, timedelta
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +16,7 @@ from thriftline.functions.commands import ENV_PREFIX, base_command, words
 from thriftline.functions.errors import error_class, is_command_error, is_cycle_error
 from thriftline.functions.numbers import saved_tokens, share_pct
 from thriftline.operators.corrections import MIN_CONFIDENCE, MIN_SIMILARITY, WINDOW, WORKED_BONUS
+from thriftline.session import shared_path
 
 #: How long rows may be late, and how long they are kept.
 LATENESS, RETENTION_DAYS = "2 days", 90
@@ -56,12 +57,6 @@ def ingest(commands: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return with_savings(commands).writeStream.format("parquet").partitionBy("day").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir); in one of our own only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="thriftline-")
-    return f"{shared.rstrip('/')}/thriftline-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
 def table_in_shared(df: DataFrame, name: str) -> str:
     df.write.parquet(path := shared_path(df.sparkSession, name))
     return path
@@ -94,9 +89,32 @@ def matching_lines(lines: DataFrame) -> DataFrame:
 
 
 def expired_days(spark: SparkSession, path: str, as_of: str, days: int = RETENTION_DAYS) -> list[str]:
-    """The day partitions of an ingested table that retention lets go: dropping them is dropping folders, no rewrite."""
-    day = spark.read.parquet(path).select("day").distinct().filter(F.col("day") < F.date_sub(F.lit(as_of).cast("date"), days))
-    return [str(r[0]) for r in day.orderBy("day").collect()]
+    """The day partitions of an ingested table that retention lets go, from the names of its folders; no row is read."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs, least = at.getFileSystem(conf), date.fromisoformat(as_of[:10]) - timedelta(days=days)
+    found = [f.getPath().getName().removeprefix("day=") for f in fs.listStatus(at) if f.isDirectory() and f.getPath().getName().startswith("day=")] if fs.exists(at) else []
+    return sorted(d for d in found if re.fullmatch(r"\d{4}-\d\d-\d\d", d) and date.fromisoformat(d) < least)
+
+
+def maintained(commands: DataFrame, path: str, checkpoint: str, as_of: str, days: int = RETENTION_DAYS) -> StreamingQuery:
+    """Ingest until no input is left, and after each batch drop the day partitions that are past retention.
+
+    A batch has partitions of its own, which it overwrites if it runs again,
+    and dropping a folder twice changes nothing: a restart at any point,
+    between the drop and the commit too, loses and repeats no row.
+    """
+
+    def take(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.withColumn("batch", F.lit(batch_id).cast("long"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(path)
+        spark = batch.sparkSession
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for day in expired_days(spark, path, as_of, days):
+            at = jvm.org.apache.hadoop.fs.Path(f"{path}/day={day}")
+            at.getFileSystem(conf).delete(at, True)
+
+    return with_savings(commands).writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 CORRECTION = T.StructType([T.StructField("session_id", T.StringType()), T.StructField("sequence_index", T.LongType()), T.StructField("wrong_command", T.StringType()), T.StructField("right_command", T.StringType()), T.StructField("error_class", T.StringType()), T.StructField("confidence", T.DoubleType())])
