@@ -19,11 +19,11 @@ def report(depth: int) -> str:
 
 
 def test_playwright_reports(spark):
-    texts = [report(1), report(extraction.SUITE_LEVELS), report(extraction.SUITE_LEVELS + 1), "", None, '{"suites": [', "\x1b[31m2 failed\x1b[0m\n3 passed (1.5m)", '{"suites":[],"stats":{"expected":0,"unexpected":0,"skipped":0,"duration":1}}']
+    texts = [report(1), report(8), report(25), "", None, '{"suites": [', "\x1b[31m2 failed\x1b[0m\n3 passed (1.5m)", '{"suites":[],"stats":{"expected":0,"unexpected":0,"skipped":0,"duration":1}}']
     got = {r.output_id: r for r in extraction.playwright(spark.createDataFrame(list(enumerate(texts)), "output_id long, text string")).collect()}
-    assert [got[i].parse_tier for i in range(8)] == [1, 1, 3, 3, 3, 3, 2, 1]
-    assert [got[i].total for i in range(8)] == [1, extraction.SUITE_LEVELS, 0, 0, 0, 0, 5, 0]
-    assert [tuple(f) for f in got[0].failures] == [("t", "s1", "boom")] and got[1].failures[0].file == f"s{extraction.SUITE_LEVELS}"
+    assert [got[i].parse_tier for i in range(8)] == [1, 1, 1, 3, 3, 3, 2, 1]
+    assert [got[i].total for i in range(8)] == [1, 8, 25, 0, 0, 0, 5, 0]
+    assert [tuple(f) for f in got[0].failures] == [("t", "s1", "boom")] and got[1].failures[0].file == "s8" and got[2].failures[0].file == "s25"
     assert got[0].duration_ms == 12 and got[6].duration_ms == 90_000 and got[6].failures == [] and got[3].duration_ms is None
 
 

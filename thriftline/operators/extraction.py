@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from thriftline.functions.text import strip_ansi, text_lines
+from thriftline.operators.scan import chunked, count, latest, running
+from thriftline.operators.trees import suite_specs, text_key
 
 DIAGNOSTICS = ("output_id", "tool", "file", "line", "col", "severity", "code", "message")
 
@@ -79,11 +81,9 @@ def mypy(outputs: DataFrame) -> DataFrame:
 def mypy_notes(outputs: DataFrame) -> DataFrame:
     """(output_id, file, line, message, notes): errors with the number of notes that follow them in the same file."""
     rows = lines_of(outputs).filter(F.col("line").rlike(MYPY)).select("output_id", "line_no", F.regexp_extract("line", MYPY, 1).alias("file"), F.regexp_extract("line", MYPY, 2).cast("int").alias("at"), (F.regexp_extract("line", MYPY, 4) == "note").alias("note"), F.regexp_extract("line", MYPY, 5).alias("message"))
-    before = Window.partitionBy("output_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("block", F.sum((~F.col("note")).cast("int")).over(before)).filter("block > 0")
+    rows = running(chunked(rows), block=count(~F.col("note")), head=latest(F.when(~F.col("note"), F.col("file")))).filter("block > 0")
     first = F.min_by(F.struct("file", F.col("at").alias("line"), "message"), "line_no")
-    blocks = rows.withColumn("head", F.first("file").over(Window.partitionBy("output_id", "block").orderBy("line_no")))
-    return blocks.groupBy("output_id", "block").agg(first.alias("e"), F.count_if(F.col("note") & (F.col("file") == F.col("head"))).alias("notes")).select("output_id", "e.*", "notes")
+    return rows.groupBy("output_id", "block").agg(first.alias("e"), F.count_if(F.col("note") & (F.col("file") == F.col("head"))).alias("notes")).select("output_id", "e.*", "notes")
 
 
 def tsc(outputs: DataFrame) -> DataFrame:
@@ -143,33 +143,9 @@ def linters_and_files(d: DataFrame, most: int = 10, shown: int = 3) -> DataFrame
     return both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).select("output_id", "kind", "name", "n", "linters", "rank")
 
 
-#: Suites within suites that a report's schema has; a report with deeper ones is not taken apart (parse_tier 3).
-SUITE_LEVELS = 8
-SPECS = "array<struct<title:string,ok:boolean,tests:array<struct<status:string,results:array<struct<status:string,errors:array<struct<message:string>>>>>>>>"
 PLAYWRIGHT_FAILED = r"[×✗]\s+.*?›\s+([^›]+\.spec\.[tj]sx?)"
 
 
-def _suite_type(levels: int) -> str:
-    return f"array<struct<title:string,file:string,specs:{SPECS},suites:{_suite_type(levels - 1) if levels > 1 else 'string'}>>"
-
-
-def _specs(suites: Column, levels: int) -> Column:
-    """(file, spec) of all suites, a suite's own before those of the suites in it."""
-    none = F.expr(f"cast(array() as array<struct<file:string,spec:{SPECS[6:-1]}>>)")
-
-    def of(s: Column) -> Column:
-        own = F.coalesce(F.transform(s["specs"], lambda p: F.struct(F.coalesce(s["file"], s["title"]).alias("file"), p.alias("spec"))), none)
-        return F.concat(own, _specs(s["suites"], levels - 1)) if levels > 1 else own
-
-    return F.coalesce(F.flatten(F.transform(suites, of)), none)
-
-
-def _too_deep(suites: Column, levels: int) -> Column:
-    """Whether the last level's suites, kept as text, have any in them."""
-    deeper = lambda s: _too_deep(s["suites"], levels - 1) if levels > 1 else ~F.coalesce(s["suites"], F.lit("[]")).isin("[]", "null")
-    return F.coalesce(F.exists(suites, deeper), F.lit(False))
-
-
 def playwright(outputs: DataFrame) -> DataFrame:
     """(output_id, total, passed, failed, skipped, duration_ms, failures, parse_tier): from a JSON report, else from the summary of a text.
 
@@ -177,49 +153,26 @@ def playwright(outputs: DataFrame) -> DataFrame:
     of the first failed or timed out run of the first unexpected test. What is
     neither (null and empty texts too) has zeros and parse_tier 3.
     """
-    stats = "stats:struct<expected:bigint,unexpected:bigint,skipped:bigint,duration:double>"
-    o = outputs.select("output_id", strip_ansi(F.col("text")).alias("t"), F.from_json("text", f"struct<suites:{_suite_type(SUITE_LEVELS)},{stats}>").alias("j"))
-    whole = F.col("j.stats.expected").isNotNull() & ~_too_deep(F.col("j.suites"), SUITE_LEVELS)
-    o = o.select("output_id", F.when(~F.coalesce(F.col("j.stats.expected").isNotNull(), F.lit(False)), F.coalesce("t", F.lit(""))).alias("t"), F.when(whole, _specs(F.col("j.suites"), SUITE_LEVELS)).alias("specs"), "j.stats")
+    stats = F.from_json("text", "stats struct<expected:bigint,unexpected:bigint,skipped:bigint,duration:double>")["stats"]
+    o = outputs.select("output_id", text_key().alias("key"), strip_ansi(F.col("text")).alias("t"), stats.alias("stats")).join(suite_specs(outputs), "key", "left")
+    o = o.withColumn("t", F.when(F.col("stats.expected").isNull(), F.coalesce("t", F.lit(""))))
     number = lambda word: F.coalesce(F.try_element_at(F.regexp_extract_all("t", F.lit(rf"(\d+)\s+{word}"), F.lit(1)), F.lit(-1)).cast("long"), F.lit(0).cast("long"))
     o = o.withColumns({"p": number("passed"), "f": number("failed"), "s": number("skipped")})
-    full, said = F.col("specs").isNotNull(), F.col("p") + F.col("f") + F.col("s")
-
-    def failure(x: Column) -> Column:
-        test = F.get(F.filter(x["spec"]["tests"], lambda t: t["status"] == "unexpected"), F.lit(0))
-        run = F.get(F.filter(test["results"], lambda v: v["status"].isin("failed", "timedOut")), F.lit(0))
-        return F.struct(x["spec"]["title"].alias("test"), x["file"].alias("file"), F.coalesce(F.get(run["errors"], F.lit(0))["message"], F.lit("Test failed")).alias("error"))
-
-    told = F.filter("specs", lambda x: ~F.coalesce(x["spec"]["ok"], F.lit(False)))
+    full, said = F.col("stats.expected").isNotNull(), F.col("p") + F.col("f") + F.col("s")
     marks = F.arrays_zip(F.regexp_extract_all("t", F.lit(PLAYWRIGHT_FAILED), F.lit(0)).alias("test"), F.regexp_extract_all("t", F.lit(PLAYWRIGHT_FAILED), F.lit(1)).alias("file"))
     lasted = r"\((\d+(?:\.\d+)?)(ms|s|m)\)"
     unit = F.regexp_extract("t", lasted, 2)
     ms = F.regexp_extract("t", lasted, 1).try_cast("double") * F.when(unit == "s", 1000).when(unit == "m", 60000).otherwise(1)
     none = F.expr("cast(array() as array<struct<test:string,file:string,error:string>>)")
     return o.select(
-        "output_id", F.when(full, F.size("specs").cast("long")).otherwise(said).alias("total"), F.when(full, F.col("stats.expected")).otherwise(F.col("p")).alias("passed"),
+        "output_id", F.when(full, F.coalesce("total", F.lit(0).cast("long"))).otherwise(said).alias("total"), F.when(full, F.col("stats.expected")).otherwise(F.col("p")).alias("passed"),
         F.when(full, F.col("stats.unexpected")).otherwise(F.col("f")).alias("failed"), F.when(full, F.col("stats.skipped")).otherwise(F.col("s")).alias("skipped"),
         F.when(full, F.col("stats.duration")).when(said > 0, ms).cast("long").alias("duration_ms"),
-        F.when(full, F.transform(told, failure)).when(said > 0, F.transform(marks, lambda m: F.struct(m["test"].alias("test"), m["file"].alias("file"), F.lit("").alias("error")))).otherwise(none).alias("failures"),
+        F.when(full, F.coalesce("failures", none)).when(said > 0, F.transform(marks, lambda m: F.struct(m["test"].alias("test"), m["file"].alias("file"), F.lit("").alias("error")))).otherwise(none).alias("failures"),
         F.when(full, 1).when(said > 0, 2).otherwise(3).alias("parse_tier"),
     )
 
 
-def vitest(outputs: DataFrame) -> DataFrame:
-    """(output_id, total, passed, failed, skipped, parse_tier): from JSON, maybe behind a banner; else from the summary line."""
-    raw = F.regexp_extract("text", r"(?s)(\{.*\})", 1)
-    j = F.from_json(raw, "numTotalTests long, numPassedTests long, numFailedTests long, numPendingTests long")
-    number = lambda word: F.try_element_at(F.regexp_extract_all("text", F.lit(rf"(\d+) {word}"), F.lit(1)), F.lit(-1)).cast("long")
-    o = outputs.select("output_id", j.alias("j"), number("passed").alias("p"), number("failed").alias("f"), number("skipped").alias("s"))
-    full = F.col("j.numTotalTests").isNotNull()
-    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
-    text = zero("p") + zero("f") + zero("s")
-    return o.select(
-        "output_id", F.when(full, F.col("j.numTotalTests")).otherwise(text).alias("total"), F.when(full, zero("j.numPassedTests")).otherwise(zero("p")).alias("passed"), F.when(full, zero("j.numFailedTests")).otherwise(zero("f")).alias("failed"),
-        F.when(full, zero("j.numPendingTests")).otherwise(zero("s")).alias("skipped"), F.when(full, 1).when(text > 0, 2).otherwise(3).alias("parse_tier"),
-    )
-
-
 def pip_packages(outputs: DataFrame) -> DataFrame:
     """(output_id, name, current_version, latest_version) of JSON package lists."""
     x = parsed(outputs, "struct<name:string,version:string,latest_version:string>")
@@ -239,16 +192,17 @@ def packages_by_letter(deps: DataFrame, most: int = 10) -> DataFrame:
 
 def diff_stat(outputs: DataFrame) -> DataFrame:
     """(output_id, file, added, removed) of unified diffs."""
-    w = Window.partitionBy("output_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines_of(outputs).withColumn("file", F.last(F.when(F.col("line").startswith("+++ "), F.regexp_extract("line", r"^\+\+\+ (?:b/)?(.*)$", 1)), ignorenulls=True).over(w)).filter("file is not null")
+    file = F.when(F.col("line").startswith("+++ "), F.regexp_extract("line", r"^\+\+\+ (?:b/)?(.*)$", 1))
+    rows = running(chunked(lines_of(outputs)), file=latest(file)).filter("file is not null")
     plus, minus = F.col("line").startswith("+") & ~F.col("line").startswith("+++"), F.col("line").startswith("-") & ~F.col("line").startswith("---")
     return rows.groupBy("output_id", "file").agg(F.count_if(plus).alias("added"), F.count_if(minus).alias("removed"))
 
 
 def change_counts(outputs: DataFrame) -> DataFrame:
-    """Staged, modified, untracked and conflicting files of two-letter status lines."""
-    rows = lines_of(outputs).filter(F.length("line") > 3).select("output_id", F.substring("line", 1, 1).alias("x"), F.substring("line", 2, 1).alias("y"))
-    conflict = (F.col("x") == "U") | (F.col("y") == "U")
+    """Staged, modified, untracked and conflicting files of two-letter status lines below an output's first line, which names the branch; U in front is a conflict."""
+    rows = lines_of(outputs).withColumn("x", F.substring("line", 1, 1)).withColumn("y", F.substring("line", 2, 1))
+    here = (F.col("line_no") > 0) & (F.octet_length("line") >= 3)
+    n = lambda flag, name: F.count_if(here & flag).alias(name)
     return rows.groupBy("output_id").agg(
-        F.count_if(F.col("x").isin("M", "A", "D", "R", "C")).alias("staged"), F.count_if(F.col("y").isin("M", "D")).alias("modified"), F.count_if((F.col("x") == "?") & (F.col("y") == "?")).alias("untracked"), F.count_if(conflict).alias("conflicts")
+        n(F.col("x").isin("M", "A", "D", "R", "C"), "staged"), n(F.col("y").isin("M", "D"), "modified"), n((F.col("x") == "?") & (F.col("y") == "?"), "untracked"), n(F.col("x") == "U", "conflicts")
     )

@@ -7,15 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from thriftline.functions import text as t
+from thriftline.functions.json import compact_json, json_flat
 from thriftline.functions.numbers import estimate_tokens
-
-
-def in_order():
-    return Window.partitionBy("output_id").orderBy("line_no")
-
-
-def so_far():
-    return in_order().rowsBetween(Window.unboundedPreceding, 0)
+from thriftline.operators.scan import chunked, count, earlier, largest, running, since
 
 
 def kept(line: Column, keep: str | None, drop: str | None) -> Column:
@@ -30,9 +24,9 @@ def filtered(lines: DataFrame, keep: str | None = None, drop: str | None = None)
 
 def without_repeats(lines: DataFrame, keep: str | None = None, drop: str | None = None) -> DataFrame:
     """Lines that differ from the last one emitted; lines of keep always stay."""
-    rows = filtered(lines, keep, drop).withColumn("_last", F.lag("line").over(in_order()))
+    rows = running(chunked(filtered(lines, keep, drop)), _last=earlier(F.col("line")))
     forced = F.lit(False) if keep is None else F.col("line").rlike(keep)
-    return rows.filter(forced | F.col("_last").isNull() | (F.col("_last") != F.col("line"))).drop("_last")
+    return rows.filter(forced | F.col("_last").isNull() | (F.col("_last") != F.col("line"))).select(*lines.columns)
 
 
 def first_occurrences(lines: DataFrame, keep: str | None = None, drop: str | None = None) -> DataFrame:
@@ -55,24 +49,21 @@ def head(lines: DataFrame, n: int, width: int = 120) -> DataFrame:
 def error_blocks(lines: DataFrame) -> DataFrame:
     """Error lines with their continuation: indented lines and single blanks, up to two blanks in a row or any other line."""
     rows = lines.withColumn("is_error", t.is_error_line(F.col("line"))).withColumn("blank", F.trim("line") == "")
-    rows = rows.withColumn("block", F.sum(F.col("is_error").cast("int")).over(so_far())).filter("block > 0")
-    inside = Window.partitionBy("output_id", "block").orderBy("line_no")
-    # blanks since the last line that is none
-    text_run = F.sum((~F.col("blank")).cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("run", text_run)
-    blanks = F.sum(F.col("blank").cast("int")).over(Window.partitionBy("output_id", "block", "run").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
-    ends = (F.col("blank") & (blanks >= 2)) | (~F.col("blank") & ~F.col("is_error") & ~F.col("line").rlike("^[ \t]"))
-    rows = rows.withColumn("ends", ends.cast("int"))
-    over = F.sum("ends").over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("over", over).filter("over = 0").select(*lines.columns)
+    rows = running(chunked(rows), after_blank=earlier(F.col("blank")))
+    ends = F.when(F.col("blank"), F.coalesce("after_blank", F.lit(False))).otherwise(~F.col("is_error") & ~F.col("line").rlike("^[ \t]"))
+    rows = running(rows, begun=largest(F.when(F.col("is_error"), F.col("line_no"))), ended=largest(F.when(ends, F.col("line_no"))))
+    return rows.filter(F.col("begun").isNotNull() & (F.col("ended").isNull() | (F.col("ended") < F.col("begun")))).select(*lines.columns)
 
 
 def runs_collapsed(lines: DataFrame, important: str, limit: int) -> DataFrame:
     """Lines of important, and the first limit lines of each run between them; skipped counts the rest, on the run's last kept line."""
-    rows = lines.withColumn("hit", F.col("line").rlike(important)).withColumn("run", F.sum(F.col("hit").cast("int")).over(so_far()))
-    run = Window.partitionBy("output_id", "run")
-    rows = rows.withColumn("n", F.row_number().over(run.orderBy("hit", "line_no"))).withColumn("size", F.count_if(~F.col("hit")).over(run))
-    return rows.filter(F.col("hit") | (F.col("n") <= limit)).withColumn("skipped", F.when(~F.col("hit") & (F.col("n") == limit), F.greatest(F.col("size") - limit, F.lit(0))).otherwise(0)).select(*lines.columns, "skipped")
+    rows = lines.withColumn("hit", F.col("line").rlike(important))
+    rows = running(chunked(rows), run=count(F.col("hit")), n=since(~F.col("hit"), F.col("hit")))
+    sizes = rows.groupBy(F.col("output_id").alias("_o"), F.col("run").alias("_r")).agg(F.count_if(~F.col("hit")).alias("size")).filter(F.col("size") > limit)
+    kept = rows.filter(F.col("hit") | (F.col("n") <= limit))
+    last = ~F.col("hit") & (F.col("n") == limit)
+    joined = kept.join(sizes, last & F.col("output_id").eqNullSafe(F.col("_o")) & (F.col("run") == F.col("_r")), "left")
+    return joined.select(*lines.columns, F.coalesce(F.col("size") - limit, F.lit(0)).cast("long").alias("skipped"))
 
 
 def log_patterns(lines: DataFrame) -> DataFrame:
@@ -106,15 +97,22 @@ def output_summary(lines: DataFrame) -> DataFrame:
 
 def word_counts(outputs: DataFrame) -> DataFrame:
     """Lines, words, bytes and characters of each output (output_id, text)."""
-    words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
     ends = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
-    return outputs.select("output_id", ends.cast("long").alias("lines"), words.cast("long").alias("words"), F.octet_length("text").cast("long").alias("bytes"), F.length("text").cast("long").alias("chars"))
+    return outputs.select("output_id", ends.cast("long").alias("lines"), F.regexp_count("text", F.lit(r"\S+")).cast("long").alias("words"), F.octet_length("text").cast("long").alias("bytes"), F.length("text").cast("long").alias("chars"))
 
 
 def with_total(counts: DataFrame) -> DataFrame:
-    """word_counts and a row with the sums, whose output_id is null; zeros where there are no outputs."""
-    total = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("lines", "words", "bytes", "chars")])
-    return counts.unionByName(total, allowMissingColumns=True)
+    """word_counts, and a row with the sums, whose output_id is null; zeros where there are no outputs.
+
+    One pass: the rows and their total are two sets of one grouping, and a row
+    of zeros, whose own group goes, makes the total of nothing.
+    """
+    names = ("lines", "words", "bytes", "chars")
+    zero = counts.sparkSession.range(1).select(F.lit(None).cast(counts.schema["output_id"].dataType).alias("output_id"), *[F.lit(0).cast("long").alias(c) for c in names], F.lit(True).alias("_none"))
+    rows = counts.withColumn("_none", F.lit(False)).unionByName(zero)
+    keys = [F.col("output_id"), F.col("_none")]
+    grouped = rows.groupingSets([keys, []], *keys).agg(*[F.sum(c).alias(c) for c in names])
+    return grouped.filter("_none is null or not _none").select("output_id", *names)
 
 
 def line_diff(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -127,9 +125,10 @@ def line_diff(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def compact_forms(outputs: DataFrame) -> DataFrame:
-    """Each text (output_id, text) raw and with blanks collapsed, with its tokens."""
-    forms = F.array(F.struct(F.lit("raw").alias("format"), F.col("text").alias("form")), F.struct(F.lit("compact").alias("format"), F.trim(F.regexp_replace("text", r"\s+", " ")).alias("form")))
-    return outputs.select("output_id", F.inline(forms)).withColumn("tokens", estimate_tokens(F.col("form"))).select("output_id", "format", "tokens")
+    """Each text (output_id, text) raw, as compact JSON and flat, with its tokens and what it saves of the raw form, at least 0 percent."""
+    forms = F.array(*[F.struct(F.lit(name).alias("format"), form.alias("form")) for name, form in (("raw", F.col("text")), ("compact", compact_json(F.col("text"))), ("flat", json_flat(F.col("text"))))])
+    rows = outputs.select("output_id", estimate_tokens(F.col("text")).alias("raw"), F.inline(forms)).withColumn("tokens", estimate_tokens(F.col("form")))
+    return rows.select("output_id", "format", "tokens", F.when((F.col("raw") > 0) & (F.col("tokens") < F.col("raw")), 100 - F.col("tokens") * 100.0 / F.col("raw")).otherwise(0.0).alias("savings_pct"))
 
 
 #: What goes from a text outside code, and a block of code with its fences.
@@ -151,13 +150,3 @@ def markdown_clean(outputs: DataFrame) -> DataFrame:
     blocks = F.regexp_extract_all("text", F.lit(FENCED), F.lit(0))
     joined = F.zip_with(F.split("text", FENCED, -1), blocks, lambda part, block: F.concat(cleaned(part), F.coalesce(block, F.lit(""))))
     return outputs.withColumn("text", F.regexp_replace(F.array_join(joined, ""), r"^\s+|\s+\z", ""))
-
-
-def retained(outputs: DataFrame, mode: str = "failures", least_bytes: int = 500, keep: int = 20) -> DataFrame:
-    """Raw outputs to keep: never, only of failures or always, large ones, the newest keep of each command."""
-    if mode == "never":
-        return outputs.limit(0)
-    rows = outputs.filter(F.octet_length("text") >= least_bytes)
-    rows = rows.filter("exit_code <> 0") if mode == "failures" else rows
-    newest = Window.partitionBy("command").orderBy(F.desc("output_id"))
-    return rows.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= keep).drop("_n")

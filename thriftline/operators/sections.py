@@ -1,4 +1,4 @@
-"""Tool outputs with sections and blocks, as windows over a line table (output_id, line_no, line)."""
+"""Tool outputs with sections and blocks, as values that run along a line table (output_id, line_no, line)."""
 
 from __future__ import annotations
 
@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def so_far():
-    return Window.partitionBy("output_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+from thriftline.operators.scan import chunked, count, largest, latest, running, since
 
 
 def group(pattern: str, i: int) -> Column:
@@ -21,7 +19,7 @@ RUST_PLACE = r"^\s*--> (.+?):(\d+):(\d+)"
 
 def rust_blocks(lines: DataFrame, tool: str) -> DataFrame:
     """Diagnostics of blocks that a header opens and a place line completes; blocks without a place are summaries and go."""
-    rows = lines.withColumn("head", F.col("line").rlike(RUST_HEAD)).withColumn("block", F.sum(F.col("head").cast("int")).over(so_far())).filter("block > 0")
+    rows = running(chunked(lines.withColumn("head", F.col("line").rlike(RUST_HEAD))), block=count(F.col("head"))).filter("block > 0")
     first = lambda c: F.first(c, ignorenulls=True)
     place = F.when(F.col("line").rlike(RUST_PLACE), F.struct("line_no", group(RUST_PLACE, 1).alias("file"), group(RUST_PLACE, 2).cast("int").alias("line"), group(RUST_PLACE, 3).cast("int").alias("col")))
     head = F.when(F.col("head"), F.struct(group(RUST_HEAD, 1).alias("severity"), group(RUST_HEAD, 2).alias("code"), group(RUST_HEAD, 3).alias("message")))
@@ -50,8 +48,7 @@ def pytest_results(lines: DataFrame) -> DataFrame:
 
 def pytest_failures(lines: DataFrame) -> DataFrame:
     """(output_id, test_name, error_message) of `FAILED name - message` lines in the summary section, which the last === header opens."""
-    section = F.last(F.when(F.col("line").startswith("==="), F.col("line")), ignorenulls=True).over(so_far())
-    rows = lines.withColumn("section", section).filter(F.col("section").contains("short test summary") & F.col("line").startswith("FAILED "))
+    rows = running(chunked(lines), section=latest(F.when(F.col("line").startswith("==="), F.col("line")))).filter(F.col("section").contains("short test summary") & F.col("line").startswith("FAILED "))
     p = r"^FAILED (\S+)(?: - (.*))?$"
     return rows.select("output_id", group(p, 1).alias("test_name"), group(p, 2).alias("error_message"))
 
@@ -75,30 +72,21 @@ def unformatted(lines: DataFrame) -> DataFrame:
 
 def hunks_cut(lines: DataFrame, per_hunk: int, in_all: int) -> DataFrame:
     """Lines of unified diffs: headers, and of each hunk the first lines from its first change on, up to a number per hunk and in all."""
-    changed = F.col("line").rlike(r"^[+-](?![+-]{2} )")
-    rows = lines.withColumn("hunk", F.sum(F.col("line").startswith("@@").cast("int")).over(so_far()))
-    rows = rows.withColumn("header", F.col("line").rlike(r"^(@@|diff |--- |\+\+\+ )")).withColumn("change", changed)
-    inside = Window.partitionBy("output_id", "hunk").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    seen = F.sum(F.col("change").cast("int")).over(inside)
-    rows = rows.withColumn("body", (~F.col("header") & (F.col("hunk") > 0) & (seen > 0)).cast("int"))
-    rows = rows.withColumn("n", F.sum("body").over(inside)).filter(F.col("header") | ((F.col("body") == 1) & (F.col("n") <= per_hunk)))
-    return rows.withColumn("shown", F.row_number().over(Window.partitionBy("output_id").orderBy("line_no"))).filter(F.col("shown") <= in_all).select(*lines.columns)
-
-
-def manifest_dependencies(lines: DataFrame) -> DataFrame:
-    """(output_id, section, name, version) of `name = "version"` lines below [dependencies]-like headers."""
-    header = r"^\[(.*dependencies)\]\s*$"
-    latest = F.last(F.when(F.col("line").startswith("["), F.coalesce(group(header, 1), F.lit("-"))), ignorenulls=True).over(so_far())
-    p = r'^([\w-]+)\s*=\s*(?:"([^"]*)"|\{.*?version\s*=\s*"([^"]*)".*\})'
-    rows = lines.withColumn("section", latest).filter((F.col("section") != "-") & F.col("line").rlike(p))
-    return rows.select("output_id", "section", group(p, 1).alias("name"), F.coalesce(group(p, 2), group(p, 3)).alias("version"))
+    rows = lines.withColumn("opens", F.col("line").startswith("@@")).withColumn("header", F.col("line").rlike(r"^(@@|diff |--- |\+\+\+ )"))
+    at = lambda flag: largest(F.when(flag, F.col("line_no")))
+    rows = running(chunked(rows), opened=at(F.col("opens")), changed=at(F.col("line").rlike(r"^[+-](?![+-]{2} )")))
+    rows = rows.withColumn("body", F.coalesce(~F.col("header") & (F.col("changed") > F.col("opened")), F.lit(False)))
+    rows = running(rows, n=since(F.col("body").cast("int"), F.col("opens")))
+    rows = rows.withColumn("kept", F.col("header") | (F.col("body") & (F.col("n") <= per_hunk)))
+    return running(rows, shown=count(F.col("kept"))).filter(F.col("kept") & (F.col("shown") <= in_all)).select(*lines.columns)
 
 
 def psql_rows(lines: DataFrame, most: int = 30) -> DataFrame:
     """(output_id, row_no, cells) of printed tables, without rules and row counts."""
     rows = lines.filter(F.col("line").contains("|") & ~F.col("line").rlike(r"^[-+\s]+$"))
-    rows = rows.withColumn("row_no", F.row_number().over(Window.partitionBy("output_id").orderBy("line_no")) - 1).filter(F.col("row_no") <= most)
-    return rows.select("output_id", "row_no", F.transform(F.split("line", r"\|"), lambda c: F.trim(c)).alias("cells"))
+    # a rank's limit is pruned before rows are shuffled
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("output_id").orderBy("line_no"))).filter(F.col("rank") <= most + 1)
+    return rows.select("output_id", (F.col("rank") - 1).alias("row_no"), F.transform(F.split("line", r"\|"), lambda c: F.trim(c)).alias("cells"))
 
 
 def pods(outputs: DataFrame) -> DataFrame:

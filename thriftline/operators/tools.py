@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from thriftline.operators.scan import chunked, count, running
+
 #: How lines of importance start in code, records in expanded tables, and how many of each are shown.
 SIGNATURE = r"^(pub\s+)?(async\s+)?(fn|def|function|func|class|struct|enum|trait|interface|type)\s+\w+"
 IMPORT = r"^(use |import |from |require\(|#include)"
@@ -29,7 +31,7 @@ def expanded_records(lines: DataFrame) -> DataFrame:
     line = F.trim("line")
     header = F.regexp_extract(line, RECORD, 1)
     rows = lines.filter(~line.rlike(ROW_COUNT)).withColumn("header", F.when(header != "", header))
-    rows = rows.withColumn("place", F.count("header").over(Window.partitionBy("output_id").orderBy("line_no")))
+    rows = running(chunked(rows), place=count(F.col("header").isNotNull()))
     key, value = F.trim(F.substring_index(line, "|", 1)), F.trim(F.regexp_extract(line, r"(?s)^[^|]*\|(.*)$", 1))
     pair = F.when(F.col("header").isNull() & line.contains("|"), F.struct("line_no", F.concat(key, F.lit("="), value).alias("pair")))
     found = rows.filter("place > 0").groupBy("output_id", "place").agg(F.max("header").alias("record"), F.sort_array(F.collect_list(pair)).alias("p"))
@@ -59,12 +61,6 @@ def compose_builds(lines: DataFrame) -> DataFrame:
     return out.select("output_id", F.coalesce("finished.line", "begun.line").alias("summary"), F.coalesce("services", F.array().cast("array<string>")).alias("services"), "steps")
 
 
-def pnpm_outdated(outputs: DataFrame) -> DataFrame:
-    """(output_id, name, current, latest, wanted) of JSON maps by package name; other texts give no rows."""
-    rows = outputs.select("output_id", F.explode(F.from_json("text", "map<string,struct<current:string,latest:string,wanted:string>>")).alias("name", "v"))
-    return rows.select("output_id", "name", "v.current", "v.latest", "v.wanted")
-
-
 def pip_outdated(outputs: DataFrame) -> DataFrame:
     """(output_id, name, version, latest) of JSON lists; a missing latest version is unknown, other texts give no rows."""
     rows = outputs.select("output_id", F.explode(F.from_json("text", "array<struct<name:string,version:string,latest_version:string>>")).alias("x"))
@@ -116,9 +112,11 @@ def smart_truncate(lines: DataFrame, max_lines: int) -> DataFrame:
     """
     line, half = F.trim("line"), max_lines // 2
     important = line.rlike(SIGNATURE) | line.rlike(IMPORT) | line.startswith("pub ") | line.startswith("export ") | line.isin("{", "}")
-    order = Window.partitionBy("output_id").orderBy("line_no")
-    rows = lines.withColumn("at", F.row_number().over(order)).withColumn("total", F.count("*").over(Window.partitionBy("output_id")))
-    rows = rows.withColumn("later", (F.col("at") > half) & important).withColumn("rank", F.count_if("later").over(order))
+    order = Window.partitionBy("output_id").orderBy("line_no")  # of kept lines only
+    rows = running(chunked(lines.withColumn("important", important)), at=count(F.lit(True)))
+    rows = running(rows.withColumn("later", (F.col("at") > half) & F.col("important")), rank=count(F.col("later")))
+    sizes = lines.groupBy(F.col("output_id").alias("_o")).agg(F.count("*").alias("total"))
+    rows = rows.join(sizes, F.col("output_id").eqNullSafe(F.col("_o")))
     short = F.col("total") <= max_lines
     kept = rows.filter(short | (F.col("at") <= half) | (F.col("later") & (F.col("rank") <= max_lines - 1 - half)))
     gap = F.when(~short, F.col("at") - F.coalesce(F.lag("at").over(order), F.lit(0)) - 1).otherwise(0)

@@ -39,10 +39,7 @@ ASPECTS = (
     ("fn_glob_match", "fn_paths", "id globbed"),
     ("fn_validate_reduction", "agg_benchmark", "status pairs"),
     ("win_block_header", "ext_cargo_build", "output_id file line severity"),
-    ("ext_clippy", "ext_cargo_build", "output_id file line code message"),
-    ("sink_telemetry_doc", "agg_telemetry_doc", "total_commands by_command by_project"),
     ("ext_pods", "agg_pods", "output_id running issues"),
-    ("sort_period", "join_economics_month", "month total_tokens saved_tokens"),
 )
 
 

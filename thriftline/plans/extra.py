@@ -21,35 +21,9 @@ def fn_output_type(spark: SparkSession, sf: str) -> DataFrame:
     return d.outputs(spark, sf).select("output_id", t.output_type(col("command"), col("text")).alias("output_type"))
 
 
-@query("SELECT output_id, 'm' || n % 9 AS name, n % 3 <> 0 AS passed FROM tool_rows_v WHERE n % 5 <> 0")
-def ext_cargo_test(spark: SparkSession, sf: str) -> DataFrame:
-    """(output_id, name, passed) of `test name ... ok` and FAILED lines."""
-    n = col("n")
-    line = F.when(n % 5 == 0, "running 9 tests").otherwise(F.concat(lit("test m"), n % 9, lit(" ... "), F.when(n % 3 != 0, "ok").otherwise("FAILED")))
-    p = r"^test (\S+) \.\.\. (ok|FAILED)$"
-    rows = x.lines_of(d.tool_text(spark, sf, line, numbered=False)).filter(col("line").rlike(p))
-    return rows.select("output_id", F.regexp_extract("line", p, 1).alias("name"), (F.regexp_extract("line", p, 2) == "ok").alias("passed"))
-
-
-@query("SELECT a.output_id, 'i' || a.n % 4 AS package, count(DISTINCT b.n) AS errors FROM tool_rows_v a LEFT JOIN tool_rows_v b ON a.output_id = b.output_id AND a.n % 4 = b.n % 4 AND b.n % 6 = 1 WHERE a.n % 6 = 0 GROUP BY 1, 2")
-def join_build_errors(spark: SparkSession, sf: str) -> DataFrame:
-    """Packages whose build failed, with the number of build errors of their import path."""
-    n = col("n")
-    event = F.to_json(F.struct(F.when(n % 6 == 1, "build-output").otherwise("fail").alias("Action"), F.when(n % 6 == 1, F.concat(lit("i"), n % 4)).alias("ImportPath"), F.when(n % 6 == 0, F.concat(lit("i"), n % 4)).alias("FailedBuild"), F.concat(lit("e"), n).alias("Output")))
-    e = x.lines_of(d.tool_text(spark, sf, event, numbered=False)).select("output_id", F.from_json("line", "Action string, ImportPath string, FailedBuild string, Output string").alias("e")).select("output_id", "e.*")
-    failed = e.filter("FailedBuild is not null").select("output_id", col("FailedBuild").alias("package")).distinct()
-    errors = e.filter("Action = 'build-output'").groupBy("output_id", col("ImportPath").alias("package")).agg(F.countDistinct("Output").alias("errors"))
-    return failed.join(errors, ["output_id", "package"], "left").na.fill(0, ["errors"])
-
-
 @query("SELECT wrong, right_ AS \"right\" FROM (SELECT trim(wrong_pattern) AS wrong, right_pattern AS right_ FROM rules_v)")
 def src_corrections(spark: SparkSession, sf: str) -> DataFrame:
     """Learned corrections, written as JSON lines and read back by their schema."""
     rules = corrections.rules(corrections.corrections(d.tool_calls(spark, sf)))
     lines = rules.select(F.to_json(F.struct(F.trim("wrong_pattern").alias("wrong"), col("right_pattern").alias("right"))).alias("line"))
     return lines.select(F.from_json("line", "wrong string, right string").alias("r")).select("r.*")
-
-
-@query("SELECT project_path, json_object('project_path', project_path, 'commands', count(*), 'saved_tokens', sum(saved_tokens)::BIGINT) AS line FROM commands_v WHERE project_path <> '' GROUP BY 1")
-def sink_gain_projects_json(spark: SparkSession, sf: str) -> DataFrame:
-    return telemetry.by_project(d.commands(spark, sf)).select("project_path", F.to_json(F.struct("project_path", "commands", "saved_tokens")).alias("line"))

@@ -104,15 +104,6 @@ def ext_go_test(spark: SparkSession, sf: str) -> DataFrame:
     return x.go_tests(d.tool_text(spark, sf, F.when(col("n") % 5 == 0, lit("ok, no JSON")).otherwise(event), numbered=False))
 
 
-@query("""SELECT n AS output_id, CASE WHEN n % 3 = 2 THEN 0 ELSE n % 50 + n % 4 + n % 2 END AS total, CASE WHEN n % 3 = 2 THEN 0 ELSE n % 50 END AS passed, CASE WHEN n % 3 = 2 THEN 0 ELSE n % 4 END AS failed, CASE WHEN n % 3 = 2 THEN 0 ELSE n % 2 END AS skipped,
-CASE WHEN n % 3 = 0 THEN 1 WHEN n % 3 = 1 AND n % 50 + n % 4 + n % 2 > 0 THEN 2 ELSE 3 END AS parse_tier FROM tool_rows_v""")
-def ext_vitest(spark: SparkSession, sf: str) -> DataFrame:
-    n = col("n")
-    j = F.to_json(F.struct((n % 50 + n % 4 + n % 2).alias("numTotalTests"), (n % 50).alias("numPassedTests"), (n % 4).alias("numFailedTests"), (n % 2).alias("numPendingTests")))
-    text = F.when(n % 3 == 0, F.concat(lit("> banner\n"), j)).when(n % 3 == 1, F.concat(lit("Tests  "), n % 4, lit(" failed | "), n % 50, lit(" passed | "), n % 2, lit(" skipped"))).otherwise("nothing")
-    return x.vitest(d._tool_rows(spark, sf).select(n.alias("output_id"), text.alias("text")))
-
-
 def package_outputs(spark: SparkSession, sf: str) -> DataFrame:
     version = F.concat(lit("1."), col("n") % 5)
     return d.tool_json(spark, sf, F.struct(F.concat(lit("pkg"), col("n") % 97).alias("name"), version.alias("version"), F.when(col("bad"), lit("2.0")).otherwise(version).alias("latest_version")))
@@ -138,9 +129,3 @@ SELECT *, last_value(CASE WHEN n % 6 = 0 THEN 'f' || n % 5 END IGNORE NULLS) OVE
 def agg_diff_stat(spark: SparkSession, sf: str) -> DataFrame:
     line = F.when(col("n") % 6 == 0, F.concat(lit("+++ b/f"), col("n") % 5)).when(col("n") % 6 < 3, F.concat(lit("+"), "message")).when(col("n") % 6 == 3, F.concat(lit("-"), "message")).when(col("n") % 6 == 4, "--- a/x").otherwise(F.concat(lit(" "), "message"))
     return x.diff_stat(d.tool_text(spark, sf, line))
-
-
-@query("SELECT output_id, count(*) FILTER (n % 5 IN (0, 3)) AS staged, count(*) FILTER (n % 5 IN (1, 3)) AS modified, count(*) FILTER (n % 5 = 2) AS untracked, count(*) FILTER (n % 5 = 4) AS conflicts FROM tool_rows_v GROUP BY 1")
-def agg_change_counts(spark: SparkSession, sf: str) -> DataFrame:
-    status = F.element_at(F.array(lit("A "), lit(" M"), lit("??"), lit("MD"), lit("UU")), (col("n") % 5 + 1).cast("int"))
-    return x.change_counts(d.tool_text(spark, sf, F.concat(status, lit(" "), "file"), numbered=False))

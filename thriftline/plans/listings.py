@@ -148,19 +148,3 @@ def fn_snippet(spark: SparkSession, sf: str) -> DataFrame:
 def flt_size_cap(spark: SparkSession, sf: str) -> DataFrame:
     """Pages within a size, and those beside it."""
     return d.read(spark, sf, "pages").select("page_id", (F.octet_length("html") <= 2000).alias("fits"))
-
-
-@query("SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') || ',' || count(*) || ',' || sum(saved_tokens)::BIGINT || ',' || printf('%.2f', sum(saved_tokens) * 100.0::DOUBLE / sum(input_tokens)) AS line FROM commands_v GROUP BY CAST(ts AS DATE)")
-def sink_gain_csv(spark: SparkSession, sf: str) -> DataFrame:
-    """The lines of the daily CSV export."""
-    days = t.days(d.commands(spark, sf))
-    return days.select(F.concat_ws(",", F.date_format("day", "yyyy-MM-dd"), "commands", "saved_tokens", numbers.fixed(F.col("savings_pct"), 2)).alias("line"))
-
-
-@query("SELECT json_object('summary', json_object('commands', c, 'saved_tokens', s), 'by_command', b) AS doc FROM (SELECT count(*) AS c, sum(saved_tokens)::BIGINT AS s FROM commands_v), (SELECT list(json_object('filtered_cmd', filtered_cmd, 'saved_tokens', s) ORDER BY s DESC, filtered_cmd) AS b FROM (SELECT filtered_cmd, sum(saved_tokens)::BIGINT AS s FROM commands_v GROUP BY 1))")
-def sink_gain_json(spark: SparkSession, sf: str) -> DataFrame:
-    """The JSON export: totals and commands, gathered from aggregates."""
-    c = d.commands(spark, sf)
-    one = t.totals(c).select(F.lit(1).alias("one"), F.struct(F.col("total_commands").alias("commands"), F.col("total_saved").alias("saved_tokens")).alias("summary"))
-    rows = t.by_command(c).agg(F.sort_array(F.collect_list(F.struct((-F.col("saved_tokens")).alias("o"), "filtered_cmd", "saved_tokens"))).alias("r")).select(F.lit(1).alias("one"), F.transform("r", lambda x: F.struct(x["filtered_cmd"].alias("filtered_cmd"), x["saved_tokens"].alias("saved_tokens"))).alias("by_command"))
-    return one.join(rows, "one").select(F.to_json(F.struct("summary", "by_command")).alias("doc"))

@@ -64,11 +64,6 @@ def fn_structure_preservation(spark: SparkSession, sf: str) -> DataFrame:
     return json_rows(spark, sf).select("n", j.structure_preserved(col("text"), j.json_truncate(col("text"))).alias("kept"))
 
 
-@query("SELECT 'OBJECT<a: OBJECT<b: OBJECT<c: OBJECT<v: BIGINT>>>, items: ARRAY<BIGINT>, long: STRING, maybe: STRING>' AS outline")
-def fn_json_schema(spark: SparkSession, sf: str) -> DataFrame:
-    return j.json_outline(json_rows(spark, sf), "text")
-
-
 @query("SELECT doc_id, CASE WHEN length(text) <= 500 THEN text ELSE substr(text, 1, 500) || chr(10) || chr(10) || '[truncated] (' || length(text) || ' chars → 500 chars)' END AS shown FROM documents")
 def fn_truncate_marker(spark: SparkSession, sf: str) -> DataFrame:
     text = col("text")
@@ -137,18 +132,6 @@ def flt_min_confidence(spark: SparkSession, sf: str) -> DataFrame:
     return corrections.rules(corrections.corrections(d.tool_calls(spark, sf)), min_confidence=0.75).select("base_command", "error_class", "diff_token", "occurrences")
 
 
-@query("SELECT json_object('wrong', wrong_pattern, 'right', right_pattern) AS line FROM rules_v")
-def sink_rules_json(spark: SparkSession, sf: str) -> DataFrame:
-    rules = corrections.rules(corrections.corrections(d.tool_calls(spark, sf)))
-    return rules.select(F.to_json(F.struct(col("wrong_pattern").alias("wrong"), col("right_pattern").alias("right"))).alias("line"))
-
-
-@query("SELECT month, json_object('month', month, 'saved_tokens', saved_tokens, 'total_tokens', total_tokens) AS line FROM econ_month_v")
-def sink_economics(spark: SparkSession, sf: str) -> DataFrame:
-    p = economics.weighted(econ.by_month(spark, sf))
-    return p.select("month", F.to_json(F.struct("month", "saved_tokens", "total_tokens")).alias("line"))
-
-
 @query("SELECT idx, pattern, target, category, savings_pct, coalesce(n, 0) AS commands FROM rule_rows_v LEFT JOIN (SELECT m.r.idx AS i, count(*) AS n FROM shell_parts_v JOIN matched_v m USING (part) GROUP BY 1) ON i = idx")
 def src_rules(spark: SparkSession, sf: str) -> DataFrame:
     """The rules, with the commands of all calls that each decides."""
@@ -176,18 +159,6 @@ def set_dedup_services(spark: SparkSession, sf: str) -> DataFrame:
     return d._tool_rows(spark, sf).groupBy("output_id", "code").agg(F.min("n").alias("first_at"))
 
 
-@query("SELECT output_id, 'p' || n % 3 AS package, 'T' || n % 20 AS test, string_agg('o' || n || chr(10), '' ORDER BY n) FILTER (n % 4 = 3) AS output FROM tool_rows_v GROUP BY 1, 2, 3 HAVING count(*) FILTER (n % 4 = 1) > 0")
-def join_failed_test_output(spark: SparkSession, sf: str) -> DataFrame:
-    n = col("n")
-    action = F.element_at(F.array(lit("run"), lit("fail"), lit("pass"), lit("output")), (n % 4 + 1).cast("int"))
-    event = F.to_json(F.struct(action.alias("Action"), F.concat(lit("p"), n % 3).alias("Package"), F.concat(lit("T"), n % 20).alias("Test"), F.when(n % 4 == 3, F.concat(lit("o"), n, lit("\n"))).alias("Output")))
-    e = x.lines_of(d.tool_text(spark, sf, event)).select("output_id", "line_no", F.from_json("line", "Action string, Package string, Test string, Output string").alias("e")).select("output_id", "line_no", "e.*")
-    key = ["output_id", "Package", "Test"]
-    failed = e.filter("Action = 'fail'").select(*key).distinct()
-    said = e.filter("Action = 'output'").groupBy(*key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "Output"))), lambda v: v["Output"]), "").alias("output"))
-    return failed.join(said, key, "left").select("output_id", col("Package").alias("package"), col("Test").alias("test"), "output")
-
-
 @query("""WITH p AS (SELECT output_id, file, code, count(*) AS n FROM tool_rows_v GROUP BY ALL),
 l AS (SELECT *, row_number() OVER (PARTITION BY output_id, file ORDER BY n DESC, code) AS i FROM p),
 a AS (SELECT output_id, 'file' AS kind, file AS name, sum(n)::BIGINT AS n, list(code ORDER BY i) FILTER (i <= 3) AS linters FROM l GROUP BY ALL
@@ -271,23 +242,3 @@ def agg_group_by_file(spark: SparkSession, sf: str) -> DataFrame:
 
     diag = x.eslint(eslint_outputs(spark, sf)).withColumn("f", F.dense_rank().over(Window.partitionBy("output_id").orderBy("file"))).filter("f <= 5")
     return diag.withColumn("m", F.row_number().over(Window.partitionBy("output_id", "file").orderBy("line", "col", "message"))).filter("m <= 2").select("output_id", "file", "message")
-
-
-@query("SELECT output_id, count(*) FILTER (regexp_matches(lower(line), 'passed|✓|ok')) AS passed_lines, count(*) FILTER (regexp_matches(lower(line), 'failed|✗|fail')) AS failed_lines, count(*) FILTER (regexp_matches(lower(line), 'skipped|ignored')) AS skipped_lines FROM output_lines_v GROUP BY 1")
-def agg_quick_tests(spark: SparkSession, sf: str) -> DataFrame:
-    low = F.lower("line")
-    return d.output_lines(spark, sf).groupBy("output_id").agg(*[F.count_if(low.rlike(p)).alias(f"{k}_lines") for k, p in (("passed", "passed|✓|ok"), ("failed", "failed|✗|fail"), ("skipped", "skipped|ignored"))])
-
-
-@query("SELECT output_id, 'pkg' || n % 97 AS name, '1.' || n % 5 AS version FROM (SELECT output_id, n, row_number() OVER (PARTITION BY output_id, n % 97 ORDER BY n DESC) AS r FROM tool_rows_v) WHERE r = 1")
-def ext_pnpm_list(spark: SparkSession, sf: str) -> DataFrame:
-    """Packages of a JSON map by name; of equal names the last counts."""
-    last = d._tool_rows(spark, sf).withColumn("name", F.concat(lit("pkg"), col("n") % 97)).groupBy("output_id", "name").agg(F.max_by(F.struct(F.concat(lit("1."), col("n") % 5).alias("version")), "n").alias("v"))
-    texts = last.groupBy("output_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("name", "v")))).alias("text"))
-    deps = texts.select("output_id", F.explode(F.from_json("text", "map<string,struct<version:string>>")).alias("name", "v"))
-    return deps.select("output_id", "name", col("v.version").alias("version"))
-
-
-@query("SELECT output_id, format, tokens FROM (SELECT output_id, 'raw' AS format, ceil(length(text) / 4)::BIGINT AS tokens FROM outputs_v UNION ALL SELECT output_id, 'compact', ceil(length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) / 4)::BIGINT FROM outputs_v)")
-def join_format_compare(spark: SparkSession, sf: str) -> DataFrame:
-    return red.compact_forms(d.outputs(spark, sf))

@@ -111,15 +111,6 @@ def join_line_diff(spark: SparkSession, sf: str) -> DataFrame:
     return op.line_diff(rows, rows.filter("pair_id > 0").withColumn("pair_id", F.col("pair_id") - 1))
 
 
-@query("""SELECT format, sum(tokens)::BIGINT AS tokens, round(100 - sum(tokens) * 100.0::DOUBLE / max(raw), 6) AS savings_pct FROM (
-SELECT format, tokens, sum(tokens) FILTER (format = 'raw') OVER () AS raw FROM (
-SELECT 'raw' AS format, ceil(length(text) / 4)::BIGINT AS tokens FROM outputs_v UNION ALL SELECT 'compact', ceil(length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) / 4)::BIGINT FROM outputs_v)) GROUP BY format""")
-def agg_format_compare(spark: SparkSession, sf: str) -> DataFrame:
-    sums = op.compact_forms(d.outputs(spark, sf)).groupBy("format").agg(F.sum("tokens").alias("tokens"))
-    raw = sums.filter("format = 'raw'").select(F.col("tokens").alias("raw"), F.lit(1).alias("one"))
-    return sums.withColumn("one", F.lit(1)).join(raw, "one").select("format", "tokens", F.round(100 - F.col("tokens") * 100.0 / F.col("raw"), 6).alias("savings_pct"))
-
-
 #: What the query adds to each page: noise, code with the same noise in it, and a comment.
 PAGE_NOISE, PAGE_CODE, PAGE_TAIL = "\n\n\n\n---\n![x](y)\n[![b](c)](d)\n", "```sh\n<!-- a -->\n\n\n\n---\n``` \n", "<!-- gone -->tail \n"
 
@@ -138,11 +129,6 @@ def fn_markdown_clean(spark: SparkSession, sf: str) -> DataFrame:
     return cleaned.select("output_id", F.octet_length("text").cast("long").alias("bytes"), F.md5("text").alias("body_md5"))
 
 
-@query("SELECT output_id, command, strlen(text)::BIGINT AS bytes FROM (SELECT *, row_number() OVER (PARTITION BY command ORDER BY output_id DESC) AS n FROM outputs_v WHERE strlen(text) >= 500 AND exit_code <> 0) WHERE n <= 20")
-def sink_retain_raw(spark: SparkSession, sf: str) -> DataFrame:
-    return op.retained(d.outputs(spark, sf)).select("output_id", "command", F.octet_length("text").cast("long").alias("bytes"))
-
-
 @query(f"SELECT event_id, CASE WHEN regexp_matches(lower(k), '{t.SENSITIVE}') THEN CASE WHEN length(v) > 4 THEN substr(v, 1, 2) || '****' || substr(v, -2) ELSE '****' END ELSE v END AS shown FROM (SELECT event_id, ['PATH', 'API_TOKEN', 'DB_PASSWORD', 'HOME'][event_id % 4 + 1] AS k, props || event_id AS v FROM events)")
 def fn_mask_secret(spark: SparkSession, sf: str) -> DataFrame:
     e = d.read(spark, sf, "events")

@@ -84,15 +84,6 @@ def win_hunk_budget(spark: SparkSession, sf: str) -> DataFrame:
     return op.hunks_cut(text_of(spark, sf, line), 4, 30).select("output_id", "line_no")
 
 
-@query("""SELECT output_id, s AS section, 'dep' || n AS name, '1.' || n % 7 AS version FROM (
-SELECT *, last_value(CASE n % 10 WHEN 0 THEN 'dependencies' WHEN 5 THEN 'dev-dependencies' WHEN 8 THEN '-' END IGNORE NULLS) OVER (PARTITION BY output_id ORDER BY n) AS s FROM tool_rows_v) WHERE n % 10 NOT IN (0, 5, 8) AND s <> '-'""")
-def ext_manifest_deps(spark: SparkSession, sf: str) -> DataFrame:
-    n = col("n")
-    version = F.concat(lit('"1.'), n % 7, lit('"'))
-    dep = F.concat(lit("dep"), n, lit(" = "), F.when(n % 2 == 0, version).otherwise(F.concat(lit("{ version = "), version, lit(", features = [] }"))))
-    return op.manifest_dependencies(text_of(spark, sf, F.when(n % 10 == 0, "[dependencies]").when(n % 10 == 5, "[dev-dependencies]").when(n % 10 == 8, "[package]").otherwise(dep)))
-
-
 @query("SELECT output_id, r::INT AS row_no, ['v' || n, file] AS cells FROM (SELECT *, row_number() OVER (PARTITION BY output_id ORDER BY n) - 1 AS r FROM tool_rows_v WHERE n % 6 <> 1) WHERE r <= 30")
 def ext_psql_table(spark: SparkSession, sf: str) -> DataFrame:
     n = col("n")

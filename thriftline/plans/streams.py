@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from thriftline.plans.registry import query
 from thriftline.plans.telemetry import ntz
+from thriftline.session import shared_path
 from thriftline.sources import derived as d
 from thriftline.streaming import jobs
 
@@ -44,9 +45,12 @@ def str_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT day, count(*) AS commands FROM (SELECT CAST(ts AS DATE) AS day FROM commands_v) WHERE day >= DATE '2024-04-01' - 60 GROUP BY 1")
 def str_retention(spark: SparkSession, sf: str) -> DataFrame:
-    """What is left of an ingested table after retention."""
-    rows = jobs.drained(commands(spark, sf).select("id", "day"), "retained")
-    return rows.filter(F.col("day") >= F.date_sub(F.lit("2024-04-01").cast("date"), 60)).groupBy("day").agg(F.count("*").alias("commands"))
+    """What is left of an ingested table whose days past retention were dropped as it was ingested."""
+    at = shared_path(spark, "retained")
+    schema = d.read(spark, sf, "events").schema
+    feed = d.commands_of(jobs.table_stream(spark, sf, "events", schema)).select("id", "ts", "input_tokens", "output_tokens")
+    jobs.maintained(feed, f"{at}/rows", f"{at}/offsets", "2024-04-01", 60).awaitTermination()
+    return spark.read.parquet(f"{at}/rows").groupBy("day").agg(F.count("*").alias("commands"))
 
 
 @query("SELECT output_id, line_no, line FROM output_lines_v WHERE NOT (starts_with(line, 'test ') AND ends_with(line, '... ok')) AND (contains(line, 'FAILED') OR contains(line, 'error') OR starts_with(line, 'test result') OR trim(line) = '' OR NOT starts_with(line, 'test '))")

@@ -52,14 +52,6 @@ def ext_pip_outdated(spark: SparkSession, sf: str) -> DataFrame:
     return op.pip_outdated(with_broken(d.tool_json(spark, sf, item)))
 
 
-@query("SELECT output_id, 'p' || n AS name, '1.' || n % 5 AS current, '2.' || n % 5 AS latest, CASE WHEN n % 3 > 0 THEN '1.9' END AS wanted FROM tool_rows_v WHERE output_id % 5 <> 0 AND output_id % 7 <> 0")
-def ext_pnpm_outdated(spark: SparkSession, sf: str) -> DataFrame:
-    n = col("n")
-    item = F.struct(F.concat(lit("p"), n).alias("name"), F.struct(F.concat(lit("1."), n % 5).alias("current"), F.concat(lit("2."), n % 5).alias("latest"), F.when(n % 3 > 0, "1.9").alias("wanted")).alias("v"))
-    parts = d._tool_blocks(spark, sf, item)
-    return op.pnpm_outdated(with_broken(parts.select("output_id", F.to_json(F.map_from_entries("a")).alias("text"))))
-
-
 @query("""SELECT output_id, coalesce((array_agg('[+] Building ' || n || 's (8/8) FINISHED' ORDER BY n) FILTER (k = 2))[1], (array_agg('Building ' || n ORDER BY n) FILTER (k = 3))[1]) AS summary,
 coalesce(any_value(services), []) AS services, count(*) FILTER (k = 1) AS steps FROM (SELECT *, n % 6 AS k FROM tool_rows_v) LEFT JOIN (
 SELECT output_id, list(s ORDER BY f) AS services FROM (SELECT output_id, 'svc' || n % 4 AS s, min(n) AS f FROM tool_rows_v WHERE n % 6 < 2 GROUP BY 1, 2) GROUP BY 1) USING (output_id) GROUP BY 1""")
@@ -133,9 +125,3 @@ def fn_format_cpt(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT doc_id, CASE WHEN n >= 1048576 THEN format('{:.1f}M', n / 1048576.0::DOUBLE) WHEN n >= 1024 THEN format('{:.1f}K', n / 1024.0::DOUBLE) ELSE n || 'B' END AS shown FROM (SELECT doc_id, n_chars * 37::BIGINT AS n FROM documents)")
 def fn_human_size(spark: SparkSession, sf: str) -> DataFrame:
     return d.read(spark, sf, "documents").select("doc_id", num.human_size(col("n_chars").cast("long") * 37).alias("shown"))
-
-
-@query("SELECT n, 'maybe:' || CASE WHEN maybe IS NULL THEN 'null' ELSE 'x' END || '|long:' || long || '|' || array_to_string(list_transform(items, lambda v, i: 'items.' || (i - 1) || ':' || v), '|') || '|a.b.c.v:' || n AS text FROM json_v")
-def fn_toon(spark: SparkSession, sf: str) -> DataFrame:
-    """The flat form of a JSON text."""
-    return json_rows(spark, sf).select("n", j.json_flat(col("text")).alias("text"))
