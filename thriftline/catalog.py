@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thriftline.plans import aspects, extra, more, outline, sinks, testruns, tools  # noqa: F401
+from thriftline.plans import aspects, extra, filters, more, outline, sinks, testruns, tools  # noqa: F401
 from thriftline.plans.registry import ORACLE, QUERIES
 
 
