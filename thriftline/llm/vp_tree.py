@@ -140,23 +140,24 @@ KEY = ["h1", "h2"]
 
 
 def build_index(classes: DataFrame, n_shards: int) -> DataFrame:
-    """(index binary): a pickled tree per shard of classes (h1, h2, class_id, v)."""
+    """(index binary): a pickled tree per shard and length of vectors of classes (h1, h2, class_id, v)."""
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         tree = VpTree(rows.class_id.to_numpy(), np.array(rows.v.tolist(), dtype=np.float64), rows[KEY].to_numpy())
         return pd.DataFrame({"index": [pickle.dumps(tree, 5)]})
 
-    return classes.select(*KEY, "class_id", "v").groupBy(F.pmod("h1", F.lit(n_shards)).alias("shard")).applyInPandas(build, "index binary")
+    return classes.select(*KEY, "class_id", "v").groupBy(F.pmod("h1", F.lit(n_shards)).alias("shard"), F.size("v").alias("n")).applyInPandas(build, "index binary")
 
 
 def query_blocks(queries: DataFrame) -> DataFrame:
-    """(block binary): queries (h1, h2, v) packed."""
+    """(block binary): queries (h1, h2, v) packed, those of a length together."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for lo in range(0, len(b), BLOCK_QUERIES):
-                part = b.iloc[lo : lo + BLOCK_QUERIES]
-                yield pd.DataFrame({"block": [pickle.dumps((part[KEY].to_numpy(), np.array(part.v.tolist(), dtype=np.float64)), 5)]})
+            for _, same in b.groupby(b.v.map(len)):
+                for lo in range(0, len(same), BLOCK_QUERIES):
+                    part = same.iloc[lo : lo + BLOCK_QUERIES]
+                    yield pd.DataFrame({"block": [pickle.dumps((part[KEY].to_numpy(), np.array(part.v.tolist(), dtype=np.float64)), 5)]})
 
     return queries.select(*KEY, "v").mapInPandas(pack, "block binary")
 
@@ -165,8 +166,10 @@ def search_index(index: DataFrame, blocks: DataFrame, k: int, factor: float) ->
     """(q1, q2, h1, h2, class_id, score): of each query the k best classes of each shard."""
     names = ["q1", "q2", *KEY, "class_id", "score"]
 
-    def search(tree: VpTree, block: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    def search(tree: VpTree, block: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch | None:
         keys, q = block
+        if q.shape[1] != tree.vectors.shape[1]:
+            return None
         found, _ = tree.search(q, k, factor)
         i, j = np.nonzero(found >= 0)
         at = found[i, j]
@@ -186,8 +189,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, factor: float = FA
 
     Nearness is the largest inner product in double precision, ties go to the
     smaller vec_id. Vectors that are null, zero, or hold a null or non-finite
-    component take no part, nor does a null vec_id, nor do vectors of another
-    length than most have (ties: the longer). Equal vectors are searched once,
+    component take no part, nor does a null vec_id. Vectors of different
+    lengths have no product: each length is a table of its own, and a query
+    finds vectors of its length. Equal vectors are searched once,
     as a class, and a class answers with its k + 1 smallest ids, which is
     enough for k of any query. Rows with the same vec_id and equal vectors are
     one row. Those with the same vec_id and different vectors are rows each:
@@ -197,8 +201,6 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, factor: float = FA
     read. is_query is a condition on vec_id.
     """
     rows = stash(usable(vectors, id_col, vec_col), "vectors")
-    most = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    rows = rows.filter(F.size("v") == (most["n"] if most else 0))
     classes = stash(rows.groupBy(*KEY).agg(F.min("vec_id").alias("class_id"), F.first("v").alias("v")), "vector-classes")
     members = top(rows.select(*KEY, "vec_id").distinct(), KEY, k + 1, F.asc("vec_id")).drop("rank")
     asking = stash(rows.filter(is_query).select(F.col("vec_id").alias("query_id"), F.col("h1").alias("q1"), F.col("h2").alias("q2")).distinct(), "query-rows")
