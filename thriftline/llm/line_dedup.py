@@ -76,11 +76,15 @@ def build_filters(repeated: DataFrame, n_shards: int) -> DataFrame:
     return repeated.select(*KEY, shard_of(n_shards).alias("shard")).groupBy("shard").applyInPandas(build, FILTER)
 
 
+def shards_for(repeated: DataFrame) -> int:
+    return max(1, -(-repeated.count() // SHARD_KEYS))
+
+
 def build(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, long: DataFrame | None = None) -> State:
     """The state that holds docs. Rows with the same doc_id are one document, which holds the lines of all of them; a null doc_id takes no part."""
     refs = stash(references(long_lines(docs, min_chars) if long is None else long), "line-refs")
     repeated = stash(count_repeated(refs, min_docs), "repeated-lines")
-    n_shards = max(1, -(-repeated.count() // SHARD_KEYS))
+    n_shards = shards_for(repeated)
     return State(refs, repeated, stash(build_filters(repeated, n_shards), "line-filters"), n_shards, min_docs)
 
 
@@ -105,6 +109,8 @@ def _changed(state: State, refs: DataFrame, touched: DataFrame) -> State:
 
     filters = stash(state.filters.groupBy("shard").cogroup(delta.groupBy("shard")).applyInPandas(update, FILTER), "line-filters")
     repeated = stash(state.repeated.join(touched, KEY, "left_anti").unionByName(now), "repeated-lines")
+    if (n_shards := shards_for(repeated)) > 2 * state.n_shards:  # shards have outgrown their size
+        return replace(state, refs=refs, repeated=repeated, n_shards=n_shards, filters=stash(build_filters(repeated, n_shards), "line-filters"))
     full = filters.filter("cells is null").select("shard")
     if not full.isEmpty():
         anew = repeated.withColumn("shard", shard_of(state.n_shards)).join(full, "shard", "left_semi")
@@ -128,11 +134,13 @@ def insert(state: State, docs: DataFrame, min_chars: int = MIN_CHARS) -> State:
     return _changed(state, refs, old.select(*KEY).unionByName(new.select(*KEY)))
 
 
-def probe(long: DataFrame, n_long: int, state: State) -> DataFrame:
-    """The lines that their shard's filter lets through. A shard's lines are dealt to several groups, each with a copy of its filter."""
-    salts = max(-(-n_long // (GROUP_ROWS * state.n_shards)), -(-256 // state.n_shards))
-    dealt = long.withColumn("shard", shard_of(state.n_shards)).withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash", "pos"), F.lit(salts)).cast("int"))
-    copies = state.filters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+def probe(long: DataFrame, state: State) -> DataFrame:
+    """The lines that their shard's filter lets through. A shard's lines are dealt to as many groups as they ask for, each with a copy of its filter."""
+    shards = long.groupBy(shard_of(state.n_shards).alias("shard")).agg(F.greatest(F.ceil(F.count("*") / GROUP_ROWS), F.lit(-(-256 // state.n_shards))).cast("int").alias("salts"))
+    shards = F.broadcast(stash(shards, "line-shards"))  # a row per shard: one for SHARD_KEYS repeated lines
+    salt = F.pmod(F.xxhash64("doc_id", "text_hash", "pos"), F.col("salts")).cast("int")
+    dealt = long.withColumn("shard", shard_of(state.n_shards)).join(shards, "shard").withColumn("salt", salt).drop("salts")
+    copies = state.filters.join(shards, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
     names = ["doc_id", "text_hash", "pos", *KEY]
 
     def look_up(rows: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
@@ -146,8 +154,7 @@ def probe(long: DataFrame, n_long: int, state: State) -> DataFrame:
 
 def dropped_lines(long: DataFrame, state: State) -> DataFrame:
     """(doc_id, text_hash, pos) of the lines to drop: repeated, and the document is not the last that holds them."""
-    n_long = long.count()
-    maybe = stash(probe(long, n_long, state), "filtered-lines")
+    maybe = stash(probe(long, state), "filtered-lines")
     found = join_heavy(maybe, state.repeated.select(*KEY, "n_docs", "last_doc"), KEY, "n_docs", state.refs.count())
     return found.filter("doc_id <> last_doc").select("doc_id", "text_hash", "pos")
 
