@@ -22,8 +22,8 @@ BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
 #: Prior count of every trigram, strength of a text's margins, and least lead of the winner.
 PRIOR, SHARPNESS, CLEAR_LEAD = 0.5, 4.0, 0.7
-#: Languages whose counts are on the driver at once, characters of a text that are looked at together, and the most languages for which several codes are compared.
-LANGS_AT_ONCE, PIECE, MOST_COMPARED = 64, 1 << 18, 512
+#: Languages whose counts are on the driver at once, characters of a text that are looked at together, and bits of distance between codewords for each bit of a language's number.
+LANGS_AT_ONCE, PIECE, DISTANCE = 64, 1 << 18, 4
 UNKNOWN = "und"
 
 _letters: list[np.ndarray] = []
@@ -67,13 +67,29 @@ def count_trigrams(labelled: DataFrame) -> DataFrame:
 
 
 def codewords(n: int) -> np.ndarray:
-    """n rows of +1 and -1: the exhaustive code for up to 7 languages, else the best of some seeded random codes."""
+    """n rows of +1 and -1: the exhaustive code for up to 7 languages, else a linear code with a least distance.
+
+    A bit of the linear code is the parity of some bits of a language's number.
+    The difference of two codewords is then the codeword of two numbers' xor,
+    so the least distance is the least weight of all codewords but the first.
+    Bits are added, in a fixed order, until that is DISTANCE times the bits of
+    a number (or as much as all parities there are give): no two languages
+    share a codeword, however many there are.
+    """
     if n <= 7:
         width = max(1, 2 ** (n - 1) - 1)
         return np.array([[1 if i == 0 or not (j >> (n - 1 - i)) & 1 else -1 for j in range(1, width + 1)] for i in range(n)], dtype=np.float64)
-    rng, width = np.random.default_rng(7), 15 * int(np.ceil(np.log2(n)))
-    tried = (rng.choice([-1.0, 1.0], size=(n, width)) for _ in range(50 if n <= MOST_COMPARED else 1))
-    return max(tried, key=lambda m: min((m[i] != m[j]).sum() for i in range(n) for j in range(i)) if n <= MOST_COMPARED else 0)
+    m = (n - 1).bit_length()
+    numbers, rng = np.arange(2**m), np.random.default_rng(7)
+    weight, masks, taken = np.zeros(2**m, dtype=np.int64), [], set()
+    least = min(DISTANCE * m, 2 ** (m - 1))
+    while weight[1:].min() < least:
+        mask = 1 << len(masks) if len(masks) < m else int(rng.integers(1, 2**m))
+        if mask not in taken:
+            taken.add(mask)
+            masks.append(mask)
+            weight += np.bitwise_count(numbers & mask) & 1
+    return np.array([np.where(np.bitwise_count(numbers[:n] & mask) & 1, -1.0, 1.0) for mask in masks]).T
 
 
 class Model:
