@@ -313,15 +313,24 @@ def dealt(frequent: DataFrame, several: DataFrame) -> DataFrame:
     """Entries of frequent lists with part and deal: a list of several parts (s, parts) comes as a group for each two of them.
 
     A group of one part with itself pairs all its entries (deal -1), one of two
-    parts only those of different parts. several has a row for each frequent
-    shingle at most, so it may be broadcast.
+    parts only those of different parts.
     """
     mine = F.pmod(F.xxhash64("id", "s"), F.col("parts")).cast("long")
-    rows = frequent.join(F.broadcast(several), "s").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    rows = frequent.join(several, "s").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     part = F.least("mine", "other") * F.col("parts") + F.greatest("mine", "other")
     return rows.withColumn("part", part).withColumn("deal", F.when(F.col("mine") == F.col("other"), -1).otherwise(F.col("mine")).cast("long")).drop("parts", "mine", "other")
 
 
+def shortened(rare: DataFrame, named: DataFrame) -> DataFrame:
+    """Entries of rare shingles' lists, but lists that have turned out long are dealt into parts like frequent ones, with sketches."""
+    long = rare.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter(F.col("n") > LIST_PART)
+    long = stash(long.select("s", (F.col("lo") != F.col("hi")).alias("mixed"), F.ceil(F.col("n") / LIST_PART).alias("parts")), "long-lists")
+    if long.isEmpty():
+        return rare
+    entries = named.select("comp", "id", "size", "sketch", F.posexplode(F.slice("prefix", F.lit(1), F.col("rare"))).alias("pos", "s"))
+    return rare.join(long, "s", "left_anti").select(*rare.columns).unionByName(dealt(entries, long.filter("mixed").select("s", "parts")).select(*rare.columns))
+
+
 def with_component(rows: DataFrame, ids: DataFrame, col: str, out: str) -> DataFrame:
     """rows with the component of col; an id without links is its own."""
     named = ids.select(F.col("id").alias("_id"), F.col("component").alias("_c"))
@@ -342,7 +351,8 @@ def find_links(reps: DataFrame, docs: Texts, measure: Measure) -> DataFrame:
     frequent = named.filter(F.col("rare") < F.size("prefix")).select("comp", "id", "size", "sketch", "rare", F.posexplode(F.slice("prefix", F.col("rare") + 1, F.size("prefix"))).alias("p", "s"))
     frequent = frequent.select("comp", "id", "size", "sketch", (F.col("p") + F.col("rare")).alias("pos"), "s")
     several = frequent.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("s", F.ceil(F.col("n") / LIST_PART).alias("parts"))
-    lists = rare.unionByName(dealt(frequent, several))
+    # MAX_FREQUENT shingles at most are frequent, so several may be broadcast
+    lists = shortened(rare, named).unionByName(dealt(frequent, F.broadcast(several)))
     pairs = stash(plausible(list_pairs(lists, measure), reps, measure), "list-pairs")
     if pairs.isEmpty():
         return answers.filter(linked).select("a", "b")
@@ -426,9 +436,29 @@ NEAR_COPIES = Measure(5, 80, 100)
 
 
 def one_of_each_group(docs: DataFrame, measure: Measure = NEAR_COPIES) -> DataFrame:
-    """The rows of docs but those whose group has a smaller doc_id."""
+    """One row of each group of near copies: the smallest doc_id's. docs: doc_id, text and any other columns, which pass through.
+
+    Rows of one doc_id with equal texts are copies too, and one of them stays
+    (any, if other columns differ); with different texts each stays if its
+    group has no smaller doc_id. Rows without doc_id can't be named by a group:
+    one of those with equal texts stays, unless a row with a doc_id has that
+    text. A null text is a text of its own here, an empty one is too; neither
+    is in a group with others. An empty table gives no rows.
+    """
     extra = similarity_groups(docs, measure).filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(stash(extra, "copies").hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(stash(extra, "copies").hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    key = [F.xxhash64("text").alias("_h1"), F.xxhash64("text", F.lit(1)).alias("_h2")]
+    # copies of a row are few or none: only theirs, and rows without doc_id, are looked at again
+    texts = docs.select("doc_id", *key)
+    twice = stash(texts.groupBy("doc_id", "_h1", "_h2").count().filter("count > 1").select("doc_id", "_h1", "_h2").unionByName(texts.filter("doc_id is null")).distinct(), "repeated-rows")
+    if twice.isEmpty():
+        return kept
+    named = twice.filter("doc_id is null").join(texts.filter("doc_id is not null"), ["_h1", "_h2"], "left_semi").select("_h1", "_h2").distinct()
+    rows = kept.select("*", *key)
+    same = [rows["doc_id"].eqNullSafe(twice["doc_id"]), rows["_h1"] == twice["_h1"], rows["_h2"] == twice["_h2"]]
+    single, several = rows.join(twice, same, "left_anti"), rows.join(twice, same, "left_semi").dropDuplicates(["doc_id", "_h1", "_h2"])
+    without = several.filter("doc_id is null").join(named, ["_h1", "_h2"], "left_anti")
+    return single.select(*docs.columns).unionByName(several.filter("doc_id is not null").select(*docs.columns)).unionByName(without.select(*docs.columns))
 
 
 def query(docs: DataFrame) -> DataFrame:
