@@ -1,18 +1,25 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-A model file is compiled once on the driver into three machines: a normaliser
-(space to the meta symbol, dummy prefix, extra blanks), the pieces as arcs from
-text to piece id, and byte fallback for characters that no piece holds. They
-are composed with a text lazily, position by position, and the path of least
-weight in the tropical semiring (min, +) is its encoding.
+A model file is compiled once on the driver into three machines:
+
+- the normaliser: the model's character map as transition arrays (the double
+  array that the file holds), and a table of two states for blanks;
+- the pieces: a trie of transitions from character to state, with the piece id
+  that a final state writes;
+- byte fallback: from the trie's root, for a character that is no piece, an arc
+  for each of its bytes.
+
+They are composed with a text lazily, position by position. A state of the
+composition is a position and, in a BPE model, the piece before it; states are
+relaxed in the tropical semiring (min, +), and the path of least weight is the
+text's encoding.
 
 Weights: in a unigram model an arc weighs minus its piece's score, so the path
-is the Viterbi segmentation. In a BPE model the state also holds the last piece,
-and an arc weighs 0 if merging, done on the two pieces' characters in order of
-score, would leave exactly these two, else infinity (it is left out). A
-segmentation is the one that BPE makes if and only if each two neighbours
-pass, so exactly one path of finite weight remains. tests/llm compare it with
-an independent implementation.
+is the Viterbi segmentation. In a BPE model an arc weighs 0 if merging, done on
+the characters of it and of the piece before it in order of score, would leave
+exactly these two, else infinity. A segmentation is the one that BPE makes if
+and only if each two neighbours pass, so one path of finite weight remains.
+tests/llm compare both with an independent implementation.
 """
 
 from __future__ import annotations
@@ -38,6 +45,9 @@ INF = float("inf")
 MEMO_CHUNKS, MEMO_PAIRS, MEMO_CHARS = 260_000, 300_000, 48
 UNKNOWN_PENALTY = 10.0
 BATCH_ROWS = 500
+#: Characters that a run of a character map may have.
+MAP_CHARS = 64
+BLANK_RUNS = re.compile(" +")
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -66,18 +76,93 @@ def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += n
 
 
+class CharMap:
+    """A character map: from the longest run of bytes that it knows to what replaces them, by the transition arrays of the model file."""
+
+    def __init__(self, blob: bytes):
+        size = struct.unpack_from("<I", blob)[0]
+        self.units = np.frombuffer(blob, dtype="<u4", count=size // 4, offset=4).tolist()
+        self.texts = blob[4 + size :]
+        self.first = re.compile("[" + "".join(map(re.escape, self._first_chars())) + "]") if self.units else None
+
+    def step(self, state: int, byte: int) -> tuple[int, bool] | None:
+        """The state after a byte, and whether a run of bytes may end there."""
+        at = state ^ byte
+        unit = self.units[at] if at < len(self.units) else 0
+        if unit & 0x800000FF != byte:
+            return None
+        return at ^ (unit >> 10 << ((unit & 0x200) >> 6)), bool(unit >> 8 & 1)
+
+    def root(self) -> int:
+        return self.units[0] >> 10 << ((self.units[0] & 0x200) >> 6)
+
+    def written(self, state: int) -> bytes:
+        start = self.units[state] & 0x7FFFFFFF
+        return self.texts[start : self.texts.index(b"\0", start)]
+
+    def _first_chars(self) -> list[str]:
+        """Characters that some run begins with."""
+        found, open_ = [], [(self.root(), b"")] if self.units else []
+        while open_:
+            state, read = open_.pop()
+            for byte in range(1, 256) if not read else range(0x80, 0xC0):
+                if (next_ := self.step(state, byte)) is not None:
+                    n = 1 if (read or bytes([byte]))[0] < 0x80 else 2 if (read or bytes([byte]))[0] < 0xE0 else 3 if (read or bytes([byte]))[0] < 0xF0 else 4
+                    if len(read) + 1 == n:
+                        found.append((read + bytes([byte])).decode())
+                    else:
+                        open_.append((next_[0], read + bytes([byte])))
+        return found
+
+    def longest(self, raw: bytes, at: int) -> tuple[int, bytes] | None:
+        """The end of the longest known run of bytes from at, and what replaces it."""
+        state, best = self.root(), None
+        for i in range(at, len(raw)):
+            if (next_ := self.step(state, raw[i])) is None:
+                break
+            state, ends = next_
+            if ends:
+                best = i + 1, self.written(state)
+        return best
+
+    def __call__(self, text: str) -> str:
+        """text with every known run replaced, left to right, the longest first; what begins none is passed over at once."""
+        if self.first is None:
+            return text
+        out, at = [], 0
+        while (m := self.first.search(text, at)) is not None:
+            start = m.start()
+            raw = text[start : start + MAP_CHARS].encode("utf-8", "surrogatepass")
+            out.append(text[at:start])
+            found = self.longest(raw, 0)
+            if found is None:
+                out.append(text[start])
+                at = start + 1
+            else:
+                out.append(found[1].decode("utf-8", "replace"))
+                at = start + len(raw[: found[0]].decode("utf-8", "ignore"))
+        return "".join([*out, text[at:]])
+
+
 class Normaliser:
+    """The character map, then blanks: extra ones go (one_blank), one is put in front (dummy_prefix)."""
+
     def __init__(self, dummy_prefix: bool, one_blank: bool, escape: bool, charsmap: bytes):
-        if charsmap:
-            raise ValueError("a model with a character map is not supported; its normaliser must be identity")
+        self.map = CharMap(charsmap) if len(charsmap) > 4 else None
         self.dummy_prefix, self.one_blank, self.space = dummy_prefix, one_blank, META if escape else " "
 
     def __call__(self, text: str) -> str:
-        """The normalised text; its spaces stand for the meta symbol, which chunks get when they are first seen."""
-        if self.one_blank:
-            text = re.sub(" +", " ", text.strip(" "))
+        """The normalised text; its spaces stand for the meta symbol, which chunks get when they are first seen.
+
+        The table of blanks has two states, begun and within blanks: a run of
+        them writes one before text, and none at either end.
+        """
         if not text:
             return ""
+        if self.map:
+            text = self.map(text)
+        if self.one_blank and not (text := BLANK_RUNS.sub(" ", text.strip(" "))):
+            return ""
         return " " + text if self.dummy_prefix else text
 
     def undo(self, text: bytes) -> bytes:
@@ -115,9 +200,6 @@ class Machine:
         blank = {CONTROL: b"", UNKNOWN: " ⁇ ".encode()}
         self.plain = [bytes([int(p[3:5], 16)]) if kind == BYTE else blank.get(kind, p.replace(META, " ").encode()) for p, _, kind in pieces]
         self.text = [p for p, _, _ in pieces]
-        self.longest_from: dict[str, int] = {}  # of the pieces that start with a character
-        for p in self.ids:
-            self.longest_from[p[0]] = max(self.longest_from.get(p[0], 1), len(p))
         held = set("".join(self.ids))
         # no piece goes on after other characters with the meta symbol, so texts fall apart before it
         apart = all(META not in p.lstrip(META) for p in self.ids) and normaliser.space == META
@@ -137,6 +219,18 @@ class Machine:
             self.pairs: dict[int, bool] = {}
             for p in [p for p in self.ids if len(p) > 1 and self.split(p) is None]:  # merging never makes these
                 del self.ids[p]
+        self.arcs: list[dict[str, int]] = [{}]  # transitions of the pieces' trie, by state
+        self.writes: list[int] = [-1]  # the piece id of a final state
+        for p, i in self.ids.items():
+            state = 0
+            for c in p:
+                after = self.arcs[state].get(c)
+                if after is None:
+                    after = self.arcs[state][c] = len(self.arcs)
+                    self.arcs.append({})
+                    self.writes.append(-1)
+                state = after
+            self.writes[state] = i
 
     @classmethod
     def compile(cls, model: bytes) -> Machine:
@@ -172,13 +266,14 @@ class Machine:
             self.parts[piece] = made[-1] if left == [piece] else None
         return self.parts[piece]
 
-    def pass_together(self, a: str, b: str) -> bool:
-        """Whether merging leaves the pieces a and b next to each other."""
-        key = self.ids[a] << 20 | self.ids[b]
+    def pass_together(self, before: int, piece: int) -> bool:
+        """Whether merging leaves two pieces next to each other."""
+        key = before << 20 | piece
         known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= MEMO_PAIRS:
                 self.pairs.clear()
+            a, b = self.text[before], self.text[piece]
             known = self.pairs[key] = self.merged(a + b)[0] == [a, b] if a in self.tied or b in self.tied else self._no_merge_between(a, b)
         return known
 
@@ -197,60 +292,40 @@ class Machine:
                 limit, b = rank[b] + 1, self.split(b)[0]
 
     def fall_back(self, char: str) -> list[int]:
-        raw = char.encode()
+        """The arcs of a character that is no piece: its bytes, or the unknown piece."""
+        raw = char.encode("utf-8", "surrogatepass")
         return [self.bytes[b] for b in raw] if all(b in self.bytes for b in raw) else [self.unknown]
 
-    def only_path(self, chunk: str) -> list[str]:
-        """The one path of finite weight through a BPE model, depth first, long pieces first.
+    def shortest_path(self, chunk: str) -> list[int]:
+        """Piece ids of the path of least weight through the composition of a normalised text with the machine.
 
-        A prefix has one encoding, so a position from which the end was not
-        reached is closed for good.
+        Arcs go forward in the text, so positions are relaxed in order. One
+        state is kept for each: of a BPE model only one piece ends there with a
+        finite weight, as the text before has one encoding.
         """
-        ids, n = self.ids, len(chunk)
-        closed = [False] * (n + 1)
-        path: list[str] = []
-        at, length = 0, min(n, self.longest_from.get(chunk[0], 1))
-        while at < n:
-            while length:
-                piece = chunk[at : at + length]
-                if not closed[at + length] and (piece in ids or length == 1):
-                    if not path or piece not in ids or path[-1] not in ids or self.pass_together(path[-1], piece):
-                        break
-                length -= 1
-            if length:
-                path.append(piece)
-                at += length
-                length = min(n - at, self.longest_from.get(chunk[at], 1)) if at < n else 0
-            else:
-                closed[at] = True
-                length = len(path.pop())
-                at -= length
-                length -= 1
-        return path
-
-    def least_path(self, chunk: str) -> list[str]:
-        """The path of least weight through a unigram model."""
-        ids, n = self.ids, len(chunk)
-        weight, before = [0.0] + [INF] * n, [0] * (n + 1)
+        arcs, writes, score, bpe, n = self.arcs, self.writes, self.score, self.model_type == BPE, len(chunk)
+        weight, last, before = [0.0] + [INF] * n, [-1] * (n + 1), [0] * (n + 1)  # last: the piece that was written (-1: bytes)
+        fallback = 0.0 if bpe else -self.least
         for start in range(n):
-            for end in range(start + 1, min(n, start + self.longest_from.get(chunk[start], 1)) + 1):
-                i = ids.get(chunk[start:end])
-                if i is None and end - start > 1:
-                    continue
-                arc = -self.least if i is None else -self.score[i]
-                if weight[start] + arc < weight[end]:
-                    weight[end], before[end] = weight[start] + arc, start
-        path = []
-        while n:
-            path.append(chunk[before[n] : n])
-            n = before[n]
-        return path[::-1]
-
-    def shortest_path(self, chunk: str) -> list[int]:
-        """Piece ids of the path of least weight through a normalised text."""
+            here = weight[start]
+            if here == INF:
+                continue
+            prev, end, state = last[start], start, arcs[0].get(chunk[start])
+            if (state is None or writes[state] < 0) and here + fallback < weight[start + 1]:
+                weight[start + 1], last[start + 1], before[start + 1] = here + fallback, -1, start
+            while state is not None:
+                end += 1
+                piece = writes[state]
+                if piece >= 0 and here - (0.0 if bpe else score[piece]) < weight[end] and (not bpe or prev < 0 or self.pass_together(prev, piece)):
+                    weight[end], last[end], before[end] = here - (0.0 if bpe else score[piece]), piece, start
+                state = arcs[state].get(chunk[end]) if end < n else None
+        path, end = [], n
+        while end:
+            path.append((before[end], last[end]))
+            end = before[end]
         out: list[int] = []
-        for piece in self.only_path(chunk) if self.model_type == BPE else self.least_path(chunk):
-            got = [self.ids[piece]] if piece in self.ids else self.fall_back(piece)
+        for start, piece in reversed(path):
+            got = [piece] if piece >= 0 else self.fall_back(chunk[start])
             if got != [self.unknown] or out[-1:] != got:  # unknown characters in a row are one
                 out += got
         return out
