@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,34 +28,67 @@ def category_tokens(category: Column, subcmd: Column) -> Column:
     return out.cast("long")
 
 
-def split_calls(calls: DataFrame) -> DataFrame:
-    """A row per part of each call's command chain: calls with part_index and part."""
-    return calls.select("*", F.posexplode(c.split_chain("command")).alias("part_index", "part"))
+#: The most frequent commands, which are joined back by broadcast: any other one has less than a HEAVY-th of the rows.
+HEAVY = 4096
 
 
-def classify(commands: DataFrame, rules: DataFrame, col: str = "part") -> DataFrame:
-    """commands with kind (supported, unsupported, ignored), rule, target, category, pct, status, subcmd and base_cmd.
+def once_per(rows: DataFrame, key: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """rows with the columns that make gives for each distinct key (a row each): its work follows the number of different keys.
 
-    Distinct commands are matched against the rules (a fixed small table, so it
-    is broadcast), and the results joined back: the work of the patterns
-    follows the number of different commands.
+    A few keys may hold any share of the rows, so the HEAVY most frequent ones
+    are broadcast; the others are shuffled. Rows without a key, or whose key
+    make leaves out, go.
     """
-    known = commands.select(F.col(col).alias("_cmd")).distinct()
-    clean = c.strip_env_prefix(F.trim("_cmd"))
+    counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    made = make(counts.select(key))
+    heavy = F.broadcast(counts.orderBy(F.desc("_n"), key).limit(HEAVY).select(key))
+    often = rows.join(F.broadcast(made.join(heavy, key, "left_semi")), key)
+    return often.unionByName(rows.join(heavy, key, "left_anti").join(made.join(heavy, key, "left_anti"), key))
+
+
+def split_calls(calls: DataFrame) -> DataFrame:
+    """A row per part of each call's command chain: calls with part_index and part. Different commands are split once."""
+    split = once_per(calls, "command", lambda known: known.withColumn("_parts", c.split_chain("command")))
+    return split.select(*calls.columns, F.posexplode("_parts").alias("part_index", "part"))
+
+
+KINDS = ("kind", "rule", "target", "category", "pct", "status", "subcmd", "base_cmd")
+
+
+def classified(commands: DataFrame, rules: DataFrame, col: str) -> DataFrame:
+    """Distinct commands (col) with KINDS: matched against the rules, a fixed small table, so it is broadcast."""
+    clean = c.strip_env_prefix(F.trim(col))
     inner = c.strip_env_prefix(c.unwrap_runner(clean))
-    known = known.withColumn("ignored", is_ignored(F.trim("_cmd")) | (clean == "") | is_ignored(inner)).withColumn("clean", inner)
+    known = commands.withColumn("ignored", is_ignored(F.trim(col)) | (clean == "") | is_ignored(inner)).withColumn("clean", inner)
     hit = known.filter(~F.col("ignored")).join(F.broadcast(rules), F.expr("clean rlike pattern"))
-    best = hit.groupBy("_cmd").agg(F.max_by(F.struct("pattern", "target", "category", "savings_pct", "subcmd_savings", "subcmd_status", "idx"), "idx").alias("r"))
-    known = known.join(best, "_cmd", "left").withColumn("subcmd", F.expr("case when r is not null then nullif(regexp_extract(clean, r.pattern, if(r.pattern like '%(%', 1, 0)), '') end"))
-    named = known.select(
-        "_cmd",
+    best = hit.groupBy(col).agg(F.max_by(F.struct("pattern", "target", "category", "savings_pct", "subcmd_savings", "subcmd_status", "idx"), "idx").alias("r"))
+    known = known.join(best, col, "left").withColumn("subcmd", F.expr("case when r is not null then nullif(regexp_extract(clean, r.pattern, if(r.pattern like '%(%', 1, 0)), '') end"))
+    return known.select(
+        col,
         F.when(F.col("ignored"), "ignored").when(F.col("r").isNotNull(), "supported").otherwise("unsupported").alias("kind"),
         F.col("r.idx").alias("rule"), F.col("r.target").alias("target"), F.col("r.category").alias("category"),
         F.coalesce(F.try_element_at("r.subcmd_savings", "subcmd"), "r.savings_pct").alias("pct"),
         F.when(F.col("r").isNotNull(), F.coalesce(F.try_element_at("r.subcmd_status", "subcmd"), F.lit("existing"))).alias("status"),
         "subcmd", F.when(~F.col("ignored") & F.col("r").isNull(), c.base_command_discover(F.col("clean"))).alias("base_cmd"),
     )
-    return commands.join(named, F.col(col) == F.col("_cmd")).drop("_cmd")
+
+
+def classify(commands: DataFrame, rules: DataFrame, col: str = "part") -> DataFrame:
+    """commands with kind (supported, unsupported, ignored), rule, target, category, pct, status, subcmd and base_cmd."""
+    return once_per(commands, col, lambda known: classified(known, rules, col))
+
+
+def classified_calls(calls: DataFrame, rules: DataFrame) -> DataFrame:
+    """split_calls and classify in one: different commands are split, their different parts classified, and the calls joined once."""
+
+    def make(known: DataFrame) -> DataFrame:
+        parts = known.select("command", F.posexplode(c.split_chain("command")).alias("part_index", "part"))
+        kinds = classified(parts.select("part").distinct(), rules, "part")
+        told = parts.join(kinds, "part").groupBy("command").agg(F.collect_list(F.struct("part_index", "part", *KINDS)).alias("_parts"))
+        return told.select("command", "_parts")
+
+    joined = once_per(calls, "command", make)
+    return joined.select(*calls.columns, F.inline("_parts"))
 
 
 def with_savings(parts: DataFrame) -> DataFrame:

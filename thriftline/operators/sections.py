@@ -90,12 +90,17 @@ def psql_rows(lines: DataFrame, most: int = 30) -> DataFrame:
 
 
 def pods(outputs: DataFrame) -> DataFrame:
-    """Per output: pods by phase, restarts in all, and the pods that are not well."""
+    """(output_id, name, phase, restarts, issue) of JSON lists of pods; issue: neither running nor done. Texts that are no such list give no rows."""
     schema = "items array<struct<metadata:struct<name:string>,status:struct<phase:string,containerStatuses:array<struct<restartCount:long>>>>>"
     p = outputs.select("output_id", F.explode(F.from_json("text", schema)["items"]).alias("p"))
     restarts = F.aggregate(F.coalesce("p.status.containerStatuses", F.array()), F.lit(0).cast("long"), lambda a, c: a + F.coalesce(c["restartCount"], F.lit(0)))
-    p = p.select("output_id", F.col("p.metadata.name").alias("name"), F.col("p.status.phase").alias("phase"), restarts.alias("restarts"))
-    return p.groupBy("output_id").agg(*[F.count_if(F.col("phase") == x).alias(x.lower()) for x in ("Running", "Pending", "Failed")], F.sum("restarts").alias("restarts"), F.array_sort(F.collect_set(F.when(~F.col("phase").isin("Running", "Succeeded"), F.col("name")))).alias("issues"))
+    issue = ~F.coalesce(F.col("p.status.phase").isin("Running", "Succeeded"), F.lit(False))
+    return p.select("output_id", F.col("p.metadata.name").alias("name"), F.col("p.status.phase").alias("phase"), restarts.alias("restarts"), issue.alias("issue"))
+
+
+def pod_counts(rows: DataFrame) -> DataFrame:
+    """Per output: pods by phase, restarts in all, and how many are not well."""
+    return rows.groupBy("output_id").agg(*[F.count_if(F.col("phase") == x).alias(x.lower()) for x in ("Running", "Pending", "Failed")], F.sum("restarts").alias("restarts"), F.count_if("issue").alias("issues"))
 
 
 def ci_runs(outputs: DataFrame) -> DataFrame:

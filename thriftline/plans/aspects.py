@@ -39,7 +39,6 @@ ASPECTS = (
     ("fn_glob_match", "fn_paths", "id globbed"),
     ("fn_validate_reduction", "agg_benchmark", "status pairs"),
     ("win_block_header", "ext_cargo_build", "output_id file line severity"),
-    ("ext_pods", "agg_pods", "output_id running issues"),
 )
 
 

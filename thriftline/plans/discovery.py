@@ -40,7 +40,7 @@ FROM shell_parts_v p JOIN known_v k USING (part) LEFT JOIN matched_v m USING (pa
 
 
 def parts(spark: SparkSession, sf: str) -> DataFrame:
-    return op.with_savings(op.classify(op.split_calls(d.shell_calls(spark, sf)), r.rule_table(spark)))
+    return op.with_savings(op.classified_calls(d.shell_calls(spark, sf), r.rule_table(spark)))
 
 
 @query(f"SELECT {', '.join(CALLS[:-1])}, output_content IS NOT NULL AND is_error AS is_error FROM tool_calls_v")

@@ -53,10 +53,14 @@ def fn_compact_json(spark: SparkSession, sf: str) -> DataFrame:
     return json_rows(spark, sf).select("n", j.compact_json(said).alias("text"))
 
 
-@query("SELECT n, n % 3 > 0 AS found FROM tool_rows_v")
+WHOLE_JSON = "'{\"maybe\":' || coalesce(maybe, 'null') || ',\"long\":\"' || long || '\",\"items\":[' || array_to_string(items, ',') || '],\"a\":{\"b\":{\"c\":{\"v\":' || n || '}}}}'"
+
+
+@query(f"SELECT n, CASE WHEN n % 3 > 0 THEN md5({WHOLE_JSON}) END AS found_md5 FROM json_v")
 def fn_json_extract_embedded(spark: SparkSession, sf: str) -> DataFrame:
-    banner = json_rows(spark, sf).select("n", F.when(col("n") % 3 > 0, F.concat(lit("> run {x}\n"), "text", lit(" done"))).otherwise("no { json").alias("said"), "text")
-    return banner.select("n", F.coalesce(j.json_embedded(col("said")) == col("text"), lit(False)).alias("found"))
+    """The object behind a banner with braces; every third text holds none."""
+    banner = F.when(col("n") % 3 > 0, F.concat(lit("> run {x}\n"), "text", lit(" done"))).otherwise("no { json")
+    return json_rows(spark, sf).select("n", F.md5(j.json_embedded(banner)).alias("found_md5"))
 
 
 @query("SELECT n, CASE WHEN length(long) < 5000 THEN 1.0::DOUBLE ELSE 0.0 END AS kept FROM json_v")

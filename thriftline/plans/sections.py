@@ -90,13 +90,21 @@ def ext_psql_table(spark: SparkSession, sf: str) -> DataFrame:
     return op.psql_rows(text_of(spark, sf, F.when(n % 6 == 1, "----+----").otherwise(F.concat(lit(" v"), n, lit(" | "), "file", lit(" ")))))
 
 
-@query("SELECT output_id, count(*) FILTER (n % 4 < 2) AS running, count(*) FILTER (n % 4 = 2) AS pending, count(*) FILTER (n % 4 = 3) AS failed, sum(n % 5)::BIGINT AS restarts, list_sort(list('pod' || n) FILTER (n % 4 >= 2)) AS issues FROM tool_rows_v GROUP BY 1 HAVING count(*) FILTER (n % 4 >= 2) > 0")
-def agg_pods(spark: SparkSession, sf: str) -> DataFrame:
-    """ext_pods and agg_pods."""
+def pod_outputs(spark: SparkSession, sf: str) -> DataFrame:
     n = col("n")
-    phase = F.element_at(F.array(lit("Running"), lit("Running"), lit("Pending"), lit("Failed")), (n % 4 + 1).cast("int"))
-    pod = F.struct(F.struct(F.concat(lit("pod"), n).alias("name")).alias("metadata"), F.struct(phase.alias("phase"), F.array(F.struct((n % 5).alias("restartCount"))).alias("containerStatuses")).alias("status"))
-    return op.pods(d.tool_json(spark, sf, pod, "items")).filter("size(issues) > 0")
+    phase = F.element_at(F.array(lit("Running"), lit("Running"), lit("Pending"), lit("Failed"), lit("Succeeded")), (n % 5 + 1).cast("int"))
+    pod = F.struct(F.struct(F.concat(lit("pod"), n).alias("name")).alias("metadata"), F.struct(phase.alias("phase"), F.array(F.struct((n % 5).alias("restartCount")), F.struct(lit(None).cast("long").alias("restartCount"))).alias("containerStatuses")).alias("status"))
+    return d.tool_json(spark, sf, pod, "items")
+
+
+@query("SELECT output_id, count(*) FILTER (n % 5 < 2) AS running, count(*) FILTER (n % 5 = 2) AS pending, count(*) FILTER (n % 5 = 3) AS failed, sum(n % 5)::BIGINT AS restarts, count(*) FILTER (n % 5 IN (2, 3)) AS issues FROM tool_rows_v GROUP BY 1")
+def agg_pods(spark: SparkSession, sf: str) -> DataFrame:
+    return op.pod_counts(op.pods(pod_outputs(spark, sf)))
+
+
+@query("SELECT output_id, 'pod' || n AS name, ['Running', 'Running', 'Pending', 'Failed', 'Succeeded'][n % 5 + 1] AS phase, n % 5 AS restarts, n % 5 IN (2, 3) AS issue FROM tool_rows_v")
+def ext_pods(spark: SparkSession, sf: str) -> DataFrame:
+    return op.pods(pod_outputs(spark, sf))
 
 
 @query("SELECT output_id, 'run' || n AS name, CASE WHEN n % 5 = 0 THEN 'in_progress' ELSE 'completed' END AS status, CASE WHEN n % 5 <> 0 THEN CASE WHEN bad THEN 'failure' ELSE 'success' END END AS conclusion FROM tool_rows_v")

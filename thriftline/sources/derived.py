@@ -61,10 +61,13 @@ FROM events)))
 """)
 
 
+BOOKED_LATER = 3
+
+
 def usage_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens and cost that were spent per day."""
+    """Tokens and cost that were spent per day. They are booked BOOKED_LATER days after the commands ran, so either side has days that the other lacks."""
     e = read(spark, sf_dir, "events")
-    day = F.to_date(F.col("ts").cast("timestamp") + F.make_ym_interval(F.lit(0), (F.col("user_id") % 3).cast("int")))
+    day = F.date_add(F.to_date(F.col("ts").cast("timestamp") + F.make_ym_interval(F.lit(0), (F.col("user_id") % 3).cast("int"))), BOOKED_LATER)
     v = F.floor(F.abs("value")).cast("long")
     return e.groupBy(day.alias("day")).agg(
         F.sum(v * 7).alias("input_tokens"), F.sum(v * 2).alias("output_tokens"), F.sum(v).alias("cache_creation_tokens"), F.sum(v * 11).alias("cache_read_tokens"),
@@ -72,8 +75,8 @@ def usage_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-view("usage_daily_v", """
-SELECT CAST(ts + to_months((user_id % 3)::INT) AS DATE) AS day, sum(v * 7)::BIGINT AS input_tokens, sum(v * 2)::BIGINT AS output_tokens,
+view("usage_daily_v", f"""
+SELECT CAST(ts + to_months((user_id % 3)::INT) AS DATE) + {BOOKED_LATER} AS day, sum(v * 7)::BIGINT AS input_tokens, sum(v * 2)::BIGINT AS output_tokens,
   sum(v)::BIGINT AS cache_creation_tokens, sum(v * 11)::BIGINT AS cache_read_tokens, sum(v * 21)::BIGINT AS total_tokens, sum(v)::DOUBLE / 1000 AS total_cost
 FROM (SELECT *, CAST(floor(abs(value)) AS BIGINT) AS v FROM events) GROUP BY 1
 """)
