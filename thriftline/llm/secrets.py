@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -107,13 +109,15 @@ class Scanner:
     def spans(self, text: str) -> list[tuple[str, int, int]]:
         found = base_spans(text)
         base = sorted((start, end) for start, _, end in found)
+        starts, reach = [start for start, _ in base], list(accumulate((end for _, end in base), max))  # how far listed spans up to each one go
         for kind, runs, table, window, most in self.classes:
             for m in runs.finditer(text):
                 if self.allowed.fullmatch(m[0]):
                     continue
                 for lo, hi in dense_windows(m[0], table, window, most):
                     lo, hi = lo + m.start(), hi + m.start()
-                    if not any(a <= lo and hi <= b for a, b in base):
+                    before = bisect_right(starts, lo)
+                    if not before or reach[before - 1] < hi:
                         found.append((lo, kind, hi))
         return [(kind, start, end) for start, kind, end in sorted(found, key=lambda s: (s[0], self.order[s[1]], s[2]))]
 
