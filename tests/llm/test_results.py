@@ -269,7 +269,7 @@ def test_pipeline(spark):
 
 
 def test_query_names():
-    assert [n.split("_")[0] for n in queries.queries()] == [*(f"op{i}" for i in range(1, 11)), "pipeline"]
+    assert [n.split("_")[0] for n in queries.queries()] == [*(f"op{i}" for i in range(1, 14)), "pipeline"]
 
 
 @pytest.mark.parametrize("measure", [jaccard_join.Measure(), jaccard_join.NEAR_COPIES])
