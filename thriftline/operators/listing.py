@@ -98,8 +98,8 @@ def image_sizes(images: DataFrame) -> DataFrame:
 
 
 def validated(pairs: DataFrame) -> DataFrame:
-    """Reduced outputs (raw_tokens, reduced_tokens, raw_lines, degraded) that are worth it; the others fall back to raw."""
-    saved = 1 - F.col("reduced_tokens") / F.col("raw_tokens")
+    """Reduced outputs (raw_tokens, reduced_tokens, raw_lines, degraded) that are worth it; the others fall back to raw. Of empty ones there is nothing to save."""
+    saved = 1 - F.try_divide("reduced_tokens", "raw_tokens")  # of no tokens there is no share
     back = ((F.col("reduced_tokens") == 0) & (F.col("raw_tokens") > 0)) | ((F.col("raw_tokens") > 0) & ((saved < 0.2) | (F.col("degraded") & (saved < 0.4)) | ((F.col("raw_lines") < 200) & (saved > 0.95))))
     return pairs.withColumn("status", F.when(back, "raw").otherwise("reduced")).withColumn("tokens", F.when(back, F.col("raw_tokens")).otherwise(F.col("reduced_tokens")))
 
