@@ -99,8 +99,8 @@ def pods(outputs: DataFrame) -> DataFrame:
 
 
 def pod_counts(rows: DataFrame) -> DataFrame:
-    """Per output: pods by phase, restarts in all, and how many are not well."""
-    return rows.groupBy("output_id").agg(*[F.count_if(F.col("phase") == x).alias(x.lower()) for x in ("Running", "Pending", "Failed")], F.sum("restarts").alias("restarts"), F.count_if("issue").alias("issues"))
+    """Per output: pods by phase, restarts in all, and the names of all that are not well."""
+    return rows.groupBy("output_id").agg(*[F.count_if(F.col("phase") == x).alias(x.lower()) for x in ("Running", "Pending", "Failed")], F.sum("restarts").alias("restarts"), F.array_sort(F.collect_list(F.when(F.col("issue"), F.coalesce("name", F.lit("-"))))).alias("issues"))
 
 
 def ci_runs(outputs: DataFrame) -> DataFrame:

@@ -97,7 +97,7 @@ def pod_outputs(spark: SparkSession, sf: str) -> DataFrame:
     return d.tool_json(spark, sf, pod, "items")
 
 
-@query("SELECT output_id, count(*) FILTER (n % 5 < 2) AS running, count(*) FILTER (n % 5 = 2) AS pending, count(*) FILTER (n % 5 = 3) AS failed, sum(n % 5)::BIGINT AS restarts, count(*) FILTER (n % 5 IN (2, 3)) AS issues FROM tool_rows_v GROUP BY 1")
+@query("SELECT output_id, count(*) FILTER (n % 5 < 2) AS running, count(*) FILTER (n % 5 = 2) AS pending, count(*) FILTER (n % 5 = 3) AS failed, sum(n % 5)::BIGINT AS restarts, coalesce(list_sort(list('pod' || n) FILTER (n % 5 IN (2, 3))), []) AS issues FROM tool_rows_v GROUP BY 1")
 def agg_pods(spark: SparkSession, sf: str) -> DataFrame:
     return op.pod_counts(op.pods(pod_outputs(spark, sf)))
 
