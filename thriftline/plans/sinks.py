@@ -99,14 +99,40 @@ def sink_rules_json(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema("wrong string, right string").json(to.at("rules"))
 
 
-@query("SELECT unnest(['summary', 'projects', 'commands', 'days']) AS part, unnest([1, (SELECT least(count(DISTINCT project_path), 10) FROM commands_v WHERE project_path <> ''), (SELECT least(count(DISTINCT filtered_cmd), 10) FROM commands_v), (SELECT least(count(DISTINCT CAST(ts AS DATE)), 30) FROM commands_v)])::BIGINT AS n, unnest([count(*), NULL, NULL, NULL])::BIGINT AS commands FROM commands_v")
+def entries_sql(part: str, rows: str, order: str, name: str, commands: str, most: int) -> str:
+    """The first entries of a part of the telemetry document; its order is that in which they stand there, days from the first of the last on."""
+    kept = f"SELECT *, row_number() OVER (ORDER BY {order}) AS r FROM ({rows})"
+    place = "row_number() OVER (ORDER BY r DESC)" if part == "days" else "r"
+    return f"SELECT '{part}' AS part, count(*) OVER () AS n, {place}::INT AS place, {name} AS name, {commands} AS commands, NULL::BIGINT AS input_tokens, NULL::BIGINT AS output_tokens, s AS saved_tokens, NULL::BIGINT AS time_ms FROM ({kept}) WHERE r <= {most}"
+
+
+def top_sql(part: str, key: str, condition: str) -> str:
+    rows = f"SELECT {key}, count(*) AS c, sum(saved_tokens)::BIGINT AS s FROM commands_v WHERE {condition} GROUP BY 1"
+    return entries_sql(part, rows, f"s DESC, {key}", key, "c", 10)
+
+
+DOC_SUMMARY_SQL = "SELECT 'summary' AS part, 1::BIGINT AS n, 1 AS place, NULL AS name, count(*) AS commands, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, sum(saved_tokens)::BIGINT AS saved_tokens, sum(exec_time_ms)::BIGINT AS time_ms FROM commands_v"
+DOC_DAYS = "SELECT CAST(ts AS DATE) AS k, sum(saved_tokens)::BIGINT AS s FROM commands_v GROUP BY 1"
+
+
+@query(" UNION ALL ".join(f"({x})" for x in (DOC_SUMMARY_SQL, top_sql("projects", "project_path", "project_path <> ''"), top_sql("commands", "filtered_cmd", "true"), entries_sql("days", DOC_DAYS, "k DESC", "strftime(k, '%Y-%m-%d')", "NULL::BIGINT", 30))))
 def sink_telemetry_doc(spark: SparkSession, sf: str) -> DataFrame:
-    """The telemetry document, written as JSON and read back: its parts, how many entries each has, and the commands in all."""
+    """The telemetry document, written as JSON and read back whole: its totals and all entries of its parts in their order, with how many a part has."""
     doc, to = telemetry.telemetry_document(d.commands(spark, sf)), store(spark, "telemetry")
     to.commit({"telemetry": (doc.coalesce(1), "json", {})})
     back = spark.read.schema(doc.schema).json(to.at("telemetry"))
-    parts = [("summary", F.lit(1), F.col("summary.total_commands")), *[(p, F.size(c), F.lit(None)) for p, c in (("projects", "by_project"), ("commands", "by_command"), ("days", "daily"))]]
-    return back.select(F.inline(F.array(*[F.struct(F.lit(p).alias("part"), n.cast("long").alias("n"), c.cast("long").alias("commands")) for p, n, c in parts])))
+    none = F.lit(None).cast("long")
+
+    def entries(part: str, listed: str, name: str, commands: str | None) -> DataFrame:
+        rows = back.select(F.lit(part).alias("part"), F.size(listed).cast("long").alias("n"), F.posexplode(listed).alias("i", "e"))
+        said = F.col(f"e.{commands}") if commands else none
+        return rows.select("part", "n", (F.col("i") + 1).alias("place"), F.col(f"e.{name}").cast("string").alias("name"), said.alias("commands"), none.alias("input_tokens"), none.alias("output_tokens"), F.col("e.saved_tokens").alias("saved_tokens"), none.alias("time_ms"))
+
+    total = back.select(
+        F.lit("summary").alias("part"), F.lit(1).cast("long").alias("n"), F.lit(1).alias("place"), F.lit(None).cast("string").alias("name"), F.col("summary.total_commands").alias("commands"),
+        F.col("summary.total_input").alias("input_tokens"), F.col("summary.total_output").alias("output_tokens"), F.col("summary.total_saved").alias("saved_tokens"), F.col("summary.total_time_ms").alias("time_ms"),
+    )
+    return total.unionByName(entries("projects", "by_project", "project_path", "commands")).unionByName(entries("commands", "by_command", "filtered_cmd", "commands")).unionByName(entries("days", "daily", "day", None))
 
 
 CAP = 4096
