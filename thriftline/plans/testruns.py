@@ -245,11 +245,10 @@ def sort_period(spark: SparkSession, sf: str) -> DataFrame:
     return econ.by_month(spark, sf).select(F.row_number().over(Window.orderBy("month")).cast("long").alias("place"), "month", "saved_tokens").orderBy("month")
 
 
-@query("SELECT output_id, file, line, code, message FROM cargo_v WHERE code LIKE 'W%'")
+@query("SELECT output_id, severity, file, line, code, message FROM cargo_v")
 def ext_clippy(spark: SparkSession, sf: str) -> DataFrame:
-    """Lints only: warnings with a code and a place."""
-    found = sections.rust_blocks(cargo_lines(spark, sf), "clippy")
-    return found.filter("severity = 'warning' and code is not null").select("output_id", "file", "line", "code", "message")
+    """All diagnostics of a lint run with a place: errors and warnings."""
+    return sections.rust_blocks(cargo_lines(spark, sf), "clippy").select("output_id", "severity", "file", "line", "code", "message")
 
 
 @query("SELECT DISTINCT output_id, file FROM tool_rows_v WHERE n % 3 = 0")
