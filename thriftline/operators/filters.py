@@ -1,8 +1,9 @@
 """Filters and parsers that users register for tools, applied to captured outputs (output_id, command, text).
 
-A filter is a Python function of one text. It runs in Arrow batches on the
-executors, in one pass over the outputs whatever the number of tools; what it
-raises never fails a job: the text comes back raw, and the row says why.
+A filter is a Python function of one text. It runs on the executors in small
+batches of rows, as texts may be long, in one pass over the outputs whatever
+the number of tools; what it raises never fails a job: the text comes back raw,
+and the row says why.
 A parser is a function of DataFrames, so that Spark plans it.
 """
 
@@ -11,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,11 +71,7 @@ class Filters:
             except Exception as e:  # noqa: BLE001  a user's code may raise anything
                 return text, PASSTHROUGH, f"{type(e).__name__}: {e}"
 
-        @F.pandas_udf(RESULT)
-        def run(tools: pd.Series, texts: pd.Series) -> pd.DataFrame:
-            return pd.DataFrame([one(a, b) for a, b in zip(tools, texts)], columns=["output", "quality", "error"])
-
-        return run
+        return F.udf(one, RESULT, useArrow=False)
 
     def apply(self, outputs: DataFrame) -> DataFrame:
         """outputs with tool, result (output, quality, input_tokens, output_tokens) and error; what no filter takes is passed through, null stays null."""
