@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from thriftline.functions.paths import NOISE_NAMES
 from thriftline.functions.text import text_lines
+from thriftline.operators.discovery import HEAVY
 
 INFRA_RESOURCE = r"^\s*# (\S+) (?:will be|must be) (\w+)"
 
@@ -62,11 +63,20 @@ def status_lines(lines: DataFrame) -> DataFrame:
 
 
 def matching_rule(outputs: DataFrame, rules: DataFrame) -> DataFrame:
-    """outputs with the rule (priority, command and whatever else rules has) of least priority whose command theirs contains. rules is small and broadcast behind a check."""
+    """outputs with the rule (priority, command and whatever else rules has) of least priority whose command theirs contains. rules is small and broadcast behind a check.
+
+    A few commands may hold any share of the outputs, so rules of the HEAVY most
+    frequent ones (no command counts as one) are broadcast, and texts stay where
+    they are; only outputs of other commands are shuffled.
+    """
     small = F.broadcast(rules) if rules.limit(100_001).count() <= 100_000 else rules
-    commands = outputs.select("command").distinct()
-    best = commands.alias("c").join(small.alias("r"), F.col("c.command").contains(F.col("r.command"))).groupBy(F.col("c.command").alias("command")).agg(F.min(F.struct("r.priority", *[f"r.{c}" for c in rules.columns if c != "priority"])).alias("rule"))
-    return outputs.join(best, "command", "left")
+    counts = outputs.groupBy("command").agg(F.count("*").alias("_n"))
+    best = counts.alias("c").join(small.alias("r"), F.col("c.command").contains(F.col("r.command"))).groupBy(F.col("c.command").alias("command")).agg(F.min(F.struct("r.priority", *[f"r.{c}" for c in rules.columns if c != "priority"])).alias("rule"))
+    heavy = counts.orderBy(F.desc("_n"), "command").limit(HEAVY).select("command")
+    same = F.col("command").eqNullSafe(F.col("_command"))
+    often = outputs.join(F.broadcast(heavy.join(best, "command", "left").withColumnRenamed("command", "_command")), same).drop("_command")
+    others = outputs.join(F.broadcast(heavy.withColumnRenamed("command", "_command")), same, "left_anti")
+    return often.unionByName(others.join(best, "command", "left"))
 
 
 def build_counts(lines: DataFrame) -> DataFrame:
