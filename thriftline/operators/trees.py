@@ -59,24 +59,23 @@ def _lines(outputs: DataFrame, noise: Column) -> DataFrame:
 def pnpm_packages(outputs: DataFrame) -> DataFrame:
     """(output_id, name, version, dev, parse_tier): the packages of dependency listings (output_id, text), each as often as the tree holds it.
 
+    Rows of outputs are walked as they come, so nothing is shuffled or joined.
     Tier 1 is a JSON map of packages by name, with packages below packages; what
     is below a development dependency is one too. Packages without a version
     give no row, those below them do. Other texts are tier 2: name@version at
     the start of a line. What has neither, and null, gives no rows.
     """
-    texts = texts_of(outputs).withColumn("v", F.try_parse_json("text")).withColumn("top", entries("v", "$"))
+    rows = outputs.withColumn("top", entries(F.try_parse_json("text"), "$"))
     whole = F.coalesce(F.col("top").isNotNull() & _objects(F.map_values("top")), F.lit(False))
-    roots = texts.filter(whole).select("key", F.explode("top").alias("name", "v"), F.lit(False).alias("dev"))
+    roots = rows.filter(whole).select("output_id", F.explode("top").alias("name", "v"), F.lit(False).alias("dev"))
 
     def below(level: DataFrame) -> DataFrame:
         kinds = F.array(F.struct(F.col("dev").alias("dev"), entries("v", "$.dependencies").alias("m")), F.struct(F.lit(True).alias("dev"), entries("v", "$.devDependencies").alias("m")))
-        found = level.select("key", F.explode(kinds).alias("k")).filter("k.m is not null")
-        return found.select("key", F.explode("k.m").alias("name", "v"), F.col("k.dev").alias("dev"))
+        found = level.select("output_id", F.explode(kinds).alias("k")).filter("k.m is not null")
+        return found.select("output_id", F.explode("k.m").alias("name", "v"), F.col("k.dev").alias("dev"))
 
-    named = walked(roots, below).select("key", "name", text_at(F.col("v"), "$.version").alias("version"), "dev").filter("version is not null")
-    per = outputs.withColumn("key", text_key()).select("output_id", "key").join(named, "key").select("output_id", "name", "version", "dev", F.lit(1).alias("parse_tier"))
-    plain = outputs.withColumn("top", entries(F.try_parse_json("text"), "$")).filter(~F.coalesce(F.col("top").isNotNull() & _objects(F.map_values("top")), F.lit(False)))
-    lines = _lines(plain, F.col("line").rlike(BOX_MARKS) | F.col("line").contains("Legend:"))
+    per = walked(roots, below).select("output_id", "name", text_at(F.col("v"), "$.version").alias("version"), "dev", F.lit(1).alias("parse_tier")).filter("version is not null")
+    lines = _lines(rows.filter(~whole), F.col("line").rlike(BOX_MARKS) | F.col("line").contains("Legend:"))
     said = r"^(.+)@([^@]+)$"
     first = F.get("w", F.lit(0))
     text = lines.filter(first.rlike(said)).select("output_id", F.regexp_extract(first, said, 1).alias("name"), F.regexp_extract(first, said, 2).alias("version"), F.lit(False).alias("dev"), F.lit(2).alias("parse_tier"))
