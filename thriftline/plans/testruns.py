@@ -195,8 +195,7 @@ def ext_manifest_deps(spark: SparkSession, sf: str) -> DataFrame:
     body = F.array_join(F.transform("a", lambda v: v["line"]), "\n")
     text = F.when(col("kind") == "package_json", package).when(col("kind") == "pyproject", said("[project]\nname = 'x'\ndependencies = [\n", body, "\n]\nother = [\n  'no',\n]\n")).when(col("kind") == "gomod", said("module x\n\ngo 1.21\n\nrequire (\n", body, "\n)\n")).otherwise(body)
     files = blocks.select("output_id", "kind", text.alias("text"))
-    lines = files.filter("kind <> 'package_json'").select("output_id", "kind", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return manifests.dependencies(files, lines)
+    return manifests.dependencies(files)
 
 
 def formatted(spark: SparkSession, sf: str) -> DataFrame:
