@@ -205,9 +205,10 @@ def formatted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 FLAT_V = "'maybe:' || CASE WHEN maybe IS NULL THEN 'null' ELSE 'x' END || CASE WHEN long = '' THEN '' ELSE '|long:' || long END || '|' || array_to_string(list_transform(items, lambda v, i: 'items[' || (i - 1) || ']:' || v), '|') || '|a.b.c.v:' || n"
+BLANK_V = r"[\t-\r \x{85}\p{Z}]"  # RE2's \s lacks some of Unicode's blanks
 view("forms_v", f"""
 SELECT output_id, unnest([{{'format': 'raw', 'form': text}}, {{'format': 'compact', 'form': compact}}, {{'format': 'flat', 'form': flat}}]) AS x, length(text) AS raw_chars FROM (
-SELECT output_id, text, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS compact, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda l: regexp_replace(l, '^\\s+|\\s+$', '', 'g')), lambda l: l <> ''), '|') AS flat FROM outputs_v
+SELECT output_id, text, trim(regexp_replace(text, '{BLANK_V}+', ' ', 'g')) AS compact, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda l: regexp_replace(l, '^{BLANK_V}+|{BLANK_V}+$', '', 'g')), lambda l: l <> ''), '|') AS flat FROM outputs_v
 UNION ALL SELECT -1 - n, ' ' || c || chr(10), c, flat FROM (SELECT n, '{{"maybe":' || coalesce(maybe, 'null') || ',"long":"' || long || '","items":[' || array_to_string(items, ',') || '],"a":{{"b":{{"c":{{"v":' || n || '}}}}}}}}' AS c, {FLAT_V} AS flat FROM json_v))
 """)
 COMPARED = "SELECT output_id, x.format AS format, ceil(length(x.form) / 4)::BIGINT AS tokens, ceil(raw_chars / 4)::BIGINT AS raw FROM forms_v"
