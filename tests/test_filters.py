@@ -1,6 +1,7 @@
 """Registered filters and parsers: what they raise leaves a text raw."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from thriftline.operators import filters as op
 
@@ -43,3 +44,19 @@ def test_parsers_by_kind(spark):
     assert sorted((r.output_id, r.parser, r.text, r.said) for r in op.parsed(rows, parsers, "k").collect()) == [(0, "p", "a", None), (1, "q", None, "b")]
     with pytest.raises(ValueError, match="no parser"):
         op.parsed(rows, parsers, "missing")
+
+
+def test_texts_that_no_filter_takes_stay_out_of_python(spark):
+    made = op.Filters().register("short", "^short", lambda t: t[:2])
+    rows = spark.range(200).select(F.col("id").alias("output_id"), F.when(F.col("id") % 50 == 0, "short").when(F.col("id") % 50 > 1, "long").alias("command"), F.repeat(F.lit("x"), F.when(F.col("id") % 50 == 0, 5).otherwise(10_000).cast("int")).alias("text"))
+    made = made.apply(rows)
+    got = {(r.tool, r.result.output, r.result.quality, r.result.input_tokens, r.result.output_tokens, r.error) for r in made.collect()}
+    assert got == {("short", "xx", op.FULL, 2, 1, None), (None, "x" * 10_000, op.PASSTHROUGH, 2500, 2500, None)}
+    assert sent(made._jdf.queryExecution().executedPlan()) < 50_000
+
+
+def sent(plan) -> int:
+    """Bytes that a plan's steps have sent to Python workers."""
+    said = plan.metrics().get("pythonDataSent")
+    children = plan.children()
+    return (said.get().value() if said.isDefined() else 0) + sum(sent(children.apply(i)) for i in range(children.size()))

@@ -2,8 +2,8 @@
 
 A filter is a Python function of one text. It runs on the executors in small
 batches of rows, as texts may be long, in one pass over the outputs whatever
-the number of tools; what it raises never fails a job: the text comes back raw,
-and the row says why.
+the number of tools; texts that no filter takes do not go there. What it raises
+never fails a job: the text comes back raw, and the row says why.
 A parser is a function of DataFrames, so that Spark plans it.
 """
 
@@ -79,8 +79,10 @@ class Filters:
         for f in self.filters:
             clean = clean | (F.col("_tool") == f.name) if f.strips_ansi else clean
         rows = outputs.withColumn("_tool", self.tool(F.col("command"))).withColumn("_text", F.when(F.coalesce(clean, F.lit(False)), strip_ansi(F.col("text"))).otherwise(F.col("text")))
-        rows = rows.withColumn("_r", self.udf()("_tool", "_text"))
-        result = F.struct(F.col("_r.output").alias("output"), F.col("_r.quality").alias("quality"), estimate_tokens(F.col("_text")).alias("input_tokens"), estimate_tokens(F.col("_r.output")).alias("output_tokens"))
+        taken = F.col("_tool").isNotNull()  # only texts that a filter takes go to Python, the others stay where they are
+        rows = rows.withColumn("_r", self.udf()("_tool", F.when(taken, F.col("_text"))))
+        output = F.when(taken, F.col("_r.output")).otherwise(F.col("_text"))
+        result = F.struct(output.alias("output"), F.col("_r.quality").alias("quality"), estimate_tokens(F.col("_text")).alias("input_tokens"), estimate_tokens(output).alias("output_tokens"))
         return rows.select(*outputs.columns, F.col("_tool").alias("tool"), result.alias("result"), F.col("_r.error").alias("error"))
 
     def register_sql(self, spark: SparkSession, name: str = "reduce_output") -> None:
